@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +185,12 @@ def _pairs(content: str) -> BytePairs:
 
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many bytes of the column, a row at least."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if pa.types.is_string(batch.schema.field(column).type) or pa.types.is_large_string(batch.schema.field(column).type) else np.cumsum(np.diff(batch.column(column).offsets.to_numpy()) * 4)
+    column_of = batch.column(column)
+    if pa.types.is_list(column_of.type):
+        bytes_in = np.diff(column_of.offsets.to_numpy()) * 4
+    else:
+        bytes_in = pc.fill_null(pc.binary_length(column_of), 0).to_numpy(zero_copy_only=False)
+    sizes = np.cumsum(bytes_in)
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
