@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 # The pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers, and characters of a text that are split at a time.
-REMEMBERED, BLOCK = 400_000, 1 << 20
+#: Words and borders that a worker remembers; bytes of text or ids that it handles at a time (one row at least).
+REMEMBERED, BORDERS, SLICE = 200_000, 400_000, 2 << 20
 NEVER = 1 << 60
 
 
@@ -39,7 +39,7 @@ def byte_letters() -> dict[str, int]:
 class BytePairs:
     """Vocabulary and merges of a tokenizers JSON file with a byte-level pre-tokeniser."""
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, encodes: bool = True) -> None:
         spec = json.loads(content)
         letters = byte_letters()
         raw = lambda piece: bytes(letters[c] for c in piece)
@@ -47,14 +47,20 @@ class BytePairs:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*by_name.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
-        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
-        self.ids: dict[bytes, int] = {}
         for name, i in by_name.items():
             if name not in self.special:
                 self.bytes_of[i] = raw(name)
-                self.ids[self.bytes_of[i]] = i
+        plain = [i for i, b in enumerate(self.bytes_of) if b]
         for name, i in self.special.items():
             self.bytes_of[i] = name.encode()
+        self.length = [len(b) for b in self.bytes_of]
+        self.lengths = np.array(self.length, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.blob = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        if not encodes:
+            return
+        self.ids = {self.bytes_of[i]: i for i in plain}
+        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.merged: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -64,10 +70,6 @@ class BytePairs:
                 self.rank[i], self.left[i], self.right[i] = rank, by_name[a], by_name[b]
         #: Each beginning of a token, with the token's id if it is one itself, else -1.
         self.starting = {b[:n]: -1 for b in self.ids for n in range(1, len(b))} | self.ids
-        self.length = [len(b) for b in self.bytes_of]
-        self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.blob = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
@@ -128,7 +130,7 @@ class BytePairs:
                         fits = borders.get(pair)
                         if fits is None:
                             fits = self.stands(token) and self.border(last[start], token)
-                            if len(borders) > 2_000_000:
+                            if len(borders) > BORDERS:
                                 borders.clear()
                             borders[pair] = fits
                     if fits:
@@ -175,11 +177,11 @@ class BytePairs:
 _loaded: dict[str, BytePairs] = {}
 
 
-def _pairs(content: str) -> BytePairs:
-    key = hashlib.sha256(content.encode()).hexdigest()
+def _pairs(content: str, encodes: bool) -> BytePairs:
+    key = f"{hashlib.sha256(content.encode()).hexdigest()}{encodes}"
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = BytePairs(content)
+        _loaded[key] = BytePairs(content, encodes)
     return _loaded[key]
 
 
@@ -217,9 +219,9 @@ def bpe_encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col:
     content = df.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _pairs(content.value)
+        pairs = _pairs(content.value, True)
         for whole in batches:
-            for batch in _slices(whole, text_col, 8 << 20):
+            for batch in _slices(whole, text_col, SLICE):
                 packed = pairs.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
@@ -233,9 +235,9 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: s
     content = df.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _pairs(content.value)
+        pairs = _pairs(content.value, False)
         for whole in batches:
-            for batch in _slices(whole, ids_col, 8 << 20):
+            for batch in _slices(whole, ids_col, SLICE):
                 lists = batch.column(ids_col)
                 offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
                 texts = [pairs.decode(values[a:b].astype(np.int64)) for a, b in zip(offsets, offsets[1:], strict=False)]
