@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .langid import op2_language
+from .lm import op7_lm
 from .quality import op5_quality
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 
-QUERIES = (op1_bpe, op2_language, op5_quality, op10_exact_dedup)
+QUERIES = (op1_bpe, op2_language, op5_quality, op7_lm, op10_exact_dedup)
 
 
 def queries() -> dict:
