@@ -57,6 +57,15 @@ def members(keys: DataFrame, hashed: str, log2_words: int) -> DataFrame:
     return keys.select(*filter_cell(hashed, log2_words)).groupBy("tw_word").agg(F.bit_or("tw_mask").alias("tw_bits"))
 
 
+def repeats(hashes: DataFrame, hashed: str, log2_words: int) -> DataFrame:
+    """Blocked Bloom filter of the hashes that may occur more than once.
+
+    The cells that hashes take are counted, combined before the shuffle; those taken twice or more are kept.
+    """
+    cells = hashes.select(*filter_cell(hashed, log2_words)).groupBy("tw_word", "tw_mask").agg(F.count("*").alias("n"))
+    return cells.where("n > 1").groupBy("tw_word").agg(F.bit_or("tw_mask").alias("tw_bits"))
+
+
 def probed(rows: DataFrame, hashed: str, bloom: DataFrame, log2_words: int) -> DataFrame:
     """rows with tw_maybe: whether the filter may hold the row's hash. The filter's size is bounded, so it is broadcast."""
     cells = rows.select("*", *filter_cell(hashed, log2_words))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, filter_cell, filter_words, probed, stored
+from .common import attach, filter_words, probed, repeats, stored
 
 #: ASCII white space: space and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,12 +27,6 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("tw_sha", sha).withColumn("tw_h", F.xxhash64("tw_sha"))
 
 
-def _repeats(hashes: DataFrame, log2_words: int) -> DataFrame:
-    """The filter of hashes that may occur more than once."""
-    cells = hashes.select(*filter_cell("tw_h", log2_words)).groupBy("tw_word", "tw_mask").agg(F.count("*").alias("n"))
-    return cells.where("n > 1").groupBy("tw_word").agg(F.bit_or("tw_mask").alias("tw_bits"))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = True) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256.
 
@@ -46,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = stored(_hashed(docs.select(F.col(id_col).alias("tw_id"), F.col(text_col).alias("tw_text")), "tw_text").select("tw_id", "tw_sha", "tw_h"), "hashes")
     n = slim.count()
     words = filter_words(n)
-    bloom = stored(_repeats(slim, words), "repeats")
+    bloom = stored(repeats(slim, "tw_h", words), "repeats")
     groups = probed(slim, "tw_h", bloom, words).where("tw_maybe").groupBy("tw_sha").agg(F.min("tw_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = stored(groups.where("group_size > 1"), "groups")
     if keep_columns:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .langid import op2_language
 from .lm import op7_lm
+from .packing import op4_packing
 from .quality import op5_quality
+from .warc import OP9_SQL, op9_warc
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 
-QUERIES = (op1_bpe, op2_language, op5_quality, op7_lm, op10_exact_dedup)
+QUERIES = (op1_bpe, op2_language, op4_packing, op5_quality, op7_lm, op9_warc, op10_exact_dedup)
 
 
 def queries() -> dict:
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}
