@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .langid import op2_language
+from .line_dedup import op3_line_dedup
 from .lm import op7_lm
 from .near_vectors import op6_near_vectors
 from .packing import op4_packing
@@ -11,7 +12,7 @@ from .quality import op5_quality
 from .warc import OP9_SQL, op9_warc
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 
-QUERIES = (op1_bpe, op2_language, op4_packing, op5_quality, op6_near_vectors, op7_lm, op9_warc, op10_exact_dedup)
+QUERIES = (op1_bpe, op2_language, op3_line_dedup, op4_packing, op5_quality, op6_near_vectors, op7_lm, op9_warc, op10_exact_dedup)
 
 
 def queries() -> dict:
