@@ -73,12 +73,16 @@ def probed(rows: DataFrame, hashed: str, bloom: DataFrame, log2_words: int) -> D
     return cells.join(F.broadcast(bloom), "tw_word", "left").withColumn("tw_maybe", hit).drop("tw_word", "tw_mask", "tw_bits")
 
 
-def only_members(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
-    """The rows whose key is in keys (distinct, same column name); others are sorted out by a filter before the shuffle."""
+def likely_members(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows whose key is in keys (same column name), and a few others, without a shuffle of rows."""
     words = filter_words(n_keys)
     hashed = lambda df: df.withColumn("tw_h", F.xxhash64(F.lit(7), key))
-    near = probed(hashed(rows), "tw_h", members(hashed(keys), "tw_h", words), words).where("tw_maybe").drop("tw_maybe", "tw_h")
-    return near.join(keys, key, "left_semi")
+    return probed(hashed(rows), "tw_h", members(hashed(keys), "tw_h", words), words).where("tw_maybe").drop("tw_maybe", "tw_h")
+
+
+def only_members(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows whose key, not null, is in keys (distinct); others are sorted out by a filter before the shuffle."""
+    return likely_members(rows, key, keys, n_keys).join(keys, key, "left_semi")
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
