@@ -85,6 +85,15 @@ def only_members(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> Dat
     return likely_members(rows, key, keys, n_keys).join(keys, key, "left_semi")
 
 
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not in keys (distinct, same column name); only rows that may be in it are shuffled."""
+    words = filter_words(keys.count())
+    hashed = lambda df: df.withColumn("tw_h", F.xxhash64(F.lit(7), key))
+    tried = probed(hashed(rows), "tw_h", members(hashed(keys), "tw_h", words), words).drop("tw_h")
+    rest = tried.where("tw_maybe").drop("tw_maybe").join(keys, key, "left_anti")
+    return tried.where(~F.col("tw_maybe")).drop("tw_maybe").unionByName(rest.select(*rows.columns))
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
     """rows left-joined to facts, one fact a key; weight counts the rows that have the key.
 
