@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 NAME = "__name__"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def canonical(labels: Column) -> Column:
     """Entries in key order, empty values left out."""
     return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(labels, lambda _, v: F.coalesce(v, F.lit("")) != ""))))
@@ -39,13 +44,13 @@ def nameless(labels: Column) -> Column:
 
 def merged(winner: Column, other: Column) -> Column:
     """Both maps' entries; where both have a key, winner's."""
-    return F.map_concat(winner, F.map_filter(other, lambda k, _: ~F.map_contains_key(winner, k)))
+    return let(winner, lambda w: F.map_concat(w, F.map_filter(other, lambda k, _: ~F.map_contains_key(w, k))))
 
 
 def with_label(labels: Column, name: str, value: Column) -> Column:
-    """labels with a label set, or taken away if the value is empty."""
+    """labels with a label set, or taken away if the value is empty; an empty label is a missing one."""
     rest = F.map_filter(labels, lambda k, _: k != name)
-    return F.when(value == "", rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+    return F.map_filter(F.map_concat(rest, F.create_map(F.lit(name), value)), lambda _, v: v != "")
 
 
 def anchored(pattern: str) -> str:

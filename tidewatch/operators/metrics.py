@@ -28,14 +28,13 @@ def instant(samples: DataFrame, grid: Grid, lookback_ms: int = LOOKBACK_MS, offs
     """The newest sample of each series at each point, not as old as the lookback."""
     if at is not None:
         return pinned(instant(samples, Grid.instant(at), lookback_ms, offset_ms), grid)
-    windows = Windows(grid, lookback_ms - 1 if grid.points == 1 else lookback_ms, offset_ms)
+    windows = Windows(grid, lookback_ms, offset_ms)  # open on the left
     kept = samples.where(windows.relevant(F.col("ts"))).withColumns({"key": lb.key(F.col("labels")), "slot": windows.slot(F.col("ts"))})
     newest = F.max(F.struct("ts", "value"))
     slots = kept.groupBy("key", "slot").agg(F.any_value("labels").alias("labels"), newest.alias("s"))
     spread = slots.withColumn("point", F.explode(windows.points(F.col("slot"))))
     found = spread.groupBy("key", "point").agg(F.any_value("labels").alias("labels"), F.max("s").alias("s"))
-    fresh = F.col("point") - offset_ms - F.col("s.ts") < lookback_ms
-    return found.where(fresh).select("labels", F.col("point").alias("ts"), F.col("s.value").alias("value"))
+    return found.select("labels", F.col("point").alias("ts"), F.col("s.value").alias("value"))
 
 
 def pinned(vector: DataFrame, grid: Grid) -> DataFrame:
@@ -43,8 +42,8 @@ def pinned(vector: DataFrame, grid: Grid) -> DataFrame:
     return vector.withColumn("ts", F.explode(F.sequence(F.lit(grid.start).cast("long"), F.lit(grid.end).cast("long"), F.lit(grid.step).cast("long"))))
 
 
-def windowed(samples: DataFrame, windows: Windows) -> DataFrame:
-    """Each series' samples in each window, as (key, labels, point, s): one for each time, in order.
+def windowed(samples: DataFrame, windows: Windows, once: bool = True) -> DataFrame:
+    """Each series' samples in each window, as (key, labels, point, s): in order, with `once` one for each time.
 
     Samples are gathered by slot before slots are spread, so a sample is shuffled once whatever the overlap.
     """
@@ -52,20 +51,21 @@ def windowed(samples: DataFrame, windows: Windows) -> DataFrame:
     slots = kept.groupBy("key", "slot").agg(F.any_value("labels").alias("labels"), F.collect_list(F.struct("ts", F.col("value").alias("v"))).alias("s"))
     spread = slots.withColumn("point", F.explode(windows.points(F.col("slot"))))
     gathered = spread.groupBy("key", "point").agg(F.any_value("labels").alias("labels"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    if not once:
+        return gathered
     s = F.col("s")
-    once = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["ts"] != x["ts"], F.lit(True)))
-    return gathered.withColumn("s", once)
+    return gathered.withColumn("s", F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["ts"] != x["ts"], F.lit(True))))
 
 
-def over_time(samples: DataFrame, function: str | Callable[[Column, Column, int], Column], grid: Grid, range_ms: int, offset_ms: int = 0, at: int | None = None) -> DataFrame:
+def over_time(samples: DataFrame, function: str | Callable[[Column, Column, int], Column], grid: Grid, range_ms: int, offset_ms: int = 0, at: int | None = None, once: bool = True) -> DataFrame:
     """A range function at each point, by name or as made by a factory of functions.ranges."""
     if at is not None:
-        return pinned(over_time(samples, function, Grid.instant(at), range_ms, offset_ms), grid)
+        return pinned(over_time(samples, function, Grid.instant(at), range_ms, offset_ms, once=once), grid)
     apply = ranges.FUNCTIONS[function] if isinstance(function, str) else function
     end = F.col("point") - offset_ms
     value = apply(F.col("s"), end, range_ms)
     own = F.col("labels") if function in ranges.NAMED else lb.nameless(F.col("labels"))
-    found = windowed(samples, Windows(grid, range_ms, offset_ms)).select(own.alias("labels"), F.col("point").alias("ts"), value.alias("value")).where("value is not null")
+    found = windowed(samples, Windows(grid, range_ms, offset_ms), once).select(own.alias("labels"), F.col("point").alias("ts"), value.alias("value")).where("value is not null")
     return unique(found)
 
 

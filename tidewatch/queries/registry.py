@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics
+from . import histograms, logs, metrics, traces
 
-MODULES = (metrics,)
+MODULES = (metrics, histograms, logs, traces)
 
 
 def queries() -> dict:
