@@ -63,11 +63,15 @@ def rename_label(logs: DataFrame, target: str, source: str) -> DataFrame:
     return logs.withColumn("labels", F.map_filter(lb.with_label(labels, target, lb.label(labels, source)), lambda k, _: k != source))
 
 
+def _without(labels: Column, name: str) -> Column:
+    return F.map_filter(labels, lambda k, _: k != name)
+
+
 def drop(logs: DataFrame, *names: str, matchers: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
     """Without these labels, and those that pass a matcher on their value."""
     labels = F.map_filter(F.col("labels"), lambda k, _: ~k.isin(*names)) if names else F.col("labels")
     for name, op, value in matchers:
-        labels = F.when(lb.matches(F.col("labels"), name, op, value), F.map_filter(labels, lambda k, _, n=name: k != n)).otherwise(labels)
+        labels = F.when(lb.matches(F.col("labels"), name, op, value), _without(labels, name)).otherwise(labels)
     return logs.withColumn("labels", labels)
 
 

@@ -210,10 +210,12 @@ def second_stage(series: DataFrame, keys: list[str], top: int | None = None, bot
 def compare(spans: DataFrame, selection: Column, top: int = 10) -> DataFrame:
     """Counts of each attribute's most frequent values within a selection and outside it."""
     fixed = {"name": "name", "status": "status", "kind": "kind", "resource.service.name": "service"}
-    pairs = F.concat(
-        F.array(*(F.struct(F.lit(k).alias("attribute"), F.col(c).alias("val")) for k, c in fixed.items())),
-        *(F.transform(F.map_entries(m), lambda e, p=p: F.struct(F.concat(F.lit(p), e["key"]).alias("attribute"), e["value"].alias("val"))) for m, p in (("resource", "resource."), ("attributes", "span."))),
-    )
+
+    def entries(column: str, prefix: str) -> Column:
+        return F.transform(F.map_entries(column), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("attribute"), e["value"].alias("val")))
+
+    own = F.array(*(F.struct(F.lit(k).alias("attribute"), F.col(c).alias("val")) for k, c in fixed.items()))
+    pairs = F.concat(own, entries("resource", "resource."), entries("attributes", "span."))
     counts = spans.select(selection.alias("selected"), F.explode(pairs).alias("x")).groupBy("selected", "x.attribute", "x.val").agg(F.count("*").alias("n"))
     w = Window.partitionBy("selected", "attribute").orderBy(F.desc("n"), "val")
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("place")
