@@ -33,7 +33,9 @@ WORDS = 5
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 80, 100
 CELLS, TOGETHER = 1 << 20, 1 << 12
-SLICE_ROWS, EMIT = 400, 1 << 20
+SLICE_ROWS = 400
+#: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
+NEAREST = (4, None)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ class Bands:
         self.high = [b - 1 for b in self.low[1:]]
         self.apart = [_apart(h + h * WHOLE // PART) for h in self.high]
         self.blocks = [d + 1 + -(-d * 15 // 100) for d in self.apart]
-        self.words = [-(-2 * h // 64) for h in self.high]  # 64-bit words of a bit sketch
+        self.words = [-(-4 * h // 64) for h in self.high]  # 64-bit words of a bit sketch
 
     def of(self, size: int) -> list[int]:
         """The band of a size, and those before it whose smaller sets may be similar."""
@@ -193,23 +195,34 @@ def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * WHOLE >= np.maximum(n, m) * PART
 
 
-def _unconnected_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of a key's sets that are not connected and whose sketches are near."""
-    for table in runs(batches, ["key"]):
-        table = table.combine_chunks()
-        key, sets, parts, sizes = (table[c].to_numpy() for c in ("key", "set_id", "component", "size"))
-        sketches = table.column("sketch").chunk(0)
-        flat, offsets = sketches.values.to_numpy(), sketches.offsets.to_numpy()
-        starts = bounds([key])
-        for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-            if b - a < 2 or (parts[a:b] == parts[a]).all():
-                continue
-            own = flat[offsets[a] : offsets[b]].reshape(b - a, -1).view(np.uint64)
-            for x in range(b - a - 1):
-                y = x + 1 + np.flatnonzero((parts[a + x + 1 : b] != parts[a + x]) & _close(sizes[a + x + 1 : b], sizes[a + x]))
-                if len(y):
-                    y = y[np.bitwise_count(own[y] ^ own[x]).sum(axis=1) <= (sizes[a + y] + sizes[a + x]) * (WHOLE - PART) // (WHOLE + PART)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), sets[a + x])), pa.array(sets[a + y])], names=["set_id", "other"])
+def _unconnected_pairs(most: int | None):
+    """From rows sorted by key: pairs of a key's sets that are not connected and whose sketches are near; of each
+    set with those after it, the nearest ones, so many at most (all if None)."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["key"]):
+            table = table.combine_chunks()
+            key, sets, parts, sizes = (table[c].to_numpy() for c in ("key", "set_id", "component", "size"))
+            sketches = table.column("sketch").chunk(0)
+            flat, offsets = sketches.values.to_numpy(), sketches.offsets.to_numpy()
+            starts = bounds([key])
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                if b - a < 2 or (parts[a:b] == parts[a]).all():
+                    continue
+                own = flat[offsets[a] : offsets[b]].reshape(b - a, -1).view(np.uint64)
+                for x in range(b - a - 1):
+                    y = x + 1 + np.flatnonzero((parts[a + x + 1 : b] != parts[a + x]) & _close(sizes[a + x + 1 : b], sizes[a + x]))
+                    if not len(y):
+                        continue
+                    apart = np.bitwise_count(own[y] ^ own[x]).sum(axis=1)
+                    near = apart <= (sizes[a + y] + sizes[a + x]) * (WHOLE - PART) // (WHOLE + PART)
+                    y, apart = y[near], apart[near]
+                    if most and len(y) > most:
+                        y = y[np.argpartition(apart, most)[:most]]
+                    if len(y):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), sets[a + x])), pa.array(sets[a + y])], names=["set_id", "other"])
+
+    return pair
 
 
 def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,15 +273,17 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     dealt = rows.select("text").mapInArrow(emit, "key long, band int, set_id long").repartition("key").sortWithinPartitions("key", "set_id")
     met = stored(dealt.mapInArrow(_first_pairs, "key long, band int, set_id long, other long"), "met")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (set_id, other) that are similar indeed."""
-        ids = pairs.select(F.explode(F.array("set_id", "other")).alias("set_id")).distinct()
+    def whole(ids: DataFrame) -> DataFrame:
+        """The members of the sets with these ids."""
         chosen = lambda df: df.withColumn("chosen", F.xxhash64("set_id", "id"))
-        wanted = stored(chosen(classes.select("set_id", F.col("least").alias("id")).join(ids, "set_id", "left_semi")), "wanted")
+        wanted = stored(chosen(classes.select("set_id", F.col("least").alias("id")).join(ids.distinct(), "set_id", "left_semi")), "wanted")
         n = wanted.count()
         own = likely_members(rows, "id", wanted.select("id"), n).mapInArrow(shingles, f"id {id_type}, set_id long, members array<long>")
         own = only_members(chosen(own), "chosen", wanted.select("chosen").distinct(), n)
-        own = stored(own.dropDuplicates(["set_id"]).select("set_id", "members"), "members")
+        return stored(own.dropDuplicates(["set_id"]).select("set_id", "members"), "members")
+
+    def linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """The pairs (set_id, other) that are similar indeed."""
         other = own.select(F.col("set_id").alias("other"), F.col("members").alias("others"))
         both = pairs.join(own, "set_id").join(other, "other")
         shared = F.size(F.array_intersect("members", "others"))
@@ -278,16 +293,31 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     far = sketches.select(F.col("set_id").alias("other"), "band", F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch"))
     apart = F.aggregate(F.zip_with("sketch", "other_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     near = (apart * (WHOLE + PART) <= (F.col("size") + F.col("other_size")) * (WHOLE - PART)) & (F.least("size", "other_size") * WHOLE >= F.greatest("size", "other_size") * PART)
-    pairs = pairs.join(sketches, ["set_id", "band"]).join(far, ["other", "band"]).where(near).select("set_id", "other")
-    edges = stored(linked(stored(pairs, "pairs")), "edges")
-    label = lambda edges: components(edges).withColumnRenamed("node", "set_id")
-    parts = stored(label(edges), "parts")
-    many = met.where("other is null").select("key", "band", "set_id").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    torn = many.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    many = stored(many.join(torn, "key", "left_semi"), "torn").join(sketches, ["set_id", "band"]).select("key", "set_id", "component", "size", "sketch")
-    more = many.repartition("key").sortWithinPartitions("key").mapInArrow(_unconnected_pairs, "set_id long, other long")
-    more = stored(more.select(F.least("set_id", "other").alias("set_id"), F.greatest("set_id", "other").alias("other")).distinct(), "pairs")
-    parts = stored(label(edges.unionByName(linked(more))), "parts")
+    pairs = stored(pairs.join(sketches, ["set_id", "band"]).join(far, ["other", "band"]).where(near).select("set_id", "other"), "pairs")
+    own = whole(pairs.select(F.explode(F.array("set_id", "other")).alias("set_id")))
+    edges = stored(linked(pairs, own), "edges")
+    parts = stored(components(edges), "parts")
+
+    def torn(rows: DataFrame) -> DataFrame:
+        """The rows (key, band, set_id) whose key has more than one component, with it."""
+        rows = rows.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return rows.join(keys, "key", "left_semi")
+
+    many = stored(torn(met.where("other is null").select("key", "band", "set_id")), "torn")
+    own = whole(many.select("set_id"))
+    for most in NEAREST:
+        if many.isEmpty():
+            break
+        dealt = many.join(sketches, ["set_id", "band"]).select("key", "set_id", "component", "size", "sketch").repartition("key").sortWithinPartitions("key")
+        found = dealt.mapInArrow(_unconnected_pairs(most), "set_id long, other long")
+        found = found.select(F.least("set_id", "other").alias("set_id"), F.greatest("set_id", "other").alias("other")).distinct()
+        new = stored(linked(stored(found, "pairs"), own), "edges")
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            parts = stored(components(edges), "parts")
+            many = stored(torn(many.drop("component")), "torn")
+    parts = parts.withColumnRenamed("node", "set_id")
     facts = classes.select("set_id", "n", "least").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = facts.groupBy("component").agg(F.min("least").alias("component_id"))
     facts = stored(facts.join(least, "component").select("set_id", "n", "component_id"), "facts")
