@@ -3,16 +3,18 @@
 A line is the set of its words. Words are ordered by rarity, from a table of word counts of fixed size
 (words that share a cell count as equally rare; any order gives right results). Two sets with a Jaccard
 similarity of t or more share a word among the first n - ceil(t * n) + 1 of each: these prefixes are dealt
-by word, and a word's lines are compared under the length and the positional filter. Candidates are
-verified on their whole sets. A line goes if it matches any line that stands earlier, in the order of
-document ids and line numbers; equal sets match, so of a set's lines only the first can stay.
+by word, and a word's lines are compared under the length and the positional filter and by a sketch of 64
+bits, whose Hamming distance never exceeds the sets' symmetric difference. Candidates are verified on their
+whole sets. A line goes if it matches any line that stands earlier, in the order of document ids and line
+numbers; equal sets match, so of a set's lines only the first can stay.
 
-A word with few lines gives all their pairs. One with many gives first the pairs with its earliest line,
-then, for lines that these did not decide, those with the other earlier lines.
+Of the earlier lines that a line may match under a word, the first few are verified; a line that has more,
+and that these did not decide, is compared with all of them afterwards.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, filter_words, members, only_members, probed, stored
+from .common import attach, filter_words, likely_members, members, only_members, probed, stored
 from .components import bounds, runs
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts, and cells that are sent together.
-CELLS, TOGETHER = 1 << 20, 1 << 12
-#: Lines of a word up to which all pairs are taken at once.
-FEW = 8
-SLICE_ROWS = 300
+CELLS, TOGETHER = 1 << 22, 1 << 16
+#: Earlier lines of a word that a line is verified against at first.
+FEW = 3
+SLICE_ROWS = 500
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,37 +44,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Lines:
     """The non-blank lines of some texts as sets of words, each set ordered by rarity."""
 
-    def __init__(self, texts: list[str], counts: np.ndarray | None) -> None:
+    def __init__(self, texts: list[str], counts: np.ndarray) -> None:
         number: dict[bytes, int] = {}
         at, sizes, text_of, line_of = [], [], [], []
+        put = number.setdefault
         for t, text in enumerate(texts):
             for n, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
                 words = line.split()
                 if words:
-                    at += [number.setdefault(w, len(number)) for w in words]
+                    at += [put(w, len(number)) for w in words]
                     sizes.append(len(words))
                     text_of.append(t)
                     line_of.append(n)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
-        self.at = np.array(at, dtype=np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
         self.text, self.line = np.array(text_of, dtype=np.int64), np.array(line_of, dtype=np.int32)
-        if counts is None:
-            return
-        order = np.lexsort([self.hashes, counts[(self.hashes % np.uint64(CELLS)).astype(np.int64)]])
+        order = np.lexsort([hashes, counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]])
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
+        many = max(len(order), 1)
         line = np.repeat(np.arange(len(sizes)), sizes)
-        pairs = np.unique(line * max(len(order), 1) + rank[self.at])
-        self.of = pairs // max(len(order), 1)
-        self.words = self.hashes[order][pairs % max(len(order), 1)]
-        self.starts = np.searchsorted(self.of, np.arange(len(sizes)))
-        self.sizes = np.diff(np.append(self.starts, len(self.of)))
+        pairs = np.sort(line * many + rank[np.array(at, dtype=np.int64)])
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        of = pairs // many
+        self.words = hashes[order][pairs % many]
+        self.starts = np.searchsorted(of, np.arange(len(sizes)))
+        self.sizes = np.diff(np.append(self.starts, len(of)))
+        self.set_id = self.sketch = np.zeros(0, dtype=np.int64)
         if len(sizes):
             spread = _mixed(self.words)
             both = np.add.reduceat(spread, self.starts) ^ (np.bitwise_xor.reduceat(_mixed(spread), self.starts) * np.uint64(3))
             self.set_id = _mixed(both + self.sizes.astype(np.uint64)).view(np.int64)
-        else:
-            self.set_id = np.zeros(0, dtype=np.int64)
+            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), self.starts).view(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,23 +84,26 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_table(docs: DataFrame) -> np.ndarray:
-    """Counts of the words of column `text`, by cell."""
+    """Counts of the words of column `text`, by cell, up to 65,535."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, dtype=np.int64)
+        seen = np.zeros(CELLS, dtype=np.int32)
         for batch in _batches(batches):
-            lines = Lines(batch.column("text").to_pylist(), None)
-            seen += np.bincount((lines.hashes % np.uint64(CELLS)).astype(np.int64), weights=np.bincount(lines.at, minlength=len(lines.hashes)), minlength=CELLS).astype(np.int64)
-        parts = seen.reshape(-1, TOGETHER)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            words: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                words.update(text.encode("utf-8", "replace").lower().split())
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+            np.add.at(seen, (hashes & np.uint64(CELLS - 1)).astype(np.int64), np.fromiter(words.values(), dtype=np.int32, count=len(words)))
+        for k, part in enumerate(seen.reshape(-1, TOGETHER)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"]).tobytes()]})
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(sum(np.frombuffer(c, dtype=np.int32).astype(np.int64) for c in frame["counts"]), 65535).astype(np.uint16).tobytes()]})
 
     made = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toPandas()
-    out = np.zeros(CELLS, dtype=np.int64)
+    out = np.zeros(CELLS, dtype=np.uint16)
     for part, counts in zip(made["part"], made["counts"], strict=True):
-        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(counts, dtype=np.int64)
+        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(counts, dtype=np.uint16)
     return out
 
 
@@ -109,65 +114,43 @@ def _similar_sizes(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndar
     return (small >= threshold * large - 1e-9) & (1 + np.minimum(n - 1 - at_n, m - 1 - at_m) >= need)
 
 
-_POSTING = "word long, doc long, line int, set_id long, size int, place int"
-_PAIR = "early long, late long, word long, doc long, line int, size int, place int, decided boolean"
-
-
-def _pairs(threshold: float):
-    """From postings sorted by word and position: candidate pairs, and as rows without `late` the postings of words with many lines."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["word"]):
-            table = table.combine_chunks()
-            word, doc, line, sets, size, place = (table[c].to_numpy() for c in ("word", "doc", "line", "set_id", "size", "place"))
-            starts = bounds([word])
-            alone = np.diff(starts) < 2
-            early, late, many = [], [], []
-            for a, b in zip(starts[:-1][~alone].tolist(), starts[1:][~alone].tolist(), strict=True):
-                keep = a + np.sort(np.unique(sets[a:b], return_index=True)[1])  # the first posting of each set
-                if len(keep) < 2:
-                    continue
-                if len(keep) <= FEW:
-                    x, y = np.triu_indices(len(keep), 1)
-                    x, y = keep[x], keep[y]
-                else:
-                    x, y = np.full(len(keep) - 1, keep[0]), keep[1:]
-                    many.append(keep)
-                early.append(x)
-                late.append(y)
-            x, y, z = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (early, late, many))
-            ok = _similar_sizes(size[x], size[y], place[x], place[y], threshold)
-            x, y = x[ok], y[ok]
-            both = np.concatenate([y, z])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([sets[x], sets[z]])),
-                    pa.concat_arrays([pa.array(sets[y]), pa.nulls(len(z), pa.int64())]),
-                    *(pa.array(v[both]) for v in (word, doc, line, size, place)),
-                    pa.array(np.zeros(len(both), dtype=bool)),
-                ],
-                names=["early", "late", "word", "doc", "line", "size", "place", "decided"],
-            )
-
-    return pair
-
-
-def _more_pairs(threshold: float):
-    """For words with many lines: pairs of each undecided line with the earlier ones."""
+def _pairs(threshold: float, most: int | None):
+    """From postings sorted by word and position: pairs (early, late) that may be similar, for each undecided late
+    set with the first ones under a word, so many at most; early is null where there may be more."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["word"]):
             table = table.combine_chunks()
-            word, sets, size, place, decided = (table[c].to_numpy(zero_copy_only=False) for c in ("word", "early", "size", "place", "decided"))
-            starts = bounds([word])
-            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-                early, late = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-                for y in (a + np.flatnonzero(~decided[a:b])).tolist():
-                    x = a + np.flatnonzero(_similar_sizes(size[a:y], size[y], place[a:y], place[y], threshold))
-                    early.append(x)
-                    late.append(np.full(len(x), y))
-                x, y = np.concatenate(early), np.concatenate(late)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[x]), pa.array(sets[y])], names=["early", "late"])
+            word, sets, sketch, size, place, open_ = (table[c].to_numpy(zero_copy_only=False) for c in ("word", "set_id", "sketch", "size", "place", "undecided"))
+            run = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))
+            order = np.lexsort([np.arange(len(run)), sets, run])
+            new = np.ones(len(run), dtype=bool)
+            new[1:] = (run[order][1:] != run[order][:-1]) | (sets[order][1:] != sets[order][:-1])
+            keep = np.sort(order[new])  # the first posting of each set under a word
+            run, sets, sketch, size, place, open_ = run[keep], sets[keep], sketch[keep].view(np.uint64), size[keep], place[keep], open_[keep]
+            start = bounds([run])
+            start = np.repeat(start[:-1], np.diff(start))
+            waiting = np.flatnonzero((np.arange(len(run)) > start) & open_)
+            taken = np.zeros(len(run), dtype=np.int64)
+            early, late, more = [], [], []
+            step = 0
+            while len(waiting):
+                x = start[waiting] + step
+                ok = _similar_sizes(size[x], size[waiting], place[x], place[waiting], threshold)
+                x, y = x[ok], waiting[ok]
+                ok = np.bitwise_count(sketch[x] ^ sketch[y]) * (1 + threshold) <= (size[x] + size[y]) * (1 - threshold) + 1e-9
+                x, y = x[ok], y[ok]
+                early.append(sets[x])
+                late.append(sets[y])
+                taken[y] += 1
+                step += 1
+                waiting = waiting[waiting > start[waiting] + step]
+                if most:
+                    full = taken[waiting] >= most
+                    more.append(sets[waiting[full]])
+                    waiting = waiting[~full]
+            early, late, more = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (early, late, more))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(early), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate([late, more]))], names=["early", "late"])
 
     return pair
 
@@ -182,19 +165,15 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in _batches(batches):
             found = Lines(batch.column("text").to_pylist(), counts.value)
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc", "version"))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc, version, found.line, found.set_id)], names=["doc", "version", "line", "set_id"])
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), counts.value)
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.text]
+            # equal sets of a batch are dealt once, from their first line
             order = np.lexsort([found.line, doc])
-            first = order[np.unique(found.set_id[order], return_index=True)[1]]
-            prefix = (found.sizes - np.ceil(threshold * found.sizes - 1e-9) + 1).astype(np.int64)[first]
-            line = np.repeat(first, prefix)
-            place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            word = found.words[found.starts[line] + place].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, doc[line], found.line[line], found.set_id[line], found.sizes[line].astype(np.int32), place.astype(np.int32))], names=["word", "doc", "line", "set_id", "size", "place"])
+            dealt = np.zeros(len(doc), dtype=bool)
+            dealt[order[np.unique(found.set_id[order], return_index=True)[1]]] = True
+            prefix = np.where(dealt, (found.sizes - np.ceil(threshold * found.sizes - 1e-9) + 1).astype(np.int64), 0)
+            starts = np.cumsum(prefix) - prefix
+            item = np.arange(prefix.sum()) + np.repeat(found.starts[: len(prefix)] - starts, prefix)
+            words = pa.ListArray.from_arrays(pa.array(np.append(starts, prefix.sum()).astype(np.int32)), pa.array(found.words[item].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.sketch, found.sizes.astype(np.int32))), words], names=["doc", "version", "line", "set_id", "sketch", "size", "prefix"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
@@ -202,28 +181,38 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             offsets = np.append(found.starts, len(found.words)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(found.set_id), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words.view(np.int64)))], names=["set_id", "words"])
 
+    all_lines = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, sketch long, size int, prefix array<long>"), "lines")
+    places = all_lines.groupBy("set_id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    places = stored(places, "places")
+
     def matches(pairs: DataFrame) -> DataFrame:
         """The late sets of the pairs that are similar indeed."""
         pairs = stored(pairs.distinct(), "pairs")
         ids = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
-        own = docs.select("text").mapInArrow(sets, "set_id long, words array<long>")
-        own = stored(only_members(own, "set_id", ids, 2 * pairs.count()).dropDuplicates(["set_id"]), "sets")
+        wanted = stored(places.join(ids, "set_id", "left_semi").select("set_id", F.col("first.doc").alias("doc")), "wanted")
+        n = wanted.count()
+        own = likely_members(docs, "doc", wanted.select("doc"), n).select("text").mapInArrow(sets, "set_id long, words array<long>")
+        own = stored(only_members(own, "set_id", wanted.select("set_id"), n).dropDuplicates(["set_id"]), "sets")
         side = lambda name: own.select(F.col("set_id").alias(name), F.col("words").alias(f"{name}_words"))
         both = pairs.join(side("early"), "early").join(side("late"), "late")
         shared = F.size(F.array_intersect("early_words", "late_words"))
         return both.where(shared * (1 + threshold) >= threshold * (F.size("early_words") + F.size("late_words")) - 1e-9).select(F.col("late").alias("set_id")).distinct()
 
-    all_lines = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long"), "lines")
-    dealt = docs.mapInArrow(postings, _POSTING).repartition("word").sortWithinPartitions("word", "doc", "line")
-    found = stored(dealt.mapInArrow(_pairs(threshold), _PAIR), "candidates")
-    late = stored(matches(found.where("late is not null").select("early", "late")), "late")
-    many = found.where("late is null").select("word", "doc", "line", "early", "size", "place")
-    many = many.join(late.select(F.col("set_id").alias("early"), F.lit(True).alias("decided")), "early", "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
-    dealt = many.repartition("word").sortWithinPartitions("word", "doc", "line")
-    late = late.unionByName(matches(dealt.mapInArrow(_more_pairs(threshold), "early long, late long"))).distinct()
-    facts = all_lines.groupBy("set_id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    facts = facts.join(late.withColumn("late", F.lit(True)), "set_id", "left")
-    judged = attach(all_lines, stored(facts, "facts"), "set_id", "n", all_lines.count())
+    postings = all_lines.select("doc", "line", "set_id", "sketch", "size", F.posexplode("prefix").alias("place", "word"))
+    columns = ["word", "doc", "line", "set_id", "sketch", "size", "place", "undecided"]
+    deal = lambda df: df.select(columns).repartition("word").sortWithinPartitions("word", "doc", "line")
+    found = stored(deal(postings.withColumn("undecided", F.lit(True))).mapInArrow(_pairs(threshold, FEW), "early long, late long"), "candidates")
+    late = stored(matches(found.where("early is not null")), "late")
+    rest = stored(found.where("early is null").select(F.col("late").alias("set_id")).distinct().join(late, "set_id", "left_anti"), "undecided")
+    n = rest.count()
+    if n:
+        words = stored(only_members(postings, "set_id", rest, n).select("word").distinct(), "words")
+        again = only_members(postings, "word", words, words.count())
+        again = again.join(rest.withColumn("undecided", F.lit(True)), "set_id", "left").withColumn("undecided", F.coalesce("undecided", F.lit(False)))
+        late = late.unionByName(matches(deal(again).mapInArrow(_pairs(threshold, None), "early long, late long"))).distinct()
+    facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left")
+    slim = all_lines.select("doc", "version", "line", "set_id")
+    judged = attach(slim, stored(facts, "facts"), "set_id", "n", all_lines.count())
     gone = F.coalesce("late", F.lit(False)) | (F.struct("doc", "line") != F.col("first"))
     return judged.where(gone).groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
