@@ -1,41 +1,39 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of n-grams (here words and pairs of words) are quantised to levels, 1 + floor(log2(count)), and an
-n-gram of level q is put into a Bloom filter once for each level 1..q. The filter is broadcast; its size is
-bounded by a parameter. A worker finds a level by probing upwards until a probe fails, and smooths the
-counts so found. The filter is built on Spark: tasks pre-aggregate hashed n-grams and send them, sorted and
-packed, to the segment that their first bits name; a segment is built by one small task. If a segment's
-share of the bits is too small for all its n-grams, it leaves out those under a count, the same way at any size.
-
-Beside it stands an exact unigram score. Words so frequent that only a fixed number of them can exist are
-looked up in a broadcast table, the others by a join.
+n-gram of level q is put into a Bloom filter once for each level 1..q. A level is found by probing upwards
+until a probe fails, and the counts so found are smoothed. The filter grows with the n-grams and is never in
+one place: it is made of segments, named by the first bits of an n-gram's hash, about so many that each has
+the same small number of n-grams at any size of the input, and a segment has BITS bits for each of its entries.
+
+Texts go in batches of so many bytes. A batch sends its different n-grams, sorted and packed, to their
+segments; a segment's task sums the counts, builds the segment, looks up what each batch sent and answers it
+with levels, in the order in which it was sent. A batch then meets its answers and is scored.
+
+Beside it stands an exact unigram score: words travel as they are, and a segment answers their exact counts too.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-#: Bytes of a filter at most, bits for each entry, probes for each entry, levels at most.
-MAX_BYTES, BITS, PROBES, LEVELS = 48 << 20, 12, 3, 40
-#: Words that can each make up a 2**-17 part of all tokens: there are no more of them than that.
-FREQUENT = 1 << 17
+#: Bits for each entry, probes for each entry, levels at most.
+BITS, PROBES, LEVELS = 12, 3, 40
+#: Bytes of text in a batch, log2 of the n-grams, as they are sent, that a segment gets at most.
+BATCH_BYTES, LOG2_SENT = 8 << 20, 21
 #: Weight of pairs against single words.
 PAIR_WEIGHT = 0.35
 START = 0x9E3779B97F4A7C15
-_FLUSH = 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -126,37 +124,30 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 
 def segment(items: np.ndarray, counts: np.ndarray, n_bits: int) -> np.ndarray:
-    """A segment's bytes: the items with the highest levels that fit at BITS bits for each entry."""
+    """A segment's bytes, with all items in it."""
     level = level_of(counts)
-    entries = np.bincount(level, weights=level, minlength=LEVELS + 1)
-    room = n_bits / BITS
-    least = LEVELS
-    while least > 1 and entries[least - 1 :].sum() <= room:
-        least -= 1
-    if entries[1:].sum() <= room:
-        least = 1
     out = np.zeros(n_bits // 8, dtype=np.uint8)
     for j in range(1, LEVELS + 1):
-        held = items[(level >= j) & (level >= least)]
-        for place in places(held, j, n_bits):
+        for place in places(items[level >= j], j, n_bits):
             np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)))
     return out
 
 
-def _packed(items: np.ndarray, counts: np.ndarray, log2_segments: int) -> Iterator[dict]:
-    """Sorted items by segment, as differences in as few bytes as the largest needs."""
-    cuts = np.searchsorted(segment_of(items, log2_segments), np.arange((1 << log2_segments) + 1))
-    for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            steps = np.diff(items[a:b], prepend=np.uint64(0))
-            first, steps = int(steps[0]), steps[1:]
-            kind = "<u4" if not len(steps) or steps.max() < 1 << 32 else "<u8"
-            yield {"segment": s, "first": np.uint64(first).view(np.int64), "wide": kind == "<u8", "steps": steps.astype(kind).tobytes(), "n": int(b - a), "counts": counts[a:b].astype("<u4").tobytes()}
+def segment_levels(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Levels of the different items of a segment, by a filter of those that were counted; its bits follow its entries."""
+    put = counts > 0
+    n_bits = max(64, -(-int(level_of(counts[put]).sum()) * BITS // 64) * 64)
+    return LogFrequencyBloom(segment(items[put], counts[put], n_bits), 0, n_bits).levels(items)
+
+
+def _packed(items: np.ndarray) -> bytes:
+    """Sorted items as the byte planes of their differences: the upper planes are zeros and compress."""
+    return np.diff(items, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    items = [np.cumsum(np.concatenate([[np.int64(f).view(np.uint64)], np.frombuffer(s, dtype="<u8" if w else "<u4").astype(np.uint64)]), dtype=np.uint64) for f, w, s in zip(frame["first"], frame["wide"], frame["steps"], strict=True)]
-    return np.concatenate(items), np.concatenate([np.frombuffer(c, dtype="<u4") for c in frame["counts"]]).astype(np.int64)
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _summed(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,44 +157,6 @@ def _summed(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return items[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def build_filter(texts: DataFrame, n_tokens: int, max_bytes: int = MAX_BYTES) -> LogFrequencyBloom:
-    """The filter of the words and pairs of a column `text`, of max_bytes at most."""
-    entries = max(2 * n_tokens, 1)
-    log2_segments = min(16, max(0, (entries >> 20).bit_length()))
-    n_bytes = min(max_bytes, max(1 << 12, entries * BITS // 8))
-    segment_bits = max(64, n_bytes * 8 >> log2_segments) // 64 * 64
-    schema = "segment int, first long, wide boolean, steps binary, n int, counts binary"
-    arrow = pa.schema([("segment", pa.int32()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("n", pa.int32()), ("counts", pa.binary())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                items, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held.clear()
-                yield pa.RecordBatch.from_pylist(list(_packed(items, n, log2_segments)), schema=arrow)
-
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = Batch.of(whole.column("text").slice(i, 500).to_pylist())
-                words, pairs, _ = batch.hashes()
-                held.append((words, np.bincount(batch.at, minlength=len(words))))
-                held.append(_summed(pairs, np.ones(len(pairs), dtype=np.int64)))
-                if sum(len(x) for x, _ in held) > _FLUSH:
-                    yield from flush()
-        yield from flush()
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": frame["segment"].iloc[:1], "bits": [segment(*_summed(*_unpacked(frame)), segment_bits).tobytes()]})
-
-    made = texts.select("text").mapInArrow(count, schema).groupBy("segment").applyInPandas(build, "segment int, bits binary").toPandas()
-    bits = np.zeros(segment_bits // 8 << log2_segments, dtype=np.uint8)
-    for s, b in zip(made["segment"], made["bits"], strict=True):
-        bits[s * (segment_bits // 8) :][: segment_bits // 8] = np.frombuffer(b, dtype=np.uint8)
-    return LogFrequencyBloom(bits, log2_segments, segment_bits)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """Word (binary; the empty one is the end of a text) and its count n, in a column `text` of all rows."""
 
@@ -226,99 +179,116 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Scorer:
-    def __init__(self, bloom: LogFrequencyBloom, frequent: dict[bytes, int], total: int, quantised: float, n_texts: int) -> None:
-        self.bloom, self.frequent, self.total, self.quantised, self.n_texts = bloom, frequent, total, quantised, n_texts
-
-    def batch(self, texts: list[str | None]) -> tuple[Batch, np.ndarray, np.ndarray]:
-        """The texts' tokens, their counts if frequent (else -1), and the model's log10 probabilities."""
-        batch = Batch.of(texts)
-        words, pairs, before = batch.hashes()
-        counts = np.fromiter((self.frequent.get(w, -1) for w in batch.words), dtype=np.int64, count=len(batch.words))
-        seen = count_of(self.bloom.levels(words))
-        once, where = np.unique(pairs, return_inverse=True)
-        both = count_of(self.bloom.levels(once))[where]
-        context = np.where(before < 0, self.n_texts, seen[before])
-        single = (seen[batch.at] + 1) / self.quantised
-        share = np.minimum(both / np.maximum(context, 1), 1.0)
-        chance = np.where(context > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single)
-        return batch, counts, np.log10(chance)
-
-
-_loaded: dict[str, Scorer] = {}
+def _dealt(texts: pa.Array, log2_segments: int) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A batch, its words' hashes, its tokens' pairs and the tokens before them, its words in order of segments, and a check of all."""
+    batch = Batch.of(texts.to_pylist())
+    words, pairs, before = batch.hashes()
+    order = np.argsort(segment_of(words, log2_segments), kind="stable")
+    check = np.bitwise_xor.reduce(mixed(words[order] + np.arange(len(order), dtype=np.uint64))) ^ np.bitwise_xor.reduce(mixed(pairs + np.arange(len(pairs), dtype=np.uint64)))
+    return batch, words, pairs, before, order, int(check.view(np.int64))
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, n_tokens, n_known, train_tokens, base_score and score.
 
     The model is learned from the rows where training holds. base_score is the exact add-one unigram
     log10 probability, score the filter's. A null text counts as empty: it has its end token only. Repeated
     rows are scored each. Without training rows each token has probability 1 / (V + 1) = 1.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    learned = rows.where("training")
-    counts = stored(word_counts(learned), "word-counts")
     quantised = F.when(F.col("n") < 2, F.col("n").cast("double")).otherwise(1.4 * F.pow(F.lit(2.0), F.floor(F.log2("n"))))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(quantised), F.lit(0.0)).alias("q")).first()
-    texts = counts.where(F.octet_length("word") == 0).first()
-    n, v = sums["n"], sums["v"]
-    n_texts = texts["n"] if texts else 0
-    at_least = max(1, -(-n // FREQUENT))
-    frequent = counts.where(F.col("n") >= at_least).toPandas()
-    bloom = build_filter(learned, n, max_bytes)
-    given = spark.sparkContext.broadcast((bloom, dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True))))
-    key = uuid.uuid4().hex
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = Scorer(*given.value, n + v + 1, sums["q"] + v + 1, n_texts)
-        scorer, part, row = _loaded[key], TaskContext.get().partitionId() << 40, 0
+    zero = lambda c, x: F.coalesce(F.sum(c), F.lit(x))
+    sums = word_counts(rows.where("training")).agg(zero("n", 0).alias("n"), F.count("*").alias("v"), zero(quantised, 0.0).alias("q"), zero(F.when(F.octet_length("word") == 0, F.col("n")), 0).alias("texts")).first()
+    size = rows.agg(zero(F.octet_length("text"), 0) + F.count("*")).first()[0]
+    n, n_texts = sums["n"], sums["texts"]
+    total, flat = n + sums["v"] + 1, sums["q"] + sums["v"] + 1
+    # a token has two bytes at least with the space after it, and sends a word and a pair at most
+    log2_segments = (size >> LOG2_SENT).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId() << 32, 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                some = whole.slice(i, 500)
-                batch, counts, logs = scorer.batch(some.column("text").to_pylist())
-                starts = np.concatenate([[0], batch.ends[:-1]])
-                text = np.repeat(np.arange(len(starts)), batch.ends - starts)
-                own = counts[batch.at]
-                log = np.where(own >= 0, np.log10((np.maximum(own, 0) + 1) / scorer.total), 0.0)
-                rare = own < 0
-                pair, times = np.unique(text[rare] * len(batch.words) + batch.at[rare], return_counts=True)
-                of, word = pair // len(batch.words), pair % len(batch.words)
-                k = len(starts)
-                many = len(pair)
-                per_text = lambda x: np.add.reduceat(x, starts)
-                names = pa.concat_arrays([pa.array([b" %d" % (part + row + t) for t in range(k)], pa.binary()), pa.array(batch.words, pa.binary()).take(pa.array(word))])
-                ids = some.column("id")
-                none = np.zeros(many)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part + row + np.concatenate([np.arange(k), of])),
-                        pa.concat_arrays([ids, pa.nulls(many, ids.type)]),
-                        names,
-                        pa.array(np.concatenate([np.zeros(k, dtype=np.int64), times])),
-                        pa.array(np.concatenate([batch.ends - starts, none.astype(np.int64)])),
-                        pa.array(np.concatenate([per_text((own > 0).astype(np.int64)), none.astype(np.int64)])),
-                        pa.array(np.concatenate([per_text(log), none])),
-                        pa.array(np.concatenate([per_text(logs), none])),
-                    ],
-                    names=["row", "id", "word", "times", "n_tokens", "n_known", "base", "score"],
-                )
-                row += k
+            upto = done + np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            done = int(upto[-1]) if len(upto) else done
+            yield pa.RecordBatch.from_arrays([pa.array(part + upto // BATCH_BYTES), *whole.columns], names=["batch", "id", "text", "training"])
+
+    def ask(table: pa.Table) -> pa.Table:
+        batch, words, pairs, _, order, check = _dealt(table.column("text"), log2_segments)
+        starts = np.concatenate([[0], batch.ends[:-1]])
+        trained = np.repeat(table.column("training").to_numpy(), batch.ends - starts).astype(np.int64)
+        times = np.bincount(batch.at[trained > 0], minlength=len(words))[order]
+        pairs, counts = _summed(pairs, trained)
+        each = np.arange((1 << log2_segments) + 1)
+        cuts, at = np.searchsorted(segment_of(words[order], log2_segments), each), np.searchsorted(segment_of(pairs, log2_segments), each)
+        spans = lambda cuts: zip(cuts.tolist(), cuts[1:].tolist(), strict=False)
+        many = len(each) - 1
+        arrays = [
+            pa.array(each[:-1].astype(np.int32)),
+            pa.array(np.full(many, table.column("batch")[0].as_py())),
+            pa.array(np.full(many, check)),
+            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(batch.words, pa.binary()).take(pa.array(order))),
+            pa.array([times[a:b].astype("<u4").tobytes() for a, b in spans(cuts)], pa.binary()),
+            pa.array([_packed(pairs[a:b]) for a, b in spans(at)], pa.binary()),
+            pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans(at)], pa.binary()),
+        ]
+        return pa.Table.from_arrays(arrays, names=["segment", "batch", "check", "words", "times", "pairs", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        joined = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype="<u4").astype(np.int64)
+        exact = np.bincount(code, weights=joined("times"), minlength=len(words)).astype(np.int64)
+        sent = [_unpacked(x) for x in table.column("pairs").to_pylist()]
+        pairs, which = np.unique(np.concatenate(sent), return_inverse=True)
+        counts = np.bincount(which, weights=joined("counts"), minlength=len(pairs)).astype(np.int64)
+        hashes = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+        level = segment_levels(np.concatenate([hashes, pairs]), np.concatenate([exact, counts])).astype(np.uint8)
+        cuts = lambda sizes: zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)
+        of_words, of_pairs = exact[code], level[len(words) + which]
+        word_sizes, pair_sizes = lists.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x) for x in sent])
+        arrays = [
+            table.column("batch"),
+            table.column("segment"),
+            table.column("check"),
+            pa.array([of_words[a:b].astype("<i8").tobytes() for a, b in cuts(word_sizes)], pa.binary()),
+            pa.array([level[code[a:b]].tobytes() for a, b in cuts(word_sizes)], pa.binary()),
+            pa.array([of_pairs[a:b].tobytes() for a, b in cuts(pair_sizes)], pa.binary()),
+        ]
+        return pa.Table.from_arrays(arrays, names=["batch", "segment", "check", "exact", "words", "pairs"])
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        batch, words, pairs, before, order, check = _dealt(table.column("text"), log2_segments)
+        answers = answers.sort_by("segment")
+        if answers.num_rows != 1 << log2_segments or set(answers.column("check").to_pylist()) != {check}:
+            raise ValueError("the texts came in another order when they were read again")
+        joined = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), dtype=kind)
+        exact, level = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        exact[order], level[order] = joined("exact", "<i8"), joined("words", np.uint8)
+        seen = count_of(level)
+        both = count_of(joined("pairs", np.uint8).astype(np.int64))[np.unique(pairs, return_inverse=True)[1]]
+        context = np.where(before < 0, n_texts, seen[before])
+        single = (seen[batch.at] + 1) / flat
+        share = np.minimum(both / np.maximum(context, 1), 1.0)
+        chance = np.where(context > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single)
+        starts = np.concatenate([[0], batch.ends[:-1]])
+        per_text = lambda x: pa.array(np.add.reduceat(x, starts))
+        arrays = [
+            table.column("id"),
+            pa.array(batch.ends - starts),
+            per_text((exact > 0).astype(np.int64)[batch.at]),
+            pa.array(np.full(len(starts), n)),
+            per_text(np.log10((exact + 1) / total)[batch.at]),
+            per_text(np.log10(chance)),
+        ]
+        return pa.Table.from_arrays(arrays, names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.select("id", "text").mapInArrow(score, f"row long, id {id_type}, word binary, times long, n_tokens long, n_known long, base double, score double")
-    joined = scored.join(counts.where(F.col("n") < at_least).withColumnRenamed("n", "c"), "word", "left")
-    rare = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    return joined.groupBy("row").agg(
-        F.max("id").alias(id_col),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.sum(F.col("base") + F.when(F.col("times") > 0, rare).otherwise(0.0)).alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("row")
+    dealt = rows.mapInArrow(deal, f"batch long, id {id_type}, text string, training boolean")
+    asked = dealt.groupBy("batch").applyInArrow(ask, "segment int, batch long, check long, words array<binary>, times binary, pairs binary, counts binary")
+    answers = asked.groupBy("segment").applyInArrow(answer, "batch long, segment int, check long, exact binary, words binary, pairs binary")
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"{id_col} {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm(spark, sf_dir: str) -> DataFrame:
