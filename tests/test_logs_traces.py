@@ -1,9 +1,12 @@
+import json
 import tempfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels as lb, logs as lg
 from tidewatch.operators import logs as lo, metadata as md, traces as t
+from tidewatch.queries import logs as log_queries, traces as trace_queries
 from tidewatch.streaming.tail import follow, tail
 
 SPAN = "trace_id string, span_id string, parent_id string, name string, service string, kind string, status string, start long, duration long, resource map<string,string>, attributes map<string,string>"
@@ -73,6 +76,50 @@ def test_nested_sets(spark):
     assert found == {"a": (1, 8, -1), "b": (2, 5, 1), "c": (3, 4, 2), "d": (6, 7, 1), "x": (0, 0, 0)}
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_nested_sets_of_all_spans(spark):
+    rows = trace_queries.spans(spark, SMALL).select("trace_id", "span_id", "parent_id", "name").collect()
+    children, want = {}, {}
+    for r in rows:
+        children.setdefault((r.trace_id, r.parent_id), set()).add(r.span_id)
+
+    def walk(trace, span, left, parent):
+        right = left + 1
+        for child in sorted(children.get((trace, span), ())):
+            right = walk(trace, child, right, left) + 1
+        want[trace, span] = (left, right, parent)
+        return right
+
+    for trace in {r.trace_id for r in rows}:
+        begin = 1
+        for root in sorted(children.get((trace, ""), ())):
+            begin = walk(trace, root, begin, -1) + 1
+    found = trace_queries.QUERIES["nested_sets_all"](spark, SMALL).collect()
+    assert len(found) == len(rows) and sum(r.name == "item" for r in rows) > 1000
+    assert {(r.trace_id, r.span_id): (r.nested_left, r.nested_right, r.nested_parent) for r in found} == want
+
+
+def test_compare_of_all_attributes(spark):
+    counts = {}
+    for r in trace_queries.spans(spark, SMALL).collect():
+        fixed = {"name": r.name, "status": r.status, "kind": r.kind, "resource.service.name": r.service}
+        for k, v in {**fixed, **{f"resource.{k}": v for k, v in r.resource.items()}, **{f"span.{k}": v for k, v in r.attributes.items()}}.items():
+            counts.setdefault((r.status == "Error", k), Counter())[v] += 1
+    want = {(*key, v, n) for key, c in counts.items() for v, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:3]}
+    found = {tuple(r) for r in trace_queries.QUERIES["span_compare_all"](spark, SMALL).select("selected", "attribute", "val", "n").collect()}
+    assert found == want and {"span.price", "span.quantity", "span.supplier"} <= {x[1] for x in found}
+
+
+def test_detected_fields_with_parsed_ones(spark):
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").collect()
+    exact = {"event_type": {r.event_type for r in rows}, "user": {r.user_id for r in rows}, "k": {json.loads(r.props)["k"] for r in rows}, "detected_level": {"error", "info"}}
+    found = {r.field: r for r in log_queries.QUERIES["detected_fields_all"](spark, SMALL).collect()}
+    assert {f: r.kind for f, r in found.items()} == {"event_type": "string", "user": "int", "k": "int", "detected_level": "string"}
+    assert all(abs(found[f].cardinality - len(x)) <= max(1, 0.15 * len(x)) for f, x in exact.items())
+
+
 def test_templates(spark):
     rows = logs(spark, *((f"user {i} logged in from host{i}", {"detected_level": "info"}) for i in range(40)))
     assert [(r.template, r.n) for r in md.templates(rows).collect()] == [("user <_> logged in from <_>", 40)]

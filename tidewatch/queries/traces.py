@@ -85,6 +85,8 @@ add("trace_limit", lambda s, d: ids(t.newest_traces(spans(s, d).where("name = 'o
 add("trace_select", lambda s, d: spans(s, d).where(B()).select("trace_id", "span_id", "service", t.number("quantity").alias("quantity"), t.attribute("flag", "resource").alias("flag")), f"select trace_id, span_id, service, quantity, flag from spans where {_B}")
 add("nested_sets", lambda s, d: t.nested_sets(spans(s, d).where("name <> 'item'")), """select trace_id, span_id, case when name = 'customer' then 1 else 2 * row_number() over (partition by trace_id, name order by span_id) end as nested_left,
 case when name = 'customer' then 2 * count(*) over (partition by trace_id) else 2 * row_number() over (partition by trace_id, name order by span_id) + 1 end as nested_right, case when name = 'customer' then -1 else 1 end as nested_parent from spans where name <> 'item'""")
+# all spans, three levels deep: the closed form above knows two, so tests walk the trees
+add("nested_sets_all", lambda s, d: t.nested_sets(spans(s, d)))
 
 _STEP = f"({GRID.start} + ceil((start - {GRID.start}) / {GRID.step}::double) * {GRID.step})::bigint"
 _IN = f"start > {GRID.start - GRID.step} and start <= {GRID.end}"
@@ -102,6 +104,8 @@ for _name, _way in (("topk", {"top": 3}), ("bottomk", {"bottom": 3})):
 add("span_threshold", lambda s, d: t.second_stage(t.metric(spans(s, d), "count_over_time", GRID, by=BY()), ["service"], op=">", value=100), _COUNTS + "select service, ts, value from c where value > 100")
 add("span_compare", lambda s, d: t.compare(spans(s, d).where("name = 'order'").withColumns({"attributes": F.map_filter("attributes", lambda k, _: k == "priority")}), F.col("status") == "Error", 3), """, x as (select status = 'Error' as selected, unnest([{'a': 'name', 'v': name}, {'a': 'status', 'v': status}, {'a': 'kind', 'v': 'Client'}, {'a': 'resource.service.name', 'v': service}, {'a': 'resource.status', 'v': service[8:]}, {'a': 'span.priority', 'v': priority}]) as e from spans where name = 'order')
 select selected, e.a as attribute, e.v as val, count(*) as n from x group by 1, 2, 3 qualify row_number() over (partition by selected, e.a order by count(*) desc, e.v) <= 3""")
+# all spans with all attributes; tests count by hand
+add("span_compare_all", lambda s, d: t.compare(spans(s, d), F.col("status") == "Error", 3))
 add("span_exemplars", lambda s, d: ids(t.exemplars(spans(s, d), GRID, 2)), f"select trace_id, span_id, name from spans where {_IN} qualify row_number() over (partition by {_STEP} order by start, trace_id, span_id) <= 2")
 add("span_tags", lambda s, d: t.tags(spans(s, d)), "select * from (values ('resource', 'segment'), ('resource', 'status'), ('resource', 'flag'), ('span', 'balance'), ('span', 'priority'), ('span', 'price'), ('span', 'quantity'), ('span', 'supplier')) as x(scope, tag)")
 add("span_tag_values", lambda s, d: t.tag_values(spans(s, d), "priority"), "select distinct priority as val from spans where priority is not null")
