@@ -242,6 +242,38 @@ def test_near_docs_against_brute_force(spark):
     assert [found[i].component_id for i in range(len(texts))] == [forest.root(i) for i in range(len(texts))]
 
 
+def test_near_docs_deals_a_large_key_in_blocks(spark):
+    random.seed(6)
+    rows = [(7, 1, i, random.choice([1, 1, 1, 2, i])) for i in range(50)] + [(8, 1, i, i) for i in range(5)] + [(9, 1, i, 3 if i < 40 else i) for i in range(50)]
+    found = near_docs.block_pairs(spark.createDataFrame(rows, "key long, band int, set_id long, component long"), 8).collect()
+    pieces = {}
+    for r in found:
+        pieces.setdefault((r.key, r.block_a, r.block_b), []).append(r)
+    assert all(len(p) <= 16 for p in pieces.values())
+    together = {(k, x.set_id, y.set_id) for (k, a, b), p in pieces.items() for x in p for y in p if x.set_id < y.set_id and (a == b or x.block != y.block)}
+    assert {(k, i, j) for k, _, i, c in rows for h, _, j, d in rows if k == h and i < j and c != d} <= together
+    columns = ["key", "block_a", "block_b", "block", "set_id", "component", "size", "sketch"]
+    near = [{**r.asDict(), "size": 100, "sketch": [0]} for r in found]
+    near.sort(key=lambda r: [r[c] for c in columns[:4]])
+    batches = [__import__("pyarrow").RecordBatch.from_pylist([{c: r[c] for c in columns} for r in near])]
+    got = Counter(frozenset(p) for out in near_docs._unconnected_pairs(None)(iter(batches)) for p in zip(out["set_id"].to_pylist(), out["other"].to_pylist(), strict=True))
+    assert set(got) == {frozenset((i, j)) for k, _, i, c in rows for h, _, j, d in rows if k == h and i < j and c != d}
+
+
+def test_first_pairs_do_not_depend_on_batches():
+    pa = __import__("pyarrow")
+    random.seed(8)
+    rows = sorted((random.randint(0, 12), random.randint(0, 9)) for _ in range(120))
+    table = pa.table({"key": [k for k, _ in rows], "band": pa.array([1] * len(rows), pa.int32()), "set_id": [x for _, x in rows]})
+    want = Counter()
+    for key in {k for k, _ in rows}:
+        sets = sorted({x for k, x in rows if k == key})
+        want.update([(key, x, sets[0]) for x in sets[1:]] + [(key, x, None) for x in sets if len(sets) > 2])
+    for size in (1, 2, 5, 200):
+        out = near_docs._first_pairs(iter(table.to_batches(max_chunksize=size)))
+        assert Counter((r["key"], r["set_id"], r["other"]) for b in out for r in b.to_pylist()) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     v = warc.VERSION
     rows = [(1, "u", "a" + v + "b"), (2, None, "a" + v + "b"), (3, "x\r\ny", None), (4, "z", ""), (5, "q", v), (6, "q", v + v + "\r\n\r\nW" + v), (7, "q", "é" * 500 + "WWARC/1.1\r\n\r\nWARC/1.1\r"), (None, "n", "zz")]

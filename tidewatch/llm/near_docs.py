@@ -11,7 +11,9 @@ passages that many documents share cost little. Documents that share a block's v
 bit sketches, and pairs whose sketches differ in few enough bits are verified on their whole sets.
 
 Only connections matter, so equal sets are one class, a block's documents are compared with the first of
-them, and later only those that are not yet connected are compared with each other.
+them, and later only those that are not yet connected are compared with each other. A key with many sets is
+cut into blocks of sets in the order of their components, and each pair of its blocks is one piece of work, but
+for pairs that lie in one component: no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ CELLS, TOGETHER = 1 << 20, 1 << 12
 SLICE_ROWS = 400
 #: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
 NEAREST = (4, None)
+#: Sets of a key that are compared with each other in one task at most.
+BLOCK = 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -174,21 +179,72 @@ def shingle_table(docs: DataFrame) -> np.ndarray:
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, band, set_id) sorted by key and set: pairs with a key's first set as `other`, and, with a null
-    `other`, the rows of keys with three sets or more."""
-    for table in runs(batches, ["key"]):
-        table = table.combine_chunks()
-        key, band, sets = (table[c].to_numpy() for c in ("key", "band", "set_id"))
+    `other`, the rows of keys with three sets or more. Of a key only its first and its last set are held."""
+    open_key, first_set, last_set, n = None, 0, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, band, sets = (batch.column(c).to_numpy() for c in ("key", "band", "set_id"))
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
+        new[0] = open_key is None or key[0] != open_key or sets[0] != last_set
         key, band, sets = key[new], band[new], sets[new]
+        if not len(key):
+            continue
         starts = bounds([key])
         sizes = np.diff(starts)
-        size, first = np.repeat(sizes, sizes), np.repeat(starts[:-1], sizes)
-        star = np.flatnonzero((size > 1) & (np.arange(len(key)) != first))
-        more = np.flatnonzero(size > 2)
-        both = np.concatenate([star, more])
-        if len(both):
-            yield pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(band[both]), pa.array(sets[both]), pa.concat_arrays([pa.array(sets[first[star]]), pa.nulls(len(more), pa.int64())])], names=["key", "band", "set_id", "other"])
+        rank = np.arange(len(key)) - np.repeat(starts[:-1], sizes)
+        first = np.repeat(sets[starts[:-1]], sizes)
+        before = np.concatenate([[last_set], sets[:-1]]).astype(np.int64)
+        if key[0] == open_key:
+            rank[: sizes[0]] += n
+            first[: sizes[0]] = first_set
+        star, more, third = np.flatnonzero(rank > 0), np.flatnonzero(rank > 1), np.flatnonzero(rank == 2)
+        at = np.concatenate([star, more, third, third])
+        if len(at):
+            own = np.concatenate([sets[star], sets[more], first[third], before[third]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(band[at]), pa.array(own), pa.concat_arrays([pa.array(first[star]), pa.nulls(len(at) - len(star), pa.int64())])], names=["key", "band", "set_id", "other"])
+        open_key, first_set, last_set, n = key[-1], first[-1], sets[-1], int(rank[-1]) + 1
+
+
+def _blocked(size: int):
+    """From rows sorted by key and component: the rows with a block, of so many rows of one key at most."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, n, part, last = None, 0, TaskContext.get().partitionId() << 40, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            starts = bounds([key])
+            sizes = np.diff(starts)
+            place = np.arange(len(key)) - np.repeat(starts[:-1], sizes)
+            if key[0] == open_key:
+                place[: sizes[0]] += n
+            begins = place % size == 0
+            number = last + np.cumsum(begins)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part + number)], names=[*batch.schema.names, "block"])
+            open_key, n, last = key[-1], int(place[-1]) + 1, int(number[-1])
+
+    return block
+
+
+def block_pairs(many: DataFrame, size: int) -> DataFrame:
+    """The rows (key, band, set_id, component) with the pieces of work (block_a, block_b) that each is part of.
+
+    A key of so many rows at most is one piece; a larger one has a piece for each pair of its blocks, and for
+    each block itself, that has more than one component.
+    """
+    sizes = many.groupBy("key").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > size).select("key")
+    small = many.join(large, "key", "left_anti").select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("block_a"), F.lit(0).cast("long").alias("block_b"))
+    ordered = many.join(large, "key", "left_semi").repartitionByRange("key", "component", "set_id").sortWithinPartitions("key", "component", "set_id")
+    rows = stored(ordered.mapInArrow(_blocked(size), "key long, band int, set_id long, component long, block long"), "blocks")
+    blocks = rows.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    a, b = (blocks.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in "ab")
+    work = a.join(b, "key").where((F.col("block_a") <= F.col("block_b")) & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b")))
+    work = work.select("key", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    return small.unionByName(rows.join(work, ["key", "block"]).select(*small.columns))
 
 
 def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -196,22 +252,25 @@ def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _unconnected_pairs(most: int | None):
-    """From rows sorted by key: pairs of a key's sets that are not connected and whose sketches are near; of each
-    set with those after it, the nearest ones, so many at most (all if None)."""
+    """From rows sorted by pieces of work and block: pairs of a piece's sets, of both blocks if it has two, that are
+    not connected and whose sketches are near; of each set with those after it, the nearest ones, so many at most
+    (all if None)."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key"]):
+        for table in runs(batches, ["key", "block_a", "block_b"]):
             table = table.combine_chunks()
-            key, sets, parts, sizes = (table[c].to_numpy() for c in ("key", "set_id", "component", "size"))
+            sets, parts, sizes, block = (table[c].to_numpy() for c in ("set_id", "component", "size", "block"))
             sketches = table.column("sketch").chunk(0)
             flat, offsets = sketches.values.to_numpy(), sketches.offsets.to_numpy()
-            starts = bounds([key])
+            starts = bounds([table[c].to_numpy() for c in ("key", "block_a", "block_b")])
             for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
                 if b - a < 2 or (parts[a:b] == parts[a]).all():
                     continue
                 own = flat[offsets[a] : offsets[b]].reshape(b - a, -1).view(np.uint64)
-                for x in range(b - a - 1):
-                    y = x + 1 + np.flatnonzero((parts[a + x + 1 : b] != parts[a + x]) & _close(sizes[a + x + 1 : b], sizes[a + x]))
+                second = int(np.searchsorted(block[a:b], block[b - 1]))  # 0 if the piece has one block
+                for x in range(second or b - a - 1):
+                    f = max(second, x + 1)
+                    y = f + np.flatnonzero((parts[a + f : b] != parts[a + x]) & _close(sizes[a + f : b], sizes[a + x]))
                     if not len(y):
                         continue
                     apart = np.bitwise_count(own[y] ^ own[x]).sum(axis=1)
@@ -309,7 +368,8 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     for most in NEAREST:
         if many.isEmpty():
             break
-        dealt = many.join(sketches, ["set_id", "band"]).select("key", "set_id", "component", "size", "sketch").repartition("key").sortWithinPartitions("key")
+        work = block_pairs(many, BLOCK).join(sketches, ["set_id", "band"]).select("key", "block_a", "block_b", "block", "set_id", "component", "size", "sketch")
+        dealt = work.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b", "block")
         found = dealt.mapInArrow(_unconnected_pairs(most), "set_id long, other long")
         found = found.select(F.least("set_id", "other").alias("set_id"), F.greatest("set_id", "other").alias("other")).distinct()
         new = stored(linked(stored(found, "pairs"), own), "edges")
