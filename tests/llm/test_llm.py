@@ -110,6 +110,51 @@ def test_line_dedup_against_brute_force(spark):
         assert rows[i].clean_text == "\n".join(x for n, x in enumerate((text or "").split("\n")) if n not in set(removed))
 
 
+def expected_lines(rows):
+    """Removed line numbers of (id, text) rows, by comparing every line with all lines before it."""
+    seen, out = [], {}
+    for i, text in sorted(rows):
+        removed = []
+        for n, line in enumerate((text or "").split("\n")):
+            words = set(line.lower().split())
+            if words:
+                if any(10 * len(words & s) >= 8 * len(words | s) for s in seen):
+                    removed.append(n)
+                seen.append(words)
+        out[i] = removed
+    return out
+
+
+def test_line_dedup_of_long_lines_hot_words_and_second_round(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    monkeypatch.setattr(line_dedup, "PAIRS", 64)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    random.seed(11)
+    lines = []
+    for size in (70, 130, 300, 30):
+        for _ in range(6):
+            words = [f"w{random.randint(0, 900)}" for _ in range(size)]
+            for _ in range(5):
+                other = list(words)
+                for _ in range(random.randint(0, size // 6)):
+                    other[random.randrange(size)] = f"w{random.randint(0, 900)}"
+                lines.append(" ".join(other))
+    lines += [f"rare the of and {a} {b} {c}" for a in "abc" for b in "def" for c in "ghijk"]  # all share all their rarest words
+    random.shuffle(lines)
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(-(-len(lines) // 4))]
+    table = spark.createDataFrame([(i, t, "a", 1.0, "b") for i, t in rows], "doc_id long, text string, doc string, version double, word string")
+    found = line_dedup.dedup_lines(table)
+    assert found.columns == ["doc_id", "text", "doc", "version", "word", "clean_text", "n_lines", "removed"]
+    want = expected_lines(rows)
+    assert {r.doc_id: r.removed for r in found.collect()} == want and sum(map(len, want.values())) > 20
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c d\nx"), (1, "a b c d\nx"), (2, "a b c d"), (None, "a b c d"), (3, None), (3, None), (4, "x " * 30_000 + "\nX")]
+    found = [(r.doc_id, r.clean_text, r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted([(1, "a b c d\nx", [])] * 2 + [(2, "", [0]), (None, "a b c d", []), (3, "", []), (3, "", []), (4, "", [0, 1])], key=str)
+
+
 def test_packing_against_linear_search():
     random.seed(2)
     for _ in range(200):

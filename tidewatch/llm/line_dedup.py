@@ -1,15 +1,16 @@
 """Removing lines that nearly repeat an earlier line: an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity, from a table of word counts of fixed size
-(words that share a cell count as equally rare; any order gives right results). Two sets with a Jaccard
-similarity of t or more share a word among the first n - ceil(t * n) + 1 of each: these prefixes are dealt
-by word, and a word's lines are compared under the length and the positional filter and by a sketch of 64
-bits, whose Hamming distance never exceeds the sets' symmetric difference. Candidates are verified on their
-whole sets. A line goes if it matches any line that stands earlier, in the order of document ids and line
-numbers; equal sets match, so of a set's lines only the first can stay.
-
-Of the earlier lines that a line may match under a word, the first few are verified; a line that has more,
-and that these did not decide, is compared with all of them afterwards.
+A line is the set of its words. Words are ordered by rarity, from a table of word counts of fixed size, kept
+as levels of a sixth of an octave (words of one level tie; any common order gives right results). Two sets
+with a Jaccard similarity of t or more share a word among the first n - ceil(t * n) + 1 of each: these prefixes
+are dealt by word, and a word's lines are compared under the length and the positional filter, then by parity
+sketches that are as wide as the lines are long and whose Hamming distance never exceeds the sets' symmetric
+difference. Candidates are verified on their whole sets. A line goes if it matches any line that stands earlier,
+in the order of document ids and line numbers; equal sets match, so of a set's lines only the first can stay.
+
+Of the earlier lines that a line may match, the nearest by sketch are verified; a line that has more, and that
+these did not decide, is compared with all of them afterwards. A word in very many prefixes is cut into blocks
+of lines by hash, and each pair of its blocks is dealt by itself.
 """
 
 from __future__ import annotations
@@ -24,27 +25,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, filter_words, likely_members, members, only_members, probed, stored
+from .common import attach, filter_words, likely_members, members, mixed, only_members, probed, stored
 from .components import bounds, runs
 
 THRESHOLD = 0.8
-#: Cells of the table of word counts, and cells that are sent together.
-CELLS, TOGETHER = 1 << 22, 1 << 16
-#: Earlier lines of a word that a line is verified against at first.
-FEW = 3
-SLICE_ROWS = 500
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Cells of the table of word counts, cells that are packed together, and levels to an octave of counts.
+CELLS, TOGETHER, OCTAVE = 1 << 23, 1 << 16, 6
+#: Earlier lines that a line is verified against at first.
+FEW = 2
+#: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
+BLOCK, HOT_WORDS = 2048, 10_000
+#: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
+WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 20, 500
 
 
 class Lines:
     """The non-blank lines of some texts as sets of words, each set ordered by rarity."""
 
-    def __init__(self, texts: list[str], counts: np.ndarray) -> None:
+    def __init__(self, texts: list[str], levels: np.ndarray) -> None:
         number: dict[bytes, int] = {}
         at, sizes, text_of, line_of = [], [], [], []
         put = number.setdefault
@@ -58,23 +56,61 @@ class Lines:
                     line_of.append(n)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
         self.text, self.line = np.array(text_of, dtype=np.int64), np.array(line_of, dtype=np.int32)
-        order = np.lexsort([hashes, counts[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]])
+        level = levels[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+        order = np.lexsort([hashes, level])
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         many = max(len(order), 1)
         line = np.repeat(np.arange(len(sizes)), sizes)
         pairs = np.sort(line * many + rank[np.array(at, dtype=np.int64)])
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-        of = pairs // many
-        self.words = hashes[order][pairs % many]
+        of, rank = pairs // many, pairs % many
+        self.words, self.levels, self.of = hashes[order][rank], level[order][rank], of
         self.starts = np.searchsorted(of, np.arange(len(sizes)))
         self.sizes = np.diff(np.append(self.starts, len(of)))
-        self.set_id = self.sketch = np.zeros(0, dtype=np.int64)
+        self.spread = mixed(hashes)[order][rank]
+        self.set_id = self.check = np.zeros(0, dtype=np.int64)
         if len(sizes):
-            spread = _mixed(self.words)
-            both = np.add.reduceat(spread, self.starts) ^ (np.bitwise_xor.reduceat(_mixed(spread), self.starts) * np.uint64(3))
-            self.set_id = _mixed(both + self.sizes.astype(np.uint64)).view(np.int64)
-            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), self.starts).view(np.int64)
+            total, parity = np.add.reduceat(self.spread, self.starts), np.bitwise_xor.reduceat(mixed(self.spread), self.starts)
+            own = self.sizes.astype(np.uint64)
+            self.set_id = mixed(total ^ mixed(parity + own)).view(np.int64)
+            self.check = mixed(parity ^ mixed(total + own * np.uint64(3))).view(np.int64)
+
+    def firsts(self, doc: np.ndarray) -> np.ndarray:
+        """The first line of each set, by document id and line number."""
+        order = np.lexsort([self.line, doc])
+        return order[np.unique(self.set_id[order], return_index=True)[1]]
+
+    def prefixes(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows' prefixes without words that stand once in all texts: row, place in the row's set, place in words."""
+        sizes = self.sizes[rows]
+        length = (sizes - np.ceil(threshold * sizes - 1e-9) + 1).astype(np.int64)
+        row = np.repeat(rows, length)
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        item = self.starts[row] + place
+        shared = self.levels[item] > 1
+        return row[shared], place[shared], item[shared]
+
+    def sketches(self) -> tuple[np.ndarray, list[bytes]]:
+        """Each line's sketch in 64 bits, and in its full width where that is more (else empty)."""
+        wide = widths(self.sizes)
+        starts = np.cumsum(wide) - wide
+        bit = (self.spread & (wide[self.of].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+        out = np.zeros(int(wide.sum()), dtype=np.uint64)
+        np.bitwise_xor.at(out, starts[self.of] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        raw = out.tobytes()
+        full = [raw[8 * a : 8 * (a + w)] if w > 1 else b"" for a, w in zip(starts.tolist(), wide.tolist(), strict=True)]
+        return np.bitwise_xor.reduceat(out, starts) if len(starts) else out, full
+
+
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketches of sets of these sizes: powers of two, about a bit for a member."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), WIDEST)
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches as narrower ones: a member's bit in a sketch is its hash modulo the width."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,136 +119,242 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(i, SLICE_ROWS)
 
 
-def word_table(docs: DataFrame) -> np.ndarray:
-    """Counts of the words of column `text`, by cell, up to 65,535."""
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How often the words of each cell stand in column `text`, as levels: 0 never, 1 once, then sixths of octaves.
+
+    Tasks send sparse counts, which Spark sums before and after the shuffle; the levels are packed by groups of
+    a fixed number of cells, so what a task holds and the 8 MB that reach the driver don't depend on the input.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, dtype=np.int32)
+        words: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+            cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int32), return_inverse=True)
+            counts = np.bincount(at, weights=np.fromiter(words.values(), dtype=np.int64, count=len(words)), minlength=len(cells)).astype(np.int64)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
+
         for batch in _batches(batches):
-            words: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 words.update(text.encode("utf-8", "replace").lower().split())
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-            np.add.at(seen, (hashes & np.uint64(CELLS - 1)).astype(np.int64), np.fromiter(words.values(), dtype=np.int32, count=len(words)))
-        for k, part in enumerate(seen.reshape(-1, TOGETHER)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "counts"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(sum(np.frombuffer(c, dtype=np.int32).astype(np.int64) for c in frame["counts"]), 65535).astype(np.uint16).tobytes()]})
-
-    made = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toPandas()
-    out = np.zeros(CELLS, dtype=np.uint16)
-    for part, counts in zip(made["part"], made["counts"], strict=True):
-        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(counts, dtype=np.uint16)
+            if len(words) > 500_000:
+                yield flush()
+        if words:
+            yield flush()
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(TOGETHER, dtype=np.uint8)
+        out[frame["cell"].to_numpy() % TOGETHER] = np.minimum(1 + np.floor(OCTAVE * np.log2(frame["n"].to_numpy())), 255).astype(np.uint8)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [out.tobytes()]})
+
+    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    made = counts.withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int")).groupBy("part").applyInPandas(pack, "part int, levels binary").toPandas()
+    out = np.zeros(CELLS, dtype=np.uint8)
+    for part, levels in zip(made["part"], made["levels"], strict=True):
+        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(levels, dtype=np.uint8)
     return out
 
 
-def _similar_sizes(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray, threshold: float) -> np.ndarray:
-    """Length and positional filter for sets of n and m words that share the words at these places."""
-    small, large = np.minimum(n, m), np.maximum(n, m)
+def _may_match(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray, threshold: float) -> np.ndarray:
+    """Positional filter for sets of n and m words that share the words at these places."""
     need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    return (small >= threshold * large - 1e-9) & (1 + np.minimum(n - 1 - at_n, m - 1 - at_m) >= need)
+    return 1 + np.minimum(n - 1 - at_n, m - 1 - at_m) >= need
+
+
+def _nearest(late: np.ndarray, early: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest so many pairs of each late line, and whether the line has more."""
+    order = np.lexsort([early, apart, late])
+    starts = bounds([late[order]])
+    sizes = np.diff(starts)
+    rank = np.arange(len(order)) - np.repeat(starts[:-1], sizes)
+    return order[rank < most], np.repeat(sizes > most, sizes)[rank < most]
 
 
 def _pairs(threshold: float, most: int | None):
-    """From postings sorted by word and position: pairs (early, late) that may be similar, for each undecided late
-    set with the first ones under a word, so many at most; early is null where there may be more."""
+    """From postings sorted by key and size: pairs of an early and a late set that may be similar, with the bits
+    that their sketches are apart; of each late set under a key the nearest so many (all if None)."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["word"]):
+        for table in runs(batches, ["key"]):
             table = table.combine_chunks()
-            word, sets, sketch, size, place, open_ = (table[c].to_numpy(zero_copy_only=False) for c in ("word", "set_id", "sketch", "size", "place", "undecided"))
-            run = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))
-            order = np.lexsort([np.arange(len(run)), sets, run])
-            new = np.ones(len(run), dtype=bool)
-            new[1:] = (run[order][1:] != run[order][:-1]) | (sets[order][1:] != sets[order][:-1])
-            keep = np.sort(order[new])  # the first posting of each set under a word
-            run, sets, sketch, size, place, open_ = run[keep], sets[keep], sketch[keep].view(np.uint64), size[keep], place[keep], open_[keep]
-            start = bounds([run])
-            start = np.repeat(start[:-1], np.diff(start))
-            waiting = np.flatnonzero((np.arange(len(run)) > start) & open_)
-            taken = np.zeros(len(run), dtype=np.int64)
-            early, late, more = [], [], []
-            step = 0
-            while len(waiting):
-                x = start[waiting] + step
-                ok = _similar_sizes(size[x], size[waiting], place[x], place[waiting], threshold)
-                x, y = x[ok], waiting[ok]
-                ok = np.bitwise_count(sketch[x] ^ sketch[y]) * (1 + threshold) <= (size[x] + size[y]) * (1 - threshold) + 1e-9
+            key, doc, line, sets, about, sketch = (table[c].to_numpy(zero_copy_only=False) for c in ("key", "doc", "line", "set_id", "about", "sketch"))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            run = np.cumsum(new) - 1
+            order = np.lexsort([line, doc, sets, run])
+            first = np.ones(len(run), dtype=bool)
+            first[1:] = (run[order][1:] != run[order][:-1]) | (sets[order][1:] != sets[order][:-1])
+            kept = np.sort(order[first])  # the first posting of each set under a key, still by size
+            run, doc, line, sets, about, sketch = run[kept], doc[kept], line[kept], sets[kept], about[kept], sketch[kept].view(np.uint64)
+            size, place, part, open_ = about >> 34, about >> 3 & 0x7FFFFFFF, about >> 1 & 3, about & 1 == 1
+            wide = widths(size)
+            full = table["wide"].chunk(0) if table["wide"].num_chunks else pa.array([], pa.binary())
+            at = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist() if w > 1}
+            of = {w: np.frombuffer(b"".join(full.take(pa.array(kept[i])).to_pylist()), dtype=np.uint64).reshape(len(i), w) for w, i in at.items()}
+            number = np.zeros(len(run), dtype=np.int64)
+            for i in at.values():
+                number[i] = np.arange(len(i))
+            big = int(size.max(initial=0)) + 2
+            low = np.searchsorted(run * big + size, run * big + np.ceil(threshold * size - 1e-9).astype(np.int64))
+            many = np.arange(len(run)) - low
+            ends = np.cumsum(many)
+            found: list[np.ndarray] = []
+            held, start = 0, 0
+
+            def narrowed(found: list[np.ndarray]) -> list[np.ndarray]:
+                whole = np.concatenate(found, axis=1) if found else np.zeros((4, 0), dtype=np.int64)
+                if not most or not whole.shape[1]:
+                    return [whole]
+                take, more = _nearest(*whole[:3], most)
+                out = whole[:, take]
+                out[3] |= more
+                # a line that had more once has more for good
+                again = np.isin(out[0], whole[0][whole[3] == 1])
+                out[3] |= again
+                return [out]
+
+            while start < len(run):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+                y = np.repeat(np.arange(start, stop), many[start:stop])
+                x = np.arange(len(y)) - np.repeat(np.cumsum(many[start:stop]) - many[start:stop], many[start:stop]) + np.repeat(low[start:stop], many[start:stop])
+                start = stop
+                ok = _may_match(size[x], size[y], place[x], place[y], threshold) & ((part[x] != part[y]) | (part[x] == 0)) & (open_[x] | open_[y])
                 x, y = x[ok], y[ok]
-                early.append(sets[x])
-                late.append(sets[y])
-                taken[y] += 1
-                step += 1
-                waiting = waiting[waiting > start[waiting] + step]
-                if most:
-                    full = taken[waiting] >= most
-                    more.append(sets[waiting[full]])
-                    waiting = waiting[~full]
-            early, late, more = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (early, late, more))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(early), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate([late, more]))], names=["early", "late"])
+                limit = np.floor((size[x] + size[y]) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64)
+                ok = apart <= limit
+                x, y, limit, apart = x[ok], y[ok], limit[ok], apart[ok]
+                for w in at:
+                    here = np.flatnonzero((np.minimum(wide[x], wide[y]) == w))
+                    if not len(here):
+                        continue
+                    sides = []
+                    for z in (x[here], y[here]):
+                        bits = np.empty((len(z), w), dtype=np.uint64)
+                        for v in at:
+                            own = wide[z] == v
+                            if v >= w and own.any():
+                                bits[own] = folded(of[v][number[z[own]]], w)
+                        sides.append(bits)
+                    apart[here] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+                ok = apart <= limit
+                x, y, apart = x[ok], y[ok], apart[ok]
+                later = (doc[y] > doc[x]) | ((doc[y] == doc[x]) & ((line[y] > line[x]) | ((line[y] == line[x]) & (sets[y] > sets[x]))))
+                late, early = np.where(later, y, x), np.where(later, x, y)
+                ok = open_[late]
+                found.append(np.stack([late[ok], early[ok], apart[ok], np.zeros(ok.sum(), dtype=np.int64)]))
+                held += int(ok.sum())
+                if held > 2 * PAIRS:
+                    if most:
+                        found = narrowed(found)
+                        held = found[0].shape[1] if found[0].shape[1] < PAIRS else 0
+                    else:
+                        yield _found(np.concatenate(found, axis=1), sets, doc)
+                        found, held = [], 0
+            yield _found(narrowed(found)[0], sets, doc)
 
     return pair
 
 
+def _found(pairs: np.ndarray, sets: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    late, early, apart, more = pairs
+    arrays = [pa.array(x) for x in (sets[late], doc[late], sets[early], doc[early], apart.astype(np.int32), more.astype(bool))]
+    return pa.RecordBatch.from_arrays(arrays, names=["late", "late_doc", "early", "early_doc", "apart", "more"])
+
+
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc, version, removed): the sorted numbers of the lines that go, for each document (long `doc`, its
     text's hash `version`, `text`) that has any."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(word_table(docs))
+    levels = spark.sparkContext.broadcast(word_levels(docs))
+    often = int(1 + OCTAVE * np.log2(BLOCK))  # a word in so many prefixes stands at least so often
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), counts.value)
+            found = Lines(batch.column("text").to_pylist(), levels.value)
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc", "version"))
-            # equal sets of a batch are dealt once, from their first line
-            order = np.lexsort([found.line, doc])
-            dealt = np.zeros(len(doc), dtype=bool)
-            dealt[order[np.unique(found.set_id[order], return_index=True)[1]]] = True
-            prefix = np.where(dealt, (found.sizes - np.ceil(threshold * found.sizes - 1e-9) + 1).astype(np.int64), 0)
-            starts = np.cumsum(prefix) - prefix
-            item = np.arange(prefix.sum()) + np.repeat(found.starts[: len(prefix)] - starts, prefix)
-            words = pa.ListArray.from_arrays(pa.array(np.append(starts, prefix.sum()).astype(np.int32)), pa.array(found.words[item].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.sketch, found.sizes.astype(np.int32))), words], names=["doc", "version", "line", "set_id", "sketch", "size", "prefix"])
+            row, _, item = found.prefixes(found.firsts(doc), threshold)
+            frequent = found.levels[item] >= often
+            row, item = row[frequent], item[frequent]
+            order = np.argsort(row, kind="stable")
+            offsets = np.searchsorted(row[order], np.arange(len(doc) + 1)).astype(np.int32)
+            hot = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words[item[order]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.check)), hot], names=["doc", "version", "line", "set_id", "check", "hot"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), counts.value)
+            found = Lines(batch.column("text").to_pylist(), levels.value)
             offsets = np.append(found.starts, len(found.words)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(found.set_id), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words.view(np.int64)))], names=["set_id", "words"])
 
-    all_lines = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, sketch long, size int, prefix array<long>"), "lines")
-    places = all_lines.groupBy("set_id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    def prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches):
+            found = Lines(batch.column("text").to_pylist(), levels.value)
+            row, _, item = found.prefixes(np.arange(len(found.sizes)), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(found.set_id[row]), pa.array(found.words[item].view(np.int64))], names=["set_id", "word"])
+
+    all_lines = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, hot array<long>"), "lines")
+    places = all_lines.groupBy("set_id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     places = stored(places, "places")
+    hot = all_lines.select(F.explode("hot").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas()
+    cut = spark.sparkContext.broadcast((np.sort(hot["word"].to_numpy(dtype=np.int64)), -(-hot.sort_values("word")["n"].to_numpy(dtype=np.int64) // BLOCK)))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words, hot_blocks = cut.value
+        for batch in _batches(batches):
+            found = Lines(batch.column("text").to_pylist(), levels.value)
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.text]
+            row, place, item = found.prefixes(found.firsts(doc), threshold)
+            word = found.words[item].view(np.int64)
+            low = high = part = np.zeros(len(row), dtype=np.int64)
+            if len(hot_words) and len(word):
+                near = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
+                blocks = np.where(hot_words[near] == word, hot_blocks[near], 1)
+                block = (mixed(found.set_id[row].view(np.uint64) + np.uint64(11)) % blocks.astype(np.uint64)).astype(np.int64)
+                each = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                row, place, word, block = row[each], place[each], word[each], block[each]
+                low, high = np.minimum(block, other), np.maximum(block, other)
+                part = np.where(low == high, 0, np.where(block == low, 1, 2))
+            key = np.where(high > 0, mixed(word.view(np.uint64) ^ mixed((low * (1 << 24) + high).astype(np.uint64) + np.uint64(1))).view(np.int64), word)
+            about = found.sizes[row] << 34 | place << 3 | part << 1 | 1
+            sketch, wide = found.sketches()
+            arrays = [*(pa.array(v) for v in (key, word, doc[row], found.line[row], found.set_id[row], about, sketch.view(np.int64)[row])), pa.array(wide, pa.binary()).take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "doc", "line", "set_id", "about", "sketch", "wide"])
 
     def matches(pairs: DataFrame) -> DataFrame:
-        """The late sets of the pairs that are similar indeed."""
-        pairs = stored(pairs.distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
-        wanted = stored(places.join(ids, "set_id", "left_semi").select("set_id", F.col("first.doc").alias("doc")), "wanted")
+        """The late sets of the stored pairs that are similar indeed."""
+        ends = pairs.select(F.col("late").alias("set_id"), F.col("late_doc").alias("doc")).unionByName(pairs.select(F.col("early").alias("set_id"), F.col("early_doc").alias("doc")))
+        wanted = stored(ends.groupBy("set_id").agg(F.min("doc").alias("doc")), "wanted")
         n = wanted.count()
         own = likely_members(docs, "doc", wanted.select("doc"), n).select("text").mapInArrow(sets, "set_id long, words array<long>")
         own = stored(only_members(own, "set_id", wanted.select("set_id"), n).dropDuplicates(["set_id"]), "sets")
         side = lambda name: own.select(F.col("set_id").alias(name), F.col("words").alias(f"{name}_words"))
-        both = pairs.join(side("early"), "early").join(side("late"), "late")
+        both = pairs.select("early", "late").join(side("early"), "early").join(side("late"), "late")
         shared = F.size(F.array_intersect("early_words", "late_words"))
         return both.where(shared * (1 + threshold) >= threshold * (F.size("early_words") + F.size("late_words")) - 1e-9).select(F.col("late").alias("set_id")).distinct()
 
-    postings = all_lines.select("doc", "line", "set_id", "sketch", "size", F.posexplode("prefix").alias("place", "word"))
-    columns = ["word", "doc", "line", "set_id", "sketch", "size", "place", "undecided"]
-    deal = lambda df: df.select(columns).repartition("word").sortWithinPartitions("word", "doc", "line")
-    found = stored(deal(postings.withColumn("undecided", F.lit(True))).mapInArrow(_pairs(threshold, FEW), "early long, late long"), "candidates")
-    late = stored(matches(found.where("early is not null")), "late")
-    rest = stored(found.where("early is null").select(F.col("late").alias("set_id")).distinct().join(late, "set_id", "left_anti"), "undecided")
+    posted = docs.select("doc", "text").mapInArrow(postings, "key long, word long, doc long, line int, set_id long, about long, sketch long, wide binary")
+    columns = ["key", "doc", "line", "set_id", "about", "sketch", "wide"]
+    deal = lambda df: df.select(columns).repartition("key").sortWithinPartitions("key", "about")
+    schema = "late long, late_doc long, early long, early_doc long, apart int, more boolean"
+    nearest = F.array_sort(F.collect_set(F.struct("apart", "early", "early_doc")))
+    found = deal(posted).mapInArrow(_pairs(threshold, FEW), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("more").alias("more"))
+    found = stored(found.select("late", "late_doc", F.slice("near", 1, FEW).alias("near"), (F.col("more") | (F.size("near") > FEW)).alias("more")), "candidates")
+    late = stored(matches(stored(found.select("late", "late_doc", F.explode("near").alias("e")).select("late", "late_doc", "e.early", "e.early_doc"), "pairs")), "late")
+    rest = stored(found.where("more").select(F.col("late").alias("set_id"), F.col("late_doc").alias("doc")).join(late, "set_id", "left_anti"), "undecided")
     n = rest.count()
     if n:
-        words = stored(only_members(postings, "set_id", rest, n).select("word").distinct(), "words")
-        again = only_members(postings, "word", words, words.count())
-        again = again.join(rest.withColumn("undecided", F.lit(True)), "set_id", "left").withColumn("undecided", F.coalesce("undecided", F.lit(False)))
-        late = late.unionByName(matches(deal(again).mapInArrow(_pairs(threshold, None), "early long, late long"))).distinct()
-    facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left")
-    slim = all_lines.select("doc", "version", "line", "set_id")
-    judged = attach(slim, stored(facts, "facts"), "set_id", "n", all_lines.count())
+        words = likely_members(docs, "doc", rest.select("doc"), n).select("text").mapInArrow(prefix_words, "set_id long, word long")
+        words = stored(only_members(words, "set_id", rest.select("set_id"), n).select("word").distinct(), "words")
+        again = only_members(posted, "word", words, words.count()).join(rest.select("set_id", F.lit(True).alias("open")), "set_id", "left")
+        again = again.withColumn("about", F.when(F.col("open"), F.col("about")).otherwise(F.col("about") - 1))
+        more = deal(again).mapInArrow(_pairs(threshold, None), schema).select("late", "late_doc", "early", "early_doc").dropDuplicates(["late", "early"])
+        late = late.unionByName(matches(stored(more, "pairs"))).distinct()
+    facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left").withColumn("both", F.struct("set_id", "check")).drop("set_id", "check")
+    slim = all_lines.select("doc", "version", "line", F.struct("set_id", "check").alias("both"))
+    judged = attach(slim, stored(facts, "facts"), "both", "n", all_lines.count())
     gone = F.coalesce("late", F.lit(False)) | (F.struct("doc", "line") != F.col("first"))
     return judged.where(gone).groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
@@ -221,32 +363,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with clean_text, n_lines and removed (numbers of the lines taken out, from 0).
 
     Blank lines stay and match nothing. A null text counts as empty; rows with a null id stay as they are and
-    take part in nothing; rows repeated with the same id are one document. Sets of words are told apart by
-    64 bits. Columns of the result's names are replaced.
+    take part in nothing. Rows repeated with the same id and text are one document and lose the same lines; of
+    rows with the same id and different texts, lines of one number stand in the order of a hash. Of ties, the
+    smallest id and line number stays. Texts are read whole, however long; a line may have any number of words.
+    An empty table gives an empty result. Sets of words are told apart by 128 bits. Columns of docs that have
+    the names of the result's are replaced, all others stay, whatever their names.
     """
     names = ["clean_text", "n_lines", "removed"]
     keep = [c for c in docs.columns if c not in names]
-    rows = docs.select(*keep).withColumns({"tw_text": F.coalesce(F.col(text_col), F.lit("")), "doc": F.col(id_col).cast("long")}).withColumn("version", F.xxhash64("tw_text"))
+    rows = docs.select(F.struct(*keep).alias("tw_row"), F.coalesce(F.col(text_col), F.lit("")).alias("tw_text"), F.col(id_col).cast("long").alias("doc")).withColumn("version", F.xxhash64("tw_text"))
     told = stored(repeated_lines(rows.where("doc is not null").select("doc", "version", F.col("tw_text").alias("text")), threshold), "removed")
     keyed = lambda df: df.withColumn("tw_h", F.xxhash64("doc", "version"))
     words = filter_words(told.count())
     tried = probed(keyed(rows), "tw_h", members(keyed(told), "tw_h", words), words).drop("tw_h")
-    same = tried.where(~F.col("tw_maybe") | F.col("doc").isNull()).withColumn("removed", F.lit(None).cast("array<int>"))
-    maybe = tried.where(F.col("tw_maybe") & F.col("doc").isNotNull()).join(told, ["doc", "version"], "left")
-    both = same.unionByName(maybe.select(*same.columns))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for text, removed in zip(batch.column("tw_text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                lines = text.split("\n")
-                counts.append(len(lines))
-                out = set(removed or ())
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array([r or [] for r in batch.column("removed").to_pylist()], pa.list_(pa.int32()))], names=[*keep, *names])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return both.select(*keep, "tw_text", "removed").mapInArrow(clean, f"{kinds}, clean_text string, n_lines int, removed array<int>")
+
+    @F.pandas_udf("string")
+    def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, removed, strict=True):
+            gone = set() if gone is None else set(gone.tolist())
+            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+        return pd.Series(out)
+
+    none = F.lit(None).cast("array<int>")
+    same = tried.where(~F.col("tw_maybe") | F.col("doc").isNull()).select("tw_row", "tw_text", none.alias("removed"), F.col("tw_text").alias("clean_text"))
+    maybe = tried.where(F.col("tw_maybe") & F.col("doc").isNotNull()).join(told, ["doc", "version"], "left").select("tw_row", "tw_text", "removed", without_lines("tw_text", "removed").alias("clean_text"))
+    n_lines = F.regexp_count("tw_text", F.lit("\n")) + 1
+    return same.unionByName(maybe).select("tw_row.*", "clean_text", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

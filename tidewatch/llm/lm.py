@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mixed
+
 #: Bits for each entry, probes for each entry, levels at most.
 BITS, PROBES, LEVELS = 12, 3, 40
 #: Bytes of text in a batch, log2 of the n-grams, as they are sent, that a segment gets at most.
@@ -41,13 +43,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser of hashes."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) + word * np.uint64(3))
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, likely_members, only_members, stored
+from .common import attach, likely_members, mixed, only_members, stored
 from .components import bounds, components, runs
 
 WORDS = 5
@@ -43,12 +43,6 @@ NEAREST = (4, None)
 BLOCK = 4096
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _apart(total: int) -> int:
     """Most members of the symmetric difference of two similar sets with so many members together."""
     return total * (WHOLE - PART) // (WHOLE + PART)
