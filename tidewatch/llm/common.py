@@ -65,13 +65,26 @@ def members(keys: DataFrame, hashed: str, log2_words: int) -> DataFrame:
     return keys.select(*filter_cell(hashed, log2_words)).groupBy("tw_word").agg(F.bit_or("tw_mask").alias("tw_bits"))
 
 
-def repeats(hashes: DataFrame, hashed: str, log2_words: int) -> DataFrame:
-    """Blocked Bloom filter of the hashes that may occur more than once.
+def repeats(hashes: DataFrame, hashed: str) -> tuple[DataFrame, int]:
+    """Blocked Bloom filter of the 64-bit hashes that may occur more than once, and log2 of its words.
 
-    The cells that hashes take are counted, combined before the shuffle; those taken twice or more are kept.
+    The cells of 48 bits that hashes take are counted, combined before the shuffle; those taken twice or more
+    make the filter, which has about 16 bits for each of them, within fixed bounds.
     """
-    cells = hashes.select(*filter_cell(hashed, log2_words)).groupBy("tw_word", "tw_mask").agg(F.count("*").alias("n"))
-    return cells.where("n > 1").groupBy("tw_word").agg(F.bit_or("tw_mask").alias("tw_bits"))
+    cells = hashes.select(F.expr(f"shiftrightunsigned({hashed}, 16)").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    twice = stored(cells.where("n > 1").select("cell"), "cells")
+    words = filter_words(twice.count())
+    return stored(members(twice.select(_spread_cell("cell").alias("h")), "h", words), "repeats"), words
+
+
+def _spread_cell(cell: str | Column) -> Column:
+    return F.xxhash64(F.lit(5), cell)
+
+
+def probed_repeats(rows: DataFrame, hashed: str, bloom: DataFrame, log2_words: int) -> DataFrame:
+    """rows with tw_maybe: whether the filter of :func:`repeats` may hold the row's hash."""
+    spread = rows.withColumn("tw_cell", _spread_cell(F.expr(f"shiftrightunsigned({hashed}, 16)")))
+    return probed(spread, "tw_cell", bloom, log2_words).drop("tw_cell")
 
 
 def probed(rows: DataFrame, hashed: str, bloom: DataFrame, log2_words: int) -> DataFrame:
@@ -102,6 +115,22 @@ def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return tried.where(~F.col("tw_maybe")).drop("tw_maybe").unionByName(rest.select(*rows.columns))
 
 
+def one_each(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows, of those whose key is in keys (distinct, same column name) one for each key, whichever comes first.
+
+    Other rows are not shuffled, but for the few that a filter of the keys falsely holds.
+    """
+    n = keys.count()
+    if not n:
+        return rows
+    words = filter_words(n)
+    hashed = lambda df: df.withColumn("tw_h", F.xxhash64(F.lit(7), key))
+    tried = probed(hashed(rows), "tw_h", members(hashed(keys), "tw_h", words), words).drop("tw_h")
+    maybe = tried.where("tw_maybe").drop("tw_maybe")
+    twins = maybe.join(keys, key, "left_semi").select(*rows.columns).dropDuplicates([key])
+    return tried.where(~F.col("tw_maybe")).drop("tw_maybe").unionByName(maybe.join(keys, key, "left_anti").select(*rows.columns)).unionByName(twins)
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
     """rows left-joined to facts, one fact a key; weight counts the rows that have the key.
 

@@ -1,9 +1,11 @@
-"""Exact deduplication of texts by two passes over a Bloom filter of hashes, with DataFrame functions only.
-
-Pass one counts the cells that the hashes take in a blocked Bloom filter (map-side combined; a cell is
-one number, texts stay where they are) and keeps the cells taken at least twice: a filter of possibly
-repeated hashes, of bounded size. Pass two probes it: a row that misses is the only one of its text and
-passes straight through; only the others shuffle, as hash and id, to be grouped exactly.
+"""Exact deduplication of texts by two passes over Bloom filters of hashes, with DataFrame functions only.
+
+Pass one counts how often each cell of a wide one-probe filter is taken. The filter is kept sparse, a number for
+each cell taken: as bits it would have to be sent whole by every task, which costs more than the cells from the
+eighth task on and grows with the square of the input. Cells are combined before the shuffle; texts stay where
+they are. The cells taken twice or more make a second, blocked filter, whose size follows from their number.
+Pass two probes it: a row that misses is the only one of its text and passes straight through; only the others
+shuffle, as hash and id, to be grouped exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, filter_words, probed, repeats, stored
+from .common import attach, one_each, probed_repeats, repeats, stored, without
 
 #: ASCII white space: space and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,43 +29,49 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("tw_sha", sha).withColumn("tw_h", F.xxhash64("tw_sha"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = True) -> DataFrame:
-    """Every row of docs with keep_id, group_size, kept and text_sha256.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows tw_id, tw_sha, tw_seq (a number of the row), keep_id, keep_seq and group_size."""
+    slim = _hashed(docs.select(F.col(id_col).alias("tw_id"), F.col(text_col).alias("tw_text")), "tw_text")
+    slim = stored(slim.select("tw_id", "tw_sha", "tw_h", F.monotonically_increasing_id().alias("tw_seq")), "hashes")
+    bloom, words = repeats(slim, "tw_h")
+    tried = probed_repeats(slim, "tw_h", bloom, words).drop("tw_h")
+    least = F.min(F.struct(F.col("tw_id").isNull().alias("none"), "tw_id", "tw_seq"))
+    groups = tried.where("tw_maybe").groupBy("tw_sha").agg(least.alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = stored(groups.select("tw_sha", F.col("first.tw_id").alias("keep_id"), F.col("first.tw_seq").alias("keep_seq"), "group_size"), "groups")
+    alone = tried.where(~F.col("tw_maybe")).drop("tw_maybe").withColumns({"keep_id": F.col("tw_id"), "keep_seq": F.col("tw_seq"), "group_size": F.lit(1).cast("long")})
+    again = attach(tried.where("tw_maybe").drop("tw_maybe"), groups, "tw_sha", "group_size", slim.count())
+    single = F.col("group_size").isNull()
+    again = again.withColumns({"keep_id": F.when(single, F.col("tw_id")).otherwise(F.col("keep_id")), "keep_seq": F.coalesce("keep_seq", "tw_seq"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return alone.unionByName(again)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of docs its id, keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after :func:`normalised`; of equal texts the row with the smallest id
-    stays. Null texts equal the empty text. A null id never wins against another; rows that have both id
-    and text in common are marked alike, since nothing tells them apart. An empty table gives an empty
-    result. With keep_columns the rows carry all columns of docs (those named like a result column are
-    replaced), else the id only.
+    stays, of rows that share id and text one, whichever was read first. Null texts equal the empty text, long
+    ones are read whole. A null id never wins against another. An empty table gives an empty result; other
+    columns of docs are not read.
     """
-    results = ["keep_id", "group_size", "kept", "text_sha256"]
-    slim = stored(_hashed(docs.select(F.col(id_col).alias("tw_id"), F.col(text_col).alias("tw_text")), "tw_text").select("tw_id", "tw_sha", "tw_h"), "hashes")
-    n = slim.count()
-    words = filter_words(n)
-    bloom = stored(repeats(slim, "tw_h", words), "repeats")
-    groups = probed(slim, "tw_h", bloom, words).where("tw_maybe").groupBy("tw_sha").agg(F.min("tw_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = stored(groups.where("group_size > 1"), "groups")
-    if keep_columns:
-        rows = _hashed(docs.drop(*(c for c in results if c != id_col)).withColumn("tw_id", F.col(id_col)), text_col)
-    else:
-        rows = slim
-    tried = probed(rows, "tw_h", bloom, words).drop("tw_h")
-    alone = tried.where(~F.col("tw_maybe")).drop("tw_maybe").withColumns({"keep_id": F.col("tw_id"), "group_size": F.lit(1).cast("long")})
-    again = attach(tried.where("tw_maybe").drop("tw_maybe"), groups, "tw_sha", "group_size", n)
-    again = again.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("tw_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-    out = alone.unionByName(again).withColumn("kept", F.col("tw_id").eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", F.lower(F.hex("tw_sha")))
-    if keep_columns:
-        return out.select(*(c for c in docs.columns if c not in results or c == id_col), *(c for c in results if c != id_col))
-    return out.select(F.col("tw_id").alias(id_col), *results)
+    marked = _marked(docs, id_col, text_col)
+    return marked.select(F.col("tw_id").alias(id_col), "keep_id", "group_size", (F.col("tw_seq") == F.col("keep_seq")).alias("kept"), F.lower(F.hex("tw_sha")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    return exact_dedup(docs.withColumn("tw_row", F.struct(*docs.columns)).select(id_col, text_col, "tw_row"), id_col, text_col).where("kept").select("tw_row.*")
+    """The rows of docs that stay, with their own columns, whatever their names: one of each text.
+
+    Rows that are to go are looked for by id and hash; a row is shuffled only if a filter of those may hold it.
+    """
+    marked = _marked(docs, id_col, text_col)
+    key = lambda: F.struct(F.coalesce(F.col("tw_id").cast("string"), F.lit("")).alias("id"), "tw_sha").alias("tw_key")
+    lost = stored(marked.where(F.col("tw_seq") != F.col("keep_seq")).select(key(), F.col("tw_id").eqNullSafe(F.col("keep_id")).alias("twin")).distinct(), "lost")
+    gone, twins = lost.where("not twin").select("tw_key"), lost.where("twin").select("tw_key")
+    rows = docs.select(F.struct(*docs.columns).alias("tw_row"), F.col(id_col).alias("tw_id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("tw_sha")).select("tw_row", key())
+    return one_each(without(rows, "tw_key", gone), "tw_key", twins).select("tw_row.*")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_columns=False)
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP10_SQL = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
-from .common import stored, without
+from .common import one_each, stored, without
 from .exact_dedup import drop_exact_duplicates
 from .near_docs import near_docs
 from .packing import pack
@@ -30,14 +30,23 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text; nulls, ties and repeated rows as :func:`drop_exact_duplicates` has them."""
     return drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = near_docs(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, "doc_id", stored(found, "near-copies"))
+    """The document with the smallest id of each group of near copies.
+
+    Documents without words have no copies and stay. Of rows that share an id and lie in one group the one with
+    the smallest text hash stays, of rows that share id and text one. A null id counts as the largest. An empty
+    table gives an empty result.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("tw_row"), key.alias("tw_key"), "text")
+    found = stored(near_docs(rows.select("tw_key", "text"), id_col="tw_key").groupBy("tw_key").agg(F.any_value("component_id").alias("component_id"), F.count("*").alias("n")), "near")
+    gone, twins = found.where("tw_key <> component_id").select("tw_key"), found.where("tw_key = component_id and n > 1").select("tw_key")
+    slim = rows.select("tw_row", "tw_key")
+    return one_each(without(slim, "tw_key", stored(gone, "near-copies")), "tw_key", twins).select("tw_row.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, filter_words, probed, repeats, shared_path, stored
+from .common import attach, probed_repeats, repeats, shared_path, stored
 
 # The format's version line, the revisit profile and the base32 letters.
 VERSION = "WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+NAME = "urn:x-page:"
 RECORDS_A_FILE = 100_000
 
 
@@ -40,21 +41,21 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """Records (id, url, payload, payload_digest, record_type, refers_to, refers_to_url) of pages.
 
     Of equal payloads the one with the smallest id is the response, others revisit it; a null payload is
-    the empty one. Only headers (id, url, digest) of possibly repeated payloads are grouped; pages whose
+    the empty one. Only headers (id, url, digest) of possibly repeated payloads are grouped, by digest; pages whose
     payload occurs once stay where they are. A null id never wins against another; rows with the same id and
-    payload are marked alike.
+    payload are marked alike, rows with the same id and other payloads each by their payload. Payloads may be
+    text or bytes, of any length. An empty table gives an empty result; other columns of pages are not read.
     """
-    full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
+    payload = F.col(payload_col).cast("string") if dict(pages.dtypes)[payload_col] == "binary" else F.col(payload_col)
+    full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     full = full.withColumn("payload_digest", digest(F.col("payload"))).withColumn("tw_h", F.xxhash64("payload_digest"))
     headers = stored(full.select("id", "url", "payload_digest", "tw_h"), "headers")
-    n = headers.count()
-    words = filter_words(n)
-    bloom = stored(repeats(headers, "tw_h", words), "repeats")
-    groups = probed(headers, "tw_h", bloom, words).where("tw_maybe").groupBy("payload_digest")
+    bloom, words = repeats(headers, "tw_h")
+    groups = probed_repeats(headers, "tw_h", bloom, words).where("tw_maybe").groupBy("payload_digest")
     groups = stored(groups.agg(F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"), F.count("*").alias("size")).where("size > 1"), "groups")
-    tried = probed(full, "tw_h", bloom, words).drop("tw_h")
+    tried = probed_repeats(full, "tw_h", bloom, words).drop("tw_h")
     alone = tried.where(~F.col("tw_maybe")).withColumns({"first": F.lit(None).cast(full.schema["id"].dataType), "first_url": F.lit(None).cast("string"), "size": F.lit(1).cast("long")}).drop("tw_maybe")
-    again = attach(tried.where("tw_maybe").drop("tw_maybe"), groups, "payload_digest", "size", n)
+    again = attach(tried.where("tw_maybe").drop("tw_maybe"), groups, "payload_digest", "size", headers.count())
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     return alone.unionByName(again).select(
         "id", "url", "payload", "payload_digest",
@@ -65,11 +66,16 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def _uri(id_: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
+    return F.concat(F.lit(f"<{NAME}"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
 
 
 def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes records, as :func:`resolve` gives them, with fresh headers; a revisit holds no payload."""
+    """Writes records, as :func:`resolve` gives them, with fresh headers; a revisit holds no payload.
+
+    Nulls: a record without url has no target line, one without id an empty name. Line ends in urls are left
+    out. Files are cut by number of records; each is compressed as a whole, as Spark's writers do. An empty table
+    gives a folder without records.
+    """
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(HTTP), F.when(revisit, "").otherwise(F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -81,7 +87,7 @@ def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") ->
         line("WARC-Date", F.lit(date)),
         maybe("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uri(F.col("refers_to"))), maybe("WARC-Refers-To-Target-URI", F.col("refers_to_url")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uri(F.col("refers_to"))), maybe("WARC-Refers-To-Target-URI", F.col("refers_to_url")), line("WARC-Refers-To-Date", F.lit(date)))).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -90,13 +96,13 @@ def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") ->
 
 
 def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields and block of each record, from what stands between version lines."""
+    """Fields (by lower-case name) and block of each record, from what stands between version lines."""
     for part in parts:
         if not part:
             continue
         head, _, rest = part.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n"))
-        need = int(fields["Content-Length"])
+        fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+        need = int(fields["content-length"])
         pieces, have = [rest], len(rest)
         while have < need + 4:
             more = next(parts)
@@ -105,10 +111,21 @@ def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, b"".join(pieces)[:need]
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True, id_type: str = "long") -> DataFrame:
+def _payload(kind: str, fields: dict[str, str], block: bytes) -> bytes | None:
+    """What a record holds below its HTTP header; None for revisits, which hold none."""
+    if kind == "revisit":
+        return None
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True, id_type: str = "long", kinds: tuple[str, ...] = ("response", "revisit", "resource")) -> DataFrame:
     """Records of the archives in a folder: id, url, record_type, refers_to, payload_digest, payload_bytes and,
-    with payloads, payload (binary; null for revisits, as is payload_bytes). A response whose payload differs
-    from its digest stops the job."""
+    with payloads, payload (binary; null for revisits, as is payload_bytes).
+
+    Records of other kinds (`warcinfo`, `request`, ...) are passed over. A record without a payload digest gets
+    its payload's; one whose payload differs from its SHA-1 stops the job, digests of other kinds are replaced.
+    A folder without records gives an empty result. One record is held at a time.
+    """
     schema = f"id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long{', payload binary' if payloads else ''}"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +134,22 @@ def read(spark: SparkSession, path: str, payloads: bool = True, id_type: str = "
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.string()] * 5 + [pa.int64()] + [pa.binary()] * payloads
-            names = ["id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"][: len(kinds)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+            types = [pa.string()] * 5 + [pa.int64()] + [pa.binary()] * payloads
+            names = ["id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"][: len(types)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=False)], names=names)
 
         for fields, block in _records(v for b in batches for v in b.column(0).to_pylist()):
-            kind, said = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2]
-            if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != said:
-                raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
-            name = lambda k: fields[k][12:-1] or None if k in fields else None  # noqa: B023, E731
-            rows.append((name("WARC-Record-ID"), fields.get("WARC-Target-URI"), kind, name("WARC-Refers-To"), said, None if payload is None else len(payload), payload))
+            kind, said = fields["warc-type"], fields.get("warc-payload-digest")
+            if kind not in kinds:
+                continue
+            payload = _payload(kind, fields, block)
+            if payload is not None:
+                own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if said and said.startswith("sha1:") and said != f"sha1:{own}":
+                    raise ValueError(f"the payload of {fields.get('warc-record-id')} is damaged")
+                said = own
+            name = lambda k: (fields[k].removeprefix(f"<{NAME}").removeprefix("<").removesuffix(">") or None) if k in fields else None  # noqa: B023, E731
+            rows.append((name("warc-record-id"), fields.get("warc-target-uri"), kind, name("warc-refers-to"), (said or "").removeprefix("sha1:") or None, None if payload is None else len(payload), payload))
             held += len(block)
             if len(rows) >= 5000 or held > 16 << 20:
                 yield flush()
@@ -136,23 +158,35 @@ def read(spark: SparkSession, path: str, payloads: bool = True, id_type: str = "
             yield flush()
 
     lines = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(parse, schema).withColumns({"id": F.col("id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
+    typed = {c: F.col(c).try_cast(id_type) for c in ("id", "refers_to")}
+    return lines.mapInArrow(parse, schema).withColumns(typed)
 
 
 def with_originals(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Records whose revisits have the named columns from the responses that they refer to."""
+    """Records whose revisits have the named columns from an original with the same payload digest.
+
+    Revisits and originals are joined by digest, so ids that several records share do no harm; of originals with
+    the same digest one is taken, as their payloads are equal. A revisit without a digest or an original keeps
+    nulls. Digests that very many records revisit are broadcast, at most a fixed number of them.
+    """
     revisits = records.where("record_type = 'revisit'")
     rest = records.where("record_type <> 'revisit'")
-    weights = revisits.groupBy("refers_to").agg(F.count("*").alias("tw_n"))
-    originals = rest.select(F.col("id").alias("refers_to"), *columns).dropDuplicates(["refers_to"]).join(weights, "refers_to")
-    joined = attach(revisits.drop(*columns), stored(originals, "originals"), "refers_to", "tw_n", revisits.count()).drop("tw_n")
+    weights = revisits.groupBy("payload_digest").agg(F.count("*").alias("tw_n"))
+    originals = rest.select("payload_digest", *columns).join(weights, "payload_digest").dropDuplicates(["payload_digest"])
+    joined = attach(revisits.drop(*columns), stored(originals, "originals"), "payload_digest", "tw_n", revisits.count()).drop("tw_n")
     return rest.unionByName(joined.select(*records.columns))
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, id_type: str = "long") -> None:
-    """Reads archives, resolves their revisits to the original responses, and writes them deduplicated anew."""
-    records = with_originals(read(spark, source, id_type=id_type), ["payload", "payload_bytes"])
-    write(resolve(records.withColumn("html", F.col("payload").cast("string")).withColumnRenamed("id", "page_id")), target)
+    """Reads archives, resolves their revisits to the original responses, and writes them deduplicated anew.
+
+    Payloads are bytes throughout and need not be text. A revisit whose original is not among the archives
+    stops the job, since its payload is not known. Ids that are not of the type asked for become null.
+    """
+    records = with_originals(stored(read(spark, source, id_type=id_type), "records"), ["payload", "payload_bytes"])
+    lost = F.raise_error(F.concat(F.lit("no original for "), F.coalesce("payload_digest", F.lit("a revisit")))).cast("binary")
+    pages = records.select(F.col("id").alias("page_id"), "url", F.coalesce("payload", lost).alias("html"))
+    write(resolve(pages), target)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
