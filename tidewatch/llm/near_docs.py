@@ -35,7 +35,7 @@ from .components import bounds, components, runs
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 80, 100
-CELLS, TOGETHER = 1 << 20, 1 << 12
+CELLS, TOGETHER = 1 << 19, 1 << 14
 SLICE_ROWS = 400
 #: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
 NEAREST = (4, None)
@@ -141,7 +141,8 @@ class Sets:
         row = np.repeat(np.arange(len(rows)), width)
         block = np.arange(len(value)) - starts[row]
         key = mixed(value ^ mixed(block.astype(np.uint64) * np.uint64(64) + bands[row].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-        order = np.lexsort([key, often, row])
+        # by row, frequency and key (its first 34 bits, then the block: an order that all sets of a band have in common)
+        order = np.argsort(row.astype(np.uint64) << np.uint64(40) | often.astype(np.uint64) << np.uint64(34) | key >> np.uint64(30), kind="stable")
         take = order[(np.arange(len(order)) - starts[row]) <= np.array([BANDS.apart[b] for b in bands], dtype=np.int64)[row]]
         return key[take].view(np.int64), row[take]
 
@@ -152,22 +153,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(i, SLICE_ROWS)
 
 
-def shingle_table(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell occur in documents, as levels of powers of two over the mean."""
+def cell_levels(counts: DataFrame) -> np.ndarray:
+    """Counts (cell, n) of the cells of shingles as levels of powers of two over the mean.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, dtype=np.int64)
-        for batch in _slices(batches):
-            np.add.at(seen, (Sets(batch.column("text").to_pylist()).members % np.uint64(CELLS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS // TOGETHER, dtype=np.int32)), pa.array([p.tobytes() for p in seen.reshape(-1, TOGETHER)], pa.binary())], names=["part", "counts"])
+    Spark sums the counts before and after the shuffle, and a task packs a fixed number of cells, so neither
+    what a task holds nor what reaches the driver depends on the input.
+    """
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"]).tobytes()]})
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(TOGETHER, dtype=np.int64)
+        out[frame["cell"].to_numpy() % TOGETHER] = frame["n"].to_numpy()
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [out.tobytes()]})
 
-    made = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toPandas()
+    summed = counts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int"))
+    made = summed.groupBy("part").applyInPandas(pack, "part int, counts binary").toPandas()
     out = np.zeros(CELLS, dtype=np.int64)
-    for part, counts in zip(made["part"], made["counts"], strict=True):
-        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(counts, dtype=np.int64)
+    for part, packed in zip(made["part"], made["counts"], strict=True):
+        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(packed, dtype=np.int64)
     return np.frexp(out / max(1.0, 4 * out.mean() + 8))[1].clip(0, 40).astype(np.int64)
 
 
@@ -289,10 +291,22 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    counts = spark.sparkContext.broadcast(shingle_table(rows))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents' sets, and rows that count shingles by cell, many batches in one."""
+        seen, n = np.zeros(CELLS, dtype=np.int64), 0
+        ids = pa.nulls(1)
+
+        def counted() -> pa.RecordBatch:
+            cells = np.flatnonzero(seen)
+            one = pa.array([0, len(cells)], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, pa.array(cells.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(seen[cells]))]
+            seen[:] = 0
+            none = [pa.nulls(1, t) for t in (ids.type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*none, *lists], names=["id", "size", "set_id", "bands", "sketches", "cells", "counts"])
+
         for batch in _slices(batches):
+            ids = batch.column("id")
             sets = Sets(batch.column("text").to_pylist())
             row, band = sets.banded(sets.filled)
             sketches = sets.sketches(row, band)
@@ -300,17 +314,25 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             outer = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
             inner = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32))
             values = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64))
+            no_lists = [pa.nulls(batch.num_rows, pa.list_(pa.int32())), pa.nulls(batch.num_rows, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sets.sizes), pa.array(sets.set_id), pa.ListArray.from_arrays(outer, pa.array(band.astype(np.int32))), pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values))],
-                names=["id", "size", "set_id", "bands", "sketches"],
+                [ids, pa.array(sets.sizes), pa.array(sets.set_id), pa.ListArray.from_arrays(outer, pa.array(band.astype(np.int32))), pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values)), *no_lists],
+                names=["id", "size", "set_id", "bands", "sketches", "cells", "counts"],
             )
+            np.add.at(seen, (sets.members % np.uint64(CELLS)).astype(np.int64), 1)
+            n += len(sets.members)
+            if n > 8 * CELLS:
+                yield counted()
+                n = 0
+        if n:
+            yield counted()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = Sets(batch.column("text").to_pylist())
             once = np.unique(sets.set_id[sets.filled], return_index=True)[1]
             row, band = sets.banded(sets.filled[once])
-            key, at = sets.keys(row, band, counts.value)
+            key, at = sets.keys(row, band, levels.value)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band[at].astype(np.int32)), pa.array(sets.set_id[row[at]])], names=["key", "band", "set_id"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +341,10 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             offsets = pa.array(np.append(sets.starts, len(sets.members)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.set_id), pa.ListArray.from_arrays(offsets, pa.array(sets.members.view(np.int64)))], names=["id", "set_id", "members"])
 
-    about = stored(rows.mapInArrow(describe, f"id {id_type}, size long, set_id long, bands array<int>, sketches array<array<long>>"), "documents")
+    described = stored(rows.mapInArrow(describe, f"id {id_type}, size long, set_id long, bands array<int>, sketches array<array<long>>, cells array<int>, counts array<long>"), "documents")
+    about = described.where("size is not null").drop("cells", "counts")
+    counts = described.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("z")).select(F.col("z.cells").alias("cell"), F.col("z.counts").alias("n"))
+    levels = spark.sparkContext.broadcast(cell_levels(counts))
     classes = about.where("size > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketches").alias("sketches"))
     classes = stored(classes, "classes")
     sketches = classes.select("set_id", "size", F.explode(F.arrays_zip("bands", "sketches")).alias("z")).select("set_id", "size", F.col("z.bands").alias("band"), F.col("z.sketches").alias("sketch"))
@@ -353,9 +378,9 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def torn(rows: DataFrame) -> DataFrame:
         """The rows (key, band, set_id) whose key has more than one component, with it."""
-        rows = rows.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return rows.join(keys, "key", "left_semi")
+        rows = stored(rows.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
+        keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
+        return attach(rows, stored(keys.select("key", "n", F.lit(True).alias("torn")), "keys"), "key", "n", rows.count()).where("torn").drop("torn", "n")
 
     many = stored(torn(met.where("other is null").select("key", "band", "set_id")), "torn")
     own = whole(many.select("set_id"))
