@@ -225,40 +225,64 @@ def test_log_frequency_bloom_never_underestimates():
     assert (bloom.levels(random_.integers(0, 1 << 63, 5000).astype(np.uint64)) == 0).mean() > 0.98
 
 
-def test_lm_filter_leaves_no_n_gram_out(spark, monkeypatch):
+def plain_model(texts):
+    """Tables of the smoothed model over quantised counts, and P(word | before) by brute force."""
+    seen, both = Counter(), Counter()
+    for words in texts:
+        seen.update(words)
+        both.update(zip([None, *words], words, strict=False))
+    count = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]) if c else 0.0
+    flat = sum(map(count, seen.values())) + len(seen) + 1
+    after = {}
+    for (before, word), c in both.items():
+        after.setdefault(before, {})[word] = count(c)
+
+    def chance(word, before):
+        single = (count(seen[word]) + 1) / flat
+        if before not in after:
+            return single
+        z, t = sum(after[before].values()), len(after[before])
+        return (max(after[before].get(word, 0) - lm.DISCOUNT, 0) + lm.DISCOUNT * t * single) / z
+
+    return seen, after, chance
+
+
+def test_lm_filter_leaves_no_n_gram_out():
     random_ = np.random.default_rng(2)
     items = np.unique(random_.integers(0, 1 << 63, 400_000).astype(np.uint64))
     assert (lm.segment_levels(items, np.ones(len(items), dtype=np.int64)) >= 1).all()
     small = lm.segment(items, np.ones(len(items), dtype=np.int64), 1 << 20)  # far too few bits: nothing is left out even so
     assert (lm.LogFrequencyBloom(small, 0, 1 << 20).levels(items) >= 1).all()
-    # many segments and batches give the same counts, and the same scores up to chance hits of the filter
-    texts = [" ".join(f"w{random_.integers(0, 3000)}" for _ in range(30)) for _ in range(400)] + [None, ""]
-    whole = by_id(lm.score_texts(docs(spark, *texts), F.col("doc_id") % 7 != 2))
-    monkeypatch.setattr(lm, "LOG2_SENT", 11)
-    monkeypatch.setattr(lm, "BATCH_BYTES", 5000)
-    parts = by_id(lm.score_texts(docs(spark, *texts), F.col("doc_id") % 7 != 2))
+    others = random_.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    found = lm.segment_levels(np.concatenate([items, others]), np.concatenate([np.ones(len(items), dtype=np.int64), np.zeros(len(others), dtype=np.int64)]))
+    assert 0 < (found[len(items) :] > 0).mean() < 0.004
+
+
+def test_lm_is_a_probability_and_equals_brute_force(spark, monkeypatch):
+    random_ = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(3000 * random_.random() ** 3)}" for _ in range(30)) for _ in range(400)] + [None, "", "w0 never seen w1", "w0 " * 20_000]
+    held = [i % 7 == 2 for i in range(len(texts))]
     words = [[*lm.tokens(t), b""] for t in texts]
-    seen, both = Counter(), Counter()
-    for i, w in enumerate(words):
-        if i % 7 != 2:
-            seen.update(w)
-            both.update(zip([None, *w], w, strict=False))
-    starts = sum(i % 7 != 2 for i in range(len(texts)))
+    seen, after, chance = plain_model([w for w, h in zip(words, held, strict=True) if not h])
+    unknown = b"none of them"
+    for before in [None, *sorted(after, key=lambda b: -len(after[b]) if b else 0)[:40], unknown]:
+        assert sum(chance(w, before) for w in [*seen, unknown]) == pytest.approx(1)
     n, v = sum(seen.values()), len(seen)
-    count = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]) if c else 0.0
-    flat = sum(map(count, seen.values())) + v + 1
-    off = []
+    bits = 256  # hardly any false hits
+    whole = by_id(lm.score_texts(docs(spark, *texts), F.col("doc_id") % 7 != 2, bits=bits))
+    usual = by_id(lm.score_texts(docs(spark, *texts), F.col("doc_id") % 7 != 2))
+    monkeypatch.setattr(lm, "LOG2_SENT", 11)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(lm, "FREQUENT", 60)
+    monkeypatch.setattr(lm, "MOST_FREQUENT", 1 << 12)
+    parts = by_id(lm.score_texts(docs(spark, *texts).repartition(5), F.col("doc_id") % 7 != 2, bits=bits))
     for i, w in enumerate(words):
-        want = 0.0
-        for before, word in zip([None, *w], w, strict=False):
-            context = starts if before is None else count(seen[before])
-            single = (count(seen[word]) + 1) / flat
-            want += math.log10(lm.PAIR_WEIGHT * min(count(both[before, word]) / max(context, 1), 1) + (1 - lm.PAIR_WEIGHT) * single if context else single)
+        want = sum(math.log10(chance(word, before)) for before, word in zip([None, *w], w, strict=False))
         for found in (whole[i], parts[i]):
             assert (found.n_tokens, found.n_known, found.train_tokens) == (len(w), sum(seen[x] > 0 for x in w), n)
             assert found.base_score == pytest.approx(sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w))
-            off.append(abs(found.score - want) / len(w))
-    assert np.median(off) < 0.05 and max(off) < 0.5
+            assert found.score == pytest.approx(want, rel=1e-3)
+    assert np.median([abs(usual[i].score - whole[i].score) / len(w) for i, w in enumerate(words)]) < 0.02
 
 
 def test_near_docs_against_brute_force(spark):
