@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +52,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes."""
+    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_rows: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with so many rows, and so many bytes in a string column, at most (a row at least)."""
+    for whole in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < whole.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(start + most_rows, max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+            yield whole.slice(start, stop - start)
+            start = stop
+
+
+@dataclass
+class Words:
+    """The words of some strings, A-Z lower-cased, cut at ASCII white space; a null string has none."""
+
+    words: pa.Array  # the different words
+    code: np.ndarray  # of each word in the strings, its place among these
+    sizes: np.ndarray  # words of each string
+
+    @classmethod
+    def of(cls, strings: pa.Array) -> Words:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(strings, "")))
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end gives an empty word
+        if not real.all():
+            kept = real[code]
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+            code = (np.cumsum(real) - 1)[code[kept]]
+            words = words.filter(pa.array(real))
+        return cls(words, code, sizes)
+
+
 def filter_words(n_keys: int) -> int:
     """log2 of the 64-bit words for n_keys: about 16 bits a key, within fixed bounds."""
     return min(MAX_LOG2_WORDS, max(10, (max(n_keys, 1) // 4).bit_length()))

@@ -8,61 +8,57 @@ sketches that are as wide as the lines are long and whose Hamming distance never
 difference. Candidates are verified on their whole sets. A line goes if it matches any line that stands earlier,
 in the order of document ids and line numbers; equal sets match, so of a set's lines only the first can stay.
 
-Of the earlier lines that a line may match, the nearest by sketch are verified; a line that has more, and that
-these did not decide, is compared with all of them afterwards. A word in very many prefixes is cut into blocks
+Of the earlier lines that a line may match, the nearest by sketch is verified, then a few more; a line that has
+still more, and that these did not decide, is compared with all of them afterwards. A word in very many prefixes is cut into blocks
 of lines by hash, and each pair of its blocks is dealt by itself.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, filter_words, likely_members, members, mixed, only_members, probed, stored
+from .common import Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, probed, slices, stored
 from .components import bounds, runs
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts, cells that are packed together, and levels to an octave of counts.
 CELLS, TOGETHER, OCTAVE = 1 << 23, 1 << 16, 6
 #: Earlier lines that a line is verified against at first.
-FEW = 2
+FEW = 12
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
-WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 20, 500
+WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 20, 2000
 
 
 class Lines:
     """The non-blank lines of some texts as sets of words, each set ordered by rarity."""
 
-    def __init__(self, texts: list[str], levels: np.ndarray) -> None:
-        number: dict[bytes, int] = {}
-        at, sizes, text_of, line_of = [], [], [], []
-        put = number.setdefault
-        for t, text in enumerate(texts):
-            for n, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
-                words = line.split()
-                if words:
-                    at += [put(w, len(number)) for w in words]
-                    sizes.append(len(words))
-                    text_of.append(t)
-                    line_of.append(n)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number))
-        self.text, self.line = np.array(text_of, dtype=np.int64), np.array(line_of, dtype=np.int32)
-        level = levels[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+    def __init__(self, texts: pa.Array, levels: np.ndarray | None = None) -> None:
+        lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+        per_text = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = Words.of(lines.flatten())
+        filled = np.flatnonzero(found.sizes)
+        self.text = np.repeat(np.arange(len(texts)), per_text)[filled]
+        self.line = (np.arange(len(found.sizes)) - np.repeat(np.cumsum(per_text) - per_text, per_text))[filled].astype(np.int32)
+        sizes = found.sizes[filled]
+        hashes = hashes_of(found.words)
+        self.counts = hashes, np.bincount(found.code, minlength=len(hashes))
+        cells = (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+        level = levels[cells] if levels is not None else level_of(np.maximum(self.counts[1], 1))
         order = np.lexsort([hashes, level])
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         many = max(len(order), 1)
         line = np.repeat(np.arange(len(sizes)), sizes)
-        pairs = np.sort(line * many + rank[np.array(at, dtype=np.int64)])
+        pairs = np.sort(line * many + rank[found.code])
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
         of, rank = pairs // many, pairs % many
         self.words, self.levels, self.of = hashes[order][rank], level[order][rank], of
@@ -103,6 +99,11 @@ class Lines:
         return np.bitwise_xor.reduceat(out, starts) if len(starts) else out, full
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Levels of counts from one on."""
+    return np.minimum(1 + np.floor(OCTAVE * np.log2(counts)), 255).astype(np.uint8)
+
+
 def widths(sizes: np.ndarray) -> np.ndarray:
     """64-bit words of the sketches of sets of these sizes: powers of two, about a bit for a member."""
     return np.minimum(1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), WIDEST)
@@ -113,44 +114,20 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, SLICE_ROWS):
-            yield whole.slice(i, SLICE_ROWS)
-
+def word_levels(counts: DataFrame) -> np.ndarray:
+    """Levels of the cells of words, from rows (cell, n): 0 never, 1 once, then sixths of octaves.
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """How often the words of each cell stand in column `text`, as levels: 0 never, 1 once, then sixths of octaves.
-
-    Tasks send sparse counts, which Spark sums before and after the shuffle; the levels are packed by groups of
-    a fixed number of cells, so what a task holds and the 8 MB that reach the driver don't depend on the input.
+    Spark sums the counts before and after the shuffle; the levels are packed by groups of a fixed number of
+    cells, so what a task holds and the 8 MB that reach the driver don't depend on the input.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-            cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int32), return_inverse=True)
-            counts = np.bincount(at, weights=np.fromiter(words.values(), dtype=np.int64, count=len(words)), minlength=len(cells)).astype(np.int64)
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
-
-        for batch in _batches(batches):
-            for text in batch.column("text").to_pylist():
-                words.update(text.encode("utf-8", "replace").lower().split())
-            if len(words) > 500_000:
-                yield flush()
-        if words:
-            yield flush()
-
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(TOGETHER, dtype=np.uint8)
-        out[frame["cell"].to_numpy() % TOGETHER] = np.minimum(1 + np.floor(OCTAVE * np.log2(frame["n"].to_numpy())), 255).astype(np.uint8)
+        out[frame["cell"].to_numpy() % TOGETHER] = level_of(frame["n"].to_numpy())
         return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [out.tobytes()]})
 
-    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    made = counts.withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int")).groupBy("part").applyInPandas(pack, "part int, levels binary").toPandas()
+    summed = counts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int"))
+    made = summed.groupBy("part").applyInPandas(pack, "part int, levels binary").toPandas()
     out = np.zeros(CELLS, dtype=np.uint8)
     for part, levels in zip(made["part"], made["levels"], strict=True):
         out[part * TOGETHER :][:TOGETHER] = np.frombuffer(levels, dtype=np.uint8)
@@ -267,61 +244,77 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc, version, removed): the sorted numbers of the lines that go, for each document (long `doc`, its
     text's hash `version`, `text`) that has any."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(word_levels(docs))
-    often = int(1 + OCTAVE * np.log2(BLOCK))  # a word in so many prefixes stands at least so often
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), levels.value)
+        """The lines of the documents; in rows without a line, counts of words and of their prefixes."""
+        names = ["doc", "version", "line", "set_id", "check", "words", "counts"]
+        for batch in slices(batches, "text", SLICE_ROWS):
+            found = Lines(batch.column("text"))
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc", "version"))
-            row, _, item = found.prefixes(found.firsts(doc), threshold)
-            frequent = found.levels[item] >= often
-            row, item = row[frequent], item[frequent]
-            order = np.argsort(row, kind="stable")
-            offsets = np.searchsorted(row[order], np.arange(len(doc) + 1)).astype(np.int32)
-            hot = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words[item[order]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.check)), hot], names=["doc", "version", "line", "set_id", "check", "hot"])
+            none = [pa.nulls(len(doc), pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.check)), *none], names=names)
+            hashes, counts = found.counts
+            cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
+            counts = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
+            # how many sets have a word in their prefix, going by the rarity of words in these documents
+            often, n = np.unique(found.words[found.prefixes(found.firsts(doc), threshold)[2]].view(np.int64), return_counts=True)
+            often, n = often[n > 1], n[n > 1]
+            offsets = pa.array([0, len(cells), len(cells) + len(often)], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in ([cells, often], [counts, n])]
+            kind = pa.array([0, 1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), kind, pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), *lists], names=names)
+
+    found = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, words array<long>, counts array<long>"), "lines")
+    counted = lambda kind, name: found.where(F.col("doc").isNull() & (F.col("line") == kind)).select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select(F.col("z.words").alias(name), F.col("z.counts").alias("n"))
+    levels = spark.sparkContext.broadcast(word_levels(counted(0, "cell")))
+    hot = counted(1, "word").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas().sort_values("word")
+    cut = spark.sparkContext.broadcast((hot["word"].to_numpy(dtype=np.int64), -(-hot["n"].to_numpy(dtype=np.int64) // BLOCK)))
+    all_lines = found.where("doc is not null").select("doc", "version", "line", "set_id", "check")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), levels.value)
+        for batch in slices(batches, "text", SLICE_ROWS):
+            found = Lines(batch.column("text"), levels.value)
             offsets = np.append(found.starts, len(found.words)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(found.set_id), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words.view(np.int64)))], names=["set_id", "words"])
 
     def prefix_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), levels.value)
+        for batch in slices(batches, "text", SLICE_ROWS):
+            found = Lines(batch.column("text"), levels.value)
             row, _, item = found.prefixes(np.arange(len(found.sizes)), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(found.set_id[row]), pa.array(found.words[item].view(np.int64))], names=["set_id", "word"])
 
-    all_lines = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, hot array<long>"), "lines")
-    places = all_lines.groupBy("set_id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    places = stored(places, "places")
-    hot = all_lines.select(F.explode("hot").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas()
-    cut = spark.sparkContext.broadcast((np.sort(hot["word"].to_numpy(dtype=np.int64)), -(-hot.sort_values("word")["n"].to_numpy(dtype=np.int64) // BLOCK)))
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words, hot_blocks = cut.value
-        for batch in _batches(batches):
-            found = Lines(batch.column("text").to_pylist(), levels.value)
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.text]
-            row, place, item = found.prefixes(found.firsts(doc), threshold)
-            word = found.words[item].view(np.int64)
-            low = high = part = np.zeros(len(row), dtype=np.int64)
-            if len(hot_words) and len(word):
-                near = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
-                blocks = np.where(hot_words[near] == word, hot_blocks[near], 1)
-                block = (mixed(found.set_id[row].view(np.uint64) + np.uint64(11)) % blocks.astype(np.uint64)).astype(np.int64)
-                each = np.repeat(np.arange(len(row)), blocks)
-                other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                row, place, word, block = row[each], place[each], word[each], block[each]
-                low, high = np.minimum(block, other), np.maximum(block, other)
-                part = np.where(low == high, 0, np.where(block == low, 1, 2))
-            key = np.where(high > 0, mixed(word.view(np.uint64) ^ mixed((low * (1 << 24) + high).astype(np.uint64) + np.uint64(1))).view(np.int64), word)
-            about = found.sizes[row] << 34 | place << 3 | part << 1 | 1
-            sketch, wide = found.sketches()
-            arrays = [*(pa.array(v) for v in (key, word, doc[row], found.line[row], found.set_id[row], about, sketch.view(np.int64)[row])), pa.array(wide, pa.binary()).take(pa.array(row))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "doc", "line", "set_id", "about", "sketch", "wide"])
+    def posted(flagged=None) -> DataFrame:
+        """Postings of the prefixes' words; with a broadcast of flags by cell, of the words of those cells only."""
+
+        def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot_words, hot_blocks = cut.value
+            for batch in slices(batches, "text", SLICE_ROWS):
+                found = Lines(batch.column("text"), levels.value)
+                doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.text]
+                row, place, item = found.prefixes(found.firsts(doc), threshold)
+                if flagged is not None:
+                    kept = flagged.value[(found.words[item] & np.uint64(CELLS - 1)).astype(np.int64)] > 0
+                    row, place, item = row[kept], place[kept], item[kept]
+                if not len(row):
+                    continue
+                word = found.words[item].view(np.int64)
+                low = high = part = np.zeros(len(row), dtype=np.int64)
+                if len(hot_words):
+                    near = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
+                    blocks = np.where(hot_words[near] == word, hot_blocks[near], 1)
+                    block = (mixed(found.set_id[row].view(np.uint64) + np.uint64(11)) % blocks.astype(np.uint64)).astype(np.int64)
+                    each = np.repeat(np.arange(len(row)), blocks)
+                    other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    row, place, word, block = row[each], place[each], word[each], block[each]
+                    low, high = np.minimum(block, other), np.maximum(block, other)
+                    part = np.where(low == high, 0, np.where(block == low, 1, 2))
+                key = np.where(high > 0, mixed(word.view(np.uint64) ^ mixed((low * (1 << 24) + high).astype(np.uint64) + np.uint64(1))).view(np.int64), word)
+                about = found.sizes[row] << 34 | place << 3 | part << 1 | 1
+                sketch, wide = found.sketches()
+                arrays = [*(pa.array(v) for v in (key, word, doc[row], found.line[row], found.set_id[row], about, sketch.view(np.int64)[row])), pa.array(wide, pa.binary()).take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "doc", "line", "set_id", "about", "sketch", "wide"])
+
+        return docs.select("doc", "text").mapInArrow(postings, "key long, word long, doc long, line int, set_id long, about long, sketch long, wide binary")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """The late sets of the stored pairs that are similar indeed."""
@@ -335,26 +328,34 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         shared = F.size(F.array_intersect("early_words", "late_words"))
         return both.where(shared * (1 + threshold) >= threshold * (F.size("early_words") + F.size("late_words")) - 1e-9).select(F.col("late").alias("set_id")).distinct()
 
-    posted = docs.select("doc", "text").mapInArrow(postings, "key long, word long, doc long, line int, set_id long, about long, sketch long, wide binary")
     columns = ["key", "doc", "line", "set_id", "about", "sketch", "wide"]
     deal = lambda df: df.select(columns).repartition("key").sortWithinPartitions("key", "about")
     schema = "late long, late_doc long, early long, early_doc long, apart int, more boolean"
     nearest = F.array_sort(F.collect_set(F.struct("apart", "early", "early_doc")))
-    found = deal(posted).mapInArrow(_pairs(threshold, FEW), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("more").alias("more"))
-    found = stored(found.select("late", "late_doc", F.slice("near", 1, FEW).alias("near"), (F.col("more") | (F.size("near") > FEW)).alias("more")), "candidates")
-    late = stored(matches(stored(found.select("late", "late_doc", F.explode("near").alias("e")).select("late", "late_doc", "e.early", "e.early_doc"), "pairs")), "late")
-    rest = stored(found.where("more").select(F.col("late").alias("set_id"), F.col("late_doc").alias("doc")).join(late, "set_id", "left_anti"), "undecided")
-    n = rest.count()
-    if n:
-        words = likely_members(docs, "doc", rest.select("doc"), n).select("text").mapInArrow(prefix_words, "set_id long, word long")
-        words = stored(only_members(words, "set_id", rest.select("set_id"), n).select("word").distinct(), "words")
-        again = only_members(posted, "word", words, words.count()).join(rest.select("set_id", F.lit(True).alias("open")), "set_id", "left")
-        again = again.withColumn("about", F.when(F.col("open"), F.col("about")).otherwise(F.col("about") - 1))
-        more = deal(again).mapInArrow(_pairs(threshold, None), schema).select("late", "late_doc", "early", "early_doc").dropDuplicates(["late", "early"])
-        late = late.unionByName(matches(stored(more, "pairs"))).distinct()
-    facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left").withColumn("both", F.struct("set_id", "check")).drop("set_id", "check")
+    near = deal(posted()).mapInArrow(_pairs(threshold, FEW), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("more").alias("more"))
+    near = stored(near.select("late", "late_doc", F.slice("near", 1, FEW).alias("near"), (F.col("more") | (F.size("near") > FEW)).alias("more")), "candidates")
+    listed = lambda df, start, stop: df.select("late", "late_doc", F.explode(F.slice("near", start, stop)).alias("e")).select("late", "late_doc", "e.early", "e.early_doc")
+    late = stored(matches(stored(listed(near, 1, 1), "pairs")), "late")
+    undecided = lambda df: df.join(late.select(F.col("set_id").alias("late")), "late", "left_anti")
+    left = stored(undecided(near.where((F.size("near") > 1) | F.col("more"))), "undecided")
+    if not left.isEmpty():
+        late = stored(late.unionByName(matches(stored(listed(left, 2, FEW), "pairs"))).distinct(), "late")
+        rest = stored(undecided(left.where("more")).select(F.col("late").alias("set_id"), F.col("late_doc").alias("doc")), "undecided")
+        n = rest.count()
+        if n:
+            words = likely_members(docs, "doc", rest.select("doc"), n).select("text").mapInArrow(prefix_words, "set_id long, word long")
+            words = stored(only_members(words, "set_id", rest.select("set_id"), n).select("word").distinct(), "words")
+            flags = word_levels(words.select(F.col("word").bitwiseAND(F.lit(CELLS - 1)).alias("cell"), F.lit(1).cast("long").alias("n")))
+            again = only_members(posted(spark.sparkContext.broadcast(flags)), "word", words, words.count()).join(rest.select("set_id", F.lit(True).alias("open")), "set_id", "left")
+            again = again.withColumn("about", F.when(F.col("open"), F.col("about")).otherwise(F.col("about") - 1))
+            more = deal(again).mapInArrow(_pairs(threshold, None), schema).select("late", "late_doc", "early", "early_doc").dropDuplicates(["late", "early"])
+            late = late.unionByName(matches(stored(more, "pairs"))).distinct()
+    # only sets that are late or stand twice take lines away
+    places = all_lines.groupBy("set_id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left").where("n > 1 or late")
+    facts = stored(facts.select(F.struct("set_id", "check").alias("both"), "first", "n", "late"), "facts")
     slim = all_lines.select("doc", "version", "line", F.struct("set_id", "check").alias("both"))
-    judged = attach(slim, stored(facts, "facts"), "both", "n", all_lines.count())
+    judged = attach(likely_members(slim, "both", facts.select("both"), facts.count()), facts, "both", "n", all_lines.count())
     gone = F.coalesce("late", F.lit(False)) | (F.struct("doc", "line") != F.col("first"))
     return judged.where(gone).groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 

@@ -25,17 +25,15 @@ Beside it stands an exact unigram score: words travel as they are, and a segment
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored
+from .common import Words, hashes_of, mixed, slices, stored
 
 #: Bits for each entry, probes for each entry, levels at most.
 BITS, PROBES, LEVELS = 16, 4, 40
@@ -63,32 +61,27 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Batch:
     """Tokens of some texts: each ends with an end token, which is number 0."""
 
-    words: list[bytes]  # the different words; number 0 is the end
+    words: pa.Array  # the different words; number 0, the empty one, is the end
     at: np.ndarray  # number of each token
     ends: np.ndarray  # past each text's last token
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Batch:
-        number: dict[bytes, int] = {b"": 0}
-        at, ends = [], []
-        for text in texts:
-            words = tokens(text)
-            at += [number.setdefault(w, len(number)) for w in words]
-            at.append(0)
-            ends.append(len(at))
-        return cls(list(number), np.array(at, dtype=np.int64), np.array(ends, dtype=np.int64))
+    def of(cls, texts: pa.Array) -> Batch:
+        found = Words.of(texts)
+        ends = np.cumsum(found.sizes + 1)
+        at = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        real = np.ones(len(at), dtype=bool)
+        real[ends - 1] = False
+        at[real] = found.code + 1
+        return cls(pa.concat_arrays([pa.array([b""]), found.words.cast(pa.binary())]), at, ends)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each different word, and for each token the number of the one before (-1: none)."""
-        before = np.concatenate([[-1], self.at[:-1]]).astype(np.int64)
-        before[np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]] = -1
+        before = np.concatenate([[-1], self.at[:-1]]).astype(np.int64)[: len(self.at)]
+        before[np.concatenate([[0], self.ends[:-1]])[: len(self.ends)].astype(np.int64)] = -1
         return hashes_of(self.words), before
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
-
-
 @dataclass
 class LogFrequencyBloom:
     bits: np.ndarray  # bytes, segment after segment
@@ -172,21 +165,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """Word (binary; the empty one is the end of a text), its hash h and its count n, in a column `text` of all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashes_of(words).view(np.int64)), pa.array(seen.values(), pa.int64())], names=["word", "h", "n"])
-            seen.clear()
-            return out
-
-        for whole in batches:
-            for text in whole.column("text").to_pylist():
-                seen.update(tokens(text))
-                seen[b""] += 1
-                if len(seen) > 400_000:
-                    yield flush()
-        yield flush()
+        for batch in slices(batches, "text", 10_000):
+            found = Batch.of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([found.words, pa.array(hashes_of(found.words).view(np.int64)), pa.array(np.bincount(found.at, minlength=len(found.words)))], names=["word", "h", "n"])
 
     return texts.select("text").mapInArrow(count, "word binary, h long, n long").groupBy("word").agg(F.any_value("h").alias("h"), F.sum("n").alias("n"))
 
@@ -205,15 +186,14 @@ def frequent_contexts(texts: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray,
     known = np.unique(np.append(hashes.astype(np.uint64), np.uint64(START)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                batch = Batch.of(whole.column("text").slice(i, 2000).to_pylist())
-                words, before = batch.hashes()
-                left = np.where(before < 0, np.uint64(START), words[before])
-                place = np.minimum(np.searchsorted(known, left), len(known) - 1)
-                here = known[place] == left
-                pairs, first, n = np.unique(pair_hash(left[here], words[batch.at[here]]), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(place[here][first]), pa.array(pairs.view(np.int64)), pa.array(n)], names=["place", "pair", "n"])
+        for some in slices(batches, "text", 10_000):
+            batch = Batch.of(some.column("text"))
+            words, before = batch.hashes()
+            left = np.where(before < 0, np.uint64(START), words[before])
+            place = np.minimum(np.searchsorted(known, left), len(known) - 1)
+            here = known[place] == left
+            pairs, first, n = np.unique(pair_hash(left[here], words[batch.at[here]]), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place[here][first]), pa.array(pairs.view(np.int64)), pa.array(n)], names=["place", "pair", "n"])
 
     counts = texts.select("text").mapInArrow(count, "place long, pair long, n long").groupBy("place", "pair").agg(F.sum("n").alias("n"))
     sums = counts.groupBy("place").agg(F.sum(quantised(F.col("n"))).alias("z"), F.count("*").alias("t")).toPandas()
@@ -226,7 +206,7 @@ class Question:
     """What a batch sends: its words by hash; the pairs that each opens, by context and hash of the second word;
     and the pairs after frequent contexts, by their own hash. It is the same in whatever order the texts come."""
 
-    def __init__(self, texts: list[str | None], frequent: np.ndarray) -> None:
+    def __init__(self, texts: pa.Array, frequent: np.ndarray) -> None:
         self.batch = Batch.of(texts)
         words, self.before = self.batch.hashes()
         self.order = np.argsort(words, kind="stable")
@@ -268,7 +248,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(size // BATCH_BYTES + 1)))
 
     def ask(table: pa.Table) -> pa.Table:
-        q = Question(table.column("text").to_pylist(), contexts.value[0])
+        q = Question(table.column("text").combine_chunks(), contexts.value[0])
         starts = np.concatenate([[0], q.batch.ends[:-1]])
         trained = np.repeat(table.column("training").to_numpy(), q.batch.ends - starts).astype(np.int64)
         times = np.bincount(q.batch.at[trained > 0], minlength=len(q.order))[q.order]
@@ -287,7 +267,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             pa.array(each.astype(np.int32)),
             pa.array(np.full(len(each), table.column("batch")[0].as_py())),
             pa.array(np.full(len(each), q.check)),
-            pa.ListArray.from_arrays(offsets, pa.array(q.batch.words, pa.binary()).take(pa.array(q.order))),
+            pa.ListArray.from_arrays(offsets, q.batch.words.take(pa.array(q.order))),
             packed(times, at_words),
             packed(q.fan, at_words),
             pa.array([successor[a:b].T.tobytes() for a, b in at_opened], pa.binary()),
@@ -301,7 +281,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         table = table.combine_chunks()
         lists = table.column("words").combine_chunks()
         coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         joined = lambda c, kind="<u4": np.concatenate([unplaned(x, kind) for x in table.column(c).to_pylist()]).astype(np.int64)
         exact = np.bincount(code, weights=joined("times"), minlength=len(words)).astype(np.int64)
         hashes = hashes_of(words)
@@ -335,7 +315,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         frequent, frequent_z, frequent_t = contexts.value
-        q = Question(table.column("text").to_pylist(), frequent)
+        q = Question(table.column("text").combine_chunks(), frequent)
         answers = answers.sort_by("segment")
         if set(answers.column("check").to_pylist()) != {q.check}:
             raise ValueError("the texts of a batch changed between two readings")

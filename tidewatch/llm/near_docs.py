@@ -24,19 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, likely_members, mixed, only_members, stored
+from .common import Words, attach, hashes_of, likely_members, mixed, only_members, slices, stored
 from .components import bounds, components, runs
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 80, 100
 CELLS, TOGETHER = 1 << 19, 1 << 14
-SLICE_ROWS = 400
+SLICE_ROWS = 800
 #: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
 NEAREST = (4, None)
 #: Sets of a key that are compared with each other in one task at most.
@@ -72,30 +71,23 @@ BANDS = Bands()
 class Sets:
     """The shingle sets of some texts, empty ones left out."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        number: dict[bytes, int] = {}
-        at, ends, short = [], [], {}
-        for t, text in enumerate(texts):
-            words = (text or "").encode("utf-8", "replace").lower().split()
-            if len(words) < WORDS:
-                if words:
-                    short[t] = xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))
-                words = []
-            at += [number.setdefault(w, len(number)) for w in words]
-            ends.append(len(at))
-        of = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype=np.uint64, count=len(number)))
-        words = of[np.array(at, dtype=np.int64)]
+    def __init__(self, texts: pa.Array) -> None:
+        found = Words.of(texts)
+        words = hashes_of(found.words)[found.code]
         n = max(0, len(words) - WORDS + 1)
         shingles = np.zeros(n, dtype=np.uint64)
         for k in range(WORDS):
             shingles = mixed(shingles + words[k : k + n] + np.uint64(k + 1))
-        members, start = [], 0
-        for t, end in enumerate(ends):
-            if t in short:
-                members.append(np.array([short[t]], dtype=np.uint64))
-            else:
-                members.append(np.unique(shingles[start : max(start, end - WORDS + 1)]))
-            start = end
+        members, end = [], 0
+        for size in found.sizes.tolist():
+            start, end = end, end + size
+            if size >= WORDS:
+                members.append(np.unique(shingles[start : end - WORDS + 1]))
+            else:  # the whole sequence
+                whole = np.full(min(size, 1), size, dtype=np.uint64)
+                for word in words[start:end]:
+                    whole = mixed(whole * np.uint64(3) + word)
+                members.append(whole)
         self.sizes = np.array([len(m) for m in members], dtype=np.int64)
         self.members = np.concatenate(members) if members else np.zeros(0, dtype=np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -147,12 +139,6 @@ class Sets:
         return key[take].view(np.int64), row[take]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, SLICE_ROWS):
-            yield whole.slice(i, SLICE_ROWS)
-
-
 def cell_levels(counts: DataFrame) -> np.ndarray:
     """Counts (cell, n) of the cells of shingles as levels of powers of two over the mean.
 
@@ -305,9 +291,9 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             none = [pa.nulls(1, t) for t in (ids.type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))]
             return pa.RecordBatch.from_arrays([*none, *lists], names=["id", "size", "set_id", "bands", "sketches", "cells", "counts"])
 
-        for batch in _slices(batches):
+        for batch in slices(batches, "text", SLICE_ROWS):
             ids = batch.column("id")
-            sets = Sets(batch.column("text").to_pylist())
+            sets = Sets(batch.column("text"))
             row, band = sets.banded(sets.filled)
             sketches = sets.sketches(row, band)
             per_row = np.bincount(row, minlength=batch.num_rows)
@@ -328,16 +314,16 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield counted()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = Sets(batch.column("text").to_pylist())
+        for batch in slices(batches, "text", SLICE_ROWS):
+            sets = Sets(batch.column("text"))
             once = np.unique(sets.set_id[sets.filled], return_index=True)[1]
             row, band = sets.banded(sets.filled[once])
             key, at = sets.keys(row, band, levels.value)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band[at].astype(np.int32)), pa.array(sets.set_id[row[at]])], names=["key", "band", "set_id"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = Sets(batch.column("text").to_pylist())
+        for batch in slices(batches, "text", SLICE_ROWS):
+            sets = Sets(batch.column("text"))
             offsets = pa.array(np.append(sets.starts, len(sets.members)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.set_id), pa.ListArray.from_arrays(offsets, pa.array(sets.members.view(np.int64)))], names=["id", "set_id", "members"])
 
