@@ -34,7 +34,7 @@ from .components import bounds, components, runs
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 80, 100
-CELLS, TOGETHER = 1 << 19, 1 << 14
+CELLS, TOGETHER = 1 << 20, 1 << 14
 SLICE_ROWS = 800
 #: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
 NEAREST = (4, None)
@@ -139,11 +139,13 @@ class Sets:
         return key[take].view(np.int64), row[take]
 
 
-def cell_levels(counts: DataFrame) -> np.ndarray:
-    """Counts (cell, n) of the cells of shingles as levels of powers of two over the mean.
+def cell_levels(counts: DataFrame, total: int) -> np.ndarray:
+    """Counts (cell, n) of the cells of shingles, so many in total, as levels of powers of two over the mean.
 
-    Spark sums the counts before and after the shuffle, and a task packs a fixed number of cells, so neither
-    what a task holds nor what reaches the driver depends on the input.
+    Tasks leave out the cells that hold at most twice their own mean: a cell's sum lacks at most twice the mean of
+    all, so one with six times the mean is surely seen as frequent. Spark sums the counts before and after the
+    shuffle, and a task packs a fixed number of cells, so neither what a task holds nor what reaches the driver
+    depends on the input.
     """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +158,7 @@ def cell_levels(counts: DataFrame) -> np.ndarray:
     out = np.zeros(CELLS, dtype=np.int64)
     for part, packed in zip(made["part"], made["counts"], strict=True):
         out[part * TOGETHER :][:TOGETHER] = np.frombuffer(packed, dtype=np.int64)
-    return np.frexp(out / max(1.0, 4 * out.mean() + 8))[1].clip(0, 40).astype(np.int64)
+    return np.frexp(out / max(1.0, 4 * total / CELLS + 8))[1].clip(0, 40).astype(np.int64)
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +286,7 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ids = pa.nulls(1)
 
         def counted() -> pa.RecordBatch:
-            cells = np.flatnonzero(seen)
+            cells = np.flatnonzero(seen > 2 * seen.mean())
             one = pa.array([0, len(cells)], pa.int32())
             lists = [pa.ListArray.from_arrays(one, pa.array(cells.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(seen[cells]))]
             seen[:] = 0
@@ -330,7 +332,7 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     described = stored(rows.mapInArrow(describe, f"id {id_type}, size long, set_id long, bands array<int>, sketches array<array<long>>, cells array<int>, counts array<long>"), "documents")
     about = described.where("size is not null").drop("cells", "counts")
     counts = described.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("z")).select(F.col("z.cells").alias("cell"), F.col("z.counts").alias("n"))
-    levels = spark.sparkContext.broadcast(cell_levels(counts))
+    levels = spark.sparkContext.broadcast(cell_levels(counts, about.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
     classes = about.where("size > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketches").alias("sketches"))
     classes = stored(classes, "classes")
     sketches = classes.select("set_id", "size", F.explode(F.arrays_zip("bands", "sketches")).alias("z")).select("set_id", "size", F.col("z.bands").alias("band"), F.col("z.sketches").alias("sketch"))
