@@ -34,8 +34,8 @@ def test_increase_counts_a_repeated_timestamp_once(spark):
 def test_rate_adds_resets_and_rolled_agrees(spark):
     s = frame(spark, *(({"a": "x"}, t * 10_000, v) for t, v in enumerate([1.0, 5.0, 2.0, 8.0, 3.0, 4.0, 9.0])))
     grid = Grid(30_000, 60_000, 10_000)
-    for f in ("rate", "increase", "delta", "changes", "resets", "sum_over_time", "max_over_time"):
-        one = values(m.over_time(s, f, grid, 30_000))
+    for f in sorted(m.ROLLED - ranges.NAMED):
+        one = values(m.over_time(s, ranges.FUNCTIONS[f], grid, 30_000))  # from the whole windows
         other = values(m.rolled(s, [f], grid, 30_000).withColumnRenamed(f, "value").where("value is not null"))
         assert [x[:2] for x in one] == [x[:2] for x in other]
         assert [x[2] for x in one] == pytest.approx([x[2] for x in other])
@@ -44,7 +44,8 @@ def test_rate_adds_resets_and_rolled_agrees(spark):
 def test_delta_counters_leave_the_first_increase_out(spark):
     s = frame(spark, *(({}, t, v) for t, v in ((-61_000, 90.0), (-29_000, 10.0), (0, 40.0))))
     found = values(m.delta_rate(s, Grid.instant(1_000), 60_000))
-    assert found[0][2] == pytest.approx(40 * (29 + 30 + 1) / 29 / 60, rel=1e-2)
+    assert found[0][2] == pytest.approx(40 * (29 + 30 + 1) / 29 / 60)
+    assert values(m.delta_irate(s, Grid.instant(1_000), 60_000))[0][2] == pytest.approx(40 / 29)
 
 
 def test_instant_selector_leaves_out_a_sample_as_old_as_the_lookback(spark):
@@ -76,6 +77,9 @@ def test_duplicate_label_sets_fail(spark):
     s = frame(spark, ({"__name__": "x", "a": "1"}, 0, 1.0), ({"__name__": "y", "a": "1"}, 0, 1.0))
     with pytest.raises(Exception, match="same labelset"):
         m.over_time(s, "sum_over_time", Grid.instant(0), 10).collect()
+    for found in (m.over_time(s, "deriv", Grid.instant(0), 10), m.rolled(s, ["count_over_time"], Grid.instant(0), 10), m.delta_rate(s, Grid.instant(0), 10)):
+        with pytest.raises(Exception, match="same labelset"):
+            found.collect()
 
 
 def test_division_by_zero(spark):
@@ -90,7 +94,21 @@ def test_labels(spark):
     assert row.x == row.y and row.r == {"a": "1", "b": "2", "d": "2-2"} and row.n > "a" + "0" * 31 + "9"
 
 
+def test_whole_numbers_bounds_and_dates_of_odd_values(spark):
+    odd = [math.nan, math.inf, -math.inf, 1e20, -2.5, 2.5]
+    s = frame(spark, *(({"a": str(i)}, 0, v) for i, v in enumerate(odd)))
+    got = lambda f: [x[2] for x in values(m.map_values(s, f))]
+    same = lambda a, b: all(x == y or (math.isnan(x) and math.isnan(y)) for x, y in zip(a, b, strict=True))
+    assert same(got(m.INSTANT["ceil"]), [*odd[:4], -2.0, 3.0]) and same(got(m.INSTANT["floor"]), [*odd[:4], -3.0, 2.0])
+    assert same(got(m.INSTANT["round"]), [*odd[:4], -2.0, 3.0])
+    assert got(lambda v: m.clamp(v, 3, 1)) == [] and same(got(lambda v: m.clamp(v, -1, 1)), [math.nan, 1, -1, 1, -1, 1])
+    assert same(got(m.INSTANT["year"]), [math.nan] * 4 + [1969, 1970])
+
+
 def test_count_values_text(spark):
+    odd = {1.5e25: "15000000000000000000000000", 1.5e-7: "0.00000015", -1.25e10: "-12500000000", 12345678.5: "12345678.5", 1e7: "10000000", -2e-12: "-0.000000000002", 3.0: "3", 123456789.125: "123456789.125"}
+    texts = frame(spark, *(({"a": t}, 0, v) for v, t in odd.items())).select(F.col("labels")["a"].alias("want"), m.number_text(F.col("value")).alias("got")).collect()
+    assert [r.got for r in texts] == [r.want for r in texts]
     s = frame(spark, ({"a": "1"}, 0, 1e8), ({"a": "2"}, 0, 0.5), ({"a": "3"}, 0, 0.5))
     assert values(m.count_values(s, "v")) == [((("v", "0.5"),), 0, 2.0), ((("v", "100000000"),), 0, 1.0)]
 

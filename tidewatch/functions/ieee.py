@@ -57,10 +57,23 @@ ARITHMETIC = {
 }
 
 
+def _whole(a: Column, f) -> Column:
+    """f, a function to whole numbers, of a double; doubles of 2**53 or more, infinities and NaN are what they are."""
+    return F.when(F.abs(a) < 2.0**53, f(a).cast("double")).otherwise(a)
+
+
+def ceil(a: Column) -> Column:
+    return _whole(a, F.ceil)
+
+
+def floor(a: Column) -> Column:
+    return _whole(a, F.floor)
+
+
 def round_to(a: Column, nearest: float = 1.0) -> Column:
     """a rounded to a multiple of nearest, halves up."""
     inverse = 1.0 / nearest
-    return F.when(F.isnan(a) | (F.abs(a) == INF), a).otherwise(F.floor(a * inverse + 0.5).cast("double") / inverse)
+    return floor(a * inverse + 0.5) / inverse
 
 
 def least_number(a: Column) -> Column:
@@ -72,6 +85,14 @@ def greatest_number(a: Column) -> Column:
     return F.coalesce(F.max(F.when(~F.isnan(a), a)), F.max(a))
 
 
+def percentile(a: Column, phi: float) -> Column:
+    """Aggregate: the interpolated quantile, summed up as counts of values; NaN counts as the least value."""
+    if phi != phi or phi < 0 or phi > 1:
+        return F.max(F.lit(NAN if phi != phi else -INF if phi < 0 else INF))
+    found = F.percentile(F.when(F.isnan(a), F.lit(-INF)).otherwise(a), phi)
+    return F.when(F.bool_or(F.isnan(a)) & ((found == -INF) | F.isnan(found)), F.lit(NAN)).otherwise(found)
+
+
 def quantile(values: Column, phi: float) -> Column:
     """Interpolated quantile of an array of numbers; phi below 0 or over 1 gives an infinity."""
     if phi != phi:

@@ -59,20 +59,15 @@ def _rate(counter: bool, per_second: bool):
     return out
 
 
-def delta_rate(s: Column, end: Column, range_ms: int, level: Column, per_second: bool = True) -> Column:
-    """Rate of a counter stored as increases: the window's increases but the first's; level is the running total at the first."""
-    change = F.aggregate(s, F.lit(0.0), lambda a, x: a + x["v"]) - first(s)["v"]
-    return extrapolated(change, first(s)["ts"], last(s)["ts"], F.size(s), level, end, range_ms, True, per_second)
+def between(a: Column, b: Column, per_second: bool) -> Column:
+    """Change from sample a to b; per second a counter's, whose fall is a reset."""
+    change = F.when(b["v"] < a["v"], b["v"]).otherwise(b["v"] - a["v"]) if per_second else b["v"] - a["v"]
+    gap = (b["ts"] - a["ts"]) / 1000.0
+    return F.when(gap > 0, F.try_divide(change, gap) if per_second else change)
 
 
 def _instant(per_second: bool):
-    def out(s: Column, end: Column, range_ms: int) -> Column:
-        a, b = F.get(s, F.size(s) - 2), last(s)
-        change = F.when(b["v"] < a["v"], b["v"]).otherwise(b["v"] - a["v"]) if per_second else b["v"] - a["v"]
-        gap = (b["ts"] - a["ts"]) / 1000.0
-        return F.when((F.size(s) >= 2) & (gap > 0), F.try_divide(change, gap) if per_second else change)
-
-    return out
+    return lambda s, end, range_ms: F.when(F.size(s) >= 2, between(F.get(s, F.size(s) - 2), last(s), per_second))
 
 
 def _line(s: Column, origin: Column) -> tuple[Column, Column]:
