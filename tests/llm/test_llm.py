@@ -56,12 +56,57 @@ def test_language(spark):
     assert langid.identify(rows, none).first().lang_pred == "und"
 
 
+def plain_log(word, prob, pieces):
+    """Logarithm of the sum over all segmentations of a word, one by one from the left, in whole fractions."""
+    from fractions import Fraction
+
+    exact = {p: Fraction(x) for p, x in zip(pieces, prob, strict=True)}
+    marked, sums = "▁" + word, [Fraction(1)] + [Fraction(0)] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - 20), end):
+            for piece in {marked[start + 1 : end + 1], marked[:end + 1] if start == 0 else ""} - {""}:
+                sums[end] += sums[start] * exact.get(piece, 0)
+        if word[end - 1] not in exact and not (end == 1 and "▁" + word[0] in exact):
+            sums[end] += sums[end - 1] * Fraction(langid.UNCOVERED)
+    total = sums[-1]
+    return math.log(total.numerator) - math.log(total.denominator)
+
+
 def test_forward_sums_all_segmentations():
-    segment = langid.Segmenter(["▁a", "a", "ab", "b", "▁ab"])
-    found = segment.matches(["ab"])
-    prob = np.array([[0.1], [0.2], [0.3], [0.15], [0.25]])
-    alpha = langid.forward(1, found, langid._weights(prob, found[3]), np.array([2]))
-    assert alpha[2, 0, 0] == pytest.approx((0.1 + 0.2) * 0.15 + 0.3 + 0.25)
+    random.seed(3)
+    pieces = ["▁a", "a", "ab", "b", "▁ab", "bab", "abab", "▁b", "c", "cab"]
+    prob = np.array([[random.random() * 10.0 ** -random.randint(1, 6)] for _ in pieces])
+    model = langid.LanguageModel(pieces, ["x"], np.zeros(1), prob)
+    words = ["ab", "a", "c", "zz", "abz"] + ["".join(random.choices("abc", k=n)) for n in (5, 19, 20, 21, 40, 41, 90, 400)] + ["z" * 300, "ab" * 400]
+    logs = langid.Scorer(model).logs(words)
+    assert logs[:, 0] == pytest.approx([plain_log(w, prob[:, 0].tolist(), pieces) for w in words])
+    # expected counts: every letter is in one piece, and the learning's counts equal those of plain enumeration
+    segment = langid.Segmenter(pieces)
+    long = words[-3]
+    for word in ("abab", long):
+        found = segment.matches([word])
+        share = langid.expected(1, found, langid._weights(prob, found[3]), np.array([len(word)]))
+        covered = np.zeros(len(word))
+        for start, end, x in zip(found[1], found[2], share, strict=True):
+            covered[start:end] += x
+        assert covered == pytest.approx(np.ones(len(word)))
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = langid.fit(rows.where(~langid.held_out()), langid.default_vocabulary())
+    found = langid.identify(rows.where(langid.held_out()), model).where("lang_pred <> 'und'").select((F.col("lang") == F.col("lang_pred")).alias("right")).collect()
+    assert len(found) > 150 and np.mean([r.right for r in found]) > 0.98
+
+
+def test_language_of_long_words_and_repeated_rows(spark):
+    texts = ["the cat and the dog went there"] * 30 + ["der hund und die katze gehen nicht"] * 30
+    rows = spark.createDataFrame([(i, t, "en" if i < 30 else "de", "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string, score string")
+    model = langid.fit(rows, langid.default_vocabulary())
+    odd = spark.createDataFrame([(1, "the" * 5000, "a"), (1, "the" * 5000, "a"), (2, "katze " * 3000, None), (3, "中" * 3000, "b")], "doc_id long, text string, score string")
+    found = langid.identify(odd, model).collect()
+    assert found[0] == found[1] and found[2].lang_pred == "de" and all(0 <= r.score <= 1 for r in found)
+    assert langid.identify(odd.limit(0), model).count() == 0
 
 
 def test_quality_learns_and_scores_odd_texts(spark):

@@ -1,8 +1,9 @@
 """Language identification by unigram models over a fixed public vocabulary, summed over all segmentations.
 
 Each language has a probability for each piece of the vocabulary. A word's probability is the sum, over
-all ways to cut it into pieces, of the product of their probabilities: a forward pass over its letters.
-A text's words (runs of letters, lower-cased) are independent. The probabilities are learned by
+all ways to cut it into pieces, of the product of their probabilities: a forward pass over its letters, however
+many they are, whose sums are scaled up where they grow too small. A text's words (runs of letters, lower-cased)
+are independent. The probabilities are learned by
 expectation-maximisation over the word counts of a bounded sample of labelled texts: expected piece
 counts come from a forward and a backward pass, are summed on Spark, and only a table of pieces by
 languages reaches the driver.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 UNDETERMINED = "und"
-#: Letters of a word that are segmented together; words that a worker remembers; words handled at a time.
-SPAN, REMEMBERED, CHUNK = 20, 300_000, 20_000
+#: Words that a worker remembers, and letters of the longest of these; words, and letters, handled at a time.
+REMEMBERED, SHORT, CHUNK, LETTERS = 300_000, 40, 20_000, 1 << 20
+#: Sums below LEAST are scaled up by its inverse; this is looked at every so many letters.
+LEAST, EVERY = 1e-100, 8
 #: Probability of a letter that no piece covers, and what each piece's expected count is raised by.
 UNCOVERED, SMOOTHING = 1e-7, 0.02
 _letters = regex.compile(r"\p{L}+").findall
@@ -86,33 +89,74 @@ def _sums(n: int, at: np.ndarray, add: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(n: int, found: tuple, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Forward sums by word, position and column; weight has a row for each match."""
+def _scaled(sums: np.ndarray, scale: np.ndarray, window: slice, at: int) -> None:
+    """Scales up the sums of a window of positions where they are too small at one of them."""
+    small = (sums[at] > 0) & (sums[at] < LEAST)
+    if small.any():
+        factor = np.where(small, 1 / LEAST, 1.0)
+        sums[window] *= factor
+        scale[window] += small
+
+
+def forward(n: int, found: tuple, weight: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums by position, word and column, and how often each was scaled up; weight has a row for each match."""
     word, start, end, _ = found
-    alpha = np.zeros((int(lengths.max(initial=0)) + 1, n, weight.shape[1]))
+    most, longest = int(lengths.max(initial=0)), int((end - start).max(initial=1))
+    alpha, scale = np.zeros((most + 1, n, weight.shape[1])), np.zeros((most + 1, n, weight.shape[1]), dtype=np.int32)
     alpha[0] = 1.0
     order = np.argsort(end, kind="stable")
-    cuts = np.searchsorted(end[order], np.arange(1, len(alpha) + 1))
-    for j in range(1, len(alpha)):
+    cuts = np.searchsorted(end[order], np.arange(1, most + 2))
+    for j in range(1, most + 1):
         m = order[cuts[j - 1] : cuts[j]]
+        scale[j] = scale[j - 1]
         alpha[j] = _sums(n, word[m], alpha[start[m], word[m]] * weight[m])
-    return alpha
+        if j % EVERY == 0:
+            _scaled(alpha, scale, slice(max(0, j - longest), j + 1), j)
+    return alpha, scale
 
 
-def _backward(n: int, found: tuple, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _backward(n: int, found: tuple, weight: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word, start, end, _ = found
-    beta = np.zeros((int(lengths.max(initial=0)) + 1, n, weight.shape[1]))
+    most, longest = int(lengths.max(initial=0)), int((end - start).max(initial=1))
+    beta, scale = np.zeros((most + 1, n, weight.shape[1])), np.zeros((most + 1, n, weight.shape[1]), dtype=np.int32)
     beta[lengths, np.arange(n)] = 1.0
     order = np.argsort(start, kind="stable")
-    cuts = np.searchsorted(start[order], np.arange(len(beta) + 1))
-    for j in range(len(beta) - 2, -1, -1):
+    cuts = np.searchsorted(start[order], np.arange(most + 2))
+    for j in range(most - 1, -1, -1):
         m = order[cuts[j] : cuts[j + 1]]
+        scale[j] = scale[j + 1]
         beta[j] += _sums(n, word[m], beta[end[m], word[m]] * weight[m])
-    return beta
+        if j % EVERY == 0:
+            _scaled(beta, scale, slice(j, min(most, j + longest) + 1), j)
+    return beta, scale
+
 
+def log_sums(alpha: np.ndarray, scale: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Logarithm of each word's probability, by column."""
+    at = np.arange(len(lengths))
+    return np.log(alpha[lengths, at]) + scale[lengths, at] * np.log(LEAST)
+
+
+def expected(n: int, found: tuple, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each match the share of the word's probability that segmentations with it have, for one column."""
+    word, start, end, _ = found
+    (alpha, up), (beta, down) = forward(n, found, weight, lengths), _backward(n, found, weight, lengths)
+    whole = log_sums(alpha, up, lengths)[:, 0]
+    log = np.log(alpha[start, word, 0]) + np.log(weight[:, 0]) + np.log(beta[end, word, 0]) + (up[start, word, 0] + down[end, word, 0]) * np.log(LEAST)
+    return np.exp(log - whole[word])
 
-def spans(word: str) -> list[str]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
+
+def groups(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Places and words, those of like length together, so many letters at a time (a word at least)."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        stop = min(start + CHUNK, len(order))
+        while stop > start + 1 and (stop - start) * int(lengths[order[stop - 1]]) > LETTERS:
+            stop = start + max(1, (stop - start) // 2)
+        yield order[start:stop], [words[i] for i in order[start:stop]]
+        start = stop
 
 
 @dataclass
@@ -131,7 +175,8 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
     """A model of the labelled rows of docs.
 
     Learned from about docs_per_lang texts of each language (a documented bound), drawn by the hash of
-    their ids; rows without language or text don't count. No labelled rows: a model without languages.
+    their ids (all rows of an id are drawn together); rows without language or text don't count. Repeated rows
+    count each. No labelled rows, or an empty table: a model without languages.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -150,8 +195,7 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
             seen: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for word, n in Counter(_letters(text.lower())).items():
-                    for part in spans(word):
-                        seen[lang, part] += n
+                    seen[lang, word] += n
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "word": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     words = stored(sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -164,25 +208,21 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
             segment = Segmenter(pieces)
             total = np.zeros(prob.shape)
             for frame in frames:
-                for i in range(0, len(frame), CHUNK):
-                    part = frame.iloc[i : i + CHUNK]
-                    texts = part["word"].tolist()
-                    lang = part["lang"].map(column).to_numpy()
-                    lengths = np.array([len(w) for w in texts])
+                langs, times = frame["lang"].map(column).to_numpy(), frame["n"].to_numpy()
+                for places, texts in groups(frame["word"].tolist()):
+                    lang = langs[places]
                     found = segment.matches(texts)
-                    word, start, end, piece = found
+                    word, _, _, piece = found
                     weight = np.where(piece < 0, UNCOVERED, prob[piece, lang[word]])[:, None]
-                    alpha, beta = forward(len(texts), found, weight, lengths), _backward(len(texts), found, weight, lengths)
-                    whole = alpha[lengths, np.arange(len(texts)), 0]
-                    share = alpha[start, word, 0] * weight[:, 0] * beta[end, word, 0] / whole[word] * part["n"].to_numpy()[word]
+                    share = expected(len(texts), found, weight, np.fromiter(map(len, texts), dtype=np.int64)) * times[places][word]
                     real = piece >= 0
                     np.add.at(total, (piece[real], lang[word[real]]), share[real])
             at = np.argwhere(total > 0)
             yield pd.DataFrame({"piece": at[:, 0], "lang": at[:, 1], "n": total[at[:, 0], at[:, 1]]})
 
-        expected = words.mapInPandas(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sums = words.mapInPandas(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counted = np.full(prob.shape, SMOOTHING)
-        counted[expected["piece"].to_numpy(), expected["lang"].to_numpy()] += expected["n"].to_numpy()
+        counted[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()
         prob = counted / counted.sum(axis=0)
     return LanguageModel(pieces, langs, prior, prob)
 
@@ -195,6 +235,15 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.table = np.zeros((REMEMBERED * 2, len(model.langs)))
 
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words, by language."""
+        out = np.zeros((len(words), len(self.model.langs)))
+        for places, part in groups(words):
+            lengths = np.fromiter(map(len, part), dtype=np.int64)
+            found = self.segment.matches(part)
+            out[places] = log_sums(*forward(len(part), found, _weights(self.model.prob, found[3]), lengths), lengths)
+        return out
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > len(self.table):
@@ -202,27 +251,25 @@ class Scorer:
             new = list(words)
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), len(self.model.langs)))
-        for i in range(0, len(new), CHUNK):
-            part = new[i : i + CHUNK]
-            lengths = np.array([len(w) for w in part])
-            found = self.segment.matches(part)
-            alpha = forward(len(part), found, _weights(self.model.prob, found[3]), lengths)
-            base = len(self.known)
-            self.table[base : base + len(part)] = np.log(alpha[lengths, np.arange(len(part))])
-            self.known.update(zip(part, range(base, base + len(part)), strict=True))
+        base = len(self.known)
+        self.table[base : base + len(new)] = self.logs(new)
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def scores(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and posterior probability of each text."""
-        split = [[p for w in _letters(t.lower()) for p in (spans(w) if len(w) > SPAN else (w,))] for t in texts]
-        self.learn({w for words in split for w in words})
+        """Language and posterior probability of each text; a word is met as often as it stands there."""
+        split = [_letters(t.lower()) for t in texts]
+        short = [[w for w in words if len(w) <= SHORT] for words in split]
+        self.learn({w for words in short for w in words})
         out = []
-        for words in split:
+        for words, known in zip(split, short, strict=True):
             if not words or not self.model.langs:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            ids = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            ids = np.fromiter(map(self.known.__getitem__, known), dtype=np.int64, count=len(known))
             log = np.bincount(ids) @ self.table[: ids.max() + 1] if len(ids) > len(self.known) else self.table[ids].sum(axis=0)
             log = log + self.model.prior
+            if len(known) < len(words):
+                log = log + self.logs([w for w in words if len(w) > SHORT]).sum(axis=0)
             chance = np.exp(log - log.max())
             best = int(chance.argmax())
             out.append((self.model.langs[best], float(chance[best] / chance.sum())))
@@ -236,8 +283,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """docs with lang_pred and score (the posterior of that language, 0 to 1).
 
     A null text, or one without any letter, is `und` with score 0, as is every text if the model has no
-    language. Columns of those names are replaced. Whole texts are read; of equally likely languages the
-    first by name is taken.
+    language. Columns of those names are replaced, others stay, whatever their names. Whole texts are read, and
+    words of any length; of equally likely languages the first by name is taken. Repeated rows are told alike,
+    each by itself. An empty table gives an empty result.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
