@@ -174,6 +174,8 @@ def test_line_dedup_of_long_lines_hot_words_and_second_round(spark, monkeypatch)
     monkeypatch.setattr(line_dedup, "BLOCK", 8)
     monkeypatch.setattr(line_dedup, "PAIRS", 64)
     monkeypatch.setattr(line_dedup, "FEW", 1)
+    monkeypatch.setattr(line_dedup, "MANY", 1)
+    monkeypatch.setattr(line_dedup, "LOG2_POSTINGS", 6)
     random.seed(11)
     lines = []
     for size in (70, 130, 300, 30):

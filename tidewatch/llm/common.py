@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +51,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes_of(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string's bytes."""
-    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words)))
+#: A random number for each byte at each of the first places of a string; later places use them times an odd number.
+_TABLE = np.random.default_rng(20).integers(0, 1 << 63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashes_of(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes: the sum of a random number for each byte and its place, mixed."""
+    if not len(strings):
+        return np.zeros(0, dtype=np.uint64)
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    values = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
+    each = _TABLE[place & 63, values]
+    if len(sizes) and sizes.max(initial=0) > 64:
+        each = each * (2 * (place >> 6) + 1).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each, dtype=np.uint64)])
+    return mixed(mixed(sums[ends[1:]] - sums[ends[:-1]]) + sizes.astype(np.uint64))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: planes that are alike compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplaned(packed: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def packed_sorted(items: np.ndarray) -> bytes:
+    """Sorted 64-bit items as the byte planes of their differences."""
+    return planes(np.diff(items, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpacked_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(packed, "<u8"), dtype=np.uint64)
+
+
+def segment_of(items: np.ndarray, log2_segments: int) -> np.ndarray:
+    return (items >> np.uint64(64 - log2_segments)).astype(np.int64) if log2_segments else np.zeros(len(items), dtype=np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_rows: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

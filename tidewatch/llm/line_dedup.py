@@ -24,18 +24,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, probed, slices, stored
+from .common import Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_sorted, planes, probed, segment_of, slices, stored, unpacked_sorted, unplaned
 from .components import bounds, runs
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts, cells that are packed together, and levels to an octave of counts.
-CELLS, TOGETHER, OCTAVE = 1 << 23, 1 << 16, 6
-#: Earlier lines that a line is verified against at first.
-FEW = 12
+CELLS, TOGETHER, OCTAVE = 1 << 23, 1 << 13, 6
+#: Earlier lines under a word that a line is verified against at first, if the nearest is near and if it is not.
+FEW, MANY = 8, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
 WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 20, 2000
+#: log2 of the postings that a segment has at most on average; how columns of postings are packed.
+LOG2_POSTINGS = 18
+POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
 
 
 class Lines:
@@ -87,16 +90,14 @@ class Lines:
         shared = self.levels[item] > 1
         return row[shared], place[shared], item[shared]
 
-    def sketches(self) -> tuple[np.ndarray, list[bytes]]:
-        """Each line's sketch in 64 bits, and in its full width where that is more (else empty)."""
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's sketch in 64 bits, and all lines' sketches in their full widths, one after another."""
         wide = widths(self.sizes)
         starts = np.cumsum(wide) - wide
         bit = (self.spread & (wide[self.of].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
         out = np.zeros(int(wide.sum()), dtype=np.uint64)
         np.bitwise_xor.at(out, starts[self.of] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-        raw = out.tobytes()
-        full = [raw[8 * a : 8 * (a + w)] if w > 1 else b"" for a, w in zip(starts.tolist(), wide.tolist(), strict=True)]
-        return np.bitwise_xor.reduceat(out, starts) if len(starts) else out, full
+        return np.bitwise_xor.reduceat(out, starts) if len(starts) else out, out
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -115,60 +116,88 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_levels(counts: DataFrame) -> np.ndarray:
-    """Levels of the cells of words, from rows (cell, n): 0 never, 1 once, then sixths of octaves.
+    """Levels of the cells of words, from rows (part, cells, counts): 0 never, 1 once, then sixths of octaves.
 
-    Spark sums the counts before and after the shuffle; the levels are packed by groups of a fixed number of
-    cells, so what a task holds and the 8 MB that reach the driver don't depend on the input.
+    Counts come packed, by groups of a fixed number of cells. A task adds up the rows of its groups one after
+    another, so it holds a few numbers a cell, however many rows there are; 8 MB of levels reach the driver.
     """
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(TOGETHER, dtype=np.uint8)
-        out[frame["cell"].to_numpy() % TOGETHER] = level_of(frame["n"].to_numpy())
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [out.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "cells", "counts")), strict=True):
+                own = sums.setdefault(part, np.zeros(TOGETHER, dtype=np.int64))
+                own[unplaned(cells, "<u2")] += unplaned(counts, "<u4")
+        levels = [np.where(x > 0, level_of(np.maximum(x, 1)), 0).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    summed = counts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int"))
-    made = summed.groupBy("part").applyInPandas(pack, "part int, levels binary").toPandas()
+    made = counts.repartition("part").mapInArrow(add, "part int, levels binary").toPandas()
     out = np.zeros(CELLS, dtype=np.uint8)
     for part, levels in zip(made["part"], made["levels"], strict=True):
         out[part * TOGETHER :][:TOGETHER] = np.frombuffer(levels, dtype=np.uint8)
     return out
 
 
+def packed_counts(hashes: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Sums by cell of hashes with counts, for :func:`word_levels`."""
+    cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
+    sums = np.bincount(at, weights=counts, minlength=len(cells)).astype("<u4")
+    parts, starts = np.unique(cells // TOGETHER, return_index=True)
+    cuts = [*zip(starts.tolist(), [*starts.tolist(), len(cells)][1:], strict=True)]
+    inside = (cells % TOGETHER).astype("<u2")
+    return parts.tolist(), [planes(inside[a:b]) for a, b in cuts], [planes(sums[a:b]) for a, b in cuts]
+
+
+def flagged(hashes: DataFrame) -> np.ndarray:
+    """Whether a cell holds one of the hashes (column h); as large as the cells, whatever the input."""
+    bits = hashes.select(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).distinct().select(F.expr(f"cell div {TOGETHER}").cast("int").alias("part"), F.expr(f"cell % {TOGETHER}").cast("int").alias("cell"))
+    out = np.zeros(CELLS, dtype=bool)
+    for row in bits.groupBy("part").agg(F.collect_set("cell").alias("cells")).toLocalIterator():
+        out[row["part"] * TOGETHER + np.array(row["cells"])] = True
+    return out
+
+
 def _may_match(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray, threshold: float) -> np.ndarray:
     """Positional filter for sets of n and m words that share the words at these places."""
     need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     return 1 + np.minimum(n - 1 - at_n, m - 1 - at_m) >= need
 
 
-def _nearest(late: np.ndarray, early: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the nearest so many pairs of each late line, and whether the line has more."""
+def _nearest(late: np.ndarray, early: np.ndarray, apart: np.ndarray, limit: np.ndarray, few: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest pairs of each late line, few if the nearest is surely similar, and whether it has more."""
     order = np.lexsort([early, apart, late])
     starts = bounds([late[order]])
     sizes = np.diff(starts)
+    best = order[starts[:-1]]
+    most = np.where(2 * apart[best] <= limit[best], few, many)
     rank = np.arange(len(order)) - np.repeat(starts[:-1], sizes)
-    return order[rank < most], np.repeat(sizes > most, sizes)[rank < most]
+    kept = rank < np.repeat(most, sizes)
+    return order[kept], np.repeat(sizes > most, sizes)[kept]
 
 
-def _pairs(threshold: float, most: int | None):
-    """From postings sorted by key and size: pairs of an early and a late set that may be similar, with the bits
-    that their sketches are apart; of each late set under a key the nearest so many (all if None)."""
+def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
+    """From packed postings, sorted by segment: pairs of an early and a late set that may be similar, with the bits
+    that their sketches are apart; of each late set under a key the nearest ones,
+    few or many, or all. So many pairs are looked at together."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key"]):
-            table = table.combine_chunks()
-            key, doc, line, sets, about, sketch = (table[c].to_numpy(zero_copy_only=False) for c in ("key", "doc", "line", "set_id", "about", "sketch"))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            run = np.cumsum(new) - 1
-            order = np.lexsort([line, doc, sets, run])
-            first = np.ones(len(run), dtype=bool)
-            first[1:] = (run[order][1:] != run[order][:-1]) | (sets[order][1:] != sets[order][:-1])
-            kept = np.sort(order[first])  # the first posting of each set under a key, still by size
-            run, doc, line, sets, about, sketch = run[kept], doc[kept], line[kept], sets[kept], about[kept], sketch[kept].view(np.uint64)
+        for table in runs(batches, ["segment"]):
+            columns = {c: table.column(c).to_pylist() for c in POSTING}
+            key = np.concatenate([unpacked_sorted(x) for x in columns["key"]]).view(np.int64)
+            doc, line, sets, about, sketch = (np.concatenate([unplaned(x, POSTING[c]) for x in columns[c]]) for c in ("doc", "line", "set_id", "about", "sketch"))
+            flat = np.frombuffer(b"".join(columns["wide"]), dtype=np.uint64)
+            wide = widths(about >> 34)
+            at_wide = np.cumsum(np.where(wide > 1, wide, 0)) - wide
+            order = np.lexsort([line, doc, sets, key])
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (sets[order][1:] != sets[order][:-1])
+            kept = order[new]  # the first posting of each set under a key
+            kept = kept[np.lexsort([about[kept], key[kept]])]
+            key, doc, line, sets, about, sketch, wide, at_wide = (x[kept] for x in (key, doc, line, sets, about, sketch, wide, at_wide))
+            run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
             size, place, part, open_ = about >> 34, about >> 3 & 0x7FFFFFFF, about >> 1 & 3, about & 1 == 1
-            wide = widths(size)
-            full = table["wide"].chunk(0) if table["wide"].num_chunks else pa.array([], pa.binary())
             at = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist() if w > 1}
-            of = {w: np.frombuffer(b"".join(full.take(pa.array(kept[i])).to_pylist()), dtype=np.uint64).reshape(len(i), w) for w, i in at.items()}
+            of = {w: flat[at_wide[i][:, None] + np.arange(w)] for w, i in at.items()}
             number = np.zeros(len(run), dtype=np.int64)
             for i in at.values():
                 number[i] = np.arange(len(i))
@@ -180,19 +209,17 @@ def _pairs(threshold: float, most: int | None):
             held, start = 0, 0
 
             def narrowed(found: list[np.ndarray]) -> list[np.ndarray]:
-                whole = np.concatenate(found, axis=1) if found else np.zeros((4, 0), dtype=np.int64)
+                whole = np.concatenate(found, axis=1) if found else np.zeros((5, 0), dtype=np.int64)
                 if not most or not whole.shape[1]:
                     return [whole]
-                take, more = _nearest(*whole[:3], most)
+                take, more = _nearest(*whole[:4], *most)
                 out = whole[:, take]
-                out[3] |= more
                 # a line that had more once has more for good
-                again = np.isin(out[0], whole[0][whole[3] == 1])
-                out[3] |= again
+                out[4] |= more | np.isin(out[0], whole[0][whole[4] == 1])
                 return [out]
 
             while start < len(run):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, "right")))
                 y = np.repeat(np.arange(start, stop), many[start:stop])
                 x = np.arange(len(y)) - np.repeat(np.cumsum(many[start:stop]) - many[start:stop], many[start:stop]) + np.repeat(low[start:stop], many[start:stop])
                 start = stop
@@ -216,28 +243,28 @@ def _pairs(threshold: float, most: int | None):
                         sides.append(bits)
                     apart[here] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
                 ok = apart <= limit
-                x, y, apart = x[ok], y[ok], apart[ok]
+                x, y, limit, apart = x[ok], y[ok], limit[ok], apart[ok]
                 later = (doc[y] > doc[x]) | ((doc[y] == doc[x]) & ((line[y] > line[x]) | ((line[y] == line[x]) & (sets[y] > sets[x]))))
                 late, early = np.where(later, y, x), np.where(later, x, y)
                 ok = open_[late]
-                found.append(np.stack([late[ok], early[ok], apart[ok], np.zeros(ok.sum(), dtype=np.int64)]))
+                found.append(np.stack([late[ok], early[ok], apart[ok], limit[ok], np.zeros(ok.sum(), dtype=np.int64)]))
                 held += int(ok.sum())
-                if held > 2 * PAIRS:
-                    if most:
-                        found = narrowed(found)
-                        held = found[0].shape[1] if found[0].shape[1] < PAIRS else 0
-                    else:
+                if held > 2 * at_once:
+                    if not most:
                         yield _found(np.concatenate(found, axis=1), sets, doc)
                         found, held = [], 0
+                    else:
+                        found = narrowed(found)
+                        held = found[0].shape[1] if found[0].shape[1] < at_once else 0
             yield _found(narrowed(found)[0], sets, doc)
 
     return pair
 
 
 def _found(pairs: np.ndarray, sets: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    late, early, apart, more = pairs
-    arrays = [pa.array(x) for x in (sets[late], doc[late], sets[early], doc[early], apart.astype(np.int32), more.astype(bool))]
-    return pa.RecordBatch.from_arrays(arrays, names=["late", "late_doc", "early", "early_doc", "apart", "more"])
+    late, early, apart, limit, more = pairs
+    arrays = [pa.array(x) for x in (sets[late], doc[late], sets[early], doc[early], apart.astype(np.int32), 2 * apart <= limit, more.astype(bool))]
+    return pa.RecordBatch.from_arrays(arrays, names=["late", "late_doc", "early", "early_doc", "apart", "near", "more"])
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,27 +274,30 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lines of the documents; in rows without a line, counts of words and of their prefixes."""
-        names = ["doc", "version", "line", "set_id", "check", "words", "counts"]
+        names = ["doc", "version", "line", "set_id", "check", "part", "cells", "counts", "words", "n"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+        def rows(many: int, **given: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(many, k)) for c, k in zip(names, kinds, strict=True)], names=names)
+
         for batch in slices(batches, "text", SLICE_ROWS):
             found = Lines(batch.column("text"))
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc", "version"))
-            none = [pa.nulls(len(doc), pa.list_(pa.int64()))] * 2
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (doc, version, found.line, found.set_id, found.check)), *none], names=names)
-            hashes, counts = found.counts
-            cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
-            counts = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
+            yield rows(len(doc), doc=pa.array(doc), version=pa.array(version), line=pa.array(found.line), set_id=pa.array(found.set_id), check=pa.array(found.check))
+            part, cells, counts = packed_counts(*found.counts)
+            yield rows(len(part), part=pa.array(part, pa.int32()), cells=pa.array(cells, pa.binary()), counts=pa.array(counts, pa.binary()))
             # how many sets have a word in their prefix, going by the rarity of words in these documents
-            often, n = np.unique(found.words[found.prefixes(found.firsts(doc), threshold)[2]].view(np.int64), return_counts=True)
-            often, n = often[n > 1], n[n > 1]
-            offsets = pa.array([0, len(cells), len(cells) + len(often)], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in ([cells, often], [counts, n])]
-            kind = pa.array([0, 1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), kind, pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), *lists], names=names)
-
-    found = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, words array<long>, counts array<long>"), "lines")
-    counted = lambda kind, name: found.where(F.col("doc").isNull() & (F.col("line") == kind)).select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select(F.col("z.words").alias(name), F.col("z.counts").alias("n"))
-    levels = spark.sparkContext.broadcast(word_levels(counted(0, "cell")))
-    hot = counted(1, "word").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas().sort_values("word")
+            item = found.prefixes(found.firsts(doc), threshold)[2]
+            often, n = np.unique(found.words[item].view(np.int64), return_counts=True)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+            yield rows(1, words=listed(often[n > 1]), n=listed(n[n > 1]), line=pa.array([len(item)], pa.int32()))
+
+    found = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, part int, cells binary, counts binary, words array<long>, n array<long>"), "lines")
+    often = found.where("words is not null")
+    hot = often.select(F.explode(F.arrays_zip("words", "n")).alias("z")).groupBy(F.col("z.words").alias("word")).agg(F.sum("z.n").alias("n")).where(F.col("n") > BLOCK)
+    hot = hot.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas().sort_values("word")
+    log2_segments = ((often.agg(F.coalesce(F.sum("line"), F.lit(0))).first()[0]) >> LOG2_POSTINGS).bit_length()
+    levels = spark.sparkContext.broadcast(word_levels(found.where("part is not null").select("part", "cells", "counts")))
     cut = spark.sparkContext.broadcast((hot["word"].to_numpy(dtype=np.int64), -(-hot["n"].to_numpy(dtype=np.int64) // BLOCK)))
     all_lines = found.where("doc is not null").select("doc", "version", "line", "set_id", "check")
 
@@ -281,40 +311,52 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in slices(batches, "text", SLICE_ROWS):
             found = Lines(batch.column("text"), levels.value)
             row, _, item = found.prefixes(np.arange(len(found.sizes)), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(found.set_id[row]), pa.array(found.words[item].view(np.int64))], names=["set_id", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.set_id[row]), pa.array(found.words[item].view(np.int64))], names=["set_id", "h"])
 
-    def posted(flagged=None) -> DataFrame:
-        """Postings of the prefixes' words; with a broadcast of flags by cell, of the words of those cells only."""
+    def posted(words=None, open_sets=None) -> DataFrame:
+        """Postings of the prefixes' words by segment, packed; with flags by cell, of the words and with the sets that are flagged."""
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot_words, hot_blocks = cut.value
+            cell = lambda x: (x & np.uint64(CELLS - 1)).astype(np.int64)
             for batch in slices(batches, "text", SLICE_ROWS):
                 found = Lines(batch.column("text"), levels.value)
                 doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.text]
                 row, place, item = found.prefixes(found.firsts(doc), threshold)
-                if flagged is not None:
-                    kept = flagged.value[(found.words[item] & np.uint64(CELLS - 1)).astype(np.int64)] > 0
+                if words is not None:
+                    kept = words.value[cell(found.words[item])]
                     row, place, item = row[kept], place[kept], item[kept]
                 if not len(row):
                     continue
-                word = found.words[item].view(np.int64)
+                word = found.words[item]
+                open_ = open_sets.value[cell(found.set_id.view(np.uint64))[row]] if open_sets is not None else np.ones(len(row), dtype=bool)
                 low = high = part = np.zeros(len(row), dtype=np.int64)
                 if len(hot_words):
-                    near = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
-                    blocks = np.where(hot_words[near] == word, hot_blocks[near], 1)
+                    near = np.minimum(np.searchsorted(hot_words, word.view(np.int64)), len(hot_words) - 1)
+                    blocks = np.where(hot_words[near] == word.view(np.int64), hot_blocks[near], 1)
                     block = (mixed(found.set_id[row].view(np.uint64) + np.uint64(11)) % blocks.astype(np.uint64)).astype(np.int64)
                     each = np.repeat(np.arange(len(row)), blocks)
                     other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    row, place, word, block = row[each], place[each], word[each], block[each]
+                    row, place, word, block, open_ = row[each], place[each], word[each], block[each], open_[each]
                     low, high = np.minimum(block, other), np.maximum(block, other)
                     part = np.where(low == high, 0, np.where(block == low, 1, 2))
-                key = np.where(high > 0, mixed(word.view(np.uint64) ^ mixed((low * (1 << 24) + high).astype(np.uint64) + np.uint64(1))).view(np.int64), word)
-                about = found.sizes[row] << 34 | place << 3 | part << 1 | 1
+                key = np.where(high > 0, mixed(word ^ mixed((low * (1 << 24) + high).astype(np.uint64) + np.uint64(1))), word)
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                about = found.sizes[row] << 34 | place[order] << 3 | part[order] << 1 | open_[order]
                 sketch, wide = found.sketches()
-                arrays = [*(pa.array(v) for v in (key, word, doc[row], found.line[row], found.set_id[row], about, sketch.view(np.int64)[row])), pa.array(wide, pa.binary()).take(pa.array(row))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "doc", "line", "set_id", "about", "sketch", "wide"])
-
-        return docs.select("doc", "text").mapInArrow(postings, "key long, word long, doc long, line int, set_id long, about long, sketch long, wide binary")
+                width = widths(found.sizes)
+                width, at = np.where(width > 1, width, 0)[row], (np.cumsum(width) - width)[row]
+                bits = wide[np.arange(width.sum()) + np.repeat(at - (np.cumsum(width) - width), width)]
+                ends = np.concatenate([[0], np.cumsum(width)])
+                segment = segment_of(key, log2_segments)
+                each = np.unique(segment)
+                cuts = [*zip(np.searchsorted(segment, each).tolist(), np.searchsorted(segment, each, "right").tolist(), strict=True)]
+                columns = {"doc": doc[row], "line": found.line[row], "set_id": found.set_id[row], "about": about, "sketch": sketch[row]}
+                packed = [[packed_sorted(key[a:b]) for a, b in cuts], *([planes(x[a:b].astype(POSTING[c])) for a, b in cuts] for c, x in columns.items()), [bits[ends[a] : ends[b]].tobytes() for a, b in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(x, pa.binary()) for x in packed)], names=["segment", *POSTING])
+
+        return docs.select("doc", "text").mapInArrow(postings, "segment long, " + ", ".join(f"{c} binary" for c in POSTING)).repartition("segment").sortWithinPartitions("segment")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """The late sets of the stored pairs that are similar indeed."""
@@ -328,28 +370,24 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         shared = F.size(F.array_intersect("early_words", "late_words"))
         return both.where(shared * (1 + threshold) >= threshold * (F.size("early_words") + F.size("late_words")) - 1e-9).select(F.col("late").alias("set_id")).distinct()
 
-    columns = ["key", "doc", "line", "set_id", "about", "sketch", "wide"]
-    deal = lambda df: df.select(columns).repartition("key").sortWithinPartitions("key", "about")
-    schema = "late long, late_doc long, early long, early_doc long, apart int, more boolean"
+    schema = "late long, late_doc long, early long, early_doc long, apart int, near boolean, more boolean"
     nearest = F.array_sort(F.collect_set(F.struct("apart", "early", "early_doc")))
-    near = deal(posted()).mapInArrow(_pairs(threshold, FEW), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("more").alias("more"))
-    near = stored(near.select("late", "late_doc", F.slice("near", 1, FEW).alias("near"), (F.col("more") | (F.size("near") > FEW)).alias("more")), "candidates")
+    near = posted().mapInArrow(_pairs(threshold, (FEW, MANY), PAIRS), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("near").alias("few"), F.max("more").alias("more"))
+    most = F.when(F.col("few"), FEW).otherwise(MANY)
+    near = stored(near.select("late", "late_doc", F.slice("near", F.lit(1), most).alias("near"), (F.col("more") | (F.size("near") > most)).alias("more")), "candidates")
     listed = lambda df, start, stop: df.select("late", "late_doc", F.explode(F.slice("near", start, stop)).alias("e")).select("late", "late_doc", "e.early", "e.early_doc")
     late = stored(matches(stored(listed(near, 1, 1), "pairs")), "late")
     undecided = lambda df: df.join(late.select(F.col("set_id").alias("late")), "late", "left_anti")
     left = stored(undecided(near.where((F.size("near") > 1) | F.col("more"))), "undecided")
     if not left.isEmpty():
-        late = stored(late.unionByName(matches(stored(listed(left, 2, FEW), "pairs"))).distinct(), "late")
+        late = stored(late.unionByName(matches(stored(listed(left, 2, MANY), "pairs"))).distinct(), "late")
         rest = stored(undecided(left.where("more")).select(F.col("late").alias("set_id"), F.col("late_doc").alias("doc")), "undecided")
         n = rest.count()
         if n:
-            words = likely_members(docs, "doc", rest.select("doc"), n).select("text").mapInArrow(prefix_words, "set_id long, word long")
-            words = stored(only_members(words, "set_id", rest.select("set_id"), n).select("word").distinct(), "words")
-            flags = word_levels(words.select(F.col("word").bitwiseAND(F.lit(CELLS - 1)).alias("cell"), F.lit(1).cast("long").alias("n")))
-            again = only_members(posted(spark.sparkContext.broadcast(flags)), "word", words, words.count()).join(rest.select("set_id", F.lit(True).alias("open")), "set_id", "left")
-            again = again.withColumn("about", F.when(F.col("open"), F.col("about")).otherwise(F.col("about") - 1))
-            more = deal(again).mapInArrow(_pairs(threshold, None), schema).select("late", "late_doc", "early", "early_doc").dropDuplicates(["late", "early"])
-            late = late.unionByName(matches(stored(more, "pairs"))).distinct()
+            words = likely_members(docs, "doc", rest.select("doc"), n).select("text").mapInArrow(prefix_words, "set_id long, h long")
+            flags = flagged(only_members(words, "set_id", rest.select("set_id"), n).select("h")), flagged(rest.select(F.col("set_id").alias("h")))
+            more = posted(*map(spark.sparkContext.broadcast, flags)).mapInArrow(_pairs(threshold, None, PAIRS), schema)
+            late = late.unionByName(matches(stored(more.select("late", "late_doc", "early", "early_doc").dropDuplicates(["late", "early"]), "pairs"))).distinct()
     # only sets that are late or stand twice take lines away
     places = all_lines.groupBy("set_id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     facts = places.join(late.withColumn("late", F.lit(True)), "set_id", "left").where("n > 1 or late")

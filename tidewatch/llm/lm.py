@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hashes_of, mixed, slices, stored
+from .common import Words, hashes_of, mixed, packed_sorted, planes, segment_of, slices, stored, unpacked_sorted, unplaned
 
 #: Bits for each entry, probes for each entry, levels at most.
 BITS, PROBES, LEVELS = 16, 4, 40
@@ -105,10 +105,6 @@ class LogFrequencyBloom:
         return level
 
 
-def segment_of(items: np.ndarray, log2_segments: int) -> np.ndarray:
-    return (items >> np.uint64(64 - log2_segments)).astype(np.int64) if log2_segments else np.zeros(len(items), dtype=np.int64)
-
-
 def places(items: np.ndarray, level: int, n_bits: int) -> Iterator[np.ndarray]:
     """Bits of a segment that an entry takes."""
     for k in range(PROBES):
@@ -142,25 +138,6 @@ def segment_levels(items: np.ndarray, counts: np.ndarray, bits: int = BITS) -> n
     return LogFrequencyBloom(segment(items[put], counts[put], n_bits), 0, n_bits).levels(items)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes: the upper planes are mostly zeros and compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def unplaned(packed: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def _packed(items: np.ndarray) -> bytes:
-    """Sorted items as the byte planes of their differences."""
-    return planes(np.diff(items, prepend=np.uint64(0)).astype("<u8"))
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(packed, "<u8"), dtype=np.uint64)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """Word (binary; the empty one is the end of a text), its hash h and its count n, in a column `text` of all rows."""
 
@@ -272,7 +249,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             packed(q.fan, at_words),
             pa.array([successor[a:b].T.tobytes() for a, b in at_opened], pa.binary()),
             packed(opened, at_opened),
-            pa.array([_packed(q.pairs[a:b]) for a, b in at_pairs], pa.binary()),
+            pa.array([packed_sorted(q.pairs[a:b]) for a, b in at_pairs], pa.binary()),
             packed(pairs, at_pairs),
         ]
         return pa.Table.from_arrays(arrays, names=["segment", "batch", "check", "words", "times", "fan", "opened", "opened_counts", "pairs", "pair_counts"])
@@ -291,7 +268,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         successor[:, : SUCCESSOR // 8] = np.concatenate(narrow)
         opened, first, opened_at = np.unique(pair_hash(hashes[context], successor.view("<u8").ravel()), return_index=True, return_inverse=True)
         opened_counts = np.bincount(opened_at, weights=joined("opened_counts"), minlength=len(opened)).astype(np.int64)
-        sent = [_unpacked(x) for x in table.column("pairs").to_pylist()]
+        sent = [unpacked_sorted(x) for x in table.column("pairs").to_pylist()]
         pairs, pairs_at = np.unique(np.concatenate(sent), return_inverse=True)
         pair_counts = np.bincount(pairs_at, weights=joined("pair_counts"), minlength=len(pairs)).astype(np.int64)
         level = segment_levels(np.concatenate([hashes, opened, pairs]), np.concatenate([exact, opened_counts, pair_counts]), bits).astype(np.uint8)
