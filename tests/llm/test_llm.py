@@ -272,6 +272,31 @@ def test_log_frequency_bloom_never_underestimates():
     assert (bloom.levels(random_.integers(0, 1 << 63, 5000).astype(np.uint64)) == 0).mean() > 0.98
 
 
+def test_near_vectors_recall_on_many_vectors(spark):
+    random_ = np.random.default_rng(9)
+    base = random_.normal(size=(5200, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    # partners at a cosine just over the threshold, a dense cluster, and magnitudes whose squares over- and underflow
+    away = random_.normal(size=base.shape)
+    away -= (away * base).sum(axis=1)[:, None] * base
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosine = random_.uniform(0.9502, 0.956, 5200)[:, None]
+    cluster = base[:1] + random_.normal(scale=0.035, size=(600, 64))
+    all_ = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * away, cluster])
+    scaled = all_ * np.where(np.arange(len(all_)) % 3 == 0, 1e200, np.where(np.arange(len(all_)) % 3 == 1, 1e-200, 1.0))[:, None]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(scaled.tolist())], "vec_id long, embedding array<double>")
+    found = by_id(near_vectors.near_vectors(table), "vec_id")
+    unit = all_ / np.linalg.norm(all_, axis=1)[:, None]
+    want = np.zeros(len(unit), dtype=np.int64)
+    for i in range(0, len(unit), 1000):
+        want[i : i + 1000] = (unit[i : i + 1000] @ unit.T >= 0.95).sum(axis=1) - 1
+    got = np.array([found[i].n_links for i in range(len(unit))])
+    assert (got <= want).all() and want[:5200].sum() > 5200 and want[10_400:].mean() > 20
+    pairs, dense = got[:10_400].sum() / want[:10_400].sum(), got[10_400:].sum() / want[10_400:].sum()
+    print(f"recall {pairs:.4f} of pairs at the threshold, {dense:.4f} in a dense cluster")
+    assert pairs >= 0.95 and dense >= 0.95
+
+
 def plain_model(texts):
     """Tables of the smoothed model over quantised counts, and P(word | before) by brute force."""
     seen, both = Counter(), Counter()

@@ -1,12 +1,13 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
 Vectors of length one are projected on random directions. Some directions, in groups, cut space into cells,
-several times over; vectors of one cell are sorted by further projections, and for each vector as query
-the projections on which another lies within a window around it are counted. Pairs with enough
-collisions are verified by their cosine. The window, the count and the number of cuttings follow from the
-recall asked for at the threshold itself; more similar pairs are found more surely. Equal vectors are one
-class from the start. A cell with very many vectors is handled in pairs of blocks, so no task gets it whole.
-Links are counted where they are found, in the first cutting that two vectors share, and never listed.
+several times over. Within a cell every further projection is sorted, each vector as query gets the window of
+ranks that lie around its own projection, and for each pair the projections whose window holds the other are
+counted. Pairs with enough collisions are verified by their cosine. The window, the count and the number of
+cuttings follow from the recall asked for at the threshold itself, which pairs lose only by being cut apart or by
+too few collisions; more similar pairs are found more surely. Equal vectors are one class from the start. A cell
+with very many vectors is handled in pairs of blocks, so no task gets it whole. Links are counted where they are
+found, in the first cutting that two vectors share, and never listed.
 """
 
 from __future__ import annotations
@@ -20,13 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stored
+from .common import attach, mixed, stored
 from .components import Forest, bounds, components, runs
 
 #: Vectors of a cell compared in one task; vectors that a cell should have; width of a cell's side.
 BLOCK, CELL, SIDE = 2048, 128, 2.0
 #: Further projections, and the share of them that a pair at the threshold meets in.
 PROJECTIONS, MEETING = 24, 0.9
+#: Queries that are looked at together.
+QUERIES = 128
+
+
+def directions(raw: np.ndarray) -> np.ndarray:
+    """The vectors at length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    scaled = raw / np.abs(raw).max(axis=1, initial=0.0)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
 
 
 @dataclass
@@ -59,34 +68,35 @@ class Cuttings:
         at = np.floor((np.einsum("nd,tsd->nts", unit, self.cells) + self.offsets) / SIDE).astype(np.int64)
         out = np.zeros(at.shape[:2], dtype=np.uint64)
         for s in range(at.shape[2]):
-            out = (out ^ at[:, :, s].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
+            out = mixed(out * np.uint64(3) + at[:, :, s].astype(np.uint64))
         return out.view(np.int64)
 
+    def collisions(self, lines: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows, of left and right, that collide on enough projections (lines: a column for each)."""
+        ranks = np.empty((lines.shape[1], len(right)), dtype=np.uint16)
+        low, wide = (np.empty((lines.shape[1], len(left)), dtype=np.uint16) for _ in range(2))
+        for k in range(lines.shape[1]):
+            order = np.argsort(lines[right, k], kind="stable")
+            ranks[k, order] = np.arange(len(right))
+            line = lines[right[order], k]
+            low[k] = np.searchsorted(line, lines[left, k] - self.window, "left")
+            wide[k] = np.searchsorted(line, lines[left, k] + self.window, "right") - low[k]
+        for i in range(0, len(left), QUERIES):
+            met = np.zeros((len(left[i : i + QUERIES]), len(right)), dtype=np.uint8)
+            for k in range(lines.shape[1]):  # a rank below the window's wraps around and is no less than its width
+                met += ranks[k] - low[k, i : i + QUERIES, None] < wide[k, i : i + QUERIES, None]
+            x, y = np.nonzero(met >= self.count)
+            yield left[i + x], right[y]
+
     def links(self, raw: np.ndarray, cutting: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows, of left and right (or within left, if they are the same), that are first met in this cutting."""
-        norm = np.sqrt((raw * raw).sum(axis=1))
-        unit = raw / norm[:, None]
-        lines = (unit @ self.lines.T).astype(np.float32)
-        same = left is right
-        right = right[np.argsort(lines[right, 0], kind="stable")]
-        order = left[np.argsort(lines[left, 0], kind="stable")]
-        first = lines[right, 0]
+        unit = directions(raw)
+        norm = np.sqrt((unit * unit).sum(axis=1))
         found_a, found_b = [], []
-        for i in range(0, len(order), 128):
-            some = order[i : i + 128]
-            a = np.searchsorted(first, lines[some[0], 0] - self.window, "left")
-            b = np.searchsorted(first, lines[some[-1], 0] + self.window, "right")
-            others = right[a:b]
-            met = np.zeros((len(some), len(others)), dtype=np.int8)
-            for k in range(PROJECTIONS):
-                met += np.abs(lines[some, k][:, None] - lines[others, k]) <= self.window
-            x, y = np.nonzero(met >= self.count)
-            x, y = some[x], others[y]
-            if same:
+        for x, y in self.collisions(unit @ self.lines.T, left, right):
+            if left is right:
                 x, y = x[x < y], y[x < y]
-            cosine = (raw[x] * raw[y]).sum(axis=1) / (norm[x] * norm[y])
-            ok = cosine >= self.threshold
+            ok = (unit[x] * unit[y]).sum(axis=1) / (norm[x] * norm[y]) >= self.threshold
             found_a.append(x[ok])
             found_b.append(y[ok])
         x, y = (np.concatenate(f) if f else np.zeros(0, dtype=np.int64) for f in (found_a, found_b))
@@ -97,16 +107,20 @@ class Cuttings:
         return x, y
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row for each row of vectors: its id, n_links, component_id and kept.
 
     Vectors link at a cosine, in double precision, of the threshold or more. Null or zero vectors, and those
     with a null or non-finite component, or of another length than most, link with nothing. n_links counts
-    other rows, copies included. kept marks the component's smallest id. Rows with the same id are one
-    vertex. recall is what a pair exactly at the threshold is found with, in expectation.
+    other rows, copies included; equal vectors (rows repeated, or ties) are linked without being compared. kept marks
+    the component's smallest id; rows with the same id are alike. recall is what a pair exactly at the threshold is
+    found with, in expectation. Vectors may have any length, of which one task holds two blocks. An empty table gives an empty
+    result; other columns are not read.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, number = ("<f4", "float") if single else ("<f8", "double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     sound = v.isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
     size = rows.where("ok").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -118,19 +132,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     n = classes.count()
     cuttings = Cuttings.fitting(n, dimensions, threshold, recall)
     given = vectors.sparkSession.sparkContext.broadcast(cuttings)
-    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+    # vectors travel as the bytes of their own numbers
+    matrix = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dimensions).astype(np.float64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                raw = matrix(batch.column("v"))
-                cells = given.value.cell_of(raw / np.sqrt((raw * raw).sum(axis=1))[:, None])
+                numbers = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dimensions)
+                cells = given.value.cell_of(directions(numbers.astype(np.float64)))
                 tables = cells.shape[1]
-                each = pa.array(np.repeat(np.arange(len(raw)), tables))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(each) for c in ("node", "size", "v")), pa.array(np.tile(np.arange(tables), len(raw)).astype(np.int64)), pa.array(cells.ravel())], names=["node", "size", "v", "cutting", "cell"])
+                each = pa.array(np.repeat(np.arange(len(numbers)), tables))
+                packed = pa.array([x.tobytes() for x in numbers], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(each) for c in (batch.column("node"), batch.column("size"), packed)), pa.array(np.tile(np.arange(tables), len(numbers)).astype(np.int64)), pa.array(cells.ravel())], names=["node", "size", "v", "cutting", "cell"])
 
-    placed = classes.select("node", "size", "v").mapInArrow(cut, "node long, size long, v array<double>, cutting long, cell long")
+    placed = classes.select("node", "size", "v").mapInArrow(cut, "node long, size long, v binary, cutting long, cell long")
     placed = placed.withColumn("spot", F.xxhash64("cutting", "cell"))
     counts = stored(placed.groupBy("spot").agg(F.count("*").alias("k")).where("k > 1"), "cells")
     placed = attach(placed, counts, "spot", "k", n * len(cuttings.cells)).where("k > 1")
@@ -142,7 +158,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, keys):
             table = table.combine_chunks()
-            raw, nodes, sizes = matrix(table.column("v").chunk(0)), table["node"].to_numpy(), table["size"].to_numpy()
+            raw, nodes, sizes = matrix(table.column("v")), table["node"].to_numpy(), table["size"].to_numpy()
             block, low, high, cutting = (table[c].to_numpy() for c in ("block", "low", "high", "cutting"))
             starts = bounds([table[k].to_numpy() for k in keys])
             links, up = np.zeros(len(raw), dtype=np.int64), np.arange(len(raw))
