@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN, INF = float("nan"), float("inf")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def div(a: Column, b: Column) -> Column:
     """a / b; by zero a signed infinity, or NaN for 0 / 0."""
     return F.when(b == 0, F.when(F.isnan(a) | (a == 0), F.lit(NAN)).otherwise(F.signum(a) * F.lit(INF))).otherwise(F.try_divide(a, b))
@@ -93,6 +100,32 @@ def percentile(a: Column, phi: float) -> Column:
     return F.when(F.bool_or(F.isnan(a)) & ((found == -INF) | F.isnan(found)), F.lit(NAN)).otherwise(found)
 
 
+def quantile(values: Column, phi: float) -> Column:
+    """Interpolated quantile of an array of numbers; phi below 0 or over 1 gives an infinity."""
+    if phi != phi:
+        return F.lit(NAN)
+    if phi < 0 or phi > 1:
+        return F.lit(-INF if phi < 0 else INF)
+
+    def of(x: Column) -> Column:
+        # NaN sorts first here: it counts as the least value
+        ordered = F.concat(F.filter(x, F.isnan), F.array_sort(F.filter(x, lambda v: ~F.isnan(v))))
+        rank = F.lit(phi) * (F.size(x) - 1)
+        low = F.floor(rank).cast("int")
+        ends = let(ordered, lambda o: F.struct(F.get(o, low).alias("a"), F.get(o, F.least(low + 1, F.size(o) - 1)).alias("b")))
+        return F.when(F.size(x) == 0, F.lit(NAN)).otherwise(let(ends, lambda e: e["a"] * (1 - (rank - low)) + e["b"] * (rank - low)))
+
+    return let(values, of)
+
+
+def percentile(a: Column, phi: float) -> Column:
+    """Aggregate: the interpolated quantile, summed up as counts of values; NaN counts as the least value."""
+    if phi != phi or phi < 0 or phi > 1:
+        return F.max(F.lit(NAN if phi != phi else -INF if phi < 0 else INF))
+    found = F.percentile(F.when(F.isnan(a), F.lit(-INF)).otherwise(a), phi)
+    return F.when(F.bool_or(F.isnan(a)) & ((found == -INF) | F.isnan(found)), F.lit(NAN)).otherwise(found)
+
+
 def quantile(values: Column, phi: float) -> Column:
     """Interpolated quantile of an array of numbers; phi below 0 or over 1 gives an infinity."""
     if phi != phi:

@@ -7,12 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAME = "__name__"
-
+from .ieee import let
 
-def let(value: Column, f) -> Column:
-    """f(value) with value evaluated once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+NAME = "__name__"
 
 
 def canonical(labels: Column) -> Column:

@@ -6,7 +6,6 @@ A log frame has ts (long, microseconds), line (string) and labels (map<string,st
 from __future__ import annotations
 
 import ipaddress
-import json
 import re
 
 import pandas as pd
@@ -102,48 +101,52 @@ def _clean(name: Column) -> Column:
 def extracted(labels: Column, found: Column) -> Column:
     """Labels with parsed ones; a parsed name that a label already has gets the suffix _extracted."""
 
-
     def both(x: Column) -> Column:
         own = x["own"]
         renamed = F.transform(F.map_entries(x["found"]), lambda e: F.struct(F.when(F.map_contains_key(own, e["key"]), F.concat(e["key"], F.lit("_extracted"))).otherwise(e["key"]).alias("key"), e["value"].alias("value")))
-        return F.map_concat(own, F.map_from_entries(F.filter(renamed, lambda e: ~F.map_contains_key(own, e["key"]))))
+        clash = F.map_concat(own, F.map_from_entries(F.filter(renamed, lambda e: ~F.map_contains_key(own, e["key"]))))
+        return F.when(F.arrays_overlap(F.map_keys(own), F.map_keys(x["found"])), clash).otherwise(F.map_concat(own, x["found"]))
 
     return lb.let(F.struct(labels.alias("own"), found.alias("found")), both)
 
 
-def _last_wins(keys: Column, values: Column) -> Column:
-    def last(pairs: Column) -> Column:
-        later = lambda i: F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"])
-        return F.map_from_entries(F.transform(F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["k"])), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+def _last_wins(pairs: Column) -> Column:
+    """A map of pairs (k, v); of pairs with one key the last."""
 
-    return lb.let(F.arrays_zip(keys.alias("k"), values.alias("v")), last)
+    def of(x: Column) -> Column:
+        keys = F.transform(x, lambda p: p["k"])
+        later = lambda i: F.slice(keys, i + 2, F.size(x))
+        last = F.filter(x, lambda p, i: ~F.array_contains(later(i), p["k"]))
+        entries = lambda y: F.map_from_entries(F.transform(y, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(x), entries(x)).otherwise(entries(last))
 
+    return lb.let(pairs, of)
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _flat_json(lines: pd.Series) -> pd.Series:
-    """Leaves of a JSON object by path, joined with underscores; of clashing names the last; null if it is no object."""
 
-    def leaves(prefix: str, pairs: list, out: dict) -> dict:
-        for k, v in pairs:
-            name = prefix + re.sub(r"[^a-zA-Z0-9_]", "_", k)
-            if isinstance(v, _Pairs):
-                leaves(name + "_", v, out)
-            elif not isinstance(v, list):
-                out[name] = {True: "true", False: "false", None: ""}.get(v, v) if not isinstance(v, str) else v
-        return out
+#: Levels of a JSON line that become labels of their own; an object below them is one label, its text.
+JSON_LEVELS = 8
+
+
+def _flat_json(line: Column) -> Column:
+    """Leaves of a JSON object by path, joined with underscores; of clashing names the last; null if it is no object.
+
+    Lists are left out, nulls are empty, numbers are written as Spark writes them.
+    """
 
-    def parse(line: str | None):
-        try:
-            found = json.loads(line or "", object_pairs_hook=_Pairs, parse_int=str, parse_float=str)
-        except ValueError:
-            return None
-        return leaves("", found, {}) if isinstance(found, _Pairs) else None
+    def entries(text: Column, prefix: Column) -> Column:
+        one = lambda e: F.struct(F.concat(prefix, _clean(e["key"])).alias("k"), F.to_json(e["value"]).alias("text"), F.coalesce(e["value"].cast("string"), F.lit("")).alias("v"))
+        return F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), one)
 
-    return lines.map(parse)
+    is_object = lambda e: e["text"].startswith("{")
 
+    def deeper(found: Column) -> Column:
+        opened = F.flatten(F.transform(found, lambda e: F.when(is_object(e), entries(e["text"], F.concat(e["k"], F.lit("_")))).otherwise(F.array(e))))
+        return F.when(F.exists(found, is_object), opened).otherwise(found)
 
-class _Pairs(list):
-    """An object's pairs in order."""
+    found = entries(line, F.lit(""))
+    for _ in range(JSON_LEVELS - 1):
+        found = lb.let(found, deeper)
+    return _last_wins(F.filter(found, lambda e: ~e["text"].startswith("[")))
 
 
 def parse_json(labels: Column, line: Column) -> Column:
@@ -159,13 +162,27 @@ def parse_json_paths(labels: Column, line: Column, paths: dict[str, str]) -> Col
     return out
 
 
-def parse_logfmt(labels: Column, line: Column, keep_empty: bool = False) -> Column:
-    """Labels from key=value pairs; values may be quoted."""
-    pair = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
-    keys = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(1)), _clean)
-    values = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r'\\(["\\])', "$1"))
-    found = _last_wins(keys, values)
-    return extracted(labels, found if keep_empty else F.map_filter(found, lambda _, v: v != ""))
+def parse_logfmt(labels: Column, line: Column, keep_empty: bool = False, strict: bool = False, names: dict[str, str] | None = None) -> Column:
+    """Labels from key=value pairs; values may be quoted.
+
+    strict marks a line with anything else in it as an error. names takes only some keys, each under a name of its
+    own, missing ones as empty.
+    """
+    pair = r'[^\s="]+=(?:"(?:[^"\\]|\\.)*"|[^\s"]*)'
+
+    def parts(text: Column) -> Column:
+        value = F.substring(text, F.instr(text, "=") + 1, F.length(text))
+        bare = F.when(value.startswith('"'), F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r'\\(["\\])', "$1")).otherwise(value)
+        return F.struct(_clean(F.substring_index(text, "=", 1)).alias("k"), bare.alias("v"))
+
+    found = _last_wins(F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(0)), parts))
+    if names is not None:
+        found = lb.let(found, lambda f: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(F.try_element_at(f, F.lit(key)), F.lit("")) for key in names.values()))))
+    out = extracted(labels, found if keep_empty or names is not None else F.map_filter(found, lambda _, v: v != ""))
+    if not strict:
+        return out
+    whole = line.rlike(rf"^\s*(?:{pair}(?:\s+|$))*$")
+    return F.when(whole, out).otherwise(lb.with_label(labels, ERROR, F.lit("LogfmtParserErr")))
 
 
 def parse_regexp(labels: Column, line: Column, pattern: str) -> Column:

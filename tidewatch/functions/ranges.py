@@ -117,20 +117,25 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+def squares(values: Column) -> Column:
+    """Sum of the squared distances from the mean."""
+    about = lambda x, mean: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    return ieee.let(values, lambda x: ieee.let(_sum(x) / F.size(x), lambda mean: about(x, mean)))
+
+
 def _variance(s: Column) -> Column:
-    mean = _sum(_values(s)) / F.size(s)
-    return F.aggregate(s, F.lit(0.0), lambda a, p: a + (p["v"] - mean) * (p["v"] - mean)) / F.size(s)
+    return squares(_values(s)) / F.size(s)
 
 
 def _extreme(s: Column, top: bool) -> Column:
     numbers = F.filter(_values(s), lambda v: ~F.isnan(v))
-    return F.when(F.size(numbers) > 0, F.array_max(numbers) if top else F.array_min(numbers)).otherwise(F.lit(ieee.NAN))
+    return F.coalesce(F.array_max(numbers) if top else F.array_min(numbers), F.lit(ieee.NAN))
 
 
 def _time_of(s: Column, top: bool) -> Column:
     """Seconds of the last sample with the extreme value."""
-    at = F.filter(s, lambda p: p["v"] == _extreme(s, top))
-    return F.coalesce(last(at)["ts"], last(s)["ts"]) / 1000.0
+    at = ieee.let(_extreme(s, top), lambda most: F.get(F.reverse(F.filter(s, lambda p: p["v"] == most)), F.lit(0)))
+    return F.coalesce(at["ts"], last(s)["ts"]) / 1000.0
 
 
 def quantile_over_time(phi: float):
@@ -138,8 +143,8 @@ def quantile_over_time(phi: float):
 
 
 def mad_over_time(s: Column, end: Column, range_ms: int) -> Column:
-    middle = ieee.quantile(_values(s), 0.5)
-    return ieee.quantile(F.transform(s, lambda p: F.abs(p["v"] - middle)), 0.5)
+    away = lambda x, middle: ieee.quantile(F.transform(x, lambda v: F.abs(v - middle)), 0.5)
+    return ieee.let(_values(s), lambda x: ieee.let(ieee.quantile(x, 0.5), lambda middle: away(x, middle)))
 
 
 #: Functions (samples, window's end in ms, range in ms) -> value or null. Those with parameters are made by the functions above.

@@ -93,14 +93,14 @@ def over_time(samples: DataFrame, function: str | Callable[[Column, Column, int]
         return found.select("labels", "ts", F.col(function).alias("value")).where("value is not null")
     apply = ranges.FUNCTIONS[function] if isinstance(function, str) else function
     end = F.col("point") - offset_ms
-    value = apply(F.col("s"), end, range_ms)
+    value = ieee.let(F.col("s"), lambda s: apply(s, end, range_ms))
     gathered = windowed(samples, Windows(grid, range_ms, offset_ms), once, function in ranges.NAMED)
     return gathered.select("labels", F.col("point").alias("ts"), F.when(F.col("one") == 1, value).alias("value")).where("value is not null")
 
 
 #: Functions that :func:`rolled` knows, and those that it knows where a time may hold several samples.
-ROLLED_REPEATED = {"count_over_time", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "present_over_time", "log_rate", "ts_of_first_over_time", "ts_of_last_over_time"}
-ROLLED = ROLLED_REPEATED | {"rate", "increase", "delta", "changes", "resets", "first_over_time", "last_over_time", "stddev_over_time", "stdvar_over_time", "irate", "idelta"}
+ROLLED_REPEATED = {"count_over_time", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "present_over_time", "log_rate", "ts_of_first_over_time", "ts_of_last_over_time", "first_over_time", "last_over_time", "stddev_over_time", "stdvar_over_time"}
+ROLLED = ROLLED_REPEATED | {"rate", "increase", "delta", "changes", "resets", "irate", "idelta"}
 
 
 def rolled(samples: DataFrame, functions: list[str], grid: Grid, range_ms: int, offset_ms: int = 0, once: bool = False, named: bool = False) -> DataFrame:
@@ -116,7 +116,7 @@ def rolled(samples: DataFrame, functions: list[str], grid: Grid, range_ms: int,
     kept = samples.where(windows.relevant(F.col("ts"))).withColumns({"key": key, "slot": windows.slot(F.col("ts"))})
     needs_order = bool({"rate", "increase", "delta", "changes", "resets", "irate", "idelta"} & {*functions})
     spreads = bool({"stddev_over_time", "stdvar_over_time"} & {*functions})
-    if once or needs_order or spreads:
+    if once or needs_order:
         slots = kept.groupBy("key", "slot").agg(*_named(first_labels), F.array_sort(F.collect_list(F.struct("ts", F.col("value").alias("v")))).alias("s"))
         s = F.col("s")
         slots = slots.withColumn("s", F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["ts"] != x["ts"], F.lit(True))))
@@ -128,8 +128,7 @@ def rolled(samples: DataFrame, functions: list[str], grid: Grid, range_ms: int,
             "least": F.coalesce(F.array_min(numbers), F.lit(ieee.NAN)), "most": F.coalesce(F.array_max(numbers), F.lit(ieee.NAN)),
         }
         if spreads:
-            mean = total / n
-            columns |= {"mean": mean, "apart": F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))}
+            columns |= {"mean": total / n, "apart": ranges.squares(values)}
         if needs_order:
             columns |= {"lost": ranges.resets_added(s), "changes": ranges.FUNCTIONS["changes"](s, s, 0), "resets": ranges.FUNCTIONS["resets"](s, s, 0), "last_but_one": F.get(s, F.size(s) - 2)}
         slots = slots.select("key", "slot", *first_labels, *_named(columns))
@@ -140,6 +139,8 @@ def rolled(samples: DataFrame, functions: list[str], grid: Grid, range_ms: int,
     else:
         at = F.struct("ts", F.col("value").alias("v"))
         base = {"n": F.count("*"), "total": F.sum("value"), "least": ieee.least_number(F.col("value")), "most": ieee.greatest_number(F.col("value")), "first": F.min(at), "last": F.max(at)}
+        if spreads:
+            base |= {"mean": F.avg("value"), "apart": F.var_pop("value") * F.count("*")}
         slots = kept.groupBy("key", "slot").agg(*_named(first_labels), *_named(base))
     spread = slots.withColumn("point", F.explode(windows.points(F.col("slot"))))
     sums = {"n": F.sum("n"), "total": F.sum("total"), "least": ieee.least_number(F.col("least")), "most": ieee.greatest_number(F.col("most")), "first": F.min("first"), "last": F.max("last")}
@@ -160,8 +161,8 @@ def rolled(samples: DataFrame, functions: list[str], grid: Grid, range_ms: int,
     end, n = F.col("point") - offset_ms, F.col("n")
 
     def variance() -> Column:
-        mean = F.col("total") / n
-        return (F.col("apart") + F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * (x["mean"] - mean) * (x["mean"] - mean))) / n
+        between = lambda mean: F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * (x["mean"] - mean) * (x["mean"] - mean))
+        return (F.col("apart") + ieee.let(F.col("total") / n, between)) / n
 
     def value(name: str) -> Column:
         if name in ("rate", "increase", "delta"):
