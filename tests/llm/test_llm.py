@@ -122,6 +122,73 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert quality.fit(rows.limit(0), labels).chance(np.zeros((1, quality.WIDTH)))[0] == 0.5
 
 
+def test_quality_risk_and_gradient_by_hand():
+    random_ = np.random.default_rng(1)
+    weights = [random_.normal(size=(3, 4)), random_.normal(size=4), random_.normal(size=4), random_.normal(size=1)]
+    p, u = random_.normal(size=(7, 3)), random_.normal(size=(9, 3))
+    pw, uw = np.full(7, 1 / 7), random_.dirichlet(np.ones(9))
+
+    def risk(prior):
+        f = lambda x: [sum(math.tanh(sum(x_[i] * weights[0][i, k] for i in range(3)) + weights[1][k]) * weights[2][k] for k in range(4)) + weights[3][0] for x_ in x]
+        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        at_p, at_u = f(p), f(u)
+        if prior is None:
+            return sum(w * loss(z, 1) for w, z in zip(pw, at_p)) + sum(w * loss(z, -1) for w, z in zip(uw, at_u)), 0.0
+        negative = sum(w * loss(z, -1) for w, z in zip(uw, at_u)) - prior * sum(w * loss(z, -1) for w, z in zip(pw, at_p))
+        return prior * sum(w * loss(z, 1) for w, z in zip(pw, at_p)) + max(0.0, negative), negative
+
+    for prior in (None, 0.3, 0.9):
+        found, gradient = quality.risk_and_gradient(weights, p, pw, u, uw, prior)
+        whole, negative = risk(prior)
+        assert found == pytest.approx(whole)
+        if prior is not None and negative < 0:
+            continue
+        for k in range(4):
+            for i in np.ndindex(weights[k].shape):
+                kept = weights[k][i]
+                weights[k][i] = kept + 1e-6
+                up = risk(prior)[0]
+                weights[k][i] = kept - 1e-6
+                down = risk(prior)[0]
+                weights[k][i] = kept
+                assert gradient[k][i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    # where the negative part is below zero, the step goes against minus that part
+    weights[2], weights[3] = weights[2] * 0, np.array([3.0])
+    _, gradient = quality.risk_and_gradient(weights, p, pw, u, uw, 1.5)
+    s = 1 / (1 + math.exp(-3))
+    assert risk(1.5)[1] < 0 and gradient[3][0] == pytest.approx(1.5 * s - s)
+
+
+def test_quality_prior_of_a_known_mixture():
+    random_ = np.random.default_rng(4)
+    draw = lambda n, share: np.where(random_.random((n, 1)) < share, random_.normal(1.5, 1, (n, 3)), random_.normal(-1.5, 1, (n, 3)))
+    for share in (0.2, 0.5, 0.8):
+        halves = [(quality.Points.of(draw(2000, 1)), quality.Points.of(draw(4000, share))) for _ in range(2)]
+        assert quality.estimate_prior(*halves) == pytest.approx(share, abs=0.08)
+
+
+def test_quality_cells_hold_all_rows(spark):
+    random.seed(3)
+    texts = [None, ""] + [" ".join(random.choices(["Ab", "cd!", "ef\n", "12"], k=random.randint(1, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "tw_id long, tw_text string")
+    x = np.array([quality.measures(t or "") for t in texts])
+    net = quality.Network(x.mean(axis=0), x.std(axis=0) + 1e-6, [np.ones((quality.WIDTH, 1)), np.zeros(1), np.ones(1), np.zeros(1)])
+    cells = quality.Cells(net, np.quantile(net.odds(x), [0.3, 0.6]), np.random.default_rng(8).normal(size=(quality.WIDTH, 2)))
+    sums = quality.cell_sums(rows.repartition(5), cells).toPandas()
+    assert sums["n"].sum() == 2 * len(texts) and len(sums) <= 3 * 4 * 2
+    assert sums[[f"m{i}" for i in range(quality.WIDTH)]].sum().to_numpy() == pytest.approx(2 * x.sum(axis=0))
+
+
+def test_quality_on_held_out_documents(spark):
+    rows, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(rows.where(~langid.held_out()), labels.where(~langid.held_out()))
+    found = quality.score(rows.where(langid.held_out()), model).join(labels.where("quality is not null"), "doc_id").select("quality", "score", "predicted").toPandas()
+    good, bad = found["score"][found["quality"] == 1].to_numpy(), found["score"][found["quality"] == 0].to_numpy()
+    auc = (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()
+    assert auc > 0.97 and (found["predicted"] == found["quality"]).mean() > 0.93
+    assert quality.score(rows.limit(0), model).count() == 0
+
+
 def test_exact_dedup(spark):
     texts = ODD + ["a b"] * 150 + [None]
     found = by_id(exact_dedup.exact_dedup(docs(spark, *texts)))

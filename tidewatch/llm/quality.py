@@ -2,9 +2,10 @@
 
 Texts become a few dozen measures of form (letter cases, symbols, repetition, lines). A small network is
 trained on a non-negative unbiased risk: prior * P[l(+)] + max(0, U[l(-)] - prior * P[l(-)]), where P are
-trusted texts and U is unlabelled text. The class prior is estimated first: a classifier of P against U is
-fitted on one half, and on the other half the least ratio of U's to P's share above a threshold, with
-margins for chance, bounds the share of positives in U.
+trusted texts and U is unlabelled text. P is a bounded sample. U is all unlabelled texts, as the weighted means
+of a few thousand cells of their measures, which Spark sums up; a bounded sample only sets the cells' borders. The
+class prior is estimated first: a classifier of P against U is fitted on one half, and on the other half the
+least ratio of U's to P's share above a threshold, with margins for chance, bounds the share of positives in U.
 """
 
 from __future__ import annotations
@@ -68,60 +69,132 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.odds(x), -40, 40)))
 
 
-def _trained(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 400, hidden: int = 16, seed: int = 5) -> Network:
+@dataclass
+class Points:
+    """Measures of texts with weights that sum to one, and how many texts they stand for."""
+
+    x: np.ndarray
+    weight: np.ndarray
+    n: float
+
+    @classmethod
+    def of(cls, x: np.ndarray, weight: np.ndarray | None = None) -> Points:
+        weight = np.ones(len(x)) if weight is None else weight
+        return cls(x, weight / max(weight.sum(), 1e-300), float(weight.sum()))
+
+
+def risk_and_gradient(weights: list[np.ndarray], p: np.ndarray, pw: np.ndarray, u: np.ndarray, uw: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk of a network on shaped measures with weights, and the direction to step against.
+
+    With a prior of None it is the risk of telling P from U. Where the risk of negatives falls below zero it counts
+    as zero, and the step goes back up it.
+    """
+    a, b, c, d = weights
+    x, is_p = np.concatenate([p, u]), np.arange(len(p) + len(u)) < len(p)
+    w = np.concatenate([pw, uw])
+    h = np.tanh(x @ a + b)
+    z = np.clip(h @ c + d[0], -40, 40)
+    s = 1 / (1 + np.exp(-z))
+    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    if prior is None:
+        risk = (w * np.where(is_p, as_positive, as_negative)).sum()
+        g = w * np.where(is_p, s - 1, s)
+    else:
+        positive = prior * (w * as_positive)[is_p].sum()
+        negative = (w * as_negative)[~is_p].sum() - prior * (w * as_negative)[is_p].sum()
+        risk = positive + max(0.0, negative)
+        g = w * (np.where(is_p, prior * ((s - 1) - s), s) if negative >= 0 else np.where(is_p, prior * s, -s))
+    back = np.outer(g, c) * (1 - h * h)
+    return float(risk), [x.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
+
+
+def _trained(p: Points, u: Points, prior: float | None, steps: int = 400, hidden: int = 16, seed: int = 5) -> Network:
     """Trained on the non-negative risk under the prior, or with None to tell p from u."""
-    both = np.concatenate([p, u])
     random = np.random.default_rng(seed)
-    net = Network(u.mean(axis=0), u.std(axis=0) + 1e-6, [random.normal(0, p.shape[1] ** -0.5, (p.shape[1], hidden)), np.zeros(hidden), random.normal(0, hidden**-0.5, hidden), np.zeros(1)])
-    x = net.shaped(both)
-    is_p = np.arange(len(both)) < len(p)
+    width = p.x.shape[1]
+    mean = u.weight @ u.x
+    net = Network(mean, np.sqrt(u.weight @ (u.x - mean) ** 2) + 1e-6, [random.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), random.normal(0, hidden**-0.5, hidden), np.zeros(1)])
+    at_p, at_u = net.shaped(p.x), net.shaped(u.x)
     m, v = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
     for step in range(1, steps + 1):
-        a, b, c, d = net.weights
-        h = np.tanh(x @ a + b)
-        s = 1 / (1 + np.exp(-np.clip(h @ c + d[0], -40, 40)))
-        if prior is None:
-            g = np.where(is_p, (s - 1) / len(p), s / len(u))
-        else:
-            negative = -np.log(np.clip(1 - s, 1e-12, 1))
-            if negative[~is_p].mean() - prior * negative[is_p].mean() >= 0:
-                g = np.where(is_p, prior * ((s - 1) - s) / len(p), s / len(u))
-            else:  # the negative part fell below zero: step back up it
-                g = np.where(is_p, prior * s / len(p), -s / len(u))
-        back = np.outer(g, c) * (1 - h * h)
-        grads = [x.T @ back + 1e-4 * a, back.sum(axis=0), h.T @ g + 1e-4 * c, np.array([g.sum()])]
+        _, grads = risk_and_gradient(net.weights, at_p, p.weight, at_u, u.weight, prior)
+        grads = [grads[0] + 1e-4 * net.weights[0], grads[1], grads[2] + 1e-4 * net.weights[2], grads[3]]
         for k, grad in enumerate(grads):
             m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * v[k] + 0.001 * grad * grad
             net.weights[k] = net.weights[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in u."""
-    net = _trained(p[::2], u[::2], None, steps=200)
-    at_p, at_u = np.sort(net.odds(p[1::2])), np.sort(net.odds(u[1::2]))
+def estimate_prior(fitted: tuple[Points, Points], tried: tuple[Points, Points]) -> float:
+    """Share of positives in U: a classifier of P against U from one half of both is tried on the other."""
+    net = _trained(*fitted, None, steps=200)
+    (p, u), at_p, at_u = tried, net.odds(tried[0].x), net.odds(tried[1].x)
     cuts = np.quantile(at_p, np.linspace(0, 0.9, 91))
-    above_p = 1 - np.searchsorted(at_p, cuts, "left") / len(at_p)
-    above_u = 1 - np.searchsorted(at_u, cuts, "left") / len(at_u)
-    margin = np.sqrt(np.log(20) / 2) * (len(at_p) ** -0.5 + len(at_u) ** -0.5)
-    best = np.argmin((above_u + margin) / above_p)
+
+    def above(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        order = np.argsort(at, kind="stable")
+        below = np.concatenate([[0.0], np.cumsum(weight[order])])
+        return 1 - below[np.searchsorted(at[order], cuts, "left")]
+
+    above_p, above_u = above(at_p, p.weight), above(at_u, u.weight)
+    margin = np.sqrt(np.log(20) / 2) * (p.n**-0.5 + u.n**-0.5)
+    best = np.argmin((above_u + margin) / np.maximum(above_p, 1e-9))
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", quality_col: str = "quality", positives: int = 4000, unlabelled: int = 12000) -> Network:
-    """A network fitted on about that many trusted and unlabelled texts: documented bounds, drawn by the hash of ids.
+@dataclass
+class Cells:
+    """Where unlabelled texts are put together: by the odds of a first classifier and the sides of random planes."""
 
-    docs and labels are the rows that may be learned from. With fewer than ten of either kind nothing is
-    learned, and every text gets a chance of one half.
+    net: Network
+    edges: np.ndarray
+    planes: np.ndarray
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        sides = (self.net.shaped(x) @ self.planes > 0) @ (1 << np.arange(self.planes.shape[1]))
+        return np.searchsorted(self.edges, self.net.odds(x)) << self.planes.shape[1] | sides
+
+
+def _drawn(seed: int, share: float):
+    """Rows drawn by the hash of their id."""
+    return F.coalesce(F.xxhash64(F.lit(seed), "tw_id").bitwiseAND(F.lit((1 << 30) - 1)) < (1 << 30) * min(1.0, share), F.lit(False))
+
+
+def cell_sums(rows: DataFrame, cells: Cells) -> DataFrame:
+    """For each cell and half of the rows (tw_id, tw_text): n and the sums m0, m1, ... of their measures."""
+    given = rows.sparkSession.sparkContext.broadcast(cells)
+    names = [f"m{i}" for i in range(WIDTH)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array([measures(t or "") for t in batch.column("tw_text").to_pylist()]).reshape(-1, WIDTH)
+            key, at = np.unique(given.value.of(x) * 2 + batch.column("half").to_numpy(), return_inverse=True)
+            sums = np.zeros((len(key), WIDTH))
+            np.add.at(sums, at, x)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at).astype(np.int64)), *(pa.array(c) for c in sums.T)], names=["cell", "n", *names])
+
+    half = F.pmod(F.xxhash64(F.lit(23), "tw_id", "tw_text"), F.lit(2)).alias("half")
+    summed = rows.select("tw_text", half).mapInArrow(add, "cell long, n long, " + ", ".join(f"{c} double" for c in names))
+    return summed.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ["n", *names]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", quality_col: str = "quality", positives: int = 4000, pilot: int = 8000) -> Network:
+    """A network fitted on about so many trusted texts (a documented bound, drawn by the hash of ids) and on all of docs.
+
+    docs and labels are the rows that may be learned from; labels other than 1 aren't used. About `pilot` texts,
+    drawn likewise, set the borders of the cells that all unlabelled texts are summed up in (see :class:`Cells`);
+    there are at most 128 times 64 of them at any size of the input. Nulls: a null id or label is not trusted, a null
+    text counts as empty. Repeated rows count each. With fewer than ten trusted or unlabelled texts, or an empty
+    table, nothing is learned, and every text gets a chance of one half.
     """
-    range_ = 1 << 30
-    drawn = lambda seed: F.xxhash64(F.lit(seed), "tw_id").bitwiseAND(F.lit(range_ - 1))
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("tw_id")).where("tw_id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("tw_id"), F.col(text_col).alias("tw_text"))
     n_good, n_rows = good.count(), rows.count()
-    trusted = good.where(drawn(21) < range_ * min(1.0, positives / max(n_good, 1))).withColumn("tw_good", F.lit(True))
+    trusted = good.where(_drawn(21, positives / max(n_good, 1))).withColumn("tw_good", F.lit(True))
     picked = rows.join(F.broadcast(trusted), "tw_id", "left").withColumn("tw_good", F.coalesce("tw_good", F.lit(False)))
-    picked = picked.withColumn("tw_any", F.coalesce(drawn(22) < range_ * min(1.0, unlabelled / max(n_rows, 1)), F.lit(False))).where("tw_good or tw_any")
+    picked = picked.withColumn("tw_any", _drawn(22, pilot / max(n_rows, 1))).where("tw_good or tw_any")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +206,28 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     order = np.lexsort(x.T)  # the same model wherever the rows were computed
     x, good_at, any_at = x[order], frame["good"].to_numpy(dtype=bool)[order], frame["any"].to_numpy(dtype=bool)[order]
     shuffled = np.random.default_rng(3).permutation(len(x))
-    p, u = x[shuffled][good_at[shuffled]], x[shuffled][any_at[shuffled]]
-    if min(len(p), len(u)) < 10:
+    p, some = x[shuffled][good_at[shuffled]], x[shuffled][any_at[shuffled]]
+    if min(len(p), len(some)) < 10:
         return Network(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    return _trained(p, u, estimate_prior(p, u))
+    first = _trained(Points.of(p), Points.of(some), None, steps=200)
+    edges = np.unique(np.quantile(first.odds(some), np.linspace(0, 1, 128)[1:-1]))
+    cells = Cells(first, edges, np.random.default_rng(8).normal(size=(WIDTH, 6)))
+    sums = cell_sums(rows, cells).toPandas().sort_values("cell")
+    n = sums["n"].to_numpy(dtype=float)
+    means, half = sums.drop(columns=["cell", "n"]).to_numpy() / n[:, None], sums["cell"].to_numpy() % 2
+    u = Points.of(means, n)
+    halves = [(Points.of(p[i::2]), Points.of(means[half == i], n[half == i])) for i in (0, 1)]
+    prior = estimate_prior(*halves) if min(len(h[1].x) for h in halves) else 0.5
+    return _trained(Points.of(p), u, prior)
 
 
 def score(docs: DataFrame, model: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the threshold on); a null text counts as empty; such columns are replaced."""
+    """docs with score (0 to 1) and predicted (1 from the threshold on).
+
+    A null text counts as empty. Texts are read whole. Columns of those names are replaced, others stay, whatever
+    their names. Rows with the same text, repeated or not, get the same score; a score equal to the threshold is
+    predicted 1. An empty table gives an empty result.
+    """
     given = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
