@@ -285,17 +285,51 @@ def test_packing_against_linear_search():
         assert [bins.place(*i) for i in items] == want
 
 
-def test_packing_keeps_every_word(spark):
-    texts = ODD + [BASE * 60] * 3
-    rows = packing.pack(docs(spark, *texts).withColumn("source", F.when(F.col("doc_id") < 4, None).otherwise(F.col("doc_id") % 3)), capacity=100).collect()
-    words = Counter()
-    for r in rows:
-        words[r.doc_id] += r.n_words
+def test_packing_keeps_every_word_and_every_rule(spark):
+    texts = ODD + [BASE * 60] * 3 + ["w " * 30_000]
+    rows = docs(spark, *texts).withColumn("source", F.when(F.col("doc_id") < 4, None).otherwise(F.col("doc_id") % 3)).withColumns({"part": F.lit("x"), "length": F.lit("y"), "row": F.lit(1), "shard": F.lit(2)})
+    found = packing.pack(rows, capacity=100, shard_pieces=50).collect()
+    words, load, held, clusters = Counter(), Counter(), set(), set()
+    for r in sorted(found, key=lambda r: (r.bin_id or -1, r.bin_offset)):
+        words[r.doc_id] += r.length
+        if r.bin_id is None:
+            assert r.length == 0
+            continue
+        assert r.bin_offset == load[r.bin_id]  # pieces stand one after another
+        load[r.bin_id] += r.length
+        assert load[r.bin_id] <= 100
+        if r.doc_id >= 4:
+            assert (r.bin_id, r.doc_id % 3) not in held
+            held.add((r.bin_id, r.doc_id % 3))
+        text = " ".join((texts[r.doc_id] or "").split())
+        assert (r.bin_id, text) not in clusters
+        clusters.add((r.bin_id, text))
     assert all(words[i] == len((t or "").encode().split()) for i, t in enumerate(texts))
-    load = Counter()
-    for r in rows:
-        load[r.bin_id] += r.n_words
-    assert all(b is None or n <= 100 for b, n in load.items()) and all(r.n_words == 0 for r in rows if r.bin_id is None)
+
+
+def test_packing_spreads_repeated_rows(spark):
+    same = spark.createDataFrame([(1, "a b c", None)] * 400 + [(None, "d e", "s")] * 3, "doc_id long, text string, source string")
+    found = packing.pack(same, capacity=10, shard_pieces=40).collect()
+    shards = Counter(r.bin_id >> 32 for r in found)
+    assert len(found) == 403 and len(shards) > 8 and max(shards.values()) < 100
+    assert len({r.bin_id for r in found if r.doc_id == 1}) == 400  # copies are kept apart
+
+
+def test_packed_tokens_are_the_documents_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for t in ODD if t] + [BASE * 40]
+    encoded = bpe.bpe_encode(docs(spark, *texts), path)
+    bins = packing.filled(encoded, packing.pack(encoded, capacity=512, ids_col="ids")).collect()
+    ids = {i: list(r.ids) for i, r in by_id(encoded).items()}
+    found = {}
+    for b in bins:
+        assert len(b.ids) == sum(b.piece_lengths) <= 512
+        at = 0
+        for i, n in zip(b.piece_ids, b.piece_lengths, strict=True):
+            found.setdefault(i, Counter())[tuple(b.ids[at : at + n])] += 1
+            at += n
+    for i, tokens in ids.items():
+        assert found.get(i, Counter()) == Counter(tuple(tokens[k : k + 512]) for k in range(0, len(tokens), 512))
 
 
 def test_near_vectors_against_brute_force(spark):

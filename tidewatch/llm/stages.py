@@ -16,16 +16,25 @@ SURE = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good; it is fitted on the stage's own input."""
+    """Documents that the quality classifier predicts to be good; it is fitted on the stage's own input.
+
+    A null text counts as empty, a null id is not learned from. Repeated rows are judged alike and all kept or all
+    dropped. Without enough labelled rows, or for an empty table, nothing is learned, and the chance of one half is
+    below the threshold: no row stays.
+    """
     learn = ~langid.held_out()
     model = quality.fit(docs.where(learn), spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn))
-    return quality.score(docs.withColumn("tw_row", F.struct(*docs.columns)).select("text", "tw_row"), model).where("predicted = 1").select("tw_row.*")
+    return quality.score(docs.select(F.struct(*docs.columns).alias("tw_row"), "text"), model).where("predicted = 1").select("tw_row.*")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough certainty."""
+    """Documents whose language is told with enough certainty.
+
+    Null texts and texts without letters are of no language and go, as do all if no row has a language to learn
+    from. Repeated rows are judged alike. An empty table gives an empty result.
+    """
     model = langid.fit(docs.where(~langid.held_out()), langid.default_vocabulary())
-    told = langid.identify(docs.withColumn("tw_row", F.struct(*docs.columns)).select("text", "tw_row"), model)
+    told = langid.identify(docs.select(F.struct(*docs.columns).alias("tw_row"), "text"), model)
     return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)).select("tw_row.*")
 
 
@@ -50,5 +59,5 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents' pieces."""
-    return pack(docs)
+    """Bins of the documents' pieces, as :func:`packing.pack` gives them, nulls, ties and repeated rows too."""
+    return pack(docs).withColumnRenamed("start", "start_word").withColumnRenamed("length", "n_words")
