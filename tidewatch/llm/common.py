@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,6 +91,41 @@ def unpacked_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(unplaned(packed, "<u8"), dtype=np.uint64)
 
 
+#: Cells of a table of counts that are packed together, and the columns of such packs.
+TOGETHER, PACKED_COUNTS = 1 << 13, "part int, cells binary, counts binary"
+
+
+def packed_counts(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of different, sorted cells, packed by groups of cells."""
+    parts, starts = np.unique(cells // TOGETHER, return_index=True)
+    cuts = [*zip(starts.tolist(), [*starts.tolist(), len(cells)][1:], strict=True)]
+    inside, counts = (cells % TOGETHER).astype("<u2"), counts.astype("<u4")
+    arrays = [pa.array(parts.astype(np.int32)), *(pa.array([planes(x[a:b]) for a, b in cuts], pa.binary()) for x in (inside, counts))]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "cells", "counts"])
+
+
+def summed_cells(packs: DataFrame, n_cells: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """A number for each cell: finish of the sums of packed counts (int64), by groups of cells.
+
+    A task adds up the packs of its groups one after another, so it holds a number for each of its cells,
+    however many packs there are; what reaches the driver has the size of the table, whatever the input.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "cells", "counts")), strict=True):
+                own = sums.setdefault(part, np.zeros(TOGETHER, dtype=np.int64))
+                own[unplaned(cells, "<u2")] += unplaned(counts, "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([finish(x).tobytes() for x in sums.values()], pa.binary())], names=["part", "done"])
+
+    none = finish(np.zeros(TOGETHER, dtype=np.int64))
+    out = np.tile(none, n_cells // TOGETHER)
+    for row in packs.select("part", "cells", "counts").repartition("part").mapInArrow(add, "part int, done binary").collect():
+        out[row["part"] * TOGETHER :][:TOGETHER] = np.frombuffer(row["done"], dtype=none.dtype)
+    return out
+
+
 def segment_of(items: np.ndarray, log2_segments: int) -> np.ndarray:
     return (items >> np.uint64(64 - log2_segments)).astype(np.int64) if log2_segments else np.zeros(len(items), dtype=np.int64)
 

@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_sorted, planes, probed, segment_of, slices, stored, unpacked_sorted, unplaned
+from .common import PACKED_COUNTS, Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_counts, packed_sorted, planes, probed, segment_of, slices, stored, summed_cells, unpacked_sorted, unplaned
 from .components import bounds, runs
 
 THRESHOLD = 0.8
-#: Cells of the table of word counts, cells that are packed together, and levels to an octave of counts.
-CELLS, TOGETHER, OCTAVE = 1 << 23, 1 << 13, 6
+#: Cells of the table of word counts, and levels to an octave of counts.
+CELLS, OCTAVE = 1 << 23, 6
 #: Earlier lines under a word that a line is verified against at first, if the nearest is near and if it is not.
 FEW, MANY = 8, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
@@ -116,45 +116,20 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_levels(counts: DataFrame) -> np.ndarray:
-    """Levels of the cells of words, from rows (part, cells, counts): 0 never, 1 once, then sixths of octaves.
-
-    Counts come packed, by groups of a fixed number of cells. A task adds up the rows of its groups one after
-    another, so it holds a few numbers a cell, however many rows there are; 8 MB of levels reach the driver.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "cells", "counts")), strict=True):
-                own = sums.setdefault(part, np.zeros(TOGETHER, dtype=np.int64))
-                own[unplaned(cells, "<u2")] += unplaned(counts, "<u4")
-        levels = [np.where(x > 0, level_of(np.maximum(x, 1)), 0).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
-
-    made = counts.repartition("part").mapInArrow(add, "part int, levels binary").toPandas()
-    out = np.zeros(CELLS, dtype=np.uint8)
-    for part, levels in zip(made["part"], made["levels"], strict=True):
-        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(levels, dtype=np.uint8)
-    return out
-
-
-def packed_counts(hashes: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-    """Sums by cell of hashes with counts, for :func:`word_levels`."""
-    cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
-    sums = np.bincount(at, weights=counts, minlength=len(cells)).astype("<u4")
-    parts, starts = np.unique(cells // TOGETHER, return_index=True)
-    cuts = [*zip(starts.tolist(), [*starts.tolist(), len(cells)][1:], strict=True)]
-    inside = (cells % TOGETHER).astype("<u2")
-    return parts.tolist(), [planes(inside[a:b]) for a, b in cuts], [planes(sums[a:b]) for a, b in cuts]
+    """Levels of the cells of words, from :func:`packed_counts`: 0 never, 1 once, then sixths of octaves."""
+    return summed_cells(counts, CELLS, lambda n: np.where(n > 0, level_of(np.maximum(n, 1)), 0).astype(np.uint8))
 
 
 def flagged(hashes: DataFrame) -> np.ndarray:
     """Whether a cell holds one of the hashes (column h); as large as the cells, whatever the input."""
-    bits = hashes.select(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).distinct().select(F.expr(f"cell div {TOGETHER}").cast("int").alias("part"), F.expr(f"cell % {TOGETHER}").cast("int").alias("cell"))
-    out = np.zeros(CELLS, dtype=bool)
-    for row in bits.groupBy("part").agg(F.collect_set("cell").alias("cells")).toLocalIterator():
-        out[row["part"] * TOGETHER + np.array(row["cells"])] = True
-    return out
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.unique(batch.column("cell").to_numpy())
+            yield packed_counts(cells, np.ones(len(cells), dtype=np.int64))
+
+    cells = hashes.select(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell"))
+    return summed_cells(cells.mapInArrow(pack, PACKED_COUNTS), CELLS, lambda n: (n > 0).astype(np.uint8)) > 0
 
 
 def _may_match(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray, threshold: float) -> np.ndarray:
@@ -284,8 +259,10 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             found = Lines(batch.column("text"))
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[found.text] for c in ("doc", "version"))
             yield rows(len(doc), doc=pa.array(doc), version=pa.array(version), line=pa.array(found.line), set_id=pa.array(found.set_id), check=pa.array(found.check))
-            part, cells, counts = packed_counts(*found.counts)
-            yield rows(len(part), part=pa.array(part, pa.int32()), cells=pa.array(cells, pa.binary()), counts=pa.array(counts, pa.binary()))
+            hashes, counts = found.counts
+            cells, at = np.unique((hashes & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
+            packed = packed_counts(cells, np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64))
+            yield rows(packed.num_rows, **{c: packed.column(c) for c in packed.schema.names})
             # how many sets have a word in their prefix, going by the rarity of words in these documents
             item = found.prefixes(found.firsts(doc), threshold)[2]
             often, n = np.unique(found.words[item].view(np.int64), return_counts=True)

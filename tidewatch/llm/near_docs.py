@@ -22,19 +22,18 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, attach, hashes_of, likely_members, mixed, only_members, slices, stored
+from .common import PACKED_COUNTS, Words, attach, hashes_of, likely_members, mixed, only_members, packed_counts, slices, stored, summed_cells
 from .components import bounds, components, runs
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 80, 100
-CELLS, TOGETHER = 1 << 20, 1 << 14
+CELLS = 1 << 20
 SLICE_ROWS = 800
 #: After the first pairs, so many nearest sets of each are compared in turn; in the end all that are not connected.
 NEAREST = (4, None)
@@ -140,25 +139,12 @@ class Sets:
 
 
 def cell_levels(counts: DataFrame, total: int) -> np.ndarray:
-    """Counts (cell, n) of the cells of shingles, so many in total, as levels of powers of two over the mean.
+    """How often the shingles of each cell occur, so many in total, as levels of powers of two over the mean.
 
     Tasks leave out the cells that hold at most twice their own mean: a cell's sum lacks at most twice the mean of
-    all, so one with six times the mean is surely seen as frequent. Spark sums the counts before and after the
-    shuffle, and a task packs a fixed number of cells, so neither what a task holds nor what reaches the driver
-    depends on the input.
+    all, so one with six times the mean is surely seen as frequent.
     """
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(TOGETHER, dtype=np.int64)
-        out[frame["cell"].to_numpy() % TOGETHER] = frame["n"].to_numpy()
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [out.tobytes()]})
-
-    summed = counts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("part", F.expr(f"cell div {TOGETHER}").cast("int"))
-    made = summed.groupBy("part").applyInPandas(pack, "part int, counts binary").toPandas()
-    out = np.zeros(CELLS, dtype=np.int64)
-    for part, packed in zip(made["part"], made["counts"], strict=True):
-        out[part * TOGETHER :][:TOGETHER] = np.frombuffer(packed, dtype=np.int64)
-    return np.frexp(out / max(1.0, 4 * total / CELLS + 8))[1].clip(0, 40).astype(np.int64)
+    return summed_cells(counts, CELLS, lambda n: np.frexp(n / max(1.0, 4 * total / CELLS + 8))[1].clip(0, 40).astype(np.uint8)).astype(np.int64)
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,17 +267,17 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     id_type = rows.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents' sets, and rows that count shingles by cell, many batches in one."""
+        """The documents' sets, and rows that count shingles by cell, many batches together."""
         seen, n = np.zeros(CELLS, dtype=np.int64), 0
         ids = pa.nulls(1)
+        names = ["id", "size", "set_id", "bands", "sketches", "part", "cells", "counts"]
 
         def counted() -> pa.RecordBatch:
             cells = np.flatnonzero(seen > 2 * seen.mean())
-            one = pa.array([0, len(cells)], pa.int32())
-            lists = [pa.ListArray.from_arrays(one, pa.array(cells.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(seen[cells]))]
+            packed = packed_counts(cells, seen[cells])
             seen[:] = 0
-            none = [pa.nulls(1, t) for t in (ids.type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))]
-            return pa.RecordBatch.from_arrays([*none, *lists], names=["id", "size", "set_id", "bands", "sketches", "cells", "counts"])
+            none = [pa.nulls(packed.num_rows, t) for t in (ids.type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*none, *packed.columns], names=names)
 
         for batch in slices(batches, "text", SLICE_ROWS):
             ids = batch.column("id")
@@ -302,10 +288,10 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             outer = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
             inner = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32))
             values = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64))
-            no_lists = [pa.nulls(batch.num_rows, pa.list_(pa.int32())), pa.nulls(batch.num_rows, pa.list_(pa.int64()))]
+            no_counts = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sets.sizes), pa.array(sets.set_id), pa.ListArray.from_arrays(outer, pa.array(band.astype(np.int32))), pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values)), *no_lists],
-                names=["id", "size", "set_id", "bands", "sketches", "cells", "counts"],
+                [ids, pa.array(sets.sizes), pa.array(sets.set_id), pa.ListArray.from_arrays(outer, pa.array(band.astype(np.int32))), pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values)), *no_counts],
+                names=names,
             )
             np.add.at(seen, (sets.members % np.uint64(CELLS)).astype(np.int64), 1)
             n += len(sets.members)
@@ -329,9 +315,9 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             offsets = pa.array(np.append(sets.starts, len(sets.members)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.set_id), pa.ListArray.from_arrays(offsets, pa.array(sets.members.view(np.int64)))], names=["id", "set_id", "members"])
 
-    described = stored(rows.mapInArrow(describe, f"id {id_type}, size long, set_id long, bands array<int>, sketches array<array<long>>, cells array<int>, counts array<long>"), "documents")
-    about = described.where("size is not null").drop("cells", "counts")
-    counts = described.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("z")).select(F.col("z.cells").alias("cell"), F.col("z.counts").alias("n"))
+    described = stored(rows.mapInArrow(describe, f"id {id_type}, size long, set_id long, bands array<int>, sketches array<array<long>>, {PACKED_COUNTS}"), "documents")
+    about = described.where("size is not null").drop("part", "cells", "counts")
+    counts = described.where("part is not null")
     levels = spark.sparkContext.broadcast(cell_levels(counts, about.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
     classes = about.where("size > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketches").alias("sketches"))
     classes = stored(classes, "classes")
