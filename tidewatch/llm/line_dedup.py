@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PACKED_COUNTS, Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_counts, packed_sorted, planes, probed, segment_of, slices, stored, summed_cells, unpacked_sorted, unplaned
-from .components import bounds, runs
+from .components import bounds
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts, and levels to an octave of counts.
@@ -35,7 +35,7 @@ FEW, MANY = 8, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
-WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 20, 2000
+WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 19, 2000
 #: log2 of the postings that a segment has at most on average; how columns of postings are packed.
 LOG2_POSTINGS = 18
 POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
@@ -150,14 +150,31 @@ def _nearest(late: np.ndarray, early: np.ndarray, apart: np.ndarray, limit: np.n
     return order[kept], np.repeat(sizes > most, sizes)[kept]
 
 
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
+    """The packed columns of each segment, from batches sorted by segment: one segment is held beside a batch."""
+    held: dict[str, list[bytes]] = {c: [] for c in POSTING}
+    last = None
+    for batch in batches:
+        segment = batch.column("segment").to_numpy()
+        cuts = bounds([segment]) if len(segment) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if last is not None and segment[a] != last:
+                yield held
+                held = {c: [] for c in POSTING}
+            last = segment[a]
+            for c in POSTING:
+                held[c] += batch.column(c).slice(a, b - a).to_pylist()
+    if last is not None:
+        yield held
+
+
 def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
     """From packed postings, sorted by segment: pairs of an early and a late set that may be similar, with the bits
     that their sketches are apart; of each late set under a key the nearest ones,
     few or many, or all. So many pairs are looked at together."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["segment"]):
-            columns = {c: table.column(c).to_pylist() for c in POSTING}
+        for columns in segments(batches):
             key = np.concatenate([unpacked_sorted(x) for x in columns["key"]]).view(np.int64)
             doc, line, sets, about, sketch = (np.concatenate([unplaned(x, POSTING[c]) for x in columns[c]]) for c in ("doc", "line", "set_id", "about", "sketch"))
             flat = np.frombuffer(b"".join(columns["wide"]), dtype=np.uint64)
