@@ -1,7 +1,9 @@
 """Trace queries: span sets, structure, per-trace aggregates and span metrics.
 
 A span frame has trace_id, span_id, parent_id (empty for roots), name, service, kind, status, start (long,
-milliseconds), duration (long), resource and attributes (map<string,string>).
+milliseconds), duration (long), resource and attributes (map<string,string>). It may have status_message, scope_name,
+scope_version and scope_attributes (of the instrumentation), events (array of structs of name, ts and attributes) and
+links (array of structs of trace_id, span_id and attributes).
 """
 
 from __future__ import annotations
@@ -13,28 +15,58 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee, labels as lb
 from ..plans.grid import Grid
+from ..plans.stored import stored
 
 ID = ["trace_id", "span_id"]
-#: Levels of a trace that structural operators follow.
-MOST_LEVELS = 128
+#: Columns that hold the attributes of a scope.
+SCOPES = {"span": "attributes", "resource": "resource", "instrumentation": "scope_attributes", "parent": "parent.attributes", "parent.resource": "parent.resource"}
 
 
 def attribute(name: str, scope: str = "span") -> Column:
-    """A span's or resource's attribute, empty if missing."""
-    return lb.label(F.col("resource" if scope == "resource" else "attributes"), name)
+    """An attribute of a scope (span, resource, instrumentation, or after :func:`with_parent` parent and
+    parent.resource), for `any` of the span or else the resource; empty if missing."""
+    if scope == "any":
+        return F.coalesce(F.nullif(attribute(name, "span"), F.lit("")), attribute(name, "resource"))
+    return lb.label(F.col(SCOPES[scope]), name)
 
 
 def number(name: str, scope: str = "span") -> Column:
     return attribute(name, scope).try_cast("double")
 
 
+def boolean(name: str, scope: str = "span") -> Column:
+    """true or false as written; null for anything else."""
+    text = attribute(name, scope)
+    return F.when(text == "true", True).when(text == "false", False)
+
+
 def exists(name: str, scope: str = "span") -> Column:
-    return F.map_contains_key("resource" if scope == "resource" else "attributes", F.lit(name))
+    """Whether an attribute is there (`!= nil`); a negation is `= nil`. Events and links count if any of theirs has it."""
+    if scope in ("event", "link"):
+        return any_nested(f"{scope}s", lambda x: F.map_contains_key(x["attributes"], F.lit(name)))
+    return F.coalesce(F.map_contains_key(SCOPES[scope], F.lit(name)), F.lit(False))
 
 
 def any_nested(nested: str, test: Callable[[Column], Column]) -> Column:
     """Whether any of a span's events or links (an array of structs with attributes) passes a test."""
-    return F.coalesce(F.exists(nested, test), F.lit(False))
+    return F.coalesce(F.exists(nested, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+
+def any_attribute(scope: str, name: str, test: Callable[[Column], Column]) -> Column:
+    """Whether an attribute of any event or link passes a test; scope is `event` or `link`."""
+    return any_nested(f"{scope}s", lambda x: F.map_contains_key(x["attributes"], F.lit(name)) & test(x["attributes"][name]))
+
+
+def any_event(test: Callable[[Column, Column], Column]) -> Column:
+    """Whether any event passes a test of its name and of the milliseconds since the span's start."""
+    return any_nested("events", lambda e: test(e["name"], e["ts"] - F.col("start")))
+
+
+def with_parent(spans: DataFrame) -> DataFrame:
+    """Spans with `parent`, a struct of their parent's columns, null for roots and where it is missing."""
+    own = [c for c in spans.columns if c != "parent"]
+    parents = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.struct(*own).alias("parent")).dropDuplicates(["trace_id", "parent_id"])
+    return spans.select(own).join(parents, ["trace_id", "parent_id"], "left").select(*own, "parent")
 
 
 def with_trace(spans: DataFrame) -> DataFrame:
@@ -49,23 +81,30 @@ def with_trace(spans: DataFrame) -> DataFrame:
 def paths(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, parent_id, above): the ids above each span that hangs from a root, nearest last.
 
-    Level after level by joins on the parent's id; spans whose chain breaks off are left out.
+    Each round doubles the stretch that is known above a span, by one join; so the rounds are as many as the
+    logarithm of the deepest trace's depth, which has no limit. Spans whose chain breaks off or goes in a circle
+    are left out.
     """
-    slim = spans.select("trace_id", "span_id", "parent_id").distinct().persist()
-    level = slim.where("parent_id = ''").withColumn("above", F.array().cast("array<string>"))
-    out = level
-    for _ in range(MOST_LEVELS):
-        up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.array_append("above", F.col("span_id")).alias("above"))
-        level = slim.where("parent_id <> ''").join(up, ["trace_id", "parent_id"]).select("trace_id", "span_id", "parent_id", "above").persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    slim = spans.select("trace_id", "span_id", "parent_id").distinct()
+    above = F.when(F.col("parent_id") == "", F.array().cast("array<string>")).otherwise(F.array("parent_id"))
+    state = stored(slim.withColumns({"above": above, "top": F.col("parent_id")}), "paths")
+    open_, reach = state.where("top <> ''").count(), 1
+    most = state.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while open_ and reach <= most:  # a chain longer than its trace is a circle
+        up = state.select("trace_id", F.col("span_id").alias("top"), F.col("above").alias("more"), F.col("top").alias("next"))
+        longer = state.where("top <> ''").join(up, ["trace_id", "top"]).select("trace_id", "span_id", "parent_id", F.concat("more", "above").alias("above"), F.col("next").alias("top"))
+        state = stored(state.where("top = ''").unionByName(longer), "paths")
+        open_, reach = state.where("top <> ''").count(), reach * 2
+    return state.where("top = ''").drop("top")
 
 
 def _related(spans: DataFrame, left: DataFrame, right: DataFrame, relation: str) -> DataFrame:
-    """Pairs of ids (trace_id, span_id of right, left_id) in a relation, among spans that hang from a root."""
-    tree = paths(spans)
+    """Pairs of ids (trace_id, span_id of right, left_id) in a relation, among spans that hang from a root.
+
+    Only the traces that hold spans of both sides are walked.
+    """
+    traces = left.select("trace_id").distinct().join(right.select("trace_id").distinct(), "trace_id")
+    tree = paths(spans.join(traces, "trace_id", "left_semi"))
     mine = tree.join(right.select(ID).distinct(), ID, "left_semi")
     a = left.select("trace_id", F.col("span_id").alias("left_id")).distinct()
     hung = tree.join(left.select(ID).distinct(), ID, "left_semi")
@@ -124,7 +163,22 @@ def where_aggregate(spans: DataFrame, how: str, op: str, value: float, of: Colum
 def newest_traces(spans: DataFrame, n: int) -> DataFrame:
     """Spans of the n traces that start last; of equal starts those with the smaller id."""
     top = spans.groupBy("trace_id").agg(F.min("start").alias("begin")).orderBy(F.desc("begin"), "trace_id").limit(n)
-    return spans.join(F.broadcast(top.select("trace_id")), "trace_id", "left_semi")
+    return spans.join(top.select("trace_id"), "trace_id", "left_semi")
+
+
+def trace(spans: DataFrame, trace_id: str) -> DataFrame:
+    """The spans of a trace, by start; the filter reaches the scan."""
+    return spans.where(F.col("trace_id") == trace_id).orderBy("start", "span_id")
+
+
+def started_between(spans: DataFrame, first: int, last: int) -> DataFrame:
+    """All spans of the traces that have a span started in these milliseconds."""
+    return spans.join(spans.where(F.col("start").between(first, last)).select("trace_id").distinct(), "trace_id", "left_semi")
+
+
+def coalesce(spans: DataFrame, of: Column | None = None) -> DataFrame:
+    """Sets of a trace's groups put together again: a row for each trace, with its spans' ids and number, and sums."""
+    return spans.groupBy("trace_id").agg(F.array_sort(F.collect_set("span_id")).alias("span_ids"), F.count_distinct("span_id").alias("spans"), F.sum(of if of is not None else F.lit(0)).cast("double").alias("total"))
 
 
 def nested_sets(spans: DataFrame) -> DataFrame:
@@ -207,20 +261,40 @@ def second_stage(series: DataFrame, keys: list[str], top: int | None = None, bot
     return series.withColumn("n", F.row_number().over(w)).where(F.col("n") <= (top or bottom)).drop("n")
 
 
-def compare(spans: DataFrame, selection: Column, top: int = 10) -> DataFrame:
-    """Counts of each attribute's most frequent values within a selection and outside it."""
+def _pairs() -> Column:
+    """A span's intrinsics and attributes as pairs (attribute, val)."""
     fixed = {"name": "name", "status": "status", "kind": "kind", "resource.service.name": "service"}
 
     def entries(column: str, prefix: str) -> Column:
         return F.transform(F.map_entries(column), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("attribute"), e["value"].alias("val")))
 
     own = F.array(*(F.struct(F.lit(k).alias("attribute"), F.col(c).alias("val")) for k, c in fixed.items()))
-    pairs = F.concat(own, entries("resource", "resource."), entries("attributes", "span."))
-    counts = spans.select(selection.alias("selected"), F.explode(pairs).alias("x")).groupBy("selected", "x.attribute", "x.val").agg(F.count("*").alias("n"))
+    return F.concat(own, entries("resource", "resource."), entries("attributes", "span."))
+
+
+def compare(spans: DataFrame, selection: Column, top: int = 10) -> DataFrame:
+    """Counts of each attribute's most frequent values within a selection and outside it."""
+    counts = spans.select(selection.alias("selected"), F.explode(_pairs()).alias("x")).groupBy("selected", "x.attribute", "x.val").agg(F.count("*").alias("n"))
     w = Window.partitionBy("selected", "attribute").orderBy(F.desc("n"), "val")
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("place")
 
 
+def compare_over_time(spans: DataFrame, selection: Column, grid: Grid, top: int = 10) -> DataFrame:
+    """:func:`compare` for each step of a grid: selected, attribute, val, ts, n, and total, the spans with the attribute.
+
+    The most frequent values are those of the whole grid; a step without one of them has n = 0.
+    """
+    rows = _stepped(spans, grid).select(selection.alias("selected"), "ts", F.explode(_pairs()).alias("x"))
+    counts = rows.groupBy("selected", "x.attribute", "x.val", "ts").agg(F.count("*").alias("n"))
+    each = ["selected", "attribute"]
+    totals = counts.groupBy(*each, "ts").agg(F.sum("n").alias("total"))
+    w = Window.partitionBy(*each).orderBy(F.desc("all"), "val")
+    frequent = counts.groupBy(*each, "val").agg(F.sum("n").alias("all")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    steps = frequent.select(*each, "val", F.explode(F.sequence(F.lit(grid.start).cast("long"), F.lit(grid.end).cast("long"), F.lit(grid.step).cast("long"))).alias("ts"))
+    found = steps.join(counts, [*each, "val", "ts"], "left").join(totals, [*each, "ts"], "left")
+    return found.select(*each, "val", "ts", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def exemplars(spans: DataFrame, grid: Grid, each: int = 1) -> DataFrame:
     """A few spans of each step, the first by start and id."""
     w = Window.partitionBy("ts").orderBy("start", *ID)

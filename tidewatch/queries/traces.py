@@ -12,7 +12,7 @@ from ..sources import adapters as ad
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 DAY = 86_400_000
-GRID = Grid(788_918_400_000, 997_920_000_000, 180 * DAY)
+GRID = Grid(788_918_400_000, 788_918_400_000 + 14 * 180 * DAY, 180 * DAY)  # past the last line item
 
 _SPANS = """with o as (select * from orders), spans as (
 select c_custkey::varchar as trace_id, 'c' || c_custkey as span_id, '' as parent_id, 'customer' as name, 'nation-' || c_nationkey as service, 'Unset' as status, 788918400000::bigint as start, 0::bigint as duration, c_mktsegment as segment, null as priority, null::double as quantity, null as flag from customer
@@ -76,6 +76,13 @@ add("structural_sibling", structural("~", O, lambda: F.col("name") == "order"),
 add("structural_not_sibling", structural("!~", O, lambda: F.col("name") == "order"), f"select distinct trace_id, span_id, name from spans b where name = 'order' and not {_SIB}")
 add("structural_union_child", structural("&>", A, O), _semi(_O, _A, "k.y", "k.x").replace(_DESC, _CHILDREN) + " union " + _semi(_A, _O, "k.x", "k.y").replace(_DESC, _CHILDREN))
 add("structural_union_descendant", structural("&>>", A, B), _semi(_B, _A, "k.y", "k.x") + " union " + _semi(_A, _B, "k.x", "k.y"))
+add("structural_not_parent", structural("!<", O, A), _semi(_A, _O, "k.x", "k.y", True).replace(_DESC, _CHILDREN))
+add("structural_not_ancestor", structural("!<<", B, A), _semi(_A, _B, "k.x", "k.y", True))
+add("structural_union_parent", structural("&<", O, A), _semi(_A, _O, "k.x", "k.y").replace(_DESC, _CHILDREN) + " union " + _semi(_O, _A, "k.y", "k.x").replace(_DESC, _CHILDREN))
+add("structural_union_ancestor", structural("&<<", B, A), _semi(_A, _B, "k.x", "k.y") + " union " + _semi(_B, _A, "k.y", "k.x"))
+_PAIRED = "select distinct b.trace_id, b.span_id, b.name from spans b join spans a on a.trace_id = b.trace_id and a.parent_id = b.parent_id and a.span_id <> b.span_id where "
+add("structural_union_sibling", structural("&~", lambda: (F.col("name") == "order") & (t.attribute("priority") == "5-LOW"), lambda: (F.col("name") == "order") & (F.col("status") == "Error")),
+    _PAIRED + "b.name = 'order' and b.status = 'Error' and a.name = 'order' and a.priority = '5-LOW' union " + _PAIRED + "b.name = 'order' and b.priority = '5-LOW' and a.name = 'order' and a.status = 'Error'")
 for _how, _op, _value, _sql in (("count", ">", 60, "count(*)"), ("avg", ">=", 40000, "avg(duration)"), ("max", "<", 90000, "max(duration)"), ("min", ">", 100, "min(duration)"), ("sum", ">", 2_000_000, "sum(duration)")):
     add(f"trace_aggregate_{_how}", lambda s, d, h=_how, o=_op, v=_value: t.where_aggregate(spans(s, d).where("name <> 'customer'"), h, o, v, F.col("duration")).select("trace_id", F.round("aggregate", 4).alias("aggregate")).distinct(), f"select trace_id, round(({_sql})::double, 4) as aggregate from spans where name <> 'customer' group by 1 having {_sql} {_op} {_value}")
 add("trace_group_by", lambda s, d: t.where_aggregate(spans(s, d), "count", ">", 10, by=F.col("status")).select("trace_id", F.col("group").alias("status"), "aggregate").distinct(), "select trace_id, status, count(*)::double as aggregate from spans group by 1, 2 having count(*) > 10")
@@ -109,3 +116,32 @@ add("span_compare_all", lambda s, d: t.compare(spans(s, d), F.col("status") == "
 add("span_exemplars", lambda s, d: ids(t.exemplars(spans(s, d), GRID, 2)), f"select trace_id, span_id, name from spans where {_IN} qualify row_number() over (partition by {_STEP} order by start, trace_id, span_id) <= 2")
 add("span_tags", lambda s, d: t.tags(spans(s, d)), "select * from (values ('resource', 'segment'), ('resource', 'status'), ('resource', 'flag'), ('span', 'balance'), ('span', 'priority'), ('span', 'price'), ('span', 'quantity'), ('span', 'supplier')) as x(scope, tag)")
 add("span_tag_values", lambda s, d: t.tag_values(spans(s, d), "priority"), "select distinct priority as val from spans where priority is not null")
+
+
+# Events, links, instrumentation, parents.
+def eventful(s: SparkSession, d: str) -> DataFrame:
+    return ad.orders_with_events(s, d)
+
+
+_ORDERS = "select o_custkey::varchar as trace_id, 'o' || o_orderkey as span_id, 'order' as name from orders where "
+QUERIES["event_attribute"] = lambda s, d: ids(eventful(s, d).where(t.any_attribute("event", "flag", lambda v: v.rlike("^(?:R|X)$"))))
+SQL["event_attribute"] = _ORDERS + "o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')"
+QUERIES["event_intrinsics"] = lambda s, d: ids(eventful(s, d).where(t.any_event(lambda name, since: (name == "ship-F") & (since > 100 * DAY))))
+SQL["event_intrinsics"] = _ORDERS + f"exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F' and epoch_ms(l_shipdate) - epoch_ms(o_orderdate) > {100 * DAY})"
+QUERIES["event_attribute_missing"] = lambda s, d: ids(eventful(s, d).where(~t.exists("flag", "event") & (F.col("name") == "order")))
+SQL["event_attribute_missing"] = _ORDERS + "o_orderkey not in (select l_orderkey from lineitem)"
+QUERIES["link_attribute"] = lambda s, d: ids(eventful(s, d).where(t.any_attribute("link", "cause", lambda v: v == "Error") & t.any_nested("links", lambda x: x["trace_id"] == F.col("trace_id"))))
+SQL["link_attribute"] = _ORDERS + "o_orderstatus = 'F'"
+QUERIES["instrumentation_scope"] = lambda s, d: ids(eventful(s, d).where((F.col("scope_name") == "orders") & (t.attribute("kind", "instrumentation") == "Client") & F.col("status_message").startswith("failed")))
+SQL["instrumentation_scope"] = _ORDERS + "o_orderstatus = 'F'"
+QUERIES["parent_scope"] = lambda s, d: ids(t.with_parent(spans(s, d)).where((t.attribute("segment", "parent.resource") == "BUILDING") & (F.col("parent.name") == "customer") & (t.attribute("priority") == "1-URGENT")))
+SQL["parent_scope"] = _ORDERS + "o_orderpriority = '1-URGENT' and o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"
+add("trace_coalesce", lambda s, d: t.coalesce(t.where_aggregate(spans(s, d), "count", ">", 10, by=F.col("status")), F.col("duration")).select("trace_id", "spans", "total"),
+    "select s.trace_id, count(distinct s.span_id) as spans, sum(s.duration)::double as total from spans s join (select trace_id, status from spans group by 1, 2 having count(*) > 10) g using (trace_id, status) group by 1")
+add("trace_by_id", lambda s, d: ids(t.trace(spans(s, d), "7")), "select trace_id, span_id, name from spans where trace_id = '7'")
+add("trace_recent", lambda s, d: ids(t.started_between(spans(s, d), 980_000_000_000, 981_000_000_000)), "select trace_id, span_id, name from spans where trace_id in (select trace_id from spans where start between 980000000000 and 981000000000)")
+add("span_compare_over_time", lambda s, d: t.compare_over_time(spans(s, d).where("name = 'order'").withColumns({"attributes": F.map_filter("attributes", lambda k, _: k == "priority")}), F.col("status") == "Error", GRID, 2), f""", x as (
+select status = 'Error' as selected, {_STEP} as ts, unnest([{{'a': 'name', 'v': name}}, {{'a': 'status', 'v': status}}, {{'a': 'kind', 'v': 'Client'}}, {{'a': 'resource.service.name', 'v': service}}, {{'a': 'resource.status', 'v': service[8:]}}, {{'a': 'span.priority', 'v': priority}}]) as e from spans where name = 'order' and {_IN}),
+c as (select selected, e.a as a, e.v as v, ts, count(*) as n from x group by 1, 2, 3, 4), f as (select selected, a, v from c group by 1, 2, 3 qualify row_number() over (partition by selected, a order by sum(n) desc, v) <= 2),
+g as (select {GRID.start} + i * {GRID.step} as ts from generate_series(0, {GRID.points - 1}) as z(i))
+select f.selected, f.a as attribute, f.v as val, g.ts, coalesce(c.n, 0) as n, coalesce(k.total, 0)::bigint as total from f cross join g left join c using (selected, a, v, ts) left join (select selected, a, ts, sum(n) as total from c group by 1, 2, 3) k using (selected, a, ts)""")

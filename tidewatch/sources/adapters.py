@@ -76,3 +76,26 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         labelled(flag="l_returnflag").alias("resource"), labelled(quantity="l_quantity", supplier="l_suppkey").alias("attributes"),
     )
     return customers.select(columns).unionByName(orders.select(columns)).unionByName(items.select(columns))
+
+
+def orders_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spans of their customers' traces, with their line items as events, a link to the customer and a scope."""
+    attributes = lambda **columns: labelled(**columns)
+    event = F.struct(F.concat(F.lit("ship-"), "l_linestatus").alias("name"), epoch_ms("l_shipdate").alias("ts"), attributes(flag="l_returnflag", quantity="l_quantity").alias("attributes"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(event).alias("events"))
+    orders = order_spans(spark, sf_dir).where("name in ('order', 'customer')").withColumn("l_orderkey", F.expr("try_cast(substr(span_id, 2) as bigint)"))
+    link = F.struct("trace_id", F.concat(F.lit("c"), "trace_id").alias("span_id"), F.create_map(F.lit("cause"), F.col("status")).alias("attributes"))
+    orders_only = F.col("name") == "order"
+    both = orders.join(items.withColumn("name", F.lit("order")), ["l_orderkey", "name"], "left").drop("l_orderkey")
+    return both.withColumns({
+        "events": F.coalesce("events", F.expr("cast(array() as array<struct<name:string,ts:bigint,attributes:map<string,string>>>)")),
+        "links": F.when(orders_only, F.array(link)).otherwise(F.expr("cast(array() as array<struct<trace_id:string,span_id:string,attributes:map<string,string>>>)")),
+        "scope_name": F.when(orders_only, "orders").otherwise("customers"), "scope_version": F.lit("1.2"),
+        "scope_attributes": F.create_map(F.lit("kind"), F.col("kind")), "status_message": F.when(F.col("status") == "Error", F.concat(F.lit("failed "), "span_id")).otherwise(""),
+    })
+
+
+def increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a counter of each type that is stored as increases: the values of one millisecond added."""
+    each = table(spark, sf_dir, "events").groupBy("event_type", epoch_ms("ts").alias("ts")).agg(F.sum("value").alias("value"))
+    return each.select(labelled("event_total", event_type="event_type").alias("labels"), "ts", "value")
