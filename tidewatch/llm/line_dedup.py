@@ -36,8 +36,8 @@ FEW, MANY = 8, 200
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
 WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 19, 2000
-#: log2 of the postings that a segment has at most on average; how columns of postings are packed.
-LOG2_POSTINGS = 18
+#: log2 of the postings that a segment has at most on average, segments in a partition; how columns of postings are packed.
+LOG2_POSTINGS, SEGMENTS = 15, 8
 POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
 
 
@@ -350,7 +350,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 packed = [[packed_sorted(key[a:b]) for a, b in cuts], *([planes(x[a:b].astype(POSTING[c])) for a, b in cuts] for c, x in columns.items()), [bits[ends[a] : ends[b]].tobytes() for a, b in cuts]]
                 yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(x, pa.binary()) for x in packed)], names=["segment", *POSTING])
 
-        return docs.select("doc", "text").mapInArrow(postings, "segment long, " + ", ".join(f"{c} binary" for c in POSTING)).repartition("segment").sortWithinPartitions("segment")
+        return docs.select("doc", "text").mapInArrow(postings, "segment long, " + ", ".join(f"{c} binary" for c in POSTING)).repartition((1 << log2_segments) // SEGMENTS + 1, "segment").sortWithinPartitions("segment")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """The late sets of the stored pairs that are similar indeed."""
