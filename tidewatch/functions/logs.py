@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -246,22 +247,100 @@ def label_filter(labels: Column, name: str, op: str, value: float, kind: str = "
     return (text != "") & F.coalesce(holds, F.lit(True)), lb.with_label(labels, ERROR, F.when(number.isNull(), "LabelFilterErr").otherwise(lb.label(labels, ERROR)))
 
 
+#: A filter of labels: from the labels, whether the row stays and its labels then.
+Condition = Callable[[Column], tuple[Column, Column]]
+
+
+def condition(name: str, op: str, value: float | str, kind: str = "string") -> Condition:
+    """A comparison of one label: of text, or of a number, duration, or bytes as :func:`label_filter` makes it."""
+    if kind == "string":
+        return lambda labels: (lb.matches(labels, name, op, str(value)), labels)
+    return lambda labels: label_filter(labels, name, op, float(value), kind)
+
+
+def all_of(*conditions: Condition) -> Condition:
+    """Rows that pass all conditions; one that an earlier condition marks as an error goes on marked."""
+
+    def both(labels: Column) -> tuple[Column, Column]:
+        stays, out = conditions[0](labels)
+        for c in conditions[1:]:
+            more, out = c(out)
+            stays = stays & more
+        return stays, out
+
+    return both
+
+
+def any_of(*conditions: Condition) -> Condition:
+    """Rows that pass a condition, with the labels that the first one that they pass gives."""
+
+    def first(labels: Column) -> tuple[Column, Column]:
+        tried = [c(labels) for c in conditions]
+        stays, out = tried[0][0], labels
+        for more, _ in tried[1:]:
+            stays = stays | more
+        for passes, own in reversed(tried):
+            out = F.when(passes, own).otherwise(out)
+        return stays, out
+
+    return first
+
+
 def unwrap(labels: Column, name: str, kind: str = "number") -> tuple[Column, Column]:
     """Sample value of a label, and the labels without it."""
     return CONVERT[kind](lb.label(labels, name)), F.map_filter(labels, lambda k, _: k != name)
 
 
-FILTERS = {"ToUpper": F.upper, "ToLower": F.lower, "TrimSpace": F.trim, "upper": F.upper, "lower": F.lower, "trim": F.trim}
+#: Functions of templates: a text and the arguments, which come before it there.
+FILTERS = {
+    "ToUpper": F.upper, "ToLower": F.lower, "TrimSpace": F.trim, "upper": F.upper, "lower": F.lower, "trim": F.trim, "title": F.initcap,
+    "Replace": lambda v, old, new, n="-1": F.replace(v, F.lit(old), F.lit(new)) if int(n) < 0 else _replace_some(v, old, new, int(n)),
+    "replace": lambda v, old, new: F.replace(v, F.lit(old), F.lit(new)),
+    "Trim": lambda v, cut: F.trim(v, F.lit(cut)), "TrimLeft": lambda v, cut: F.ltrim(v, F.lit(cut)), "TrimRight": lambda v, cut: F.rtrim(v, F.lit(cut)),
+    "TrimPrefix": lambda v, cut: F.when(v.startswith(cut), F.substring(v, F.lit(len(cut) + 1), F.length(v))).otherwise(v), "trimPrefix": lambda v, cut: FILTERS["TrimPrefix"](v, cut),
+    "TrimSuffix": lambda v, cut: F.when(v.endswith(cut), F.substring(v, F.lit(1), F.length(v) - len(cut))).otherwise(v), "trimSuffix": lambda v, cut: FILTERS["TrimSuffix"](v, cut),
+    "regexReplaceAll": lambda v, pattern, new: F.regexp_replace(v, pattern, re.sub(r"\$\{(\w+)\}", r"$\1", new)),
+    "substr": lambda v, a, b: F.substring(v, F.lit(int(a) + 1), F.lit(int(b) - int(a))), "trunc": lambda v, n: F.substring(v, 1, int(n)) if int(n) >= 0 else F.right(v, F.lit(-int(n))),
+    "repeat": lambda v, n: F.repeat(v, F.lit(int(n))), "default": lambda v, other: F.when(v == "", other).otherwise(v), "len": lambda v: F.length(v).cast("string"),
+    "alignLeft": lambda v, n: F.rpad(v, int(n), " "), "alignRight": lambda v, n: F.when(F.length(v) >= int(n), F.right(v, F.lit(int(n)))).otherwise(F.lpad(v, int(n), " ")),
+    "add": lambda v, n: _whole(v, lambda x: x + int(n)), "mul": lambda v, n: _whole(v, lambda x: x * int(n)),
+    "b64enc": lambda v: F.base64(v.cast("binary")), "b64dec": lambda v: F.unbase64(v).cast("string"), "urlencode": F.url_encode, "urldecode": F.url_decode,
+}
+
+
+def _replace_some(v: Column, old: str, new: str, n: int) -> Column:
+    for _ in range(n):
+        v = F.regexp_replace(v, f"(?s)^(.*?){re.escape(old)}", "$1\x00")
+    return F.replace(v, F.lit("\x00"), F.lit(new))
+
+
+def _whole(v: Column, f) -> Column:
+    return F.coalesce(f(v.try_cast("long")).cast("string"), F.lit("0"))
 
 
 def template(text: str, labels: Column, line: Column, ts: Column | None = None) -> Column:
-    """A text with fields like {{.name}} or {{.name | ToUpper}} filled in from labels; {{__line__}} is the line."""
+    """A text with fields like {{.name}}, {{.name | ToUpper | trunc 3}} or {{ Replace .name "a" "b" -1 }} filled in.
+
+    Fields are labels; {{__line__}} is the line. Functions are those of FILTERS; in a pipe the text comes last among
+    a function's arguments, as it does before it for the capitalised ones of the second form.
+    """
+
+    def field(name: str) -> Column:
+        name = name.lstrip(".")
+        return line if name == "__line__" else ts.cast("string") if name == "__timestamp__" and ts is not None else lb.label(labels, name)
+
     parts, at = [], 0
-    for found in re.finditer(r"\{\{\s*\.?(\w+)((?:\s*\|\s*\w+)*)\s*\}\}", text):
-        name = found[1]
-        value = line if name == "__line__" else ts.cast("string") if name == "__timestamp__" and ts is not None else lb.label(labels, name)
-        for f in re.findall(r"\w+", found[2]):
-            value = FILTERS[f](value)
+    for found in re.finditer(r"\{\{(.*?)\}\}", text):
+        value = None
+        for step in re.findall(r'(?:"(?:[^"\\]|\\.)*"|`[^`]*`|[^|])+', found[1]):
+            words = [w[1:-1] if w[0] in '"`' else w for w in re.findall(r'"(?:[^"\\]|\\.)*"|`[^`]*`|\S+', step)]
+            if value is not None:
+                value = FILTERS[words[0]](value, *words[1:])
+            elif words[0] in FILTERS:
+                own = next(w for w in words[1:] if w.startswith(".") or w == "__line__")
+                value = FILTERS[words[0]](field(own), *(w for w in words[1:] if w != own))
+            else:
+                value = field(words[0])
         parts += [F.lit(text[at : found.start()]), value]
         at = found.end()
     return F.concat(*parts, F.lit(text[at:]))

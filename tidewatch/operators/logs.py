@@ -38,12 +38,16 @@ def unpack(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"labels": labels, "line": line})
 
 
+def where(logs: DataFrame, condition: lg.Condition) -> DataFrame:
+    """Label filter, made of functions.logs' condition, all_of and any_of; comparing numbers, durations or bytes
+    marks values that can't be read."""
+    stays, labels = condition(F.col("labels"))
+    return logs.select("*", stays.alias("tw_stays"), labels.alias("tw_labels")).where("tw_stays").withColumn("labels", F.col("tw_labels")).drop("tw_stays", "tw_labels")
+
+
 def where_label(logs: DataFrame, name: str, op: str, value: float | str, kind: str = "string") -> DataFrame:
-    """Label filter; comparing numbers, durations or bytes marks values that can't be read."""
-    if kind == "string":
-        return logs.where(lb.matches(F.col("labels"), name, op, str(value)))
-    stays, labels = lg.label_filter(F.col("labels"), name, op, float(value), kind)
-    return logs.where(stays).withColumn("labels", labels)
+    """Label filter of one comparison."""
+    return where(logs, lg.condition(name, op, value, kind))
 
 
 def line_format(logs: DataFrame, template: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,25 +76,20 @@ class Templates:
 def templates(logs: DataFrame, depth: int = 4, similarity: float = 0.4, children: int = 100, at_least: int = 30) -> DataFrame:
     """(level, template, n): templates of lines mined level by level, those with at_least lines.
 
-    Each task mines its own lines; then, for each level, number of words and first word, templates are mined
-    together with their counts, so no task sees all lines.
+    Words with digits are masked first, and equal lines are counted by Spark, so mining sees each kind of line once.
+    Kinds are mined in their own order, by level, number of words and first word, so the result does not depend on
+    how lines lie in partitions.
     """
-    rows = logs.select(lb.label(F.col("labels"), "detected_level").alias("level"), "line")
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_level: dict[str, Templates] = {}
-        for frame in frames:
-            for level, line in zip(frame["level"], frame["line"], strict=True):
-                by_level.setdefault(level, Templates(depth, similarity, children)).add(line.split())
-        out = [(level, " ".join(t[0]), t[1], len(t[0]), t[0][0] if t[0] else "") for level, found in by_level.items() for t in found.found]
-        yield pd.DataFrame(out, columns=["level", "template", "n", "words", "head"])
+    masked = F.transform(F.split(F.trim("line"), r"\s+"), lambda w: F.when(w.rlike(r"\d"), "<_>").otherwise(w))
+    rows = logs.select(lb.label(F.col("labels"), "detected_level").alias("level"), masked.alias("words"))
+    kinds = rows.groupBy("level", F.array_join("words", " ").alias("line")).agg(F.count("*").alias("n"))
+    kinds = kinds.withColumns({"words": F.size(F.split("line", " ")), "head": F.substring_index("line", " ", 1)})
 
-    def joint(frame: pd.DataFrame) -> pd.DataFrame:
+    def mine(frame: pd.DataFrame) -> pd.DataFrame:
         found = Templates(depth, similarity, children)
-        for template, n in sorted(zip(frame["template"], frame["n"], strict=True)):
-            found.add(template.split(), n)
+        for line, n in sorted(zip(frame["line"], frame["n"], strict=True)):
+            found.add(line.split(), n)
         return pd.DataFrame([(frame["level"].iloc[0], " ".join(t[0]), t[1]) for t in found.found], columns=["level", "template", "n"])
 
-    mined = rows.mapInPandas(local, "level string, template string, n long, words long, head string")
-    merged = mined.groupBy("level", "words", "head").applyInPandas(joint, "level string, template string, n long")
+    merged = kinds.groupBy("level", "words", "head").applyInPandas(mine, "level string, template string, n long")
     return merged.groupBy("level", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)

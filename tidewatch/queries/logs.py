@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb, logs as lg, ranges
 from ..operators import logs as lo, matching as mt, metadata as md, metrics as m
 from ..sources import adapters as ad
-from .metrics import DAYS, RANGE, _grid, flat
+from .metrics import DAYS, RANGE, _extrapolated, _grid, _windows, flat
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,6 +71,15 @@ add("label_filter_error", lambda s, d: rows(lo.where_label(events(s, d), "event_
 add("label_filter_duration", lambda s, d: rows(lo.where_label(lo.label_format(lo.parse(events(s, d), lg.parse_json), took="{{.k}}ms"), "took", "<=", 0.03, "duration"), "took"), f"select epoch_us(ts) as ts, props as line, json_extract_string(props, '$.k') || 'ms' as took from events where {_K} <= 30")
 add("label_filter_bytes", lambda s, d: rows(lo.where_label(lo.label_format(lo.parse(events(s, d), lg.parse_json), size="{{.k}}KiB"), "size", ">=", 51200, "bytes"), "size"), f"select epoch_us(ts) as ts, props as line, json_extract_string(props, '$.k') || 'KiB' as size from events where {_K} >= 50")
 add("label_filter_string", lambda s, d: rows(lo.where_label(events(s, d), "user", "=~", "[1-4]."), "user"), """select epoch_us(ts) as ts, props as line, user_id::varchar as "user" from events where regexp_full_match(user_id::varchar, '[1-4].')""")
+add("label_filter_or", lambda s, d: rows(lo.where(lo.parse(events(s, d), lg.parse_json), lg.any_of(lg.condition("event_type", "=", "error"), lg.all_of(lg.condition("k", ">", 90, "number"), lg.condition("user", "=~", "1.*")), lg.condition("user", ">=", 95, "number"))), "user", "k", "__error__"),
+    f"""select epoch_us(ts) as ts, props as line, user_id::varchar as "user", json_extract_string(props, '$.k') as k, '' as __error__ from events where event_type = 'error' or ({_K} > 90 and user_id::varchar like '1%') or user_id >= 95""")
+add("label_filter_or_error", lambda s, d: rows(lo.where(events(s, d), lg.any_of(lg.condition("user", "<", 10, "number"), lg.condition("event_type", ">", 1, "duration"))), "user", "__error__"),
+    """select epoch_us(ts) as ts, props as line, user_id::varchar as "user", case when user_id < 10 then '' else 'LabelFilterErr' end as __error__ from events""")
+add("parse_logfmt_strict", lambda s, d: rows(lo.parse(lo.line_format(events(s, d), 'level={{.detected_level}} {{.event_type | Replace "view" "a view"}}=1'), lg.parse_logfmt, strict=True), "level", "click", "__error__"),
+    f"select epoch_us(ts) as ts, 'level=' || {_LEVEL} || ' ' || replace(event_type, 'view', 'a view') || '=1' as line, case when event_type = 'view' then '' else {_LEVEL} end as level, case when event_type = 'click' then '1' else '' end as click, case when event_type = 'view' then 'LogfmtParserErr' else '' end as __error__ from events")
+add("parse_logfmt_named", lambda s, d: rows(lo.parse(_formatted(s, d), lg.parse_logfmt, names={"lv": "level", "what": "msg"}), "lv", "what", "user"), f"""select epoch_us(ts) as ts, {_FORMATTED} as line, {_LEVEL} as lv, event_type || ' seen' as what, user_id::varchar as "user" from events""")
+add("template_functions", lambda s, d: rows(lo.line_format(events(s, d), '{{.event_type | trunc 2 | alignRight 4}}|{{ Replace .event_type "r" "_" 1 }}|{{.user | add 5 | default "x"}}|{{.none | default "x"}}|{{.event_type | regexReplaceAll "(.)l" "${1}L" | TrimPrefix "c"}}|{{.event_type | substr 1 3 | upper | repeat 2}}')),
+    """select epoch_us(ts) as ts, lpad(left(event_type, 2), 4, ' ') || '|' || regexp_replace(event_type, 'r', '_') || '|' || (user_id + 5) || '|x|' || (case when starts_with(replace(event_type, 'l', 'l'), 'c') then substr(regexp_replace(event_type, '(.)l', '\\1L', 'g'), 2) else regexp_replace(event_type, '(.)l', '\\1L', 'g') end) || '|' || repeat(upper(substr(event_type, 2, 2)), 2) as line from events""")
 add("label_format", lambda s, d: rows(lo.rename_label(lo.label_format(events(s, d), tag="{{.event_type | ToUpper}}-{{.user}}"), "who", "user"), "tag", "who", "user"), """select epoch_us(ts) as ts, props as line, upper(event_type) || '-' || user_id as tag, user_id::varchar as who, '' as "user" from events""")
 add("drop_labels", lambda s, d: rows(lo.drop(events(s, d), "detected_level", matchers=(("event_type", "=", "view"),)), "event_type", "detected_level"), "select epoch_us(ts) as ts, props as line, case when event_type = 'view' then '' else event_type end as event_type, '' as detected_level from events")
 add("keep_labels", lambda s, d: rows(lo.keep(events(s, d), "user"), "user", "event_type"), """select epoch_us(ts) as ts, props as line, user_id::varchar as "user", '' as event_type from events""")
@@ -102,6 +111,11 @@ add("log_sum_by_level", lambda s, d: flat(m.aggregate(lo.over_lines(events(s, d)
 add("log_topk", lambda s, d: flat(m.ranked(m.aggregate(lo.over_lines(events(s, d), "count_over_time", DAYS, RANGE), "sum", by=["user"]), 3, True), "user"),
     f"""with {_grid(DAYS)}, c as (select user_id::varchar as "user", p, count(*)::double as n from events join g on {_T} > p - {RANGE} and {_T} <= p group by 1, 2)
 select "user", p as ts, n as value from c qualify row_number() over (partition by p order by n desc, '{{"user":"' || "user" || '"}}') <= 3""")
+add("log_approx_topk", lambda s, d: flat(m.ranked(m.aggregate(lo.over_lines(events(s, d), "count_over_time", DAYS, RANGE), "sum", by=["user"]), 5, True), "user"),
+    f"""with {_grid(DAYS)}, c as (select user_id::varchar as "user", p, count(*)::double as n from events join g on {_T} > p - {RANGE} and {_T} <= p group by 1, 2)
+select "user", p as ts, n as value from c qualify row_number() over (partition by p order by n desc, '{{"user":"' || "user" || '"}}') <= 5""")
+add("unwrap_rate_counter", lambda s, d: flat(lo.over_values(lo.label_format(lo.keep(events(s, d), "event_type"), n="{{__timestamp__}}"), "n", "rate_counter", DAYS, RANGE), "event_type", digits=4),
+    _windows().replace("max(value) as v", f"max(epoch_us(ts))::double as v") + _extrapolated("lv - fv + lost", True, True).replace(", 8) as value", ", 4) as value"))
 add("log_binary", lambda s, d: flat(mt.binary(lo.over_lines(lo.keep(events(s, d), "event_type"), "bytes_over_time", DAYS, RANGE), "/", lo.over_lines(lo.keep(events(s, d), "event_type"), "count_over_time", DAYS, RANGE)), "event_type"), _per_window("sum(strlen(props)) / count(*)::double"))
 add("log_variants", lambda s, d: flat(lo.variants(lo.keep(events(s, d), "event_type"), ["count_over_time", "bytes_over_time"], DAYS, RANGE), "event_type", "__variant__"),
     f"with {_grid(DAYS)}, c as (select event_type, p, count(*)::double as n, sum(strlen(props))::double as b from events join g on {_T} > p - {RANGE} and {_T} <= p group by 1, 2) select event_type, '0' as __variant__, p as ts, n as value from c union all select event_type, '1', p, b from c")
@@ -115,4 +129,5 @@ add("index_volume", lambda s, d: md.volume(docs(s, d), ["source", "lang"], 20),
 add("detected_fields", lambda s, d: md.detected_fields(lo.keep(lo.parse(events(s, d), lg.parse_json), "event_type", "detected_level")), "select 'event_type' as field, 'string' as kind, count(distinct event_type) as cardinality from events union all select 'detected_level', 'string', 2")
 # all fields, parsed ones too; their number of values is approximate, so tests hold it against the exact one
 add("detected_fields_all", lambda s, d: md.detected_fields(lo.parse(events(s, d), lg.parse_json)))
-add("line_templates", lambda s, d: md.templates(_formatted(s, d)))
+add("line_templates", lambda s, d: md.templates(_formatted(s, d)), f"""with e as (select {_LEVEL} as level, event_type, case when regexp_matches(event_type, '[0-9]') then '<_>' else event_type end as shown from events)
+select level, 'level=' || level || ' <_> ' || (case when count(distinct shown) > 1 then '<_>' else 'msg="' || min(shown) end) || ' seen"' as template, count(*) as n from e group by 1 having count(*) >= 30""")
