@@ -86,6 +86,35 @@ def scaled(h: Column, factor: Column) -> Column:
     return F.struct((h["count"] * factor).alias("count"), (h["sum"] * factor).alias("sum"), h["scale"].alias("scale"), (h["zero_count"] * factor).alias("zero_count"), side("positive"), side("negative"))
 
 
+def _in_order(h: Column, name: str) -> Column:
+    return F.array_sort(F.map_entries(F.map_filter(h[name], lambda _, v: v != 0)))
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two histograms are equal; empty buckets don't count."""
+    flat = lambda h: F.struct(h["count"], h["sum"], h["scale"], h["zero_count"], _in_order(h, "positive"), _in_order(h, "negative"))
+    return flat(a).eqNullSafe(flat(b))
+
+
+def fell(a: Column, b: Column) -> Column:
+    """Whether a histogram counter was reset between a and b: its count, zero count or a bucket fell, or its scale rose."""
+    scale = F.least(a["scale"], b["scale"])
+    at = lambda h, name: _grouped(_shifted(h[name], h["scale"] - scale))
+
+    def less(name: str) -> Column:
+        after = at(b, name)
+        return F.exists(F.map_entries(at(a, name)), lambda e: F.coalesce(F.try_element_at(after, e["key"]), F.lit(0.0)) < e["value"])
+
+    return (b["count"] < a["count"]) | (b["zero_count"] < a["zero_count"]) | (b["scale"] > a["scale"]) | less("positive") | less("negative")
+
+
+def text(h: Column) -> Column:
+    """A histogram as text: count, sum, and its buckets by their bounds, from the least up."""
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    bucket = lambda b: F.concat(F.when(b["low"] < 0, "[").when(b["low"] == b["high"], "[").otherwise("("), number(b["low"]), F.lit(","), number(b["high"]), F.when((b["low"] < 0) & (b["low"] != b["high"]), ")").otherwise("]"), F.lit(":"), number(b["count"]))
+    return F.concat(F.lit("{count:"), number(h["count"]), F.lit(", sum:"), number(h["sum"]), F.when(F.size(regions(h)) > 0, F.concat(F.lit(", "), F.array_join(F.transform(regions(h), bucket), ", "))).otherwise(""), F.lit("}"))
+
+
 def regions(h: Column) -> Column:
     """Populated buckets as an array of (low, high, count), from the least values up."""
     base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -h["scale"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import histograms as hg, labels as lb
+from ..functions.ranges import extrapolated
 from ..plans.grid import Grid, Windows
 from .matching import match_key
 from .metrics import grouping
@@ -68,28 +69,69 @@ def aggregate(rows: DataFrame, how: str = "sum", by: list[str] | None = None, wi
     return both.select("labels", "ts", hg.scaled(hist, sign).alias("hist"))
 
 
-def over_time(rows: DataFrame, how: str, grid: Grid, range_ms: int) -> DataFrame:
-    """sum_over_time, avg_over_time, or the extrapolated increase or rate of histogram counters."""
+def _windowed(rows: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
+    """(labels, ts, s): each series' samples (ts, hist) in each window, in order."""
     windows = Windows(grid, range_ms)
-    kept = rows.where(windows.relevant(F.col("ts"))).withColumns({"k": lb.key(F.col("labels")), "slot": windows.slot(F.col("ts"))})
+    kept = rows.where(windows.relevant(F.col("ts")) & F.col("hist").isNotNull()).withColumns({"k": lb.key(F.col("labels")), "slot": windows.slot(F.col("ts"))})
     slots = kept.groupBy("k", "slot").agg(F.any_value("labels").alias("labels"), F.collect_list(F.struct("ts", "hist")).alias("s"))
     spread = slots.withColumn("point", F.explode(windows.points(F.col("slot"))))
     gathered = spread.groupBy("k", "point").agg(F.any_value("labels").alias("labels"), F.flatten(F.collect_list("s")).alias("s"))
-    s = F.array_sort(F.col("s"), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).otherwise(0))
-    gathered = gathered.withColumn("s", s)
+    in_order = F.array_sort(F.col("s"), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).otherwise(0))
+    return gathered.select(lb.nameless(F.col("labels")).alias("labels"), F.col("point").alias("ts"), in_order.alias("s"))
+
+
+def over_time(rows: DataFrame, how: str, grid: Grid, range_ms: int) -> DataFrame:
+    """sum_over_time, avg_over_time; the extrapolated increase or rate of histogram counters, or the delta of gauges;
+    irate and idelta of the last two."""
+    gathered = _windowed(rows, grid, range_ms)
     s = F.col("s")
     if how in ("sum_over_time", "avg_over_time"):
         total = hg.added(F.transform(s, lambda x: x["hist"]))
         hist = hg.scaled(total, 1.0 / F.size(s)) if how == "avg_over_time" else total
-        return gathered.select(lb.nameless(F.col("labels")).alias("labels"), F.col("point").alias("ts"), hist.alias("hist"))
-    from ..functions.ranges import extrapolated
+        return gathered.select("labels", "ts", hist.alias("hist"))
+    first, last, before = F.get(s, F.lit(0)), F.get(s, F.size(s) - 1), F.get(s, F.size(s) - 2)
+    minus = lambda a, b: hg.added(F.array(a, hg.scaled(b, F.lit(-1.0))))
+    if how in ("irate", "idelta"):
+        gap = (last["ts"] - before["ts"]) / 1000.0
+        change = F.when(hg.fell(before["hist"], last["hist"]), last["hist"]).otherwise(minus(last["hist"], before["hist"])) if how == "irate" else minus(last["hist"], before["hist"])
+        pairs = gathered.where((F.size("s") >= 2) & (gap > 0))
+        return pairs.select("labels", "ts", change.alias("hist"), gap.alias("gap")).select("labels", "ts", (hg.scaled(F.col("hist"), 1.0 / F.col("gap")) if how == "irate" else F.col("hist")).alias("hist"))
+    counter = how != "delta"
+    change = minus(last["hist"], first["hist"])
+    if counter:
+        pairs = F.transform(s, lambda x, i: F.struct(F.get(s, i - 1)["hist"].alias("hist"), ((i > 0) & hg.fell(F.get(s, i - 1)["hist"], x["hist"])).alias("fell")))
+        change = hg.added(F.concat(F.array(change), F.transform(F.filter(pairs, lambda x: F.coalesce(x["fell"], F.lit(False))), lambda x: x["hist"])))
+    whole = gathered.where(F.size("s") >= 2).select("labels", "ts", change.alias("hist"), first["ts"].alias("first_ts"), last["ts"].alias("last_ts"), first["hist"]["count"].alias("first"), F.size("s").alias("n"))
+    # the factor is that of any change that is carried on to the edges, here of the counts
+    one = extrapolated(F.col("hist.count"), F.col("first_ts"), F.col("last_ts"), F.col("n"), F.col("first"), F.col("ts"), range_ms, counter, how == "rate")
+    carried = extrapolated(F.lit(1.0), F.col("first_ts"), F.col("last_ts"), F.col("n"), F.lit(1e300), F.col("ts"), range_ms, False, how == "rate")
+    factor = F.when(F.col("hist.count") == 0, carried).otherwise(F.try_divide(one, F.col("hist.count")))
+    return whole.select("labels", "ts", hg.scaled(F.col("hist"), factor).alias("hist")).where("hist.count is not null")
+
+
+def changes(rows: DataFrame, how: str, grid: Grid, range_ms: int) -> DataFrame:
+    """resets or changes of histograms in each window, as numbers."""
+    s = F.col("s")
+    moved = (lambda a, b: hg.fell(a, b)) if how == "resets" else (lambda a, b: ~hg.same(a, b))
+    pairs = F.filter(F.transform(s, lambda x, i: (i > 0) & moved(F.get(s, i - 1)["hist"], x["hist"])), lambda x: F.coalesce(x, F.lit(False)))
+    return _windowed(rows, grid, range_ms).select("labels", "ts", F.size(pairs).cast("double").alias("value"))
+
+
+def counted(rows: DataFrame, how: str = "count", by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """count or group of the series of each group, histograms and numbers alike."""
+    value = F.count("*").cast("double") if how == "count" else F.lit(1.0) + F.count("*") * 0.0
+    return rows.withColumn("labels", grouping(by, without)).groupBy("labels", "ts").agg(value.alias("value"))
+
+
+def count_values(rows: DataFrame, name: str, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """Number of histograms with each text, which becomes a label."""
+    labelled = rows.where("hist is not null").withColumn("labels", lb.with_label(grouping(by, without), name, hg.text(F.col("hist"))))
+    return labelled.groupBy(lb.canonical(F.col("labels")).alias("labels"), "ts").agg(F.count("*").cast("double").alias("value"))
+
 
-    first, last = F.get(s, F.lit(0)), F.get(s, F.size(s) - 1)
-    lost = F.filter(F.transform(s, lambda x, i: F.struct(F.get(s, i - 1)["hist"].alias("hist"), (F.coalesce(x["hist"]["count"] < F.get(s, i - 1)["hist"]["count"], F.lit(False)) & (i > 0)).alias("fell"))), lambda x: x["fell"])
-    change = hg.added(F.concat(F.array(last["hist"], hg.scaled(first["hist"], F.lit(-1.0))), F.transform(lost, lambda x: x["hist"])))
-    one = extrapolated(change["count"], first["ts"], last["ts"], F.size(s), first["hist"]["count"], F.col("point"), range_ms, True, how == "rate")
-    factor = F.try_divide(one, change["count"])
-    return gathered.select(lb.nameless(F.col("labels")).alias("labels"), F.col("point").alias("ts"), hg.scaled(change, factor).alias("hist")).where("hist.count is not null")
+def numbers(rows: DataFrame) -> DataFrame:
+    """The numbers of a mixed frame (labels, ts, value, hist): aggregations that know no histograms drop them."""
+    return rows.where("hist is null").select("labels", "ts", "value")
 
 
 def binary(left: DataFrame, op: str, right: DataFrame, on: list[str] | None = None, ignoring: list[str] | None = None) -> DataFrame:
@@ -99,7 +141,7 @@ def binary(left: DataFrame, op: str, right: DataFrame, on: list[str] | None = No
     own = lb.nameless(F.col("labels")).alias("labels")
     if op in "+-":
         return both.select(own, "ts", hg.added(F.array(F.col("hist"), hg.scaled(F.col("other"), F.lit(1.0 if op == "+" else -1.0)))).alias("hist"))
-    same = F.to_json("hist") == F.to_json("other")
+    same = hg.same(F.col("hist"), F.col("other"))
     return both.where(same if op == "==" else ~same).select("labels", "ts", "hist")
 
 

@@ -19,9 +19,10 @@ def match_key(on: list[str] | None = None, ignoring: list[str] | None = None) ->
 
 
 def _checked(side: DataFrame, message: str) -> DataFrame:
-    """side with a column that fails the job where its match key isn't unique at a point."""
-    many = F.count("*").over(Window.partitionBy("key", "ts")) > 1
-    return side.withColumn("value", F.when(many, F.raise_error(F.lit(message)).cast("double")).otherwise(F.col("value")))
+    """side by its match key and point; the job fails where there is more than one row."""
+    fail = F.raise_error(F.lit(message)).cast("double")
+    each = side.groupBy("key", "ts").agg(F.any_value("labels").alias("labels"), F.any_value("value").alias("value"), F.count("*").alias("n"))
+    return each.select("key", "ts", "labels", F.when(F.col("n") > 1, fail).otherwise(F.col("value")).alias("value"))
 
 
 def binary(left: DataFrame, op: str, right: DataFrame, on: list[str] | None = None, ignoring: list[str] | None = None, group: str | None = None, include: list[str] | None = None, as_bool: bool = False) -> DataFrame:

@@ -40,6 +40,18 @@ def instant(samples: DataFrame, grid: Grid, lookback_ms: int = LOOKBACK_MS, offs
     return found.select("labels", F.col("point").alias("ts"), F.col("s.value").alias("value"))
 
 
+def timestamps(samples: DataFrame, grid: Grid, lookback_ms: int = LOOKBACK_MS, offset_ms: int = 0) -> DataFrame:
+    """timestamp(): seconds of the sample that :func:`instant` takes at each point."""
+    return map_values(instant(samples.withColumn("value", F.col("ts") / 1000.0), grid, lookback_ms, offset_ms), lambda v: v)
+
+
+def exemplars(rows: DataFrame, first: int, last: int, *matchers: tuple[str, str, str]) -> DataFrame:
+    """(labels, exemplar_labels, ts, value): the exemplars, within these milliseconds, of rows (labels, exemplars) whose
+    labels pass the matchers; exemplars is an array of structs of ts, value and labels."""
+    found = select(rows, *matchers).select("labels", F.explode("exemplars").alias("e")).where(F.col("e.ts").between(first, last))
+    return found.select("labels", F.col("e.labels").alias("exemplar_labels"), "e.ts", "e.value")
+
+
 def pinned(vector: DataFrame, grid: Grid) -> DataFrame:
     """A vector evaluated once (at a pinned time), at each point of the grid."""
     return vector.withColumn("ts", F.explode(F.sequence(F.lit(grid.start).cast("long"), F.lit(grid.end).cast("long"), F.lit(grid.step).cast("long"))))
@@ -322,7 +334,7 @@ def limitk(vector: DataFrame, k: int, by: list[str] | None = None, without: list
 
 def limit_ratio(vector: DataFrame, ratio: float) -> DataFrame:
     """About that share of the series, by their labels' hash; a negative ratio gives those that 1 + ratio leaves out."""
-    place = F.pmod(F.xxhash64(lb.key(F.col("labels"))), F.lit(1 << 32)) / float(1 << 32)
+    place = F.conv(F.substring(F.md5(lb.key(F.col("labels"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return vector.where(place < ratio if ratio >= 0 else place >= 1 + ratio)
 
 

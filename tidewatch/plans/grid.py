@@ -36,6 +36,16 @@ class Grid:
     def points(self) -> int:
         return (self.end - self.start) // self.step + 1
 
+    @property
+    def range_seconds(self) -> float:
+        """range(): seconds from the first point to the last."""
+        return (self.end - self.start) / 1000.0
+
+    @property
+    def step_seconds(self) -> float:
+        """step(): seconds between points, 0 for a single one."""
+        return self.step / 1000.0 if self.points > 1 else 0.0
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.points).select((F.lit(self.start) + F.col("id") * self.step).alias("ts"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import histograms as hg, labels as lb
-from ..operators import histograms as h, metrics as m
+from ..operators import histograms as h, matching as mt, metrics as m
 from ..plans.grid import Grid
 from ..sources import adapters as ad
 from .metrics import flat
@@ -96,3 +96,66 @@ SQL["exponential_scaled"] = f"with {_EXP}, {_EXP_ALL}, " + _STATS.format(f="0.5:
 QUERIES["exponential_fraction"] = lambda spark, sf: flat(h.value_of(h.aggregate(exponential(spark, sf), "sum", by=["status"]), lambda x: hg.fraction(x, 1000, 100000)), "status")
 _BELOW = "sum(n * greatest(0, least(1, (log2({x}) - i / 4.0::double) * 4)))"
 SQL["exponential_fraction"] = f"with {_EXP}, {_EXP_ALL} select status, 0::bigint as ts, round(({_BELOW.format(x=100000)} - {_BELOW.format(x=1000)}) / sum(n), 8) as value from c group by 1"
+
+
+# Histograms over time: prices of each half-year's orders by status, at its end.
+HALF = 182 * 86_400_000
+FIRST = 788_918_400_000 - 3 * 365 * 86_400_000
+HALVES = Grid(FIRST, FIRST + 14 * HALF, HALF)
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = ad.table(spark, sf_dir, "orders").withColumn("ts", (F.lit(FIRST) + F.ceil((ad.epoch_ms("o_orderdate") - FIRST) / F.lit(HALF)) * HALF).cast("long"))
+    buckets = orders.groupBy("o_orderstatus", "ts", (F.ceil(F.log2("o_totalprice")) - 1).cast("int").alias("i")).agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("total"))
+    rows = buckets.groupBy("o_orderstatus", "ts").agg(F.sum("n").alias("count"), F.sum("total").alias("sum"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("positive"))
+    hist = F.struct("count", "sum", F.lit(0).alias("scale"), F.lit(0.0).alias("zero_count"), "positive", F.create_map().cast("map<int,double>").alias("negative"))
+    return rows.select(ad.labelled("price", status="o_orderstatus").alias("labels"), "ts", hist.alias("hist"))
+
+
+def _totals(rows: DataFrame, digits: int = 4) -> DataFrame:
+    return rows.select(lb.label(F.col("labels"), "status").alias("status"), "ts", F.round("hist.count", digits).alias("n"), F.round("hist.sum", digits).alias("total"), F.size("hist.positive").alias("buckets"))
+
+
+_HALVES = f"""with b as (select o_orderstatus as status, {FIRST} + ceil((epoch_ms(o_orderdate) - {FIRST}) / {HALF}::double)::bigint * {HALF} as t, (ceil(log2(o_totalprice)) - 1)::int as i, count(*)::double as n, sum(o_totalprice) as total from orders group by 1, 2, 3),
+s as (select status, t, sum(n) as n, sum(total) as total, lag(t) over o as pt, lag(sum(n)) over o as pn, lag(sum(total)) over o as ptotal from b group by 1, 2 window o as (partition by status order by t)),
+g as (select {FIRST} + i * {HALF} as p from generate_series(0, {HALVES.points - 1}) as x(i))
+"""
+QUERIES["exponential_sum_over_time"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "sum_over_time", HALVES, 3 * HALF), 2)
+SQL["exponential_sum_over_time"] = _HALVES + f"select status, p as ts, round(sum(b.n), 2) as n, round(sum(b.total), 2) as total, count(distinct i)::int as buckets from b join g on t > p - {3 * HALF} and t <= p group by 1, 2"
+_ENDS = f"""e as (select status, p, count(*) as k, min(t) as ft, max(t) as lt, arg_min(n, t) as fn, arg_max(n, t) as ln, arg_min(total, t) as ftotal, arg_max(total, t) as ltotal from s join g on t > p - {3 * HALF} and t <= p group by 1, 2 having count(*) >= 2),
+w as (select *, (lt - ft)::double as c, (lt - ft)::double / (k - 1) as gap from e),
+f as (select *, (c + case when ft - (p - {3 * HALF}) >= 1.1 * gap then gap / 2 else ft - (p - {3 * HALF}) end + case when p - lt >= 1.1 * gap then gap / 2 else p - lt end) / c as factor from w)
+"""
+QUERIES["exponential_delta"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "delta", HALVES, 3 * HALF), 2).drop("buckets")
+SQL["exponential_delta"] = _HALVES + ", " + _ENDS + "select status, p as ts, round((ln - fn) * factor, 2) as n, round((ltotal - ftotal) * factor, 2) as total from f"
+QUERIES["exponential_idelta"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "idelta", HALVES, 2 * HALF), 2).drop("buckets")
+SQL["exponential_idelta"] = _HALVES + f"select status, t as ts, round(n - pn, 2) as n, round(total - ptotal, 2) as total from s join g on t = p where pt = t - {HALF}"
+_FELL = "exists (select 1 from b x where x.status = s.status and x.t = s.pt and x.n > coalesce((select y.n from b y where y.status = s.status and y.t = s.t and y.i = x.i), 0))"
+QUERIES["exponential_irate"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "irate", HALVES, 2 * HALF), 8).drop("buckets")
+SQL["exponential_irate"] = _HALVES + f"select status, t as ts, round((case when {_FELL} then n else n - pn end) / {HALF / 1000.0}, 8) as n, round((case when {_FELL} then total else total - ptotal end) / {HALF / 1000.0}, 8) as total from s join g on t = p where pt = t - {HALF}"
+QUERIES["exponential_resets"] = lambda spark, sf: flat(h.changes(halves(spark, sf), "resets", HALVES, 4 * HALF), "status")
+SQL["exponential_resets"] = _HALVES + f", r as (select status, t, pt, {_FELL} as fell from s) select status, p as ts, sum(case when pt > p - {4 * HALF} and fell then 1 else 0 end)::double as value from r join g on t > p - {4 * HALF} and t <= p group by 1, 2"
+QUERIES["exponential_changes"] = lambda spark, sf: flat(h.changes(halves(spark, sf).unionByName(halves(spark, sf).withColumn("ts", F.col("ts") + 1000)), "changes", Grid(FIRST + 2000, FIRST + 2000 + 14 * HALF, HALF), 4 * HALF), "status")
+SQL["exponential_changes"] = _HALVES + f"select status, p + 2000 as ts, sum(case when pt is not null and pt > p + 1000 - {4 * HALF} then 1 else 0 end)::double as value from s join g on t + 1000 > p + 2000 - {4 * HALF} and t <= p group by 1, 2"
+QUERIES["exponential_count"] = lambda spark, sf: flat(h.counted(exponential(spark, sf), "count", by=["status"]), "status")
+SQL["exponential_count"] = f"with {_EXP} select status, 0::bigint as ts, count(distinct priority)::double as value from e group by 1"
+QUERIES["exponential_group"] = lambda spark, sf: flat(h.counted(exponential(spark, sf), "group", by=["priority"]), "priority")
+SQL["exponential_group"] = "select distinct o_orderpriority as priority, 0::bigint as ts, 1.0::double as value from orders"
+_EMPTY = lambda spark, sf: halves(spark, sf).withColumn("hist", F.col("hist").withField("sum", F.lit(0.0)).withField("positive", F.create_map(F.lit(1), F.col("hist.count"))))
+QUERIES["exponential_count_values"] = lambda spark, sf: flat(h.count_values(_EMPTY(spark, sf), "text"), "text")
+SQL["exponential_count_values"] = _HALVES + "select '{count:' || n::bigint || ', sum:0, (2,4]:' || n::bigint || '}' as text, t as ts, count(*)::double as value from s group by 1, 2"
+QUERIES["exponential_scaled_by_vector"] = lambda spark, sf: _stats(h.scale_by(sums := h.aggregate(exponential(spark, sf), "sum", by=["status"]), h.value_of(sums, "histogram_count"), divide=True), "status").drop("var")
+SQL["exponential_scaled_by_vector"] = f"with {_EXP}, {_EXP_ALL} select status, 1.0::double as n, round(sum(total) / sum(n), 2) as total, round(sum(total) / sum(n), 4) as mean, count(*)::int as buckets from c group by 1"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of the half-years, or, where there is none, the value of another series."""
+    late = halves(spark, sf_dir).where(F.col("ts") > FIRST + 5 * HALF)
+    values = m.map_values(h.value_of(halves(spark, sf_dir), "histogram_count"), lambda v: v)
+    return mt.or_(late, values, on=["status"])
+
+
+QUERIES["mixed_or"] = lambda spark, sf: _mixed(spark, sf).select(lb.label(F.col("labels"), "status").alias("status"), "ts", F.col("hist.count").alias("n"), "value")
+SQL["mixed_or"] = _HALVES + f"select status, t as ts, case when t > {FIRST + 5 * HALF} then n end as n, case when t <= {FIRST + 5 * HALF} then n end as value from s"
+QUERIES["mixed_max"] = lambda spark, sf: flat(m.aggregate(h.numbers(_mixed(spark, sf)), "max"))
+SQL["mixed_max"] = _HALVES + f"select t as ts, max(n) as value from s where t <= {FIRST + 5 * HALF} group by 1"

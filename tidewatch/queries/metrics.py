@@ -13,7 +13,7 @@ from ..plans.grid import Grid
 from ..sources import adapters as ad
 
 HOUR = 3_600_000
-START, END = 1_704_153_600_000, 1_706_486_400_000  # 2024-01-02 to 2024-01-29
+START, END = 1_704_153_600_000, 1_706_659_200_000  # 2024-01-02 to 2024-01-31, past the last event
 DAYS = Grid(START, END, 12 * HOUR)
 RANGE = 24 * HOUR
 INSTANT = Grid.instant(END)
@@ -181,8 +181,11 @@ query("aggregate_quantile", _VECTOR + "select event_type, p as ts, round(quantil
 for _name, _top in (("topk", True), ("bottomk", False)):
     query(_name, _VECTOR + f"""select event_type, "user", p as ts, round(v, 8) as value from u
 qualify row_number() over (partition by event_type, p order by v {'desc' if _top else 'asc'}, '{{"event_type":"' || event_type || '","user":"' || "user" || '"}}') <= 3""")(lambda spark, sf, t=_top: flat(m.ranked(m.map_values(_vector(spark, sf), lambda v: v + 0.0), 3, t, by=["event_type"]), "event_type", "user"))
-query("limitk", _VECTOR + 'select event_type, "user", p as ts, round(v, 8) as value from u')(lambda spark, sf: flat(m.limitk(_vector(spark, sf), 10**6, by=["event_type"]), "event_type", "user"))
-query("limit_ratio", _VECTOR + 'select event_type, "user", p as ts, round(v, 8) as value from u')(lambda spark, sf: flat(m.limit_ratio(_vector(spark, sf), 0.3).unionByName(m.limit_ratio(_vector(spark, sf), -0.7)), "event_type", "user"))
+_KEY = """'{"__name__":"event_value","event_type":"' || event_type || '","user":"' || "user" || '"}'"""
+query("limitk", _VECTOR + f'select event_type, "user", p as ts, round(v, 8) as value from u qualify row_number() over (partition by event_type, p order by {_KEY}) <= 2')(lambda spark, sf: flat(m.limitk(_vector(spark, sf), 2, by=["event_type"]), "event_type", "user"))
+_PLACE = f"('0x' || substr(md5({_KEY}), 1, 8))::bigint / {float(1 << 32)}::double"
+for _name, _ratio, _sql in (("limit_ratio", 0.3, "< 0.3"), ("limit_ratio_rest", -0.7, ">= 0.3")):
+    query(_name, _VECTOR + f'select event_type, "user", p as ts, round(v, 8) as value from u where {_PLACE} {_sql}')(lambda spark, sf, r=_ratio: flat(m.limit_ratio(_vector(spark, sf), r), "event_type", "user"))
 query("count_values", _VECTOR + """select event_type, cast(floor(v / 100) as bigint)::varchar as hundreds, p as ts, count(*)::double as value from u group by 1, 2, 3""")(
     lambda spark, sf: flat(m.count_values(m.map_values(_vector(spark, sf), lambda v: F.floor(v / 100).cast("double")), "hundreds", by=["event_type"]), "event_type", "hundreds")
 )
@@ -210,8 +213,43 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("clamp", _VECTOR + 'select event_type, "user", p as ts, round(greatest(20, least(100, v)), 8) as value from u')(lambda spark, sf: flat(m.map_values(_vector(spark, sf), lambda v: m.clamp(v, 20, 100)), "event_type", "user"))
+def _exemplar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of events with each day's events as exemplars."""
+    e = F.struct(ad.epoch_ms("ts").alias("ts"), "value", ad.labelled(user="user_id").alias("labels"))
+    days = ad.table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.collect_list(e).alias("exemplars"))
+    return days.select(ad.labelled("event_value", event_type="event_type").alias("labels"), "exemplars")
+
+
+def _odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    odd = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("v")) for k, x in (("nan", ieee.NAN), ("inf", ieee.INF), ("big", 1e20), ("neg", -2.5), ("pos", 2.5)))))
+    rows = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("nation"), odd.alias("x")).select("nation", "x.k", "x.v")
+    return rows.select("nation", "k", *(m.INSTANT[f](v).alias(name) for f, name in (("ceil", "up"), ("floor", "down"), ("round", "near"))), m.clamp(v, -1, 1).alias("held"), m.INSTANT["year"](v).alias("year"))
+
+
 query("timestamp_of", _VECTOR + 'select event_type, "user", p as ts, round(t / 1000.0, 3) as value from u')(
-    lambda spark, sf: flat(m.over_time(ad.event_samples(spark, sf), "ts_of_last_over_time", DAYS, RANGE), "event_type", "user", digits=3)
+    lambda spark, sf: flat(m.timestamps(ad.event_samples(spark, sf), DAYS, RANGE), "event_type", "user", digits=3)
+)
+query("query_context", f"with {_grid(DAYS)} select p as ts, {DAYS.range_seconds}::double + {DAYS.step_seconds}::double as value from g")(lambda spark, sf: flat(m.constant(spark, DAYS, DAYS.range_seconds + DAYS.step_seconds)))
+query("exemplars", f"""select event_type, user_id::varchar as "user", epoch_us(ts) // 1000 as ts, round(value, 8) as value from events where event_type = 'purchase' and epoch_us(ts) // 1000 between {START} and {START + 24 * HOUR}""")(
+    lambda spark, sf: flat(m.exemplars(_exemplar_rows(spark, sf), START, START + 24 * HOUR, ("event_type", "=", "purchase")).withColumn("labels", lb.merged(F.col("labels"), F.col("exemplar_labels"))), "event_type", "user")
+)
+_ODD = {"nan": "'nan'::double", "inf": "'inf'::double", "big": "1e20", "neg": "-2.5", "pos": "2.5"}
+query("odd_numbers", "with x as (select n_nationkey::varchar as nation, k, v + 0.0 * n_nationkey as v from nation cross join (values " + ", ".join(f"('{k}', {v}::double)" for k, v in _ODD.items()) + """) as o(k, v))
+select nation, k, ceil(v)::double as up, floor(v)::double as down, case when isnan(v) or isinf(v) then v else floor(v + 0.5)::double end as near, case when isnan(v) then v else least(greatest(v, -1.0), 1.0) end::double as held, case when v = 2.5 then 1970.0::double when v = -2.5 then 1969.0::double else 'nan'::double end as year from x""")(
+    lambda spark, sf: _odd_numbers(spark, sf)
+)
+query("delta_rate", f"""with s as (select event_type, epoch_us(ts) // 1000 as t, sum(value) as v from events group by 1, 2), l as (select *, sum(v) over (partition by event_type order by t) as level from s), {_grid(DAYS)},
+a as (select event_type, p, count(*) as n, min(t) as ft, max(t) as lt, arg_min(level, t) as fv, sum(v) - arg_min(v, t) as change, (max(t) - min(t))::double as c, (max(t) - min(t))::double / nullif(count(*) - 1, 0) as gap
+      from l join g on t > p - {RANGE} and t <= p group by 1, 2 having count(*) >= 2 and max(t) > min(t)),
+e as (select *, case when ft - (p - {RANGE}) >= 1.1 * gap then gap / 2 else ft - (p - {RANGE}) end as a, case when p - lt >= 1.1 * gap then gap / 2 else p - lt end as z from a)
+select event_type, p as ts, round(change * ((c + least(a, case when change > 0 then c * (fv / change) else a end) + z) / c) / {RANGE / 1000.0}, 6) as value from e""")(
+    lambda spark, sf: flat(m.delta_rate(ad.increments(spark, sf), DAYS, RANGE), "event_type", digits=6)
+)
+query("delta_irate", f"""with s as (select event_type, epoch_us(ts) // 1000 as t, sum(value) as v from events group by 1, 2), {_grid(DAYS)},
+w as (select event_type, p, t, v, lag(t) over (partition by event_type, p order by t) as pt, row_number() over (partition by event_type, p order by t desc) as j from s join g on t > p - {RANGE} and t <= p)
+select event_type, p as ts, round(v / ((t - pt) / 1000.0), 6) as value from w where j = 1 and pt is not null""")(
+    lambda spark, sf: flat(m.delta_irate(ad.increments(spark, sf), DAYS, RANGE), "event_type", digits=6)
 )
 query("scalar_of_one", _VECTOR + "select p as ts, round(sum(v), 8) as value from u group by 1")(lambda spark, sf: m.scalar(m.aggregate(_vector(spark, sf), "sum"), DAYS).select("ts", F.round("value", 8).alias("value")))
 query("absent", f"with {_grid(DAYS)} select 'nothing' as job, p as ts, 1.0::double as value from g")(lambda spark, sf: flat(m.absent(m.select(_vector(spark, sf), ("job", "=", "nothing")), DAYS, {"job": "nothing"}), "job"))
