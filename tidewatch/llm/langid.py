@@ -27,7 +27,7 @@ from .common import stored
 
 UNDETERMINED = "und"
 #: Words that a worker remembers, and letters of the longest of these; words, and letters, handled at a time.
-REMEMBERED, SHORT, CHUNK, LETTERS = 300_000, 40, 20_000, 1 << 20
+REMEMBERED, SHORT, CHUNK, LETTERS = 300_000, 40, 20_000, 1 << 18
 #: Sums below LEAST are scaled up by its inverse; this is looked at every so many letters.
 LEAST, EVERY = 1e-100, 8
 #: Probability of a letter that no piece covers, and what each piece's expected count is raised by.
