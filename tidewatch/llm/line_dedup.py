@@ -35,9 +35,9 @@ FEW, MANY = 8, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
-WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 19, 2000
+WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 18, 1200
 #: log2 of the postings that a segment has at most on average, segments in a partition; how columns of postings are packed.
-LOG2_POSTINGS, SEGMENTS = 15, 8
+LOG2_POSTINGS, SEGMENTS = 16, 4
 POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
 
 
@@ -80,10 +80,12 @@ class Lines:
         order = np.lexsort([self.line, doc])
         return order[np.unique(self.set_id[order], return_index=True)[1]]
 
+    def prefix_lengths(self, rows: np.ndarray, threshold: float) -> np.ndarray:
+        return (self.sizes[rows] - np.ceil(threshold * self.sizes[rows] - 1e-9) + 1).astype(np.int64)
+
     def prefixes(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the rows' prefixes without words that stand once in all texts: row, place in the row's set, place in words."""
-        sizes = self.sizes[rows]
-        length = (sizes - np.ceil(threshold * sizes - 1e-9) + 1).astype(np.int64)
+        length = self.prefix_lengths(rows, threshold)
         row = np.repeat(rows, length)
         place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         item = self.starts[row] + place
@@ -281,10 +283,11 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             packed = packed_counts(cells, np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64))
             yield rows(packed.num_rows, **{c: packed.column(c) for c in packed.schema.names})
             # how many sets have a word in their prefix, going by the rarity of words in these documents
-            item = found.prefixes(found.firsts(doc), threshold)[2]
+            firsts = found.firsts(doc)
+            item = found.prefixes(firsts, threshold)[2]
             often, n = np.unique(found.words[item].view(np.int64), return_counts=True)
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-            yield rows(1, words=listed(often[n > 1]), n=listed(n[n > 1]), line=pa.array([len(item)], pa.int32()))
+            yield rows(1, words=listed(often[n > 1]), n=listed(n[n > 1]), line=pa.array([found.prefix_lengths(firsts, threshold).sum()], pa.int32()))
 
     found = stored(docs.mapInArrow(lines, "doc long, version long, line int, set_id long, check long, part int, cells binary, counts binary, words array<long>, n array<long>"), "lines")
     often = found.where("words is not null")
