@@ -9,7 +9,7 @@ from ..functions import histograms as hg, labels as lb
 from ..functions.ranges import extrapolated
 from ..plans.grid import Grid, Windows
 from .matching import match_key
-from .metrics import grouping
+from .metrics import grouping, instant, over_time as over_samples
 
 
 def bucket_series(rows: DataFrame) -> DataFrame:
@@ -19,6 +19,16 @@ def bucket_series(rows: DataFrame) -> DataFrame:
     return each.select(lb.with_label(F.col("labels"), "le", le).alias("labels"), "ts", F.col("b.count").alias("value"))
 
 
+def bucket_ranges(rows: DataFrame, function: str, grid: Grid, range_ms: int, offset_ms: int = 0) -> DataFrame:
+    """A range function of each bucket of rows (labels, ts, bounds, counts), as `le` series; bounds may change over time."""
+    return over_samples(bucket_series(rows), function, grid, range_ms, offset_ms)
+
+
+def newest_buckets(rows: DataFrame, grid: Grid, lookback_ms: int, offset_ms: int = 0) -> DataFrame:
+    """The buckets of each series' newest row at each point, as `le` series."""
+    return instant(bucket_series(rows), grid, lookback_ms, offset_ms)
+
+
 def quantile(buckets: DataFrame, phi: float | list[float], name: str = "quantile") -> DataFrame:
     """Quantile of each group of `le` series; with several phi, one series each under a label."""
     own = lb.canonical(lb.without(F.col("labels"), ["le"]))

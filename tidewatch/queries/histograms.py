@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import histograms as hg, labels as lb
@@ -159,3 +159,30 @@ QUERIES["mixed_or"] = lambda spark, sf: _mixed(spark, sf).select(lb.label(F.col(
 SQL["mixed_or"] = _HALVES + f"select status, t as ts, case when t > {FIRST + 5 * HALF} then n end as n, case when t <= {FIRST + 5 * HALF} then n end as value from s"
 QUERIES["mixed_max"] = lambda spark, sf: flat(m.aggregate(h.numbers(_mixed(spark, sf)), "max"))
 SQL["mixed_max"] = _HALVES + f"select t as ts, max(n) as value from s where t <= {FIRST + 5 * HALF} group by 1"
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of the line items shipped so far, by flag, as classic histograms at the end of each half-year."""
+    ts = (F.lit(FIRST) + F.ceil((ad.epoch_ms("l_shipdate") - FIRST) / F.lit(HALF)) * HALF).cast("long")
+    place = F.size(F.filter(F.array(*map(F.lit, BOUNDS)), lambda b: b < F.col("l_quantity")))
+    each = ad.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", ts.alias("ts")).agg(*(F.sum((place == i).cast("double")).alias(f"c{i}") for i in range(len(BOUNDS) + 1)))
+    so_far = Window.partitionBy("l_returnflag").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    counts = F.array(*(F.sum(f"c{i}").over(so_far) for i in range(len(BOUNDS) + 1)))
+    return each.select(ad.labelled("quantity", flag="l_returnflag").alias("labels"), "ts", F.array(*map(F.lit, BOUNDS)).alias("bounds"), counts.alias("counts"))
+
+
+_LE = "(values " + ", ".join(f"({b}::double)" for b in BOUNDS) + ", ('inf'::double)) as x(le)"
+_COUNTERS = f"""with k as (select l_returnflag as flag, {FIRST} + ceil((epoch_ms(l_shipdate) - {FIRST}) / {HALF}::double)::bigint * {HALF} as t, le, count(*) filter (where l_quantity <= le)::double as n from lineitem cross join {_LE} group by 1, 2, 3),
+s as (select flag, le, t, sum(n) over (partition by flag, le order by t) as v from k), g as (select {FIRST} + i * {HALF} as p from generate_series(0, {HALVES.points - 1}) as x(i)),
+a as (select flag, le, p, count(*) as m, min(t) as ft, max(t) as lt, arg_min(v, t) as fv, arg_max(v, t) - arg_min(v, t) as change from s join g on t > p - {4 * HALF} and t <= p group by 1, 2, 3 having count(*) >= 2),
+w as (select *, (lt - ft)::double as c, (lt - ft)::double / (m - 1) as gap from a),
+z as (select *, case when ft - (p - {4 * HALF}) >= 1.1 * gap then gap / 2 else ft - (p - {4 * HALF}) end as first, case when p - lt >= 1.1 * gap then gap / 2 else p - lt end as last from w),
+b as (select flag, le, p, change * ((c + least(first, case when change > 0 then c * (fv / change) else first end) + last) / c) as n from z)
+"""
+_le_text = "case when isinf(le) then '+Inf' else (le::int)::varchar end as le"
+QUERIES["bucket_increase"] = lambda spark, sf: flat(h.bucket_ranges(counters(spark, sf), "increase", HALVES, 4 * HALF), "flag", "le", digits=6)
+SQL["bucket_increase"] = _COUNTERS + f"select flag, {_le_text}, p as ts, round(n, 6) as value from b"
+QUERIES["histogram_quantile_of_increase"] = lambda spark, sf: flat(h.quantile(m.aggregate(h.bucket_ranges(counters(spark, sf), "increase", HALVES, 4 * HALF), "sum", by=["le", "flag"]), 0.9), "flag", digits=6)
+SQL["histogram_quantile_of_increase"] = _COUNTERS + ", " + _quantile_sql(0.9, "flag, p").replace("flag, p, 0::bigint as ts", "flag, p as ts").replace(", 8) as value", ", 6) as value")
+QUERIES["bucket_newest"] = lambda spark, sf: flat(h.newest_buckets(counters(spark, sf), HALVES, 3 * HALF), "flag", "le")
+SQL["bucket_newest"] = _COUNTERS + f"select flag, {_le_text}, p as ts, arg_max(v, t) as value from s join g on t > p - {3 * HALF} and t <= p group by 1, le, p"

@@ -11,6 +11,7 @@ from ..functions import ieee, labels as lb, ranges
 from ..operators import matching as mt, metrics as m
 from ..plans.grid import Grid
 from ..sources import adapters as ad
+from ..sources.store import Store
 
 HOUR = 3_600_000
 START, END = 1_704_153_600_000, 1_706_659_200_000  # 2024-01-02 to 2024-01-31, past the last event
@@ -307,3 +308,31 @@ query("info_labels", """select c_custkey::varchar as instance, c_mktsegment as s
         "instance", "segment", "nation",
     )
 )
+
+
+# Tables in the layout of collectors, made of the example tables.
+def _tables(spark: SparkSession, sf_dir: str) -> Store:
+    no_map = F.create_map().cast("map<string,string>")
+    events = ad.table(spark, sf_dir, "events").select(
+        F.lit("event.value").alias("MetricName"), F.create_map(F.lit("event.type"), F.col("event_type")).alias("Attributes"), F.col("ts").cast("timestamp").alias("When"), F.col("value").alias("Value"),
+        F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event.type"), F.lit("hidden")).alias("ResourceAttributes"), F.lit("shop").alias("ServiceName"), F.lit(2).alias("AggregationTemporality"),
+    )
+    items = ad.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("Count"), F.sum("l_quantity").alias("Sum"), *(F.count_if(F.col("l_quantity").between(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(((0, 10), (11, 25), (26, 1000))))
+    )
+    histogram = items.select(
+        F.lit("quantity").alias("MetricName"), F.create_map(F.lit("flag"), "l_returnflag").alias("Attributes"), F.lit(0).cast("timestamp").alias("When"), no_map.alias("ResourceAttributes"), F.lit("").alias("ServiceName"),
+        "Count", "Sum", F.array(F.lit(10.0), F.lit(25.0)).alias("ExplicitBounds"), F.array("c0", "c1", "c2").alias("BucketCounts"),
+    )
+    empty = histogram.where("false").select(*histogram.columns, *(F.lit(0).alias(c) for c in ("Scale", "ZeroCount", "PositiveOffset", "NegativeOffset")), *(F.array().cast("array<bigint>").alias(c) for c in ("PositiveBucketCounts", "NegativeBucketCounts")))
+    found = {"gauges": events.where("false"), "otel_metrics_sum": events, "otel_metrics_histogram": histogram, "otel_metrics_exponential_histogram": empty}
+    return Store(found.__getitem__, tables={"gauge": "gauges"}, columns={"time": "When"})
+
+
+query("store_samples", """select event_type, user_id::varchar as "user", 'shop' as service_name, epoch_us(ts) // 1000 as ts, round(value, 8) as value from events""")(
+    lambda spark, sf: flat(_tables(spark, sf).samples("event_value"), "event_type", "user", "service_name")
+)
+_COMPANIONS = "h as (select l_returnflag as flag, count(*)::double as n, sum(l_quantity)::double as total, count(*) filter (where l_quantity <= 10)::double as a, count(*) filter (where l_quantity <= 25)::double as b from lineitem group by 1)"
+query("store_companions", f"with {_COMPANIONS} select 'quantity_count' as __name__, flag, '' as le, 0::bigint as ts, n as value from h union all select 'quantity_sum', flag, '', 0, total from h union all select 'quantity_bucket', flag, '10', 0, a from h union all select 'quantity_bucket', flag, '25', 0, b from h union all select 'quantity_bucket', flag, '+Inf', 0, n from h")(
+    lambda spark, sf: flat(m.select(_tables(spark, sf).samples(), ("__name__", "=~", "quantity_.*")), "__name__", "flag", "le")
+)
