@@ -1,49 +1,23 @@
-"""Shared pieces: stored tables, membership filters and joins that survive hot keys."""
+"""Shared pieces: words of texts, packed numbers, membership filters and joins that survive hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+
 #: At most this many keys are ever broadcast by :func:`attach`.
 HOT_KEYS = 10_000
 #: Largest filter that :func:`filter_words` gives: 2**22 words of 64 bits, 32 MB of bits.
 MAX_LOG2_WORDS = 22
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one in local mode if none is set."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local\n")) and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="tidewatch-")
-    return f"file://{_local[app]}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser of hashes."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stored
+from ..plans.stored import stored
+from .common import attach
 
 
 def _to_least(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, one_each, probed_repeats, repeats, stored, without
+from ..plans.stored import stored
+from .common import attach, one_each, probed_repeats, repeats, without
 
 #: ASCII white space: space and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"

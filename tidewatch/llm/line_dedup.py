@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED_COUNTS, Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_counts, packed_sorted, planes, probed, segment_of, slices, stored, summed_cells, unpacked_sorted, unplaned
+from ..plans.stored import stored
+from .common import PACKED_COUNTS, Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_counts, packed_sorted, planes, probed, segment_of, slices, summed_cells, unpacked_sorted, unplaned
 from .components import bounds
 
 THRESHOLD = 0.8

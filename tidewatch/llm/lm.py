@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hashes_of, mixed, packed_sorted, planes, segment_of, slices, stored, unpacked_sorted, unplaned
+from ..plans.stored import stored
+from .common import Words, hashes_of, mixed, packed_sorted, planes, segment_of, slices, unpacked_sorted, unplaned
 
 #: Bits for each entry, probes for each entry, levels at most.
 BITS, PROBES, LEVELS = 16, 4, 40

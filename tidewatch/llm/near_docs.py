@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED_COUNTS, Words, attach, hashes_of, likely_members, mixed, only_members, packed_counts, slices, stored, summed_cells
+from ..plans.stored import stored
+from .common import PACKED_COUNTS, Words, attach, hashes_of, likely_members, mixed, only_members, packed_counts, slices, summed_cells
 from .components import bounds, components, runs
 
 WORDS = 5

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, mixed, stored
+from ..plans.stored import stored
+from .common import attach, mixed
 from .components import Forest, bounds, components, runs
 
 #: Vectors of a cell compared in one task; vectors that a cell should have; width of a cell's side.

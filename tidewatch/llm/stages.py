@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
-from .common import one_each, stored, without
+from ..plans.stored import stored
+from .common import one_each, without
 from .exact_dedup import drop_exact_duplicates
 from .near_docs import near_docs
 from .packing import pack

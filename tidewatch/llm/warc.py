@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, probed_repeats, repeats, shared_path, stored
+from ..plans.stored import shared_path, stored
+from .common import attach, probed_repeats, repeats
 
 # The format's version line, the revisit profile and the base32 letters.
 VERSION = "WARC/1.1\r\n"
