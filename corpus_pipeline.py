@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import stages
-from tidewatch.llm.common import stored
+from tidewatch.plans.stored import stored
 
 STAGES = [
     ("quality", stages.keep_good),
