@@ -88,13 +88,12 @@ def paths(spans: DataFrame) -> DataFrame:
     slim = spans.select("trace_id", "span_id", "parent_id").distinct()
     above = F.when(F.col("parent_id") == "", F.array().cast("array<string>")).otherwise(F.array("parent_id"))
     state = stored(slim.withColumns({"above": above, "top": F.col("parent_id")}), "paths")
-    open_, reach = state.where("top <> ''").count(), 1
-    most = state.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while open_ and reach <= most:  # a chain longer than its trace is a circle
+    open_, before = state.where("top <> ''").count(), -1
+    while open_ and open_ != before:  # where nothing more reaches its root, what is left goes in circles
         up = state.select("trace_id", F.col("span_id").alias("top"), F.col("above").alias("more"), F.col("top").alias("next"))
         longer = state.where("top <> ''").join(up, ["trace_id", "top"]).select("trace_id", "span_id", "parent_id", F.concat("more", "above").alias("above"), F.col("next").alias("top"))
         state = stored(state.where("top = ''").unionByName(longer), "paths")
-        open_, reach = state.where("top <> ''").count(), reach * 2
+        open_, before = state.where("top <> ''").count(), open_
     return state.where("top = ''").drop("top")
 
 
