@@ -36,9 +36,9 @@ FEW, MANY = 8, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
-WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 18, 1200
+WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 17, 500
 #: log2 of the postings that a segment has at most on average, segments in a partition; how columns of postings are packed.
-LOG2_POSTINGS, SEGMENTS = 16, 4
+LOG2_POSTINGS, SEGMENTS = 17, 2
 POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
 
 
