@@ -107,11 +107,13 @@ def over_time(rows: DataFrame, how: str, grid: Grid, range_ms: int) -> DataFrame
         pairs = gathered.where((F.size("s") >= 2) & (gap > 0))
         return pairs.select("labels", "ts", change.alias("hist"), gap.alias("gap")).select("labels", "ts", (hg.scaled(F.col("hist"), 1.0 / F.col("gap")) if how == "irate" else F.col("hist")).alias("hist"))
     counter = how != "delta"
-    change = minus(last["hist"], first["hist"])
+    ends = gathered.where(F.size("s") >= 2).select("labels", "ts", "s", minus(last["hist"], first["hist"]).alias("change"))
     if counter:
-        pairs = F.transform(s, lambda x, i: F.struct(F.get(s, i - 1)["hist"].alias("hist"), ((i > 0) & hg.fell(F.get(s, i - 1)["hist"], x["hist"])).alias("fell")))
-        change = hg.added(F.concat(F.array(change), F.transform(F.filter(pairs, lambda x: F.coalesce(x["fell"], F.lit(False))), lambda x: x["hist"])))
-    whole = gathered.where(F.size("s") >= 2).select("labels", "ts", change.alias("hist"), first["ts"].alias("first_ts"), last["ts"].alias("last_ts"), first["hist"]["count"].alias("first"), F.size("s").alias("n"))
+        fell = F.transform(s, lambda x, i: (i > 0) & F.coalesce(hg.fell(F.get(s, i - 1)["hist"], x["hist"]), F.lit(False)))
+        ends = ends.withColumn("fell", fell)
+        lost = F.filter(F.transform(s, lambda x, i: F.when(F.get("fell", i + 1), x["hist"])), lambda x: x.isNotNull())
+        ends = ends.withColumn("lost", lost).withColumn("change", hg.added(F.concat(F.array("change"), F.col("lost"))))
+    whole = ends.select("labels", "ts", F.col("change").alias("hist"), first["ts"].alias("first_ts"), last["ts"].alias("last_ts"), first["hist"]["count"].alias("first"), F.size("s").alias("n"))
     # the factor is that of any change that is carried on to the edges, here of the counts
     one = extrapolated(F.col("hist.count"), F.col("first_ts"), F.col("last_ts"), F.col("n"), F.col("first"), F.col("ts"), range_ms, counter, how == "rate")
     carried = extrapolated(F.lit(1.0), F.col("first_ts"), F.col("last_ts"), F.col("n"), F.lit(1e300), F.col("ts"), range_ms, False, how == "rate")
