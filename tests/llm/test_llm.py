@@ -126,19 +126,19 @@ def test_quality_risk_and_gradient_by_hand():
     random_ = np.random.default_rng(1)
     weights = [random_.normal(size=(3, 4)), random_.normal(size=4), random_.normal(size=4), random_.normal(size=1)]
     p, u = random_.normal(size=(7, 3)), random_.normal(size=(9, 3))
-    pw, uw = np.full(7, 1 / 7), random_.dirichlet(np.ones(9))
+    mean = lambda: (lambda r: (r[0] / 9, [g / 9 for g in r[1]]))(quality.as_negative(weights, u))
 
     def risk(prior):
         f = lambda x: [sum(math.tanh(sum(x_[i] * weights[0][i, k] for i in range(3)) + weights[1][k]) * weights[2][k] for k in range(4)) + weights[3][0] for x_ in x]
-        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        loss = lambda z, y: sum(math.log(1 + math.exp(-y * v)) for v in z) / len(z)
         at_p, at_u = f(p), f(u)
         if prior is None:
-            return sum(w * loss(z, 1) for w, z in zip(pw, at_p)) + sum(w * loss(z, -1) for w, z in zip(uw, at_u)), 0.0
-        negative = sum(w * loss(z, -1) for w, z in zip(uw, at_u)) - prior * sum(w * loss(z, -1) for w, z in zip(pw, at_p))
-        return prior * sum(w * loss(z, 1) for w, z in zip(pw, at_p)) + max(0.0, negative), negative
+            return loss(at_p, 1) + loss(at_u, -1), 0.0
+        negative = loss(at_u, -1) - prior * loss(at_p, -1)
+        return prior * loss(at_p, 1) + max(0.0, negative), negative
 
     for prior in (None, 0.3, 0.9):
-        found, gradient = quality.risk_and_gradient(weights, p, pw, u, uw, prior)
+        found, gradient = quality.risk_and_gradient(weights, p, mean(), prior)
         whole, negative = risk(prior)
         assert found == pytest.approx(whole)
         if prior is not None and negative < 0:
@@ -154,7 +154,7 @@ def test_quality_risk_and_gradient_by_hand():
                 assert gradient[k][i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
     # where the negative part is below zero, the step goes against minus that part
     weights[2], weights[3] = weights[2] * 0, np.array([3.0])
-    _, gradient = quality.risk_and_gradient(weights, p, pw, u, uw, 1.5)
+    _, gradient = quality.risk_and_gradient(weights, p, mean(), 1.5)
     s = 1 / (1 + math.exp(-3))
     assert risk(1.5)[1] < 0 and gradient[3][0] == pytest.approx(1.5 * s - s)
 
@@ -163,20 +163,31 @@ def test_quality_prior_of_a_known_mixture():
     random_ = np.random.default_rng(4)
     draw = lambda n, share: np.where(random_.random((n, 1)) < share, random_.normal(1.5, 1, (n, 3)), random_.normal(-1.5, 1, (n, 3)))
     for share in (0.2, 0.5, 0.8):
-        halves = [(quality.Points.of(draw(2000, 1)), quality.Points.of(draw(4000, share))) for _ in range(2)]
-        assert quality.estimate_prior(*halves) == pytest.approx(share, abs=0.08)
-
-
-def test_quality_cells_hold_all_rows(spark):
-    random.seed(3)
-    texts = [None, ""] + [" ".join(random.choices(["Ab", "cd!", "ef\n", "12"], k=random.randint(1, 40))) for _ in range(300)]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "tw_id long, tw_text string")
-    x = np.array([quality.measures(t or "") for t in texts])
-    net = quality.Network(x.mean(axis=0), x.std(axis=0) + 1e-6, [np.ones((quality.WIDTH, 1)), np.zeros(1), np.ones(1), np.zeros(1)])
-    cells = quality.Cells(net, np.quantile(net.odds(x), [0.3, 0.6]), np.random.default_rng(8).normal(size=(quality.WIDTH, 2)))
-    sums = quality.cell_sums(rows.repartition(5), cells).toPandas()
-    assert sums["n"].sum() == 2 * len(texts) and len(sums) <= 3 * 4 * 2
-    assert sums[[f"m{i}" for i in range(quality.WIDTH)]].sum().to_numpy() == pytest.approx(2 * x.sum(axis=0))
+        p, u, other = draw(4000, 1), draw(4000, share), draw(9000, share)
+        net = quality._trained(p[::2], u, None, (u.mean(axis=0), u.std(axis=0)), steps=200)
+        cuts = quality.prior_cuts(net, p[1::2])
+        above = (net.odds(other)[:, None] >= cuts).sum(axis=0)
+        assert quality.estimate_prior(net, cuts, p[1::2], above, len(other)) == pytest.approx(share, abs=0.08)
+
+
+def test_quality_sums_and_steps_go_over_all_rows(spark):
+    random_ = np.random.default_rng(6)
+    x = random_.normal(size=(500, quality.WIDTH)).astype("<f4")
+    table = spark.createDataFrame([(bytearray(v.tobytes()), i % 2) for i, v in enumerate(x)], "x binary, half int").repartition(7)
+    assert quality.summed(table, lambda v: v.sum(axis=0)) == pytest.approx(x.sum(axis=0, dtype=float))
+    assert quality.summed(table, lambda v: np.array([float(len(v))]), "half = 1").tolist() == [250.0] and len(quality.summed(table, lambda v: v.sum(axis=0), "half = 5")) == 0
+    p = x[:50].astype(float) + 1
+    net = quality._trained(p, x[:60].astype(float), 0.3, (x.mean(axis=0), x.std(axis=0)), steps=3)
+
+    def whole_risk(net):
+        loss, grads = quality.as_negative(net.weights, net.shaped(x.astype(float)))
+        return quality.risk_and_gradient(net.weights, net.shaped(p), (loss / 500, [g / 500 for g in grads]), 0.3)
+
+    after = quality.refined(net, p, table, 500, 0.3, 4)
+    assert whole_risk(after)[0] < whole_risk(net)[0]
+    one = quality.refined(net, p, table, 500, 0.3, 1)  # a step by hand
+    by_hand = quality.Adam(net.weights, 0.005).stepped(net.weights, whole_risk(net)[1])
+    assert all(np.allclose(a, b) for a, b in zip(one.weights, by_hand, strict=True))
 
 
 def test_quality_on_held_out_documents(spark):

@@ -2,15 +2,16 @@
 
 Texts become a few dozen measures of form (letter cases, symbols, repetition, lines). A small network is
 trained on a non-negative unbiased risk: prior * P[l(+)] + max(0, U[l(-)] - prior * P[l(-)]), where P are
-trusted texts and U is unlabelled text. P is a bounded sample. U is all unlabelled texts, as the weighted means
-of a few thousand cells of their measures, which Spark sums up; a bounded sample only sets the cells' borders. The
-class prior is estimated first: a classifier of P against U is fitted on one half, and on the other half the
-least ratio of U's to P's share above a threshold, with margins for chance, bounds the share of positives in U.
+trusted texts, a bounded sample, and U is all unlabelled text. Training starts on a bounded sample of U and goes on
+with the risk of all of it, whose gradient Spark sums up over the stored measures; of these steps the weights with
+the least risk are taken. The class prior is estimated first: a classifier of P against U is fitted on one half,
+and on the other half, of all texts, the least ratio of U's to P's share above a threshold, with margins for chance,
+bounds the share of positives in U.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+
 THRESHOLD = 0.7
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 other control, then by kind of byte
 for _name, _bytes in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".,;:?'\"()-", "!", "|#&$*%@<>{}[]^~`+=\\/_"), 1):
@@ -69,156 +72,168 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.odds(x), -40, 40)))
 
 
-@dataclass
-class Points:
-    """Measures of texts with weights that sum to one, and how many texts they stand for."""
+def _forward(weights: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c, d = weights
+    h = np.tanh(x @ a + b)
+    return h, np.clip(h @ c + d[0], -40, 40)
+
+
+def _backward(weights: list[np.ndarray], x: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+    back = np.outer(g, weights[2]) * (1 - h * h)
+    return [x.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
 
-    x: np.ndarray
-    weight: np.ndarray
-    n: float
 
-    @classmethod
-    def of(cls, x: np.ndarray, weight: np.ndarray | None = None) -> Points:
-        weight = np.ones(len(x)) if weight is None else weight
-        return cls(x, weight / max(weight.sum(), 1e-300), float(weight.sum()))
+def as_negative(weights: list[np.ndarray], x: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Loss of taking all of x for negatives, summed, and its gradient."""
+    h, z = _forward(weights, x)
+    return float(np.logaddexp(0, z).sum()), _backward(weights, x, h, 1 / (1 + np.exp(-z)))
 
 
-def risk_and_gradient(weights: list[np.ndarray], p: np.ndarray, pw: np.ndarray, u: np.ndarray, uw: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
-    """The non-negative risk of a network on shaped measures with weights, and the direction to step against.
+def risk_and_gradient(weights: list[np.ndarray], p: np.ndarray, u: tuple[float, list[np.ndarray]], prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk of a network on shaped measures, and the direction to step against.
 
-    With a prior of None it is the risk of telling P from U. Where the risk of negatives falls below zero it counts
-    as zero, and the step goes back up it.
+    u is the mean of :func:`as_negative` over U. With a prior of None it is the risk of telling P from U. Where the
+    risk of negatives falls below zero it counts as zero, and the step goes back up it.
     """
-    a, b, c, d = weights
-    x, is_p = np.concatenate([p, u]), np.arange(len(p) + len(u)) < len(p)
-    w = np.concatenate([pw, uw])
-    h = np.tanh(x @ a + b)
-    z = np.clip(h @ c + d[0], -40, 40)
+    h, z = _forward(weights, p)
     s = 1 / (1 + np.exp(-z))
-    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    positive, wrong = np.logaddexp(0, -z).mean(), np.logaddexp(0, z).mean()
     if prior is None:
-        risk = (w * np.where(is_p, as_positive, as_negative)).sum()
-        g = w * np.where(is_p, s - 1, s)
+        risk, g, sign = positive + u[0], s - 1, 1.0
     else:
-        positive = prior * (w * as_positive)[is_p].sum()
-        negative = (w * as_negative)[~is_p].sum() - prior * (w * as_negative)[is_p].sum()
-        risk = positive + max(0.0, negative)
-        g = w * (np.where(is_p, prior * ((s - 1) - s), s) if negative >= 0 else np.where(is_p, prior * s, -s))
-    back = np.outer(g, c) * (1 - h * h)
-    return float(risk), [x.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
-
-
-def _trained(p: Points, u: Points, prior: float | None, steps: int = 400, hidden: int = 16, seed: int = 5) -> Network:
-    """Trained on the non-negative risk under the prior, or with None to tell p from u."""
+        negative = u[0] - prior * wrong
+        risk = prior * positive + max(0.0, negative)
+        g, sign = (prior * ((s - 1) - s), 1.0) if negative >= 0 else (prior * s, -1.0)
+    own = _backward(weights, p, h, g / len(p))
+    return float(risk), [x + sign * y for x, y in zip(own, u[1], strict=True)]
+
+
+class Adam:
+    def __init__(self, weights: list[np.ndarray], rate: float) -> None:
+        self.rate, self.step = rate, 0
+        self.m, self.v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+
+    def stepped(self, weights: list[np.ndarray], grads: list[np.ndarray]) -> list[np.ndarray]:
+        self.step += 1
+        out = []
+        for k, (w, grad) in enumerate(zip(weights, grads, strict=True)):
+            grad = grad + 1e-4 * w if k in (0, 2) else grad
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * grad, 0.999 * self.v[k] + 0.001 * grad * grad
+            out.append(w - self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8))
+        return out
+
+
+def _trained(p: np.ndarray, u: np.ndarray, prior: float | None, moments: tuple[np.ndarray, np.ndarray], steps: int = 400, hidden: int = 16, seed: int = 5) -> Network:
+    """Trained on the non-negative risk under the prior, or with None to tell p from u; moments are U's mean and spread."""
     random = np.random.default_rng(seed)
-    width = p.x.shape[1]
-    mean = u.weight @ u.x
-    net = Network(mean, np.sqrt(u.weight @ (u.x - mean) ** 2) + 1e-6, [random.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), random.normal(0, hidden**-0.5, hidden), np.zeros(1)])
-    at_p, at_u = net.shaped(p.x), net.shaped(u.x)
-    m, v = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
-    for step in range(1, steps + 1):
-        _, grads = risk_and_gradient(net.weights, at_p, p.weight, at_u, u.weight, prior)
-        grads = [grads[0] + 1e-4 * net.weights[0], grads[1], grads[2] + 1e-4 * net.weights[2], grads[3]]
-        for k, grad in enumerate(grads):
-            m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * v[k] + 0.001 * grad * grad
-            net.weights[k] = net.weights[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    width = p.shape[1]
+    net = Network(*moments, [random.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), random.normal(0, hidden**-0.5, hidden), np.zeros(1)])
+    at_p, at_u, adam = net.shaped(p), net.shaped(u), Adam(net.weights, 0.02)
+    for _ in range(steps):
+        loss, grads = as_negative(net.weights, at_u)
+        _, grads = risk_and_gradient(net.weights, at_p, (loss / len(u), [g / len(u) for g in grads]), prior)
+        net.weights = adam.stepped(net.weights, grads)
     return net
 
 
-def estimate_prior(fitted: tuple[Points, Points], tried: tuple[Points, Points]) -> float:
-    """Share of positives in U: a classifier of P against U from one half of both is tried on the other."""
-    net = _trained(*fitted, None, steps=200)
-    (p, u), at_p, at_u = tried, net.odds(tried[0].x), net.odds(tried[1].x)
-    cuts = np.quantile(at_p, np.linspace(0, 0.9, 91))
+def prior_cuts(net: Network, p: np.ndarray) -> np.ndarray:
+    """Odds at which U's and P's shares above are compared."""
+    return np.quantile(net.odds(p), np.linspace(0, 0.9, 91))
 
-    def above(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        order = np.argsort(at, kind="stable")
-        below = np.concatenate([[0.0], np.cumsum(weight[order])])
-        return 1 - below[np.searchsorted(at[order], cuts, "left")]
 
-    above_p, above_u = above(at_p, p.weight), above(at_u, u.weight)
-    margin = np.sqrt(np.log(20) / 2) * (p.n**-0.5 + u.n**-0.5)
+def estimate_prior(net: Network, cuts: np.ndarray, p: np.ndarray, above_u: np.ndarray, n_u: float) -> float:
+    """Share of positives in U, from a classifier of P against U, other texts of P, and how many of n_u texts of U are at each cut or above."""
+    above_p = 1 - np.searchsorted(np.sort(net.odds(p)), cuts, "left") / len(p)
+    above_u = above_u / n_u
+    margin = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + n_u**-0.5)
     best = np.argmin((above_u + margin) / np.maximum(above_p, 1e-9))
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
-@dataclass
-class Cells:
-    """Where unlabelled texts are put together: by the odds of a first classifier and the sides of random planes."""
+def summed(measured: DataFrame, f: Callable[[np.ndarray], np.ndarray], where: str = "true") -> np.ndarray:
+    """Sum of f(measures), a vector for some rows at a time, over the stored measures; only the sums reach the driver."""
 
-    net: Network
-    edges: np.ndarray
-    planes: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + f(_unpacked(batch.column("x")))
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        sides = (self.net.shaped(x) @ self.planes > 0) @ (1 << np.arange(self.planes.shape[1]))
-        return np.searchsorted(self.edges, self.net.odds(x)) << self.planes.shape[1] | sides
+    found = measured.where(where).select("x").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()
+    return found["v"].to_numpy()
 
 
-def _drawn(seed: int, share: float):
-    """Rows drawn by the hash of their id."""
-    return F.coalesce(F.xxhash64(F.lit(seed), "tw_id").bitwiseAND(F.lit((1 << 30) - 1)) < (1 << 30) * min(1.0, share), F.lit(False))
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(-1, WIDTH).astype(np.float64)
 
 
-def cell_sums(rows: DataFrame, cells: Cells) -> DataFrame:
-    """For each cell and half of the rows (tw_id, tw_text): n and the sums m0, m1, ... of their measures."""
-    given = rows.sparkSession.sparkContext.broadcast(cells)
-    names = [f"m{i}" for i in range(WIDTH)]
+def refined(net: Network, p: np.ndarray, measured: DataFrame, n: int, prior: float, steps: int) -> Network:
+    """net after some steps against the risk with all of U; the weights with the least risk on the way are taken."""
+    best, least, adam, at_p = net.weights, np.inf, Adam(net.weights, 0.005), net.shaped(p)
+    weights = net.weights
+    for step in range(steps + 1):
+        given = measured.sparkSession.sparkContext.broadcast(Network(net.mean, net.scale, weights))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([measures(t or "") for t in batch.column("tw_text").to_pylist()]).reshape(-1, WIDTH)
-            key, at = np.unique(given.value.of(x) * 2 + batch.column("half").to_numpy(), return_inverse=True)
-            sums = np.zeros((len(key), WIDTH))
-            np.add.at(sums, at, x)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at).astype(np.int64)), *(pa.array(c) for c in sums.T)], names=["cell", "n", *names])
+        def negative(x: np.ndarray, given=given) -> np.ndarray:
+            net = given.value
+            loss, grads = as_negative(net.weights, net.shaped(x))
+            return np.concatenate([[loss], *(g.ravel() for g in grads)])
 
-    half = F.pmod(F.xxhash64(F.lit(23), "tw_id", "tw_text"), F.lit(2)).alias("half")
-    summed = rows.select("tw_text", half).mapInArrow(add, "cell long, n long, " + ", ".join(f"{c} double" for c in names))
-    return summed.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ["n", *names]))
+        sums = summed(measured, negative) / n
+        cuts = np.cumsum([1, *(w.size for w in weights)])
+        u = float(sums[0]), [sums[a:b].reshape(w.shape) for a, b, w in zip(cuts, cuts[1:], weights, strict=False)]
+        risk, grads = risk_and_gradient(weights, at_p, u, prior)
+        if risk < least:
+            best, least = weights, risk
+        if step < steps:
+            weights = adam.stepped(weights, grads)
+    return Network(net.mean, net.scale, best)
+
+
+def _drawn(seed: int, share: float):
+    """Rows drawn by the hash of their id."""
+    return F.coalesce(F.xxhash64(F.lit(seed), "tw_id").bitwiseAND(F.lit((1 << 30) - 1)) < (1 << 30) * min(1.0, share), F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", quality_col: str = "quality", positives: int = 4000, pilot: int = 8000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", quality_col: str = "quality", positives: int = 4000, start: int = 12000, steps: int = 6) -> Network:
     """A network fitted on about so many trusted texts (a documented bound, drawn by the hash of ids) and on all of docs.
 
-    docs and labels are the rows that may be learned from; labels other than 1 aren't used. About `pilot` texts,
-    drawn likewise, set the borders of the cells that all unlabelled texts are summed up in (see :class:`Cells`);
-    there are at most 128 times 64 of them at any size of the input. Nulls: a null id or label is not trusted, a null
+    docs and labels are the rows that may be learned from; labels other than 1 aren't used. About `start` texts,
+    drawn likewise, give the weights to begin with; U's moments, the prior and the last `steps` steps are of all
+    texts. Their measures, 104 bytes a text, are stored in between. Nulls: a null id or label is not trusted, a null
     text counts as empty. Repeated rows count each. With fewer than ten trusted or unlabelled texts, or an empty
     table, nothing is learned, and every text gets a chance of one half.
     """
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("tw_id")).where("tw_id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("tw_id"), F.col(text_col).alias("tw_text"))
-    n_good, n_rows = good.count(), rows.count()
-    trusted = good.where(_drawn(21, positives / max(n_good, 1))).withColumn("tw_good", F.lit(True))
-    picked = rows.join(F.broadcast(trusted), "tw_id", "left").withColumn("tw_good", F.coalesce("tw_good", F.lit(False)))
-    picked = picked.withColumn("tw_any", _drawn(22, pilot / max(n_rows, 1))).where("tw_good or tw_any")
+    n_good, n = good.count(), rows.count()
+    trusted = good.where(_drawn(21, positives / max(n_good, 1))).withColumn("good", F.lit(True))
+    half = F.pmod(F.xxhash64(F.lit(23), "tw_id", "tw_text"), F.lit(2)).cast("int").alias("half")
+    picked = rows.join(F.broadcast(trusted), "tw_id", "left").select("tw_text", F.coalesce("good", F.lit(False)).alias("good"), _drawn(22, start / max(n, 1)).alias("drawn"), half)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([measures(t or "") for t in batch.column("tw_text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("tw_good"), batch.column("tw_any"), x], names=["good", "any", "x"])
+            x = pa.array([np.array(measures(t or ""), dtype="<f4").tobytes() for t in batch.column("tw_text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("good", "drawn", "half")), x], names=["good", "drawn", "half", "x"])
 
-    frame = picked.select("tw_text", "tw_good", "tw_any").mapInArrow(measure, "good boolean, any boolean, x array<double>").toPandas()
-    x = np.array(frame["x"].tolist()).reshape(len(frame), WIDTH)
+    measured = stored(picked.mapInArrow(measure, "good boolean, drawn boolean, half int, x binary"), "measures")
+    frame = measured.where("good or drawn").toPandas()
+    x = _unpacked(pa.array(frame["x"].tolist(), pa.binary()))
     order = np.lexsort(x.T)  # the same model wherever the rows were computed
-    x, good_at, any_at = x[order], frame["good"].to_numpy(dtype=bool)[order], frame["any"].to_numpy(dtype=bool)[order]
+    x, is_p, drawn = x[order], frame["good"].to_numpy(dtype=bool)[order], frame["drawn"].to_numpy(dtype=bool)[order]
     shuffled = np.random.default_rng(3).permutation(len(x))
-    p, some = x[shuffled][good_at[shuffled]], x[shuffled][any_at[shuffled]]
-    if min(len(p), len(some)) < 10:
+    p, u = x[shuffled][is_p[shuffled]], x[shuffled][drawn[shuffled]]
+    if min(len(p), len(u)) < 10:
         return Network(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    first = _trained(Points.of(p), Points.of(some), None, steps=200)
-    edges = np.unique(np.quantile(first.odds(some), np.linspace(0, 1, 128)[1:-1]))
-    cells = Cells(first, edges, np.random.default_rng(8).normal(size=(WIDTH, 6)))
-    sums = cell_sums(rows, cells).toPandas().sort_values("cell")
-    n = sums["n"].to_numpy(dtype=float)
-    means, half = sums.drop(columns=["cell", "n"]).to_numpy() / n[:, None], sums["cell"].to_numpy() % 2
-    u = Points.of(means, n)
-    halves = [(Points.of(p[i::2]), Points.of(means[half == i], n[half == i])) for i in (0, 1)]
-    prior = estimate_prior(*halves) if min(len(h[1].x) for h in halves) else 0.5
-    return _trained(Points.of(p), u, prior)
+    sums = summed(measured, lambda x: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])) / n
+    moments = sums[:WIDTH], np.sqrt(np.maximum(sums[WIDTH:] - sums[:WIDTH] ** 2, 0)) + 1e-6
+    first = _trained(p[::2], u[::2], None, moments, steps=200)
+    cuts = prior_cuts(first, p[1::2])
+    above = summed(measured, lambda x: np.append((first.odds(x)[:, None] >= cuts).sum(axis=0), len(x)).astype(float), "half = 1 and not drawn" if n > 4 * start else "half = 1")
+    prior = estimate_prior(first, cuts, p[1::2], above[:-1], above[-1]) if len(above) and above[-1] else 0.5
+    return refined(_trained(p, u, prior, moments), p, measured, n, prior, steps)
 
 
 def score(docs: DataFrame, model: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
