@@ -82,7 +82,9 @@ class Lines:
         return order[np.unique(self.set_id[order], return_index=True)[1]]
 
     def prefix_lengths(self, rows: np.ndarray, threshold: float) -> np.ndarray:
-        return (self.sizes[rows] - np.ceil(threshold * self.sizes[rows] - 1e-9) + 1).astype(np.int64)
+        """Words of the rows' prefixes; a set so small that one word more makes another set of it has none."""
+        sizes = self.sizes[rows]
+        return np.where(sizes >= threshold * (sizes + 1) - 1e-9, sizes - np.ceil(threshold * sizes - 1e-9) + 1, 0).astype(np.int64)
 
     def prefixes(self, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the rows' prefixes without words that stand once in all texts: row, place in the row's set, place in words."""
@@ -141,6 +143,13 @@ def _may_match(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray,
     return 1 + np.minimum(n - 1 - at_n, m - 1 - at_m) >= need
 
 
+def _most_apart(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Most members of the symmetric difference of similar sets of n and m words; -1 if different sets of these sizes
+    have more for sure."""
+    most = np.floor((n + m) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
+    return np.where(most >= np.where(n == m, 2, np.abs(n - m)), most, -1)
+
+
 def _nearest(late: np.ndarray, early: np.ndarray, apart: np.ndarray, limit: np.ndarray, few: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the nearest pairs of each late line, few if the nearest is surely similar, and whether it has more."""
     order = np.lexsort([early, apart, late])
@@ -183,10 +192,16 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
             flat = np.frombuffer(b"".join(columns["wide"]), dtype=np.uint64)
             wide = widths(about >> 34)
             at_wide = np.cumsum(np.where(wide > 1, wide, 0)) - wide
-            order = np.lexsort([line, doc, sets, key])
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (sets[order][1:] != sets[order][:-1])
-            kept = order[new]  # the first posting of each set under a key
+            # the first posting of each set under a key; copies are few, so only these are put in order
+            same = mixed(key.view(np.uint64) ^ mixed(sets.view(np.uint64)))
+            order = np.argsort(same)
+            again = same[order][1:] == same[order][:-1]
+            copies = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])] if len(order) else order
+            copies = copies[np.lexsort([line[copies], doc[copies], same[copies]])]
+            first = np.concatenate([[True], same[copies][1:] != same[copies][:-1]]) if len(copies) else np.zeros(0, dtype=bool)
+            keep = np.ones(len(key), dtype=bool)
+            keep[copies[~first]] = False
+            kept = np.flatnonzero(keep)
             kept = kept[np.lexsort([about[kept], key[kept]])]
             key, doc, line, sets, about, sketch, wide, at_wide = (x[kept] for x in (key, doc, line, sets, about, sketch, wide, at_wide))
             run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
@@ -196,9 +211,12 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
             number = np.zeros(len(run), dtype=np.int64)
             for i in at.values():
                 number[i] = np.arange(len(i))
+            # the smaller set of a pair shares the word within a shorter prefix, that for a set of its own size
+            opens = np.flatnonzero(_may_match(size, size, place, place, threshold))
             big = int(size.max(initial=0)) + 2
-            low = np.searchsorted(run * big + size, run * big + np.ceil(threshold * size - 1e-9).astype(np.int64))
-            many = np.arange(len(run)) - low
+            at_open = (run * big + size)[opens]
+            low = np.searchsorted(at_open, run * big + np.ceil(threshold * size - 1e-9).astype(np.int64))
+            many = np.maximum(np.searchsorted(opens, np.arange(len(run))) - low, 0)
             ends = np.cumsum(many)
             found: list[np.ndarray] = []
             held, start = 0, 0
@@ -217,10 +235,11 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
                 stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, "right")))
                 y = np.repeat(np.arange(start, stop), many[start:stop])
                 x = np.arange(len(y)) - np.repeat(np.cumsum(many[start:stop]) - many[start:stop], many[start:stop]) + np.repeat(low[start:stop], many[start:stop])
+                x = opens[x]
                 start = stop
                 ok = _may_match(size[x], size[y], place[x], place[y], threshold) & ((part[x] != part[y]) | (part[x] == 0)) & (open_[x] | open_[y])
                 x, y = x[ok], y[ok]
-                limit = np.floor((size[x] + size[y]) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
+                limit = _most_apart(size[x], size[y], threshold)
                 apart = np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64)
                 ok = apart <= limit
                 x, y, limit, apart = x[ok], y[ok], limit[ok], apart[ok]
