@@ -22,6 +22,10 @@ def docs(spark, *texts):
 ODD = [None, "", "  \t\n", "A b", "a  b", "a b", "<|endoftext|> x", "é" * 50_000, "x\n" * 2000, BASE, BASE + " end", "1234 !!", "\x00\x1c a b"]
 
 
+def lm_tokens(text):
+    return (text or "").encode().lower().split()
+
+
 def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
@@ -365,10 +369,10 @@ def test_lm_base_score_is_exact(spark):
     rows = docs(spark, *texts)
     training = F.col("doc_id") != len(texts) - 1
     found = by_id(lm.score_texts(rows, training))
-    counts = Counter(w for t in texts[:-1] for w in [*lm.tokens(t), b""])
+    counts = Counter(w for t in texts[:-1] for w in [*lm_tokens(t), b""])
     n, v = sum(counts.values()), len(counts)
     for i, t in enumerate(texts):
-        words = [*lm.tokens(t), b""]
+        words = [*lm_tokens(t), b""]
         assert (found[i].n_tokens, found[i].n_known, found[i].train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert found[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
         assert found[i].score <= 0
@@ -448,7 +452,7 @@ def test_lm_is_a_probability_and_equals_brute_force(spark, monkeypatch):
     random_ = np.random.default_rng(2)
     texts = [" ".join(f"w{int(3000 * random_.random() ** 3)}" for _ in range(30)) for _ in range(400)] + [None, "", "w0 never seen w1", "w0 " * 20_000]
     held = [i % 7 == 2 for i in range(len(texts))]
-    words = [[*lm.tokens(t), b""] for t in texts]
+    words = [[*lm_tokens(t), b""] for t in texts]
     seen, after, chance = plain_model([w for w, h in zip(words, held, strict=True) if not h])
     unknown = b"none of them"
     for before in [None, *sorted(after, key=lambda b: -len(after[b]) if b else 0)[:40], unknown]:
@@ -497,6 +501,21 @@ def test_near_docs_against_brute_force(spark):
     assert [found[i].component_id for i in range(len(texts))] == [forest.root(i) for i in range(len(texts))]
 
 
+def test_near_operators_on_repeated_rows_ties_and_long_texts(spark):
+    long = " ".join(f"x{i % 977}" for i in range(60_000))
+    table = spark.createDataFrame([(2, BASE, "a"), (2, BASE, "a"), (1, BASE + " end", "b"), (None, BASE, "c"), (4, long, "d"), (5, long + " more", "e"), (6, None, "f"), (6, None, "f")], "doc_id long, text string, size string")
+    found = sorted((r.doc_id or -1, r.component_id, r.n_shingles) for r in near_docs.near_docs(table).collect())
+    assert found == [(-1, 1, 56), (1, 1, 57), (2, 1, 56), (2, 1, 56), (4, 4, 977), (5, 4, 978), (6, 6, 0), (6, 6, 0)]
+    vectors = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (5, [1.0, 0.001], 3), (9, [0.0, -1.0], 3)], "vec_id long, embedding array<float>, size long")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(vectors).collect())
+    assert found == [(2, 3, 2, True), (3, 3, 2, False), (3, 3, 2, False), (5, 3, 2, False), (9, 0, 9, True)]
+    net = quality.Network(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), [np.ones((quality.WIDTH, 1)), np.zeros(1), np.ones(1), np.zeros(1)])
+    scored = quality.score(table.withColumn("score", F.lit("x")), net).collect()
+    by_text = {}
+    for r in scored:
+        assert by_text.setdefault(r.text, r.score) == r.score == net.chance(np.array([quality.measures(r.text or "")]))[0] and r.size
+
+
 def test_near_docs_deals_a_large_key_in_blocks(spark):
     random.seed(6)
     rows = [(7, 1, i, random.choice([1, 1, 1, 2, i])) for i in range(50)] + [(8, 1, i, i) for i in range(5)] + [(9, 1, i, 3 if i < 40 else i) for i in range(50)]

@@ -49,11 +49,6 @@ START = 0x9E3779B97F4A7C15
 SUCCESSOR = 40
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text: A-Z lower-cased, cut at ASCII white space."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) + word * np.uint64(3))
 

@@ -40,6 +40,8 @@ SLICE_ROWS = 800
 NEAREST = (4, None)
 #: Sets of a key that are compared with each other in one task at most.
 BLOCK = 4096
+#: Pairs that a task gives on together.
+PAIRS = 100_000
 
 
 def _apart(total: int) -> int:
@@ -228,6 +230,14 @@ def _unconnected_pairs(most: int | None):
     (all if None)."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(np.concatenate(v) if v else np.zeros(0, dtype=np.int64)) for v in (left, right)]
+            left.clear()
+            right.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["set_id", "other"])
+
         for table in runs(batches, ["key", "block_a", "block_b"]):
             table = table.combine_chunks()
             sets, parts, sizes, block = (table[c].to_numpy() for c in ("set_id", "component", "size", "block"))
@@ -250,7 +260,13 @@ def _unconnected_pairs(most: int | None):
                     if most and len(y) > most:
                         y = y[np.argpartition(apart, most)[:most]]
                     if len(y):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), sets[a + x])), pa.array(sets[a + y])], names=["set_id", "other"])
+                        left.append(np.full(len(y), sets[a + x]))
+                        right.append(sets[a + y])
+                        held += len(y)
+                        if held > PAIRS:
+                            yield flush()
+                            held = 0
+        yield flush()
 
     return pair
 
@@ -260,8 +276,10 @@ def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Sets of distinct five-word shingles link at a Jaccard similarity of 0.8 or more; component_id is the
     smallest id that a document reaches by links. A text with fewer words is one shingle; without words, or
-    null, it links with nothing. Rows with the same id and set are alike. A null id is never a component's
-    unless all its ids are null. Shingles and sets are told apart by 64 bits.
+    null, it links with nothing. Texts are read whole, however long; sketches grow with them. Rows with the same id and
+    set are alike, repeated or not; of ties the smallest id names the component. A null id is never a component's
+    unless all its ids are null. An empty table gives an empty result; other columns of docs are not read. Shingles
+    and sets are told apart by 64 bits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
