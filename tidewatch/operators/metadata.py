@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 
 
+def within(samples: DataFrame, first: int, last: int) -> DataFrame:
+    """Samples or log lines of a stretch of time, ends included; the filter reaches the scan."""
+    return samples.where(F.col("ts").between(first, last))
+
+
 def label_names(samples: DataFrame) -> DataFrame:
     return samples.select(F.explode(F.map_keys("labels")).alias("label")).distinct()
 

@@ -230,14 +230,6 @@ def subquery(evaluate: Callable[[Grid], DataFrame], function, grid: Grid, range_
     return over_time(evaluate(shifted.inner(range_ms, step_ms)), function, grid, range_ms, offset_ms)
 
 
-def unique(vector: DataFrame) -> DataFrame:
-    """The vector; the job fails if two of its series have the same labels at one point."""
-    together = Window.partitionBy(lb.key(F.col("labels")), "ts")
-    many = F.count("*").over(together) > 1
-    fail = F.raise_error(F.lit("vector cannot contain metrics with the same labelset")).cast("double")
-    return vector.withColumn("value", F.when(many, fail).otherwise(F.col("value")))
-
-
 def map_values(vector: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     """f of each value, without the samples for which it is null; the metric's name goes."""
     return vector.select(lb.nameless(F.col("labels")).alias("labels"), "ts", f(F.col("value")).cast("double").alias("value")).where("value is not null")

@@ -194,3 +194,11 @@ QUERIES["histogram_quantile_of_increase"] = lambda spark, sf: flat(h.quantile(m.
 SQL["histogram_quantile_of_increase"] = _COUNTERS + ", " + _quantile_sql(0.9, "flag, p").replace("flag, p, 0::bigint as ts", "flag, p as ts").replace(", 8) as value", ", 6) as value")
 QUERIES["bucket_newest"] = lambda spark, sf: flat(h.newest_buckets(counters(spark, sf), HALVES, 3 * HALF), "flag", "le")
 SQL["bucket_newest"] = _COUNTERS + f"select flag, {_le_text}, p as ts, arg_max(v, t) as value from s join g on t > p - {3 * HALF} and t <= p group by 1, le, p"
+
+_sums = lambda spark, sf: h.aggregate(exponential(spark, sf), "sum", by=["status"])
+QUERIES["exponential_binary_sub"] = lambda spark, sf: _stats(h.binary(_sums(spark, sf), "-", h.scale_by(_sums(spark, sf), 0.25)), "status")
+SQL["exponential_binary_sub"] = f"with {_EXP}, {_EXP_ALL}, " + _STATS.format(f="0.75::double", m=_MIDDLE)
+_other = lambda spark, sf: halves(spark, sf).withColumn("hist", hg.scaled(F.col("hist"), F.when(lb.label(F.col("labels"), "status") == "F", 1.0).otherwise(2.0)))
+for _op, _sign in (("==", "="), ("!=", "<>")):
+    QUERIES[f"exponential_{'equal' if _op == '==' else 'unequal'}"] = lambda spark, sf, op=_op: _totals(h.binary(halves(spark, sf), op, _other(spark, sf)), 2).drop("buckets")
+    SQL[f"exponential_{'equal' if _op == '==' else 'unequal'}"] = _HALVES + f"select status, t as ts, round(n, 2) as n, round(total, 2) as total from s where status {_sign} 'F'"

@@ -225,7 +225,9 @@ def _odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     odd = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("v")) for k, x in (("nan", ieee.NAN), ("inf", ieee.INF), ("big", 1e20), ("neg", -2.5), ("pos", 2.5)))))
     rows = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("nation"), odd.alias("x")).select("nation", "x.k", "x.v")
-    return rows.select("nation", "k", *(m.INSTANT[f](v).alias(name) for f, name in (("ceil", "up"), ("floor", "down"), ("round", "near"))), m.clamp(v, -1, 1).alias("held"), m.INSTANT["year"](v).alias("year"))
+    shown = lambda x: F.when(F.isnan(x), -777.0).when(F.abs(x) == ieee.INF, 777.0).otherwise(x)
+    found = {"up": m.INSTANT["ceil"](v), "down": m.INSTANT["floor"](v), "near": m.INSTANT["round"](v), "held": m.clamp(v, -1, 1), "year": m.INSTANT["year"](v)}
+    return rows.select("nation", "k", *(shown(x).alias(name) for name, x in found.items()))
 
 
 query("timestamp_of", _VECTOR + 'select event_type, "user", p as ts, round(t / 1000.0, 3) as value from u')(
@@ -237,7 +239,9 @@ query("exemplars", f"""select event_type, user_id::varchar as "user", epoch_us(t
 )
 _ODD = {"nan": "'nan'::double", "inf": "'inf'::double", "big": "1e20", "neg": "-2.5", "pos": "2.5"}
 query("odd_numbers", "with x as (select n_nationkey::varchar as nation, k, v + 0.0 * n_nationkey as v from nation cross join (values " + ", ".join(f"('{k}', {v}::double)" for k, v in _ODD.items()) + """) as o(k, v))
-select nation, k, ceil(v)::double as up, floor(v)::double as down, case when isnan(v) or isinf(v) then v else floor(v + 0.5)::double end as near, case when isnan(v) then v else least(greatest(v, -1.0), 1.0) end::double as held, case when v = 2.5 then 1970.0::double when v = -2.5 then 1969.0::double else 'nan'::double end as year from x""")(
+select nation, k, """ + ", ".join(f"(case when isnan({e}) then -777 when isinf({e}) then 777 else {e} end)::double as {n}" for n, e in {
+    "up": "ceil(v)::double", "down": "floor(v)::double", "near": "(case when isinf(v) then v else floor(v + 0.5)::double end)", "held": "(case when isnan(v) then v else least(greatest(v, -1.0), 1.0)::double end)",
+    "year": "(case when v = 2.5 then 1970.0::double when v = -2.5 then 1969.0::double else 'nan'::double end)"}.items()) + " from x")(
     lambda spark, sf: _odd_numbers(spark, sf)
 )
 query("delta_rate", f"""with s as (select event_type, epoch_us(ts) // 1000 as t, sum(value) as v from events group by 1, 2), l as (select *, sum(v) over (partition by event_type order by t) as level from s), {_grid(DAYS)},
@@ -254,6 +258,11 @@ select event_type, p as ts, round(v / ((t - pt) / 1000.0), 6) as value from w wh
 )
 query("scalar_of_one", _VECTOR + "select p as ts, round(sum(v), 8) as value from u group by 1")(lambda spark, sf: m.scalar(m.aggregate(_vector(spark, sf), "sum"), DAYS).select("ts", F.round("value", 8).alias("value")))
 query("absent", f"with {_grid(DAYS)} select 'nothing' as job, p as ts, 1.0::double as value from g")(lambda spark, sf: flat(m.absent(m.select(_vector(spark, sf), ("job", "=", "nothing")), DAYS, {"job": "nothing"}), "job"))
+query("scalar_of_many", f"with {_grid(DAYS)} select p as ts, true as is_nan from g")(lambda spark, sf: m.scalar(_vector(spark, sf), DAYS).select("ts", F.isnan("value").alias("is_nan")))
+query("absent_some", f"""with {_grid(Grid(START, END, HOUR))} select '7' as "user", p as ts, 1.0::double as value from g
+where not exists (select 1 from events where user_id = 7 and (epoch_us(ts) // 1000) > p - {3 * HOUR} and (epoch_us(ts) // 1000) <= p)""")(
+    lambda spark, sf: flat(m.absent(m.instant(m.select(ad.event_samples(spark, sf), ("user", "=", "7")), Grid(START, END, HOUR), 3 * HOUR), Grid(START, END, HOUR), {"user": "7"}), "user")
+)
 query("absent_over_time", f"""with {_grid(Grid(START, END, HOUR))} select p as ts, 1.0::double as value from g
 where not exists (select 1 from events where user_id = 7 and (epoch_us(ts) // 1000) > p - {6 * HOUR} and (epoch_us(ts) // 1000) <= p)""")(
     lambda spark, sf: flat(m.absent_over_time(m.select(ad.event_samples(spark, sf), ("user", "=", "7")), Grid(START, END, HOUR), 6 * HOUR))
@@ -284,6 +293,16 @@ query("match_on_group_left", _COUNTS + 'select event_type, "user", p as ts, roun
 query("match_ignoring_group_right", _COUNTS + 'select event_type, "user", p as ts, round(total - v, 8) as value from u join e using (event_type, p)')(
     lambda spark, sf: flat(mt.binary(m.aggregate(_vector(spark, sf), "sum", by=["event_type"]), "-", _vector(spark, sf), ignoring=["user"], group="right"), "event_type", "user")
 )
+query("match_include", _COUNTS + 'select event_type, "user", event_type || \'!\' as mark, p as ts, round(v * total, 4) as value from u join e using (event_type, p)')(
+    lambda spark, sf: flat(
+        mt.binary(
+            _vector(spark, sf), "*",
+            m.aggregate(_vector(spark, sf), "sum", by=["event_type"]).withColumn("labels", lb.label_replace(F.col("labels"), "mark", "$1!", "event_type", "(.*)")),
+            on=["event_type"], group="left", include=["mark"],
+        ),
+        "event_type", "user", "mark", digits=4,
+    )
+)
 query("scalar_arithmetic", _VECTOR + 'select event_type, "user", p as ts, round(100 - v, 8) as value from u')(lambda spark, sf: flat(mt.with_scalar(_vector(spark, sf), "-", 100, swapped=True), "event_type", "user"))
 _BIG, _SMALL = "v > 20", "v < 60"
 
@@ -336,3 +355,4 @@ _COMPANIONS = "h as (select l_returnflag as flag, count(*)::double as n, sum(l_q
 query("store_companions", f"with {_COMPANIONS} select 'quantity_count' as __name__, flag, '' as le, 0::bigint as ts, n as value from h union all select 'quantity_sum', flag, '', 0, total from h union all select 'quantity_bucket', flag, '10', 0, a from h union all select 'quantity_bucket', flag, '25', 0, b from h union all select 'quantity_bucket', flag, '+Inf', 0, n from h")(
     lambda spark, sf: flat(m.select(_tables(spark, sf).samples(), ("__name__", "=~", "quantity_.*")), "__name__", "flag", "le")
 )
+query("store_catalogue", "select 'event_value' as metric, 'counter' as kind union all select 'quantity', 'histogram'")(lambda spark, sf: _tables(spark, sf).catalogue())

@@ -30,11 +30,6 @@ def event_samples(spark: SparkSession, sf_dir: str, name: str = "event_value", *
     return table(spark, sf_dir, "events").select(labelled(name, **columns).alias("labels"), epoch_ms("ts").alias("ts"), "value")
 
 
-def order_samples(spark: SparkSession, sf_dir: str, name: str = "order_price", **labels: str) -> DataFrame:
-    columns = labels or {"status": "o_orderstatus", "priority": "o_orderpriority"}
-    return table(spark, sf_dir, "orders").select(labelled(name, **columns).alias("labels"), epoch_ms("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
-
-
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as log records: the JSON of props as the line, the type as stream label."""
     return table(spark, sf_dir, "events").select(

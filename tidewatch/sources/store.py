@@ -99,6 +99,12 @@ class Store:
             found.append(series.withColumn("labels", lb.with_label(F.col("labels"), lb.NAME, F.concat(lb.label(F.col("labels"), lb.NAME), F.lit(suffix)))))
         return reduce(DataFrame.unionByName, (f.select("labels", "ts", "value") for f in found))
 
+    def catalogue(self) -> DataFrame:
+        """(metric, kind): the names of all metrics, with gauge, counter or histogram."""
+        kinds = {"gauge": "gauge", "sum": "counter", "histogram": "histogram", "exponential": "histogram"}
+        name = F.regexp_replace(self.column("name"), "[^a-zA-Z0-9_:]", "_").alias("metric")
+        return reduce(DataFrame.unionByName, (self.table(t).select(name, F.lit(k).alias("kind")).distinct() for t, k in kinds.items())).distinct()
+
     def logs(self) -> DataFrame:
         """Log records (ts, line, resource, attributes, severity); the service is a label of the resource."""
         c = self.column
