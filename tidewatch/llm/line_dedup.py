@@ -30,9 +30,9 @@ from .components import bounds
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts, and levels to an octave of counts.
-CELLS, OCTAVE = 1 << 23, 6
+CELLS, OCTAVE = 1 << 22, 6
 #: Earlier lines under a word that a line is verified against at first, if the nearest is near and if it is not.
-FEW, MANY = 8, 200
+FEW, MANY = 24, 200
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
@@ -56,8 +56,12 @@ class Lines:
         hashes = hashes_of(found.words)
         self.counts = hashes, np.bincount(found.code, minlength=len(hashes))
         cells = (hashes & np.uint64(CELLS - 1)).astype(np.int64)
-        level = levels[cells] if levels is not None else level_of(np.maximum(self.counts[1], 1))
-        order = np.lexsort([hashes, level])
+        if levels is None:  # rarity in these texts only
+            level = level_of(np.maximum(self.counts[1], 1))
+            order = np.argsort(level, kind="stable")
+        else:
+            level = levels[cells]
+            order = np.lexsort([hashes, level])
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         many = max(len(order), 1)
@@ -276,9 +280,9 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
 
 
 def _found(pairs: np.ndarray, sets: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    late, early, apart, limit, more = pairs
-    arrays = [pa.array(x) for x in (sets[late], doc[late], sets[early], doc[early], apart.astype(np.int32), 2 * apart <= limit, more.astype(bool))]
-    return pa.RecordBatch.from_arrays(arrays, names=["late", "late_doc", "early", "early_doc", "apart", "near", "more"])
+    late, early, apart, _, more = pairs
+    arrays = [pa.array(x) for x in (sets[late], doc[late], sets[early], doc[early], apart.astype(np.int32), more.astype(bool))]
+    return pa.RecordBatch.from_arrays(arrays, names=["late", "late_doc", "early", "early_doc", "apart", "more"])
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -387,11 +391,11 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         shared = F.size(F.array_intersect("early_words", "late_words"))
         return both.where(shared * (1 + threshold) >= threshold * (F.size("early_words") + F.size("late_words")) - 1e-9).select(F.col("late").alias("set_id")).distinct()
 
-    schema = "late long, late_doc long, early long, early_doc long, apart int, near boolean, more boolean"
+    schema = "late long, late_doc long, early long, early_doc long, apart int, more boolean"
     nearest = F.array_sort(F.collect_set(F.struct("apart", "early", "early_doc")))
-    near = posted().mapInArrow(_pairs(threshold, (FEW, MANY), PAIRS), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("near").alias("few"), F.max("more").alias("more"))
-    most = F.when(F.col("few"), FEW).otherwise(MANY)
-    near = stored(near.select("late", "late_doc", F.slice("near", F.lit(1), most).alias("near"), (F.col("more") | (F.size("near") > most)).alias("more")), "candidates")
+    near = posted().mapInArrow(_pairs(threshold, (FEW, MANY), PAIRS), schema).groupBy("late").agg(F.min("late_doc").alias("late_doc"), nearest.alias("near"), F.max("more").alias("more"))
+    near = stored(near.select("late", "late_doc", F.slice("near", 1, MANY).alias("near"), (F.col("more") | (F.size("near") > MANY)).alias("more")), "candidates")
+    cut.unpersist()
     listed = lambda df, start, stop: df.select("late", "late_doc", F.explode(F.slice("near", start, stop)).alias("e")).select("late", "late_doc", "e.early", "e.early_doc")
     late = stored(matches(stored(listed(near, 1, 1), "pairs")), "late")
     undecided = lambda df: df.join(late.select(F.col("set_id").alias("late")), "late", "left_anti")

@@ -223,15 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     x = _unpacked(pa.array(frame["x"].tolist(), pa.binary()))
     order = np.lexsort(x.T)  # the same model wherever the rows were computed
     x, is_p, drawn = x[order], frame["good"].to_numpy(dtype=bool)[order], frame["drawn"].to_numpy(dtype=bool)[order]
-    shuffled = np.random.default_rng(3).permutation(len(x))
-    p, u = x[shuffled][is_p[shuffled]], x[shuffled][drawn[shuffled]]
+    half = frame["half"].to_numpy()[order]
+    p, u, half = x[is_p][np.random.default_rng(3).permutation(is_p.sum())], x[drawn], half[drawn]
     if min(len(p), len(u)) < 10:
         return Network(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
     sums = summed(measured, lambda x: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])) / n
     moments = sums[:WIDTH], np.sqrt(np.maximum(sums[WIDTH:] - sums[:WIDTH] ** 2, 0)) + 1e-6
-    first = _trained(p[::2], u[::2], None, moments, steps=200)
+    first = _trained(p[::2], u[half == 0] if (half == 0).any() else u, None, moments, steps=200)
     cuts = prior_cuts(first, p[1::2])
-    above = summed(measured, lambda x: np.append((first.odds(x)[:, None] >= cuts).sum(axis=0), len(x)).astype(float), "half = 1 and not drawn" if n > 4 * start else "half = 1")
+    above = summed(measured, lambda x: np.append((first.odds(x)[:, None] >= cuts).sum(axis=0), len(x)).astype(float), "half = 1")
     prior = estimate_prior(first, cuts, p[1::2], above[:-1], above[-1]) if len(above) and above[-1] else 0.5
     return refined(_trained(p, u, prior, moments), p, measured, n, prior, steps)
 
