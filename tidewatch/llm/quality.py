@@ -6,7 +6,7 @@ trusted texts, a bounded sample, and U is all unlabelled text. Training starts o
 with the risk of all of it, whose gradient Spark sums up over the stored measures; of these steps the weights with
 the least risk are taken. The class prior is estimated first: a classifier of P against U is fitted on one half,
 and on the other half, of all texts, the least ratio of U's to P's share above a threshold, with margins for chance,
-bounds the share of positives in U.
+bounds the share of positives in U; the halves change places, and the mean of both is taken.
 """
 
 from __future__ import annotations
@@ -229,10 +229,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return Network(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
     sums = summed(measured, lambda x: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])) / n
     moments = sums[:WIDTH], np.sqrt(np.maximum(sums[WIDTH:] - sums[:WIDTH] ** 2, 0)) + 1e-6
-    first = _trained(p[::2], u[half == 0] if (half == 0).any() else u, None, moments, steps=200)
-    cuts = prior_cuts(first, p[1::2])
-    above = summed(measured, lambda x: np.append((first.odds(x)[:, None] >= cuts).sum(axis=0), len(x)).astype(float), "half = 1")
-    prior = estimate_prior(first, cuts, p[1::2], above[:-1], above[-1]) if len(above) and above[-1] else 0.5
+    priors = []
+    for i in (0, 1):  # each half is tried by a classifier of the other
+        if not (half == i).any():
+            continue
+        first, tried = _trained(p[i::2], u[half == i], None, moments, steps=200), p[1 - i :: 2]
+        cuts = prior_cuts(first, tried)
+        above = summed(measured, lambda x, net=first, cuts=cuts: np.append((net.odds(x)[:, None] >= cuts).sum(axis=0), len(x)).astype(float), f"half = {1 - i}")
+        if len(above):
+            priors.append(estimate_prior(first, cuts, tried, above[:-1], above[-1]))
+    prior = float(np.mean(priors)) if priors else 0.5
     return refined(_trained(p, u, prior, moments), p, measured, n, prior, steps)
 
 
