@@ -18,12 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ieee import let
 from ..plans.stored import stored
 from .common import PACKED_COUNTS, Words, attach, filter_words, hashes_of, likely_members, members, mixed, only_members, packed_counts, packed_sorted, planes, probed, segment_of, slices, summed_cells, unpacked_sorted, unplaned
 from .components import bounds
@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 #: Cells of the table of word counts, and levels to an octave of counts.
 CELLS, OCTAVE = 1 << 22, 6
 #: Earlier lines under a word that a line is verified against at first, if the nearest is near and if it is not.
-FEW, MANY = 24, 200
+FEW, MANY = 64, 2000
 #: Lines of a word that are compared in one piece; words that are cut into such blocks, the most frequent ones.
 BLOCK, HOT_WORDS = 2048, 10_000
 #: Widest sketch in 64-bit words, pairs that are looked at together, documents that are parsed together.
@@ -437,19 +437,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = filter_words(told.count())
     tried = probed(keyed(rows), "tw_h", members(keyed(told), "tw_h", words), words).drop("tw_h")
 
-    @F.pandas_udf("string")
-    def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
-        for text, gone in zip(texts, removed, strict=True):
-            gone = set() if gone is None else set(gone.tolist())
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
-        return pd.Series(out)
+    def without_lines(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    none = F.lit(None).cast("array<int>")
+    none = F.array().cast("array<int>")
     same = tried.where(~F.col("tw_maybe") | F.col("doc").isNull()).select("tw_row", "tw_text", none.alias("removed"), F.col("tw_text").alias("clean_text"))
-    maybe = tried.where(F.col("tw_maybe") & F.col("doc").isNotNull()).join(told, ["doc", "version"], "left").select("tw_row", "tw_text", "removed", without_lines("tw_text", "removed").alias("clean_text"))
-    n_lines = F.regexp_count("tw_text", F.lit("\n")) + 1
-    return same.unionByName(maybe).select("tw_row.*", "clean_text", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    maybe = tried.where(F.col("tw_maybe") & F.col("doc").isNotNull()).join(told, ["doc", "version"], "left").withColumn("removed", F.coalesce("removed", none))
+    maybe = maybe.select("tw_row", "tw_text", "removed", F.when(F.size("removed") == 0, F.col("tw_text")).otherwise(let(F.split("tw_text", "\n", -1), without_lines)).alias("clean_text"))
+    n_lines = F.length("tw_text") - F.length(F.replace("tw_text", F.lit("\n"), F.lit(""))) + 1
+    return same.unionByName(maybe).select("tw_row.*", "clean_text", n_lines.alias("n_lines"), "removed")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
