@@ -126,8 +126,8 @@ _ENDS = f"""e as (select status, p, count(*) as k, min(t) as ft, max(t) as lt, a
 w as (select *, (lt - ft)::double as c, (lt - ft)::double / (k - 1) as gap from e),
 f as (select *, (c + case when ft - (p - {3 * HALF}) >= 1.1 * gap then gap / 2 else ft - (p - {3 * HALF}) end + case when p - lt >= 1.1 * gap then gap / 2 else p - lt end) / c as factor from w)
 """
-QUERIES["exponential_delta"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "delta", HALVES, 3 * HALF), 2).drop("buckets")
-SQL["exponential_delta"] = _HALVES + ", " + _ENDS + "select status, p as ts, round((ln - fn) * factor, 2) as n, round((ltotal - ftotal) * factor, 2) as total from f"
+QUERIES["exponential_delta"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "delta", HALVES, 3 * HALF), 4).drop("buckets")
+SQL["exponential_delta"] = _HALVES + ", " + _ENDS + "select status, p as ts, round((ln - fn) * factor, 4) as n, round((ltotal - ftotal) * factor, 4) as total from f"
 QUERIES["exponential_idelta"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "idelta", HALVES, 2 * HALF), 2).drop("buckets")
 SQL["exponential_idelta"] = _HALVES + f"select status, t as ts, round(n - pn, 2) as n, round(total - ptotal, 2) as total from s join g on t = p where pt = t - {HALF}"
 _FELL = "exists (select 1 from b x where x.status = s.status and x.t = s.pt and x.n > coalesce((select y.n from b y where y.status = s.status and y.t = s.t and y.i = x.i), 0))"
@@ -135,14 +135,14 @@ QUERIES["exponential_irate"] = lambda spark, sf: _totals(h.over_time(halves(spar
 SQL["exponential_irate"] = _HALVES + f"select status, t as ts, round((case when {_FELL} then n else n - pn end) / {HALF / 1000.0}, 8) as n, round((case when {_FELL} then total else total - ptotal end) / {HALF / 1000.0}, 8) as total from s join g on t = p where pt = t - {HALF}"
 QUERIES["exponential_resets"] = lambda spark, sf: flat(h.changes(halves(spark, sf), "resets", HALVES, 4 * HALF), "status")
 SQL["exponential_resets"] = _HALVES + f", r as (select status, t, pt, {_FELL} as fell from s) select status, p as ts, sum(case when pt > p - {4 * HALF} and fell then 1 else 0 end)::double as value from r join g on t > p - {4 * HALF} and t <= p group by 1, 2"
-QUERIES["exponential_increase"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "increase", HALVES, 4 * HALF), 2).drop("buckets")
+QUERIES["exponential_increase"] = lambda spark, sf: _totals(h.over_time(halves(spark, sf), "increase", HALVES, 4 * HALF), 4).drop("buckets")
 SQL["exponential_increase"] = _HALVES + f""", r as (select *, {_FELL} as fell from s),
 e as (select status, p, count(*) as k, min(t) as ft, max(t) as lt, arg_min(n, t) as fn, arg_max(n, t) - arg_min(n, t) + sum(case when fell and pt > p - {4 * HALF} then pn else 0 end) as change,
       arg_max(total, t) - arg_min(total, t) + sum(case when fell and pt > p - {4 * HALF} then ptotal else 0 end) as grown from r join g on t > p - {4 * HALF} and t <= p group by 1, 2 having count(*) >= 2),
 w as (select *, (lt - ft)::double as c, (lt - ft)::double / (k - 1) as gap from e),
 z as (select *, case when ft - (p - {4 * HALF}) >= 1.1 * gap then gap / 2 else ft - (p - {4 * HALF}) end as first, case when p - lt >= 1.1 * gap then gap / 2 else p - lt end as last from w),
 f as (select *, (c + least(first, case when change > 0 then c * (fn / change) else first end) + last) / c as factor from z)
-select status, p as ts, round(change * factor, 2) as n, round(grown * factor, 2) as total from f"""
+select status, p as ts, round(change * factor, 4) as n, round(grown * factor, 4) as total from f"""
 QUERIES["exponential_changes"] = lambda spark, sf: flat(h.changes(halves(spark, sf).unionByName(halves(spark, sf).withColumn("ts", F.col("ts") + 1000)), "changes", Grid(FIRST + 2000, FIRST + 2000 + 14 * HALF, HALF), 4 * HALF), "status")
 SQL["exponential_changes"] = _HALVES + f"select status, p + 2000 as ts, sum(case when pt is not null and pt > p + 1000 - {4 * HALF} then 1 else 0 end)::double as value from s join g on t + 1000 > p + 2000 - {4 * HALF} and t <= p group by 1, 2"
 QUERIES["exponential_count"] = lambda spark, sf: flat(h.counted(exponential(spark, sf), "count", by=["status"]), "status")
