@@ -114,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_rows: int, most_
             stop = min(start + most_rows, max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
             yield whole.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass

@@ -39,7 +39,7 @@ BLOCK, HOT_WORDS = 2048, 10_000
 WIDEST, PAIRS, SLICE_ROWS = 64, 1 << 17, 500
 #: log2 of the postings that a segment has at most on average, segments in a partition; how columns of postings are packed.
 LOG2_POSTINGS, SEGMENTS = 17, 2
-POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": "<u8", "wide": ""}
+POSTING = {"key": "", "doc": "<i8", "line": "<i4", "set_id": "<i8", "about": "<i8", "sketch": ""}
 
 
 class Lines:
@@ -99,14 +99,14 @@ class Lines:
         shared = self.levels[item] > 1
         return row[shared], place[shared], item[shared]
 
-    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's sketch in 64 bits, and all lines' sketches in their full widths, one after another."""
+    def sketches(self) -> np.ndarray:
+        """All lines' sketches in their widths, one after another."""
         wide = widths(self.sizes)
         starts = np.cumsum(wide) - wide
         bit = (self.spread & (wide[self.of].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
         out = np.zeros(int(wide.sum()), dtype=np.uint64)
         np.bitwise_xor.at(out, starts[self.of] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-        return np.bitwise_xor.reduceat(out, starts) if len(starts) else out, out
+        return out
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -115,8 +115,8 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def widths(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words of the sketches of sets of these sizes: powers of two, about a bit for a member."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), WIDEST)
+    """64-bit words of the sketches of sets of these sizes: powers of two from two on, two bits for a member."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(sizes, 64) / 32)).astype(np.int64), WIDEST)
 
 
 def folded(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -192,10 +192,11 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in segments(batches):
             key = np.concatenate([unpacked_sorted(x) for x in columns["key"]]).view(np.int64)
-            doc, line, sets, about, sketch = (np.concatenate([unplaned(x, POSTING[c]) for x in columns[c]]) for c in ("doc", "line", "set_id", "about", "sketch"))
-            flat = np.frombuffer(b"".join(columns["wide"]), dtype=np.uint64)
+            doc, line, sets, about = (np.concatenate([unplaned(x, POSTING[c]) for x in columns[c]]) for c in ("doc", "line", "set_id", "about"))
+            flat = np.frombuffer(b"".join(columns["sketch"]), dtype=np.uint64)
             wide = widths(about >> 34)
-            at_wide = np.cumsum(np.where(wide > 1, wide, 0)) - wide
+            at_wide = np.cumsum(wide) - wide
+            sketch = np.bitwise_xor.reduceat(flat, at_wide) if len(flat) else flat  # folded to 64 bits
             # the first posting of each set under a key; copies are few, so only these are put in order
             same = mixed(key.view(np.uint64) ^ mixed(sets.view(np.uint64)))
             order = np.argsort(same)
@@ -210,7 +211,7 @@ def _pairs(threshold: float, most: tuple[int, int] | None, at_once: int):
             key, doc, line, sets, about, sketch, wide, at_wide = (x[kept] for x in (key, doc, line, sets, about, sketch, wide, at_wide))
             run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
             size, place, part, open_ = about >> 34, about >> 3 & 0x7FFFFFFF, about >> 1 & 3, about & 1 == 1
-            at = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist() if w > 1}
+            at = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist()}
             of = {w: flat[at_wide[i][:, None] + np.arange(w)] for w, i in at.items()}
             number = np.zeros(len(run), dtype=np.int64)
             for i in at.values():
@@ -365,15 +366,14 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 about = found.sizes[row] << 34 | place[order] << 3 | part[order] << 1 | open_[order]
-                sketch, wide = found.sketches()
                 width = widths(found.sizes)
-                width, at = np.where(width > 1, width, 0)[row], (np.cumsum(width) - width)[row]
-                bits = wide[np.arange(width.sum()) + np.repeat(at - (np.cumsum(width) - width), width)]
+                width, at = width[row], (np.cumsum(width) - width)[row]
+                bits = found.sketches()[np.arange(width.sum()) + np.repeat(at - (np.cumsum(width) - width), width)]
                 ends = np.concatenate([[0], np.cumsum(width)])
                 segment = segment_of(key, log2_segments)
                 each = np.unique(segment)
                 cuts = [*zip(np.searchsorted(segment, each).tolist(), np.searchsorted(segment, each, "right").tolist(), strict=True)]
-                columns = {"doc": doc[row], "line": found.line[row], "set_id": found.set_id[row], "about": about, "sketch": sketch[row]}
+                columns = {"doc": doc[row], "line": found.line[row], "set_id": found.set_id[row], "about": about}
                 packed = [[packed_sorted(key[a:b]) for a, b in cuts], *([planes(x[a:b].astype(POSTING[c])) for a, b in cuts] for c, x in columns.items()), [bits[ends[a] : ends[b]].tobytes() for a, b in cuts]]
                 yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(x, pa.binary()) for x in packed)], names=["segment", *POSTING])
 
